@@ -1,0 +1,7 @@
+"""ciphersift: cryptography inventory and misuse findings over any text corpus,
+as Spark DataFrame jobs."""
+
+from .plans.scan import ScanOptions, ScanResult, scan
+from .sources.catalog import catalog_schemes
+
+__all__ = ["ScanOptions", "ScanResult", "scan", "catalog_schemes"]
