@@ -69,11 +69,14 @@ def pruned(rel: Column, globs: list[tuple[str, bool]]) -> Column:
     cond = F.arrays_overlap(dirs, F.array(*[F.lit(d) for d in SKIP_DIRS]))
     base = F.element_at(parts, -1)
     dir_rels = F.transform(dirs, lambda x, i: F.array_join(F.slice(parts, 1, i + 1), "/"))
+    def matcher(rx):
+        return lambda d: d.rlike(rx)
+
     for rx, on_base in globs:
         if on_base:
-            cond = cond | base.rlike(rx) | F.exists(dirs, lambda d, rx=rx: d.rlike(rx))
+            cond = cond | base.rlike(rx) | F.exists(dirs, matcher(rx))
         else:
-            cond = cond | rel.rlike(rx) | F.exists(dir_rels, lambda d, rx=rx: d.rlike(rx))
+            cond = cond | rel.rlike(rx) | F.exists(dir_rels, matcher(rx))
     return F.coalesce(cond, F.lit(False))
 
 

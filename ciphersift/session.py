@@ -23,6 +23,7 @@ def get_spark(master: str | None = None, app: str = "ciphersift", shuffle_partit
     cpus = os.cpu_count() or 8
     conf = {
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
