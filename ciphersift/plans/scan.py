@@ -76,12 +76,20 @@ def classified_corpus(corpus: DataFrame, opts: ScanOptions, cfg: ScanConfig, sea
                     max_file_bytes=opts.max_file_bytes)
 
 
-def tier_findings(spark: SparkSession, files: DataFrame, want: list[Scheme]) -> DataFrame:
+def tier_findings(spark: SparkSession, files: DataFrame, want: list[Scheme], search: bool = False) -> DataFrame:
+    """Union of the tier branches.  A syntax branch is planned only when a
+    ``limit(1)`` probe finds a file for it: the probe stops at the first hit
+    and, when the tier is empty, costs no more than the branch would."""
     scanned = files.where(F.col("status") == "scanned")
     parts = [scheme_findings(scanned.where(F.col("tier") == "regex"), want)]
     from ..operators import go_syntax, py_syntax
-    parts.append(go_syntax.go_findings(scanned.where(F.col("tier") == "go")))
-    parts.append(py_syntax.py_findings(scanned.where(F.col("tier") == "python")))
+    if not search:
+        go_files = scanned.where(F.col("tier") == "go")
+        if not go_files.select("path").isEmpty():
+            parts.append(go_syntax.go_findings(go_files))
+        py_files = scanned.where(F.col("tier") == "python")
+        if not py_files.select("path").isEmpty():
+            parts.append(py_syntax.py_findings(py_files))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -105,7 +113,7 @@ def scan(spark: SparkSession, corpus: DataFrame, options: ScanOptions | None = N
         empty_status = spark.createDataFrame([], "path string, status string, reason string")
         return ScanResult(empty_findings(spark), empty_status)
 
-    raw = tier_findings(spark, files, want)
+    raw = tier_findings(spark, files, want, search)
     kept = suppress(raw, files.where(F.col("status") == "scanned"))
     findings = post_process(kept, disabled=cfg.disable, min_confidence=min_conf,
                             severity_overrides=cfg.severity, sort=opts.sort)
