@@ -17,7 +17,7 @@ from ..sources.catalog import (GO_IV_CONSTRUCTORS, GO_KEY_ARGS, GO_RSA_FUNCS, GO
 from .scheme_scan import FINDING_COLUMNS
 from .tokens import (GO_TOKEN_RE, is_ident, partition_by_path, token_rows, with_groups, with_neighbours)
 
-GO_INSIGNIFICANT = r"(?s)^(?:\s+|//.*|/\*.*)$"
+GO_INSIGNIFICANT = r"(?s)^(?:[\t\n\x0B\f\r ]+|//.*|/\*.*)$"
 ARG_END = (",", ")")
 
 

@@ -23,7 +23,7 @@ from .tokens import (PY_TOKEN_RE, is_ident, partition_by_path, token_rows, with_
                      with_neighbours)
 from ..functions.columns import lit_map
 
-PY_INSIGNIFICANT = r"(?s)^(?:\s+|#.*|\\\n)$"
+PY_INSIGNIFICANT = r"(?s)^(?:[\t\n\x0B\f\r ]+|#.*|\\\n)$"
 
 # FIXED VALUES: Python keywords (never a callable name or chain member).
 PY_KEYWORDS = [

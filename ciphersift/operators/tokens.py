@@ -23,13 +23,13 @@ from pyspark.sql import functions as F
 # matcher from recursing on long literals).  Alternatives in order.
 GO_TOKEN_RE = (
     r"(?s)//[^\n]*+|/\*.*?\*/|`[^`]*+`|\"(?:[^\"\\\n]++|\\.)*+\"|'(?:[^'\\\n]++|\\.)*+'"
-    r"|[\p{L}_][\p{L}\p{Nd}_]*+|[0-9][0-9A-Za-z_.]*+|\s++|."
+    r"|[\p{L}_][\p{L}\p{Nd}_]*+|[0-9][0-9A-Za-z_.]*+|[\t\n\x0B\f\r ]++|."
 )
 PY_TOKEN_RE = (
     r"(?s)#[^\n]*+"
     r"|[rRbBuUfF]{0,2}(?:'''(?:[^'\\]++|\\.|'(?!''))*+'''|\"\"\"(?:[^\"\\]++|\\.|\"(?!\"\"))*+\"\"\""
     r"|'(?:[^'\\\n]++|\\.)*+'|\"(?:[^\"\\\n]++|\\.)*+\")"
-    r"|[\p{L}_][\p{L}\p{Nd}_]*+|[0-9][0-9A-Za-z_.]*+|\\\n|\s++|."
+    r"|[\p{L}_][\p{L}\p{Nd}_]*+|[0-9][0-9A-Za-z_.]*+|\\\n|[\t\n\x0B\f\r ]++|."
 )
 
 OPENS = ("(", "[", "{")

@@ -271,4 +271,360 @@ k AS ({kept()})
 SELECT severity, CASE severity WHEN 'critical' THEN 5 WHEN 'high' THEN 4 WHEN 'medium' THEN 3 WHEN 'low' THEN 2
        ELSE 1 END AS rank, count(*) AS findings FROM k GROUP BY severity""",
     }
+    q.update(go_oracles())
+    q.update(py_oracles())
+    q.update(full_scan_oracles())
     return q
+
+
+# ---------------------------------------------------------------------------
+# Go syntax tier in SQL
+# ---------------------------------------------------------------------------
+# RE2 form of the Go token grammar (greedy instead of possessive: same tokens)
+GO_TOKEN_RE2 = (r"(?s)//[^\n]*|/\*.*?\*/|`[^`]*`|" + '"' + r'(?:[^"\\\n]|\\.)*' + '"'
+                + r"|'(?:[^'\\\n]|\\.)*'|[\pL_][\pL\p{Nd}_]*|[0-9][0-9A-Za-z_.]*|[\t\n\x0B\f\r ]+|.")
+IDENT = r"'^[\pL_][\pL\p{Nd}_]*$'"
+
+
+def _ident(x: str) -> str:
+    return f"regexp_matches({x}, {IDENT})"
+
+
+def token_ctes(files: str, token_re2: str, insignificant_re2: str, prefix: str = "") -> str:
+    """t0..sig: significant tokens with line, byte column and depth."""
+    w_before = "(PARTITION BY path ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    return f"""{prefix}t0 AS (
+  SELECT path, unnest(ts) AS tok, generate_subscripts(ts, 1) - 1 AS i
+  FROM (SELECT path, regexp_extract_all(content, {sql_str(token_re2)}) AS ts FROM {files})
+),
+{prefix}t1 AS (
+  SELECT *, coalesce(sum(strlen(tok)) OVER {w_before}, 0) AS off0,
+         1 + coalesce(sum(len(string_split(tok, chr(10))) - 1) OVER {w_before}, 0) AS line
+  FROM {prefix}t0
+),
+{prefix}t2 AS (
+  SELECT *, off0 - coalesce(max(CASE WHEN contains(tok, chr(10))
+                                THEN off0 + strlen(regexp_extract(tok, '(?s)^(.*\\n)', 1)) END) OVER {w_before}, 0)
+            + 1 AS col
+  FROM {prefix}t1
+),
+{prefix}sig0 AS (
+  SELECT path, i, tok, line::INTEGER AS line, col::INTEGER AS col,
+         CASE WHEN tok IN ('(', '[', '{{') THEN 1 WHEN tok IN (')', ']', '}}') THEN -1 ELSE 0 END AS delta
+  FROM {prefix}t2 WHERE NOT regexp_matches(tok, {sql_str(insignificant_re2)})
+),
+{prefix}sig AS (
+  SELECT *, (sum(delta) OVER (PARTITION BY path ORDER BY i ROWS UNBOUNDED PRECEDING))::INTEGER AS dafter,
+         ((sum(delta) OVER (PARTITION BY path ORDER BY i ROWS UNBOUNDED PRECEDING)) - delta)::INTEGER AS dbefore
+  FROM {prefix}sig0
+)"""
+
+
+def go_ctes() -> str:
+    lags = ", ".join(f"lag(tok, {k}) OVER w AS tok_m{k}" for k in range(1, 5))
+    leads = ", ".join(f"lead(tok, {k}) OVER w AS tok_p{k}" for k in range(1, 8))
+    pos = ", ".join(f"lag({c}, {k}) OVER w AS {c}_m{k}" for c in ("line", "col") for k in range(1, 5))
+    return f"""{classified_cte()},
+gofiles AS (SELECT path, content FROM classified WHERE status = 'scanned' AND tier = 'go'),
+{token_ctes('gofiles', GO_TOKEN_RE2, r'(?s)^(?:[\t\n\x0B\f\r ]+|//.*|/\*.*)$')},
+nb AS (
+  SELECT *, {lags}, {leads}, {pos}, lead(line, 1) OVER w AS line_p1, lead(col, 1) OVER w AS col_p1
+  FROM sig WINDOW w AS (PARTITION BY path ORDER BY i)
+),
+nb2 AS (
+  SELECT *, coalesce(last_value(CASE WHEN tok IN ('(', '[', '{{') AND dbefore = 0
+                                     THEN coalesce(tok_m1 = 'import', false) END IGNORE NULLS)
+                     OVER (PARTITION BY path ORDER BY i ROWS UNBOUNDED PRECEDING), false) AS in_import,
+         coalesce(tok = '(' AND {_ident('tok_m1')} AND tok_m2 = '.' AND {_ident('tok_m3')}
+                  AND coalesce(tok_m4, '') <> '.' AND line_m1 = line, false) AS is_call,
+         tok IN ('(', '[', '{{') AS is_open,
+         CASE WHEN tok IN ('(', '[', '{{') THEN dafter ELSE dbefore END AS glvl
+  FROM nb
+),
+g1 AS (
+  SELECT *, sum(is_open::INTEGER) OVER (PARTITION BY path, glvl ORDER BY i ROWS UNBOUNDED PRECEDING) AS grp
+  FROM nb2
+),
+g2 AS (
+  SELECT *,
+    first_value(CASE WHEN is_open THEN is_call END IGNORE NULLS) OVER wg AS g_is_call,
+    first_value(CASE WHEN is_open THEN tok_m3 END IGNORE NULLS) OVER wg AS g_pkg,
+    first_value(CASE WHEN is_open THEN tok_m1 END IGNORE NULLS) OVER wg AS g_fn,
+    first_value(CASE WHEN is_open THEN line_m3 END IGNORE NULLS) OVER wg AS g_pline,
+    first_value(CASE WHEN is_open THEN col_m3 END IGNORE NULLS) OVER wg AS g_pcol,
+    CASE WHEN tok = ',' THEN sum((tok = ',')::INTEGER) OVER wg END AS comma_k,
+    max(CASE WHEN tok IN (')', ']', '}}') THEN coalesce(tok_p1, '') END)
+      OVER (PARTITION BY path, glvl, grp) AS close_next
+  FROM g1 WINDOW wg AS (PARTITION BY path, glvl, grp ORDER BY i ROWS UNBOUNDED PRECEDING)
+),
+g3 AS (
+  SELECT *, lead(oend, 2) OVER (PARTITION BY path ORDER BY i) AS e2,
+         lead(oend, 4) OVER (PARTITION BY path ORDER BY i) AS e4
+  FROM (SELECT *, CASE WHEN is_open THEN close_next IN (',', ')') END AS oend FROM g2)
+),
+go_imports AS (
+  SELECT path, local, import_path FROM (
+    SELECT *, row_number() OVER (PARTITION BY path, local ORDER BY i DESC) AS rn FROM (
+      SELECT path, i, import_path, coalesce(alias, string_split(import_path, '/')[-1]) AS local FROM (
+        SELECT path, i, regexp_extract(tok, '(?s)^["`](.*)["`]$', 1) AS import_path,
+               CASE WHEN named THEN tok_m1 END AS alias
+        FROM (SELECT *, ({_ident('tok_m1')} AND tok_m1 <> 'import') OR tok_m1 IN ('_', '.') AS named FROM nb2)
+        WHERE (tok LIKE '"%' OR tok LIKE '`%')
+          AND (tok_m1 = 'import' OR (tok_m2 = 'import' AND named) OR (in_import AND dbefore = 1)))
+      WHERE alias IS NULL OR alias NOT IN ('_', '.')))
+  WHERE rn = 1
+),
+go_calls AS (SELECT path, tok_m3 AS pkg, tok_m1 AS fn, line_m3 AS line, col_m3 AS col FROM nb2 WHERE is_call),
+go_sels AS (
+  SELECT path, tok_m2 AS pkg, tok AS fn, line_m2 AS line, col_m2 AS col FROM nb2
+  WHERE {_ident('tok')} AND tok_m1 = '.' AND {_ident('tok_m2')} AND coalesce(tok_m3, '') <> '.'
+),
+go_args AS (
+  SELECT path, g_pkg AS pkg, g_fn AS fn, g_pline AS pline, g_pcol AS pcol,
+         CASE WHEN is_call THEN 0 ELSE 1 END AS arg_k, line_p1 AS line, col_p1 AS col,
+         coalesce((tok_p1 LIKE '"%' OR tok_p1 LIKE '`%') AND tok_p2 IN (',', ')'), false)
+         OR coalesce(tok_p1 = '[' AND tok_p2 = ']' AND tok_p3 = 'byte' AND tok_p4 = '('
+                     AND (tok_p5 LIKE '"%' OR tok_p5 LIKE '`%') AND tok_p6 = ')' AND tok_p7 IN (',', ')'), false)
+         OR coalesce(tok_p1 = '[' AND tok_p2 = ']' AND tok_p3 = 'byte' AND tok_p4 = '{{' AND e4, false)
+           AS byte_slice,
+         coalesce(tok_p1 = 'make' AND tok_p2 = '(' AND tok_p3 = '[' AND tok_p4 = ']' AND tok_p5 = 'byte'
+                  AND tok_p6 IN (',', ')') AND e2, false) AS inline_make,
+         CASE WHEN regexp_matches(tok_p1, '^[0-9]+$') AND tok_p2 IN (',', ')') THEN TRY_CAST(tok_p1 AS BIGINT) END
+           AS int_lit
+  FROM g3
+  WHERE (is_call OR (comma_k = 1 AND coalesce(g_is_call, false))) AND tok_p1 NOT IN (')', ',')
+)"""
+
+
+def _rule_values() -> str:
+    from ..sources.catalog import RULES
+    rows = ", ".join("(" + ", ".join(sql_str(x) for x in r) + ")" for r in RULES)
+    return f"(VALUES {rows}) AS r(rule_id, title, description, severity, remediation)"
+
+
+def go_hits_sql() -> str:
+    from ..sources.catalog import (GO_IV_CONSTRUCTORS, GO_KEY_ARGS, GO_RSA_FUNCS, GO_WEAK_FUNCS,
+                                   GO_WEAK_RAND_PATHS, GO_WEAK_TLS_NAMES)
+    wf = ", ".join(f"({sql_str(p)}, {sql_str(f)}, {sql_str(r)})" for p, f, r in GO_WEAK_FUNCS)
+    ka = ", ".join(f"({sql_str(p)}, {sql_str(f)}, {k})" for p, f, k in GO_KEY_ARGS)
+    lst = lambda xs: ", ".join(sql_str(x) for x in xs)
+    return f"""go_hits AS (
+  SELECT c.path, w.rule_id, c.line, c.col FROM go_calls c JOIN go_imports m ON m.path = c.path AND m.local = c.pkg
+    JOIN (VALUES {wf}) AS w(ip, fn, rule_id) ON w.ip = m.import_path AND w.fn = c.fn
+  UNION ALL
+  SELECT c.path, 'insecure-random', c.line, c.col FROM go_calls c
+    JOIN go_imports m ON m.path = c.path AND m.local = c.pkg WHERE m.import_path IN ({lst(GO_WEAK_RAND_PATHS)})
+  UNION ALL
+  SELECT a.path, 'weak-key-rsa', a.pline, a.pcol FROM go_args a JOIN go_imports m ON m.path = a.path AND m.local = a.pkg
+    WHERE a.arg_k = 1 AND m.import_path = 'crypto/rsa' AND a.fn IN ({lst(GO_RSA_FUNCS)}) AND a.int_lit < 2048
+  UNION ALL
+  SELECT a.path, 'hardcoded-key', a.line, a.col FROM go_args a JOIN go_imports m ON m.path = a.path AND m.local = a.pkg
+    JOIN (VALUES {ka}) AS k(ip, fn, idx) ON k.ip = m.import_path AND k.fn = a.fn
+    WHERE a.arg_k = k.idx AND a.byte_slice
+  UNION ALL
+  SELECT a.path, 'static-iv', a.line, a.col FROM go_args a JOIN go_imports m ON m.path = a.path AND m.local = a.pkg
+    WHERE a.arg_k = 1 AND m.import_path = 'crypto/cipher' AND a.fn IN ({lst(GO_IV_CONSTRUCTORS)})
+      AND (a.byte_slice OR a.inline_make)
+  UNION ALL
+  SELECT s.path, 'deprecated-tls', s.line, s.col FROM go_sels s JOIN go_imports m ON m.path = s.path AND m.local = s.pkg
+    WHERE m.import_path = 'crypto/tls' AND s.fn IN ({lst(GO_WEAK_TLS_NAMES)})
+)"""
+
+
+def syntax_findings_sql(hits: str, files: str, name: str) -> str:
+    return f"""{name} AS (
+  SELECT h.rule_id, r.title, r.description, r.severity, 'high' AS confidence, r.remediation, h.path AS file,
+         h.line::INTEGER AS line, h.col::INTEGER AS "column",
+         {trim_ws("coalesce(string_split(f.content, chr(10))[h.line], '')")} AS snippet
+  FROM {hits} h JOIN {_rule_values()} ON r.rule_id = h.rule_id JOIN {files} f ON f.path = h.path
+)"""
+
+
+def go_oracles() -> dict[str, str]:
+    base = f"WITH {go_ctes()}"
+    return {
+        "go_tokens": f"{base} SELECT path, tok, line, col, dbefore AS depth FROM sig",
+        "go_imports": f"{base} SELECT path, local, import_path FROM go_imports",
+        "go_calls": f"{base} SELECT path, pkg, fn, line, col FROM go_calls",
+        "go_findings": f"{base}, {go_hits_sql()}, {syntax_findings_sql('go_hits', 'gofiles', 'gf')} "
+                       f"SELECT {FINDING_COLS} FROM gf",
+    }
+
+
+# ---------------------------------------------------------------------------
+# Python syntax tier in SQL
+# ---------------------------------------------------------------------------
+PY_TOKEN_RE2 = (r"(?s)#[^\n]*|[rRbBuUfF]{0,2}(?:'''(?:[^\\]|\\.)*?'''|" + '"""' + r"(?:[^\\]|\\.)*?" + '"""'
+                + r"|'(?:[^'\\\n]|\\.)*'|" + '"' + r'(?:[^"\\\n]|\\.)*' + '"'
+                + r")|[\pL_][\pL\p{Nd}_]*|[0-9][0-9A-Za-z_.]*|\\\n|[\t\n\x0B\f\r ]+|.")
+
+
+def _pyname(x: str) -> str:
+    from ..operators.py_syntax import PY_KEYWORDS
+    return f"({_ident(x)} AND {x} NOT IN ({', '.join(sql_str(k) for k in PY_KEYWORDS)}))"
+
+
+def _pystr(x: str) -> str:
+    return f"regexp_matches({x}, '^[rRbBuUfF]{{0,2}}[''\"]')"
+
+
+def py_ctes(files_cte: str) -> str:
+    from ..sources.catalog import PY_TARGETS, PY_WEAK_HASH_NAMES
+    tg = ", ".join(f"({sql_str(k)}, {sql_str(v)})" for k, v in PY_TARGETS)
+    wh = ", ".join(f"({sql_str(k)}, {sql_str(v)})" for k, v in PY_WEAK_HASH_NAMES)
+    lt = ", ".join(f"lag(tok, {k}) OVER wl AS ltok_m{k}" for k in (1, 2, 3, 4))
+    cont = (f"coalesce(tok = '.' OR (ltok_m1 = '.' AND {_ident('tok')}) OR (tok IN ('(', '[') AND "
+            f"({_pyname('ltok_m1')} OR ltok_m1 IN (')', ']') OR {_pystr('ltok_m1')})) OR tok IN (')', ']', '}}'), false)")
+    return f"""{files_cte},
+{token_ctes('pyfiles', PY_TOKEN_RE2, r'(?s)^(?:[\t\n\x0B\f\r ]+|#.*|\\\n)$', prefix='p')},
+pnb AS (
+  SELECT *, lag(tok, 1) OVER w AS tok_m1, lead(tok, 1) OVER w AS tok_p1, lag(line, 1) OVER w AS line_m1
+  FROM psig WINDOW w AS (PARTITION BY path ORDER BY i)
+),
+pst AS (
+  SELECT *, sum((dbefore = 0 AND (line_m1 IS NULL OR line_m1 <> line OR tok_m1 = ';'))::INTEGER)
+              OVER (PARTITION BY path ORDER BY i ROWS UNBOUNDED PRECEDING) AS stmt
+  FROM pnb
+),
+pkw AS (
+  SELECT *, first_value(tok) OVER (PARTITION BY path, stmt ORDER BY i) AS kw,
+         CASE WHEN tok IN (')', ']', '}}') THEN dafter ELSE dbefore END AS clvl
+  FROM pst
+),
+pl AS (SELECT *, {lt} FROM pkw WINDOW wl AS (PARTITION BY path, clvl ORDER BY i)),
+pc AS (
+  SELECT *,
+    last_value(CASE WHEN NOT {cont} THEN line END IGNORE NULLS)
+      OVER (PARTITION BY path, clvl ORDER BY i ROWS UNBOUNDED PRECEDING) AS cs_line,
+    last_value(CASE WHEN NOT {cont} THEN col END IGNORE NULLS)
+      OVER (PARTITION BY path, clvl ORDER BY i ROWS UNBOUNDED PRECEDING) AS cs_col,
+    CASE WHEN coalesce(ltok_m1 = '.' AND {_ident('tok')} AND tok_m1 = '.' AND kw <> 'import'
+                       AND NOT (kw = 'from' AND dbefore = 0), false)
+         THEN (CASE WHEN ltok_m2 = ')' AND ltok_m3 = '(' AND {_pyname('ltok_m4')} THEN ltok_m4
+                    WHEN {_ident('ltok_m2')} THEN ltok_m2 END) || '.' || tok END AS suffix2
+  FROM pl
+),
+pf AS (
+  SELECT *, lag(suffix2, 1) OVER wl AS fsuffix, lag(cs_line, 1) OVER wl AS f_line, lag(cs_col, 1) OVER wl AS f_col,
+         coalesce(tok = '(' AND ({_pyname('ltok_m1')} OR ltok_m1 IN (')', ']') OR {_pystr('ltok_m1')}), false)
+           AS call_open,
+         coalesce(tok = '(' AND {_pyname('ltok_m1')} AND coalesce(ltok_m2, '') <> '.', false) AS bare,
+         tok IN ('(', '[', '{{') AS is_open,
+         CASE WHEN tok IN ('(', '[', '{{') THEN dafter ELSE dbefore END AS glvl
+  FROM pc WINDOW wl AS (PARTITION BY path, clvl ORDER BY i)
+),
+pg1 AS (SELECT *, sum(is_open::INTEGER) OVER (PARTITION BY path, glvl ORDER BY i ROWS UNBOUNDED PRECEDING) AS grp
+        FROM pf),
+pg2 AS (
+  SELECT *,
+    first_value(CASE WHEN is_open THEN call_open END IGNORE NULLS) OVER wg AS g_is_call,
+    first_value(CASE WHEN is_open AND bare THEN ltok_m1 END IGNORE NULLS) OVER wg AS g_bare,
+    first_value(CASE WHEN is_open THEN fsuffix END IGNORE NULLS) OVER wg AS g_fsuffix,
+    first_value(CASE WHEN is_open THEN f_line END IGNORE NULLS) OVER wg AS g_line,
+    first_value(CASE WHEN is_open THEN f_col END IGNORE NULLS) OVER wg AS g_col
+  FROM pg1 WINDOW wg AS (PARTITION BY path, glvl, grp ORDER BY i ROWS UNBOUNDED PRECEDING)
+),
+pg3 AS (
+  SELECT *, CASE WHEN direct AND regexp_matches(tok, '^[0-9]+$') THEN TRY_CAST(tok AS BIGINT) END AS int_val,
+         CASE WHEN direct AND {_pystr('tok')} THEN tok END AS str_val
+  FROM (SELECT *, tok_m1 IN ('(', ',') AND tok_p1 IN (',', ')') AND dbefore = glvl AND coalesce(g_is_call, false)
+                  AS direct FROM pg2)
+),
+pg4 AS (
+  SELECT *, first_value(int_val IGNORE NULLS) OVER wa AS first_int, first_value(str_val IGNORE NULLS) OVER wa AS first_str
+  FROM pg3 WINDOW wa AS (PARTITION BY path, glvl, grp ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)
+),
+popens AS (SELECT path, g_bare AS bare, g_fsuffix AS fsuffix, g_line AS line, g_col AS col, first_int, first_str
+           FROM pg4 WHERE call_open),
+pfrom AS (
+  SELECT path, stmt, toks, list_position(toks, 'import') AS imp FROM (
+    SELECT path, stmt, list(tok ORDER BY i) AS toks FROM pkw WHERE kw = 'from' GROUP BY path, stmt)
+),
+pitems AS (
+  SELECT path, stmt, array_to_string(toks[2:imp - 1], '') AS module, u.item, u.k
+  FROM pfrom, unnest(string_split(array_to_string(list_filter(toks[imp + 1:], lambda x: x NOT IN ('(', ')')), ' '), ' , '))
+       WITH ORDINALITY AS u(item, k)
+  WHERE imp > 2
+),
+pbind AS (
+  SELECT path, stmt, k, string_split(trim(item), ' ') AS parts, module FROM pitems
+),
+pimports AS (
+  SELECT path, bound, canonical FROM (
+    SELECT *, row_number() OVER (PARTITION BY path, bound ORDER BY stmt DESC, k DESC) AS rn FROM (
+      SELECT path, stmt, k, CASE WHEN len(parts) = 3 AND parts[2] = 'as' THEN parts[3]
+                                 WHEN len(parts) = 1 THEN parts[1] END AS bound,
+             module || '.' || parts[1] AS canonical, parts[1] AS orig FROM pbind)
+    WHERE bound IS NOT NULL AND {_pyname('bound')} AND orig <> '*')
+  WHERE rn = 1
+),
+ptargets(k, rule_id) AS (VALUES {tg}),
+pweak(k, rule_id) AS (VALUES {wh}),
+py_hits AS (
+  SELECT DISTINCT path, rule_id, line, col FROM (
+    SELECT c.path, t.rule_id, c.cs_line AS line, c.cs_col AS col FROM pc c JOIN ptargets t ON t.k = c.suffix2
+    UNION ALL
+    SELECT path, 'weak-key-rsa', line, col FROM popens WHERE fsuffix = 'RSA.generate' AND first_int < 2048
+    UNION ALL
+    SELECT o.path, w.rule_id, o.line, o.col FROM popens o
+      JOIN pweak w ON w.k = lower(regexp_replace(o.first_str, '^[''"]+|[''"]+$', '', 'g'))
+      WHERE o.fsuffix = 'hashlib.new'
+    UNION ALL
+    SELECT o.path, t.rule_id, o.line, o.col FROM popens o JOIN pimports m ON m.path = o.path AND m.bound = o.bare
+      JOIN ptargets t ON t.k = m.canonical
+  )
+)"""
+
+
+def py_oracles() -> dict[str, str]:
+    files = f"{classified_cte()},\npyfiles AS (SELECT path, content FROM classified WHERE status = 'scanned' AND tier = 'python')"
+    base = f"WITH {py_ctes(files)}"
+    return {
+        "py_attributes": f"{base} SELECT path, suffix2, cs_line AS line, cs_col AS col FROM pc WHERE suffix2 IS NOT NULL",
+        "py_from_imports": f"{base} SELECT path, bound, canonical FROM pimports",
+        "py_findings": f"{base}, {syntax_findings_sql('py_hits', 'pyfiles', 'pyf')} SELECT {FINDING_COLS} FROM pyf",
+    }
+
+
+def full_scan_sql(min_rank: int = 0, include_unknown: bool = False) -> str:
+    """Default scan of the code corpus: regex + Go + Python tiers, then
+    suppression over every scanned file and the confidence filter."""
+    files = f"""{classified_cte(include_unknown=include_unknown)},
+pyfiles AS (SELECT path, content FROM classified WHERE status = 'scanned' AND tier = 'python')"""
+    go_part = go_ctes().split("gofiles AS", 1)[1]
+    return f"""WITH {py_ctes(files)},
+gofiles AS {go_part},
+{go_hits_sql()},
+{syntax_findings_sql('go_hits', 'gofiles', 'gf')},
+{syntax_findings_sql('py_hits', 'pyfiles', 'pyf')},
+docs AS (SELECT path, content FROM classified WHERE status = 'scanned'),
+rdocs AS (SELECT path FROM classified WHERE status = 'scanned' AND tier = 'regex'),
+{lines_cte('docs')},
+rx AS (
+  SELECT s.rule_id, s.title, s.description, s.severity, 'low' AS confidence, s.remediation,
+         l.path AS file, l.line,
+         (strlen(regexp_extract(l.text, '^(.*?)(?:' || s.pattern || ')', 1)) + 1)::INTEGER AS "column",
+         {trim_ws('l.text')} AS snippet
+  FROM lines l JOIN {schemes_values(weak_set())} ON regexp_matches(l.text, s.pattern)
+  WHERE l.path IN (SELECT path FROM rdocs)
+),
+raw_findings AS (SELECT * FROM rx UNION ALL SELECT * FROM gf UNION ALL SELECT * FROM pyf),
+{directives_cte()}
+{kept(min_rank=min_rank)}"""
+
+
+def full_scan_oracles() -> dict[str, str]:
+    full = full_scan_sql()
+    return {
+        "code_scan_default": full,
+        "min_confidence_high": full_scan_sql(min_rank=2, include_unknown=True),
+        "rules_fired": f"""SELECT rule_id, min(title) AS title, min_by(file, (file, line, "column")) AS first_file,
+       min_by(line, (file, line, "column")) AS first_line, min_by("column", (file, line, "column")) AS first_column
+FROM ({full}) GROUP BY rule_id""",
+        "report_text_lines": f"""SELECT file, line, "column", rule_id, k, text FROM (
+  SELECT file, line, "column", rule_id, 0 AS k,
+         printf('%s:%d:%d %s [%s] %s (%s)', file, line, "column", severity, rule_id, title, confidence) AS text
+  FROM ({full})
+  UNION ALL SELECT file, line, "column", rule_id, 1, '    ' || snippet FROM ({full}) WHERE snippet <> ''
+  UNION ALL SELECT file, line, "column", rule_id, 2, '    fix: ' || remediation FROM ({full}) WHERE remediation <> '')""",
+    }

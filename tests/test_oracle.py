@@ -14,7 +14,7 @@ TABLES = ["part", "documents", "pages", "conversations", "benchmark"]
 FAST = ["scan_documents_weak", "scan_conversations_custom", "search_strong_sha256", "lang_detect",
         "exclude_globs", "file_status_counts", "suppression_antijoin", "disabled_antijoin", "severity_override",
         "resolve_tokens", "line_split", "go_tokens", "go_imports", "go_calls", "go_findings", "py_findings",
-        "code_scan_default"]
+        "code_scan_default", "py_attributes", "py_from_imports", "min_confidence_high", "rules_fired"]
 
 
 def norm(rows):
