@@ -126,44 +126,87 @@ def with_snippets(hits: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def go_hits(sig: DataFrame) -> DataFrame:
-    """Candidate facts joined with imports -> (path, rule_id, line, col)."""
-    imports = go_imports(sig)
-    calls = go_calls(sig).select("path", "pkg", "fn", "line", "col", F.lit("call").alias("kind"),
-                                 F.lit(None).cast("int").alias("arg_k"), F.lit(False).alias("byte_slice"),
-                                 F.lit(False).alias("inline_make"), F.lit(None).cast("bigint").alias("int_lit"),
-                                 F.col("line").alias("pline"), F.col("col").alias("pcol"))
-    args = go_call_args(sig).select("path", "pkg", "fn", "line", "col", F.lit("arg").alias("kind"), "arg_k",
-                                    "byte_slice", "inline_make", "int_lit", "pline", "pcol")
-    sels = go_selectors(sig).select("path", "pkg", F.col("name").alias("fn"), "line", "col",
-                                    F.lit("sel").alias("kind"), F.lit(None).cast("int").alias("arg_k"),
-                                    F.lit(False).alias("byte_slice"), F.lit(False).alias("inline_make"),
-                                    F.lit(None).cast("bigint").alias("int_lit"), F.col("line").alias("pline"),
-                                    F.col("col").alias("pcol"))
-    cand = calls.unionByName(args).unionByName(sels)
-    j = cand.join(imports, (cand.path == imports.path) & (cand.pkg == imports.local)) \
-        .select(cand["*"], imports.import_path.alias("ip"))
+    """All facts of a file in one lineage -> (path, rule_id, line, col).
+
+    Import specs, calls, argument anchors and selectors are exploded from the
+    same token rows into candidate rows keyed by the local package name; the
+    file's import table is attached with a window over ``(path, name)``
+    (last spec wins) instead of a join, so the token windows run once and
+    nothing is shuffled after the single repartition by path."""
+    t = F.col("tok")
+    # import specs
+    named = (is_ident(F.col("tok_m1")) & (F.col("tok_m1") != "import")) | F.col("tok_m1").isin("_", ".")
+    single = (F.col("tok_m1") == "import") | ((F.col("tok_m2") == "import") & named)
+    grouped = F.col("in_import") & (F.col("dbefore") == 1)
+    ipath = F.regexp_extract(t, r"(?s)^[\"`](.*)[\"`]$", 1)
+    alias = F.when(named, F.col("tok_m1"))
+    is_spec = _is_string(t) & (single | grouped) & F.coalesce(~alias.isin("_", "."), F.lit(True))
+    local = F.coalesce(alias, F.substring_index(ipath, "/", -1))
+    # argument anchors
+    w = Window.partitionBy("path").orderBy("i")
+    sig = sig.withColumn("oend", F.when(F.col("tok").isin("(", "[", "{"), F.col("close_next").isin(*ARG_END)))
+    sig = sig.withColumn("e2", F.lead("oend", 2).over(w)).withColumn("e4", F.lead("oend", 4).over(w))
+    g = F.col("grp_open")
+    anchor = (F.col("is_call") | ((F.col("comma_k") == 1) & F.coalesce(g.is_call, F.lit(False)))) & \
+        ~F.col("tok_p1").isin(")", ",")
+    tp = [None] + [F.col(f"tok_p{k}") for k in range(1, 8)]
+    byte_slice = (F.coalesce(_is_string(tp[1]) & tp[2].isin(*ARG_END), F.lit(False))
+                  | F.coalesce((tp[1] == "[") & (tp[2] == "]") & (tp[3] == "byte") & (tp[4] == "(")
+                               & _is_string(tp[5]) & (tp[6] == ")") & tp[7].isin(*ARG_END), F.lit(False))
+                  | F.coalesce((tp[1] == "[") & (tp[2] == "]") & (tp[3] == "byte") & (tp[4] == "{") & F.col("e4"),
+                               F.lit(False)))
+    inline_make = F.coalesce((tp[1] == "make") & (tp[2] == "(") & (tp[3] == "[") & (tp[4] == "]")
+                             & (tp[5] == "byte") & tp[6].isin(*ARG_END) & F.col("e2"), F.lit(False))
+    int_lit = F.when(tp[1].rlike("^[0-9]+$") & tp[2].isin(*ARG_END), F.expr("try_cast(tok_p1 as bigint)"))
+    is_sel = (is_ident(t) & (F.col("tok_m1") == ".") & is_ident(F.col("tok_m2"))
+              & (F.coalesce(F.col("tok_m3"), F.lit("")) != "."))
+
+    def cand(kind, name, fn, line, col, arg_k=None, ip=None):
+        return F.struct(F.lit(kind).alias("kind"), name.alias("name"), fn.alias("fn"),
+                        line.cast("int").alias("line"), col.cast("int").alias("col"),
+                        F.col("line_m3").cast("int").alias("pline"), F.col("col_m3").cast("int").alias("pcol"),
+                        (F.lit(None).cast("int") if arg_k is None else arg_k).alias("arg_k"),
+                        (F.lit(None).cast("string") if ip is None else ip).alias("ip"))
+    null_s = F.lit(None).cast("string")
+    cands = F.array(
+        F.when(is_spec, cand("imp", local, null_s, F.col("line"), F.col("col"), ip=ipath)),
+        F.when(F.col("is_call"), cand("call", F.col("tok_m3"), F.col("tok_m1"), F.col("line_m3"), F.col("col_m3"))),
+        F.when(F.coalesce(anchor, F.lit(False)),
+               cand("arg", g.pkg, g.fn, F.col("line_p1"), F.col("col_p1"),
+                    arg_k=F.when(F.col("is_call"), 0).otherwise(1))),
+        F.when(F.coalesce(is_sel, F.lit(False)), cand("sel", F.col("tok_m2"), t, F.col("line_m2"), F.col("col_m2"))),
+    )
+    c = sig.select("path", "i", F.explode(F.filter(cands, lambda x: x.isNotNull())).alias("c"),
+                   byte_slice.alias("byte_slice"), inline_make.alias("inline_make"), int_lit.alias("int_lit"),
+                   g.pline.alias("gpline"), g.pcol.alias("gpcol"))
+    c = c.select("path", "i", "c.*", "byte_slice", "inline_make", "int_lit", "gpline", "gpcol")
+    # J2-J6/J8 resolution: the last import spec binding this name in the file
+    wn = Window.partitionBy("path", "name").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    is_imp = F.col("kind") == "imp"
+    c = c.withColumn("ip", F.max_by(F.when(is_imp, F.col("ip")), F.when(is_imp, F.col("i"))).over(wn)) \
+        .where(~is_imp & F.col("ip").isNotNull())
     ip, fn, kind = F.col("ip"), F.col("fn"), F.col("kind")
     key = F.concat_ws(" ", ip, fn)
     weak = F.element_at(lit_map({f"{p} {f}": r for p, f, r in GO_WEAK_FUNCS}), key)
     key_idx = F.element_at(lit_map({f"{p} {f}": str(k) for p, f, k in GO_KEY_ARGS}), key).cast("int")
-    call_pos = F.struct(F.col("pline").alias("line"), F.col("pcol").alias("col"))
-    arg_pos = F.struct(F.col("line").alias("line"), F.col("col").alias("col"))
+    own_pos = F.struct(F.col("line").alias("line"), F.col("col").alias("col"))
+    call_pos = F.struct(F.col("gpline").alias("line"), F.col("gpcol").alias("col"))
     rules = F.array(
-        F.when((kind == "call") & weak.isNotNull(), F.struct(weak.alias("rule_id"), call_pos.alias("pos"))),
+        F.when((kind == "call") & weak.isNotNull(), F.struct(weak.alias("rule_id"), own_pos.alias("pos"))),
         F.when((kind == "call") & ip.isin(*GO_WEAK_RAND_PATHS),
-               F.struct(F.lit("insecure-random").alias("rule_id"), call_pos.alias("pos"))),
+               F.struct(F.lit("insecure-random").alias("rule_id"), own_pos.alias("pos"))),
         F.when((kind == "arg") & (F.col("arg_k") == 1) & (ip == "crypto/rsa") & fn.isin(*GO_RSA_FUNCS)
                & (F.col("int_lit") < RSA_MIN_BITS),
                F.struct(F.lit("weak-key-rsa").alias("rule_id"), call_pos.alias("pos"))),
         F.when((kind == "arg") & (F.col("arg_k") == key_idx) & F.col("byte_slice"),
-               F.struct(F.lit("hardcoded-key").alias("rule_id"), arg_pos.alias("pos"))),
+               F.struct(F.lit("hardcoded-key").alias("rule_id"), own_pos.alias("pos"))),
         F.when((kind == "arg") & (F.col("arg_k") == 1) & (ip == "crypto/cipher") & fn.isin(*GO_IV_CONSTRUCTORS)
                & (F.col("byte_slice") | F.col("inline_make")),
-               F.struct(F.lit("static-iv").alias("rule_id"), arg_pos.alias("pos"))),
+               F.struct(F.lit("static-iv").alias("rule_id"), own_pos.alias("pos"))),
         F.when((kind == "sel") & (ip == "crypto/tls") & fn.isin(*GO_WEAK_TLS_NAMES),
-               F.struct(F.lit("deprecated-tls").alias("rule_id"), call_pos.alias("pos"))),
+               F.struct(F.lit("deprecated-tls").alias("rule_id"), own_pos.alias("pos"))),
     )
-    return j.select("path", F.explode(F.filter(rules, lambda r: r.isNotNull())).alias("r")) \
+    return c.select("path", F.explode(F.filter(rules, lambda r: r.isNotNull())).alias("r")) \
         .select("path", F.col("r.rule_id").alias("rule_id"), F.col("r.pos.line").alias("line"),
                 F.col("r.pos.col").alias("col"))
 

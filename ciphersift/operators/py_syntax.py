@@ -46,18 +46,42 @@ def _is_string(c: Column) -> Column:
 
 def py_sig_tokens(docs: DataFrame) -> DataFrame:
     sig = token_rows(docs, PY_TOKEN_RE, PY_INSIGNIFICANT)
-    sig = with_neighbours(sig, lags=1, leads=1)
+    sig = with_neighbours(sig, lags=2, leads=3)
     # statements: a new logical line at depth 0, or after ';'
     start = (F.col("dbefore") == 0) & (F.col("line_m1").isNull() | (F.col("line_m1") != F.col("line"))
                                        | (F.col("tok_m1") == ";"))
     w = Window.partitionBy("path").orderBy("i")
     sig = sig.withColumn("stmt", F.sum(start.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    sig = sig.withColumn("stmt_p1", F.lead("stmt", 1).over(w)).withColumn("stmt_p3", F.lead("stmt", 3).over(w))
     ws = Window.partitionBy("path", "stmt").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     sig = sig.withColumn("kw", F.first("tok").over(ws))
+    # from-import statements: module text between "from" and the first "import"
+    wall = Window.partitionBy("path", "stmt").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    is_from = F.col("kw") == "from"
+    sig = sig.withColumn("imp_i", F.min(F.when(is_from & (F.col("tok") == "import"), F.col("i"))).over(wall)) \
+        .withColumn("from_i", F.min(F.when(is_from, F.col("i"))).over(wall))
+    mod_tok = F.when(is_from & (F.col("i") > F.col("from_i")) & (F.col("i") < F.col("imp_i")),
+                     F.struct("i", "tok"))
+    sig = sig.withColumn("module", F.array_join(F.transform(F.array_sort(F.collect_list(mod_tok).over(wall)),
+                                                            lambda x: x.tok), ""))
     sig = with_chain_levels(sig)
     return sig
 
 
+def with_bindings(sig: DataFrame) -> DataFrame:
+    """X6 on every row: ``bound`` / ``canonical`` when the token starts an
+    item ``name [as alias]`` of ``from M import ...`` (parentheses allowed)."""
+    t = F.col("tok")
+    ended = lambda tk, st: tk.isNull() | tk.isin(",", ")") | (st != F.col("stmt"))
+    item_start = (F.col("tok_m1").isin("import", ",") | ((F.col("tok_m1") == "(") & (F.col("tok_m2") == "import")))
+    base = (F.col("kw") == "from") & (F.col("i") > F.col("imp_i")) & (F.col("module") != "") & _name(t) & item_start
+    plain = ended(F.col("tok_p1"), F.col("stmt_p1"))
+    aliased = (F.col("tok_p1") == "as") & _name(F.col("tok_p2")) & ended(F.col("tok_p3"), F.col("stmt_p3"))
+    bound = F.when(base & plain, t).when(base & aliased, F.col("tok_p2"))
+    return sig.withColumn("bound", bound) \
+        .withColumn("canonical", F.when(F.col("bound").isNotNull(), F.concat(F.col("module"), F.lit("."), t)))
+
+
 def with_attributes(sig: DataFrame) -> DataFrame:
     """X7 on every row: ``suffix2`` (last two dotted components) for an
     attribute access ``.name``, else NULL; ``cstart`` = position where the
@@ -89,37 +113,18 @@ def py_attributes(sig: DataFrame) -> DataFrame:
 
 
 def py_from_imports(sig: DataFrame) -> DataFrame:
-    """(path, bound, canonical) from ``from M import a, b as c``; the
-    last binding of a name wins."""
-    st = sig.where((F.col("kw") == "from")) \
-        .groupBy("path", "stmt").agg(F.array_sort(F.collect_list(F.struct("i", "tok"))).alias("ts"))
-    toks = F.col("ts.tok")
-    imp = F.array_position(toks, "import").cast("int")
-    module = F.array_join(F.slice(toks, 2, imp - 2), "")
-    names = F.filter(F.slice(toks, imp + 1, F.size(toks)), lambda x: ~x.isin("(", ")"))
-    items = F.split(F.array_join(names, " "), " , ")
-    st = st.where(imp > 2).select("path", "stmt", module.alias("module"),
-                                  F.posexplode(items).alias("k", "item"))
-    parts = F.split(F.trim(F.col("item")), " ")
-    orig = F.element_at(parts, 1)
-    bound = F.when((F.size(parts) == 3) & (F.element_at(parts, 2) == "as"), F.element_at(parts, 3)) \
-        .when(F.size(parts) == 1, orig)
-    st = st.select("path", "stmt", "k", bound.alias("bound"),
-                   F.concat(F.col("module"), F.lit("."), orig).alias("canonical"), orig.alias("orig"))
-    st = st.where(F.col("bound").isNotNull() & _name(F.col("bound")) & (F.col("orig") != "*"))
-    w = Window.partitionBy("path", "bound").orderBy(F.desc("stmt"), F.desc("k"))
-    return st.withColumn("rn", F.row_number().over(w)).where("rn = 1").select("path", "bound", "canonical")
+    """(path, bound, canonical); the last binding of a name wins."""
+    b = with_bindings(sig).where(F.col("bound").isNotNull())
+    w = Window.partitionBy("path", "bound").orderBy(F.desc("i"))
+    return b.withColumn("rn", F.row_number().over(w)).where("rn = 1").select("path", "bound", "canonical")
 
 
 def py_hits(sig: DataFrame) -> DataFrame:
+    """Attribute, call and binding facts in one lineage -> distinct
+    (path, rule_id, line, col).  Bare calls are resolved against the file's
+    from-import bindings with a window over ``(path, name)``."""
     targets = lit_map(dict(PY_TARGETS))
-    sig = with_attributes(sig)
-    # Attribute suffix
-    a_hits = sig.where(F.col("suffix2").isNotNull()) \
-        .select("path", F.element_at(targets, F.col("suffix2")).alias("rule_id"),
-                F.col("cstart.line").alias("line"), F.col("cstart.col").alias("col")) \
-        .where(F.col("rule_id").isNotNull())
-
+    sig = with_bindings(with_attributes(sig))
     # calls: at the chain level the open paren follows its function expression
     w = Window.partitionBy("path", "clvl").orderBy("i")
     sig = sig.withColumn("fsuffix", F.lag("suffix2", 1).over(w)).withColumn("fstart", F.lag("cstart", 1).over(w))
@@ -127,9 +132,8 @@ def py_hits(sig: DataFrame) -> DataFrame:
     lt1, lt2 = F.col("ltok_m1"), F.col("ltok_m2")
     call_open = F.coalesce((t == "(") & (_name(lt1) | lt1.isin(")", "]") | _is_string(lt1)), F.lit(False))
     bare = F.coalesce((t == "(") & _name(lt1) & (F.coalesce(lt2, F.lit("")) != "."), F.lit(False))
-    info = F.struct(call_open.alias("is_call"), F.when(bare, lt1).alias("bare"),
-                    F.col("fsuffix").alias("fsuffix"), F.col("fstart").alias("fstart"))
-    g = with_groups(sig, info)
+    info = F.struct(call_open.alias("is_call"), F.when(bare, lt1).alias("bare"))
+    g = with_groups(sig.withColumn("call_open", call_open), info)
     # first positional integer / string argument per call group (whole-group frame)
     direct = F.col("tok_m1").isin(*ARG_START) & F.col("tok_p1").isin(*ARG_END) & \
         (F.col("dbefore") == F.col("glvl")) & F.coalesce(F.col("grp_open.is_call"), F.lit(False))
@@ -138,29 +142,35 @@ def py_hits(sig: DataFrame) -> DataFrame:
     wg = Window.partitionBy("path", "glvl", "grp")
     g = g.withColumn("first_int", F.min_by(int_val, F.when(int_val.isNotNull(), F.col("i"))).over(wg)) \
         .withColumn("first_str", F.min_by(str_val, F.when(str_val.isNotNull(), F.col("i"))).over(wg))
-    opens = g.where(call_open).select("path", F.col("grp_open.bare").alias("bare"),
-                                      F.col("grp_open.fsuffix").alias("fsuffix"),
-                                      F.col("grp_open.fstart.line").alias("line"),
-                                      F.col("grp_open.fstart.col").alias("col"), "first_int", "first_str")
 
-    # RSA.generate / hashlib.new via the function's dotted suffix
     weak_names = lit_map(dict(PY_WEAK_HASH_NAMES))
     name_arg = F.lower(F.regexp_replace(F.col("first_str"), "^['\"]+|['\"]+\\z", ""))
-    v_hits = opens.select("path", F.when((F.col("fsuffix") == "RSA.generate") & (F.col("first_int") < RSA_MIN_BITS),
-                                         F.lit("weak-key-rsa"))
-                          .when(F.col("fsuffix") == "hashlib.new", F.element_at(weak_names, name_arg))
-                          .alias("rule_id"), "line", "col") \
-        .where(F.col("rule_id").isNotNull())
-
-    # Bare call of a from-imported name, exact canonical lookup
-    imports = py_from_imports(sig)
-    bare_calls = opens.where(F.col("bare").isNotNull()).select("path", "bare", "line", "col")
-    b_hits = bare_calls.join(imports, (bare_calls.path == imports.path) & (bare_calls.bare == imports.bound)) \
-        .select(bare_calls.path, F.element_at(targets, imports.canonical).alias("rule_id"),
-                bare_calls.line, bare_calls.col) \
-        .where(F.col("rule_id").isNotNull())
-
-    hits = a_hits.unionByName(v_hits).unionByName(b_hits)
+    fs = F.col("fsuffix")
+    value_rule = F.when(F.col("call_open") & (fs == "RSA.generate") & (F.col("first_int") < RSA_MIN_BITS),
+                        F.lit("weak-key-rsa")) \
+        .when(F.col("call_open") & (fs == "hashlib.new"), F.element_at(weak_names, name_arg))
+    attr_rule = F.element_at(targets, F.col("suffix2"))
+    null_s = F.lit(None).cast("string")
+
+    def cand(kind, rule, name, canonical, pos):
+        return F.struct(F.lit(kind).alias("kind"), rule.alias("rule_id"), name.alias("name"),
+                        canonical.alias("canonical"), pos.line.cast("int").alias("line"),
+                        pos.col.cast("int").alias("col"))
+    cands = F.array(
+        F.when(attr_rule.isNotNull(), cand("hit", attr_rule, null_s, null_s, F.col("cstart"))),
+        F.when(value_rule.isNotNull(), cand("hit", value_rule, null_s, null_s, F.col("fstart"))),
+        F.when(F.col("call_open") & F.col("grp_open.bare").isNotNull(),
+               cand("bare", null_s, F.col("grp_open.bare"), null_s, F.col("fstart"))),
+        F.when(F.col("bound").isNotNull(), cand("bind", null_s, F.col("bound"), F.col("canonical"), F.col("cstart"))),
+    )
+    c = g.select("path", "i", F.explode(F.filter(cands, lambda x: x.isNotNull())).alias("c")).select("path", "i", "c.*")
+    # Last from-import binding of the called name in the file
+    wn = Window.partitionBy("path", "name").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    is_bind = F.col("kind") == "bind"
+    c = c.withColumn("resolved", F.max_by(F.when(is_bind, F.col("canonical")), F.when(is_bind, F.col("i"))).over(wn))
+    rule = F.when(F.col("kind") == "hit", F.col("rule_id")) \
+        .when(F.col("kind") == "bare", F.element_at(targets, F.col("resolved")))
+    hits = c.select("path", rule.alias("rule_id"), "line", "col").where(F.col("rule_id").isNotNull())
     return hits.dropDuplicates(["path", "line", "col", "rule_id"])
 
 

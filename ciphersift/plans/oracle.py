@@ -542,7 +542,9 @@ pfrom AS (
 ),
 pitems AS (
   SELECT path, stmt, array_to_string(toks[2:imp - 1], '') AS module, u.item, u.k
-  FROM pfrom, unnest(string_split(array_to_string(list_filter(toks[imp + 1:], lambda x: x NOT IN ('(', ')')), ' '), ' , '))
+  FROM pfrom, unnest(string_split(regexp_replace(array_to_string(list_filter(toks[imp + 1:],
+                                                                           lambda x: x NOT IN ('(', ')')), ' '),
+                                                 ' ,$', ''), ' , '))
        WITH ORDINALITY AS u(item, k)
   WHERE imp > 2
 ),
