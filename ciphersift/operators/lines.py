@@ -24,13 +24,23 @@ def strip_cr(c: Column) -> Column:
 
 
 def explode_lines(docs: DataFrame, keep: tuple[str, ...] = ("path",), content: str = "content",
-                  strip: bool = True) -> DataFrame:
-    """(keep..., content) -> (keep..., line INT 1-based, text).
+                  strip: bool = True, fold=None) -> DataFrame:
+    """(keep..., content) -> (keep..., line INT 1-based, text[, folded]).
 
     ``strip`` removes one trailing ``\\r`` (regex tier, P4); without it the
     raw ``\\n``-split text is kept (snippets and suppression directives, P5).
+    ``fold`` (Column -> Column) adds ``folded``, computed inside the
+    generator: later filters then read a plain column instead of having the
+    expression substituted into every predicate that uses it.
     """
-    exploded = docs.select(*keep, F.posexplode(line_array(F.col(content))).alias("pos", "raw"))
+    arr = line_array(F.col(content))
+    if fold is not None:
+        arr = F.transform(arr, lambda l: F.struct((strip_cr(l) if strip else l).alias("text"),
+                                                  fold(l).alias("folded")))
+        exploded = docs.select(*keep, F.posexplode(arr).alias("pos", "l"))
+        return exploded.select(*keep, (F.col("pos") + 1).cast("int").alias("line"), F.col("l.text").alias("text"),
+                               F.col("l.folded").alias("folded"))
+    exploded = docs.select(*keep, F.posexplode(arr).alias("pos", "raw"))
     text = strip_cr(F.col("raw")) if strip else F.col("raw")
     return exploded.select(*keep, (F.col("pos") + 1).cast("int").alias("line"), text.alias("text"))
 

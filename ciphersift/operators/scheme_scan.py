@@ -72,9 +72,9 @@ def scheme_hits(lines: DataFrame, schemes: list[Scheme], text: str = "text") ->
     regex prefilter); per scheme the exact regex only runs behind that
     scheme's own needle test."""
     t = F.col(text)
-    keep = list(lines.columns)
-    cand = lines.withColumn("_lt", folded(t))
-    lt = F.col("_lt")
+    keep = [c for c in lines.columns if c != "folded"]
+    cand = lines if "folded" in lines.columns else lines.withColumn("folded", folded(t))
+    lt = F.col("folded")
     gated = [s for s in schemes if s.needles]
     free = [s for s in schemes if not s.needles]
     pre = None
@@ -116,7 +116,7 @@ def scheme_findings(docs: DataFrame, schemes: list[Scheme], *, path: str = "path
         # superset test on the whole text (off by default: on long texts the
         # alternation costs more than the split it saves)
         docs = docs.where(F.col("content").rlike(pre))
-    lines = explode_lines(docs)
+    lines = explode_lines(docs, fold=folded)
     hits = scheme_hits(lines, schemes)
     m = F.element_at(_scheme_meta(schemes), F.col("k") + 1)
     return hits.select(
@@ -157,15 +157,18 @@ def resolve_ords(token: Column, schemes: list[Scheme] | None = None, folded_toke
 
 
 def resolve_tokens_df(tokens: DataFrame, token: str = "token") -> DataFrame:
-    """Per token: (token, ord, name, class) rows; unknown tokens give none."""
+    """Per distinct token: (token, ord, name, class) rows; unknown tokens give none."""
     cat = catalog_schemes()
     names = F.array(*[F.lit(s.name) for s in cat])
     classes = F.array(*[F.lit(s.cls) for s in cat])
     # one generator over the resolution array: the 49-pattern expression is
     # evaluated exactly once per token (unknown tokens yield no row)
-    # normalise once (branches of a CASE get no common-subexpression reuse)
-    norm = tokens.select(F.col(token).alias("token"), F.lower(go_trim(F.col(token))).alias("_t")) \
-        .withColumn("_ft", folded(F.col("_t")))
+    # normalise once per distinct token; the normalised values come out of a
+    # generator, so they are not substituted back into the 49 branches below
+    t = F.lower(go_trim(F.col("token")))
+    norm = tokens.select(F.col(token).alias("token")).distinct() \
+        .select(F.inline(F.array(F.struct(F.col("token").alias("token"), t.alias("_t"),
+                                          folded(t).alias("_ft")))))
     r = norm.select("token", F.explode(resolve_ords(F.col("_t"), cat, F.col("_ft"))).alias("ord"))
     return r.select("token", "ord", F.element_at(names, F.col("ord") + 1).alias("name"),
                 F.element_at(classes, F.col("ord") + 1).alias("class"))

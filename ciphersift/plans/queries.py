@@ -77,7 +77,7 @@ def resolve_tokens(spark, sf_dir):
     """Every distinct word of ``documents`` resolved against the catalog
     (class selectors, exact names, then aliases via each scheme's matcher)."""
     words = _docs(spark, sf_dir).select(F.explode(F.split(F.lower("content"), r"[\t\n\r ,.;:!?()\"]+")).alias("token"))
-    words = words.where(F.col("token") != "").distinct()
+    words = words.where(F.col("token") != "")
     return resolve_tokens_df(words).where(F.col("ord").isNotNull()).select("token", "name", "class")
 
 

@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.eligibility import classify, compile_globs, pruned, root_is_pruned, with_rel
+from ..operators.eligibility import classify, compile_globs, extension, pruned, root_is_pruned, with_rel
 from ..operators.post import post_process, suppress
 from ..operators.scheme_scan import FINDING_COLUMNS, empty_findings, resolve, scheme_findings, weak_schemes
 from ..session import ensure_parallelism
@@ -65,31 +65,37 @@ def _config(opt) -> ScanConfig:
 
 
 def classified_corpus(corpus: DataFrame, opts: ScanOptions, cfg: ScanConfig, search: bool,
-                      include_unknown: bool) -> DataFrame | None:
+                      include_unknown: bool, spread: bool = True) -> DataFrame | None:
     globs = compile_globs(cfg.exclude)
     if root_is_pruned(opts.root_name, globs):
         return None
-    df = ensure_parallelism(corpus.select("path", "content", "length"))
+    df = corpus.select("path", "content", "length")
+    if spread:
+        df = ensure_parallelism(df)
     df = with_rel(df, opts.root)
     df = df.where(~pruned(F.col("rel"), globs))
     return classify(df, search=search, include_unknown=include_unknown, python_syntax=opts.python_syntax,
                     max_file_bytes=opts.max_file_bytes)
 
 
-def tier_findings(spark: SparkSession, files: DataFrame, want: list[Scheme], search: bool = False) -> DataFrame:
+def tier_findings(spark: SparkSession, files: DataFrame, want: list[Scheme], search: bool = False,
+                  probe: DataFrame | None = None) -> DataFrame:
     """Union of the tier branches.  A syntax branch is planned only when a
-    ``limit(1)`` probe finds a file for it: the probe stops at the first hit
-    and, when the tier is empty, costs no more than the branch would."""
+    ``limit(1)`` probe finds a file for it.  The probe reads the source as it
+    is (no repartition), stops at the first hit and, when the tier is empty,
+    costs less than the branch would."""
     scanned = files.where(F.col("status") == "scanned")
     parts = [scheme_findings(scanned.where(F.col("tier") == "regex"), want)]
     from ..operators import go_syntax, py_syntax
     if not search:
-        go_files = scanned.where(F.col("tier") == "go")
-        if not go_files.select("path").isEmpty():
-            parts.append(go_syntax.go_findings(go_files))
-        py_files = scanned.where(F.col("tier") == "python")
-        if not py_files.select("path").isEmpty():
-            parts.append(py_syntax.py_findings(py_files))
+        # superset probes on the raw source: only an extension routes to Go;
+        # Python needs its extension or a "#!" first line
+        src = probe if probe is not None else files
+        ext = extension(F.substring_index(F.col("path"), "/", -1))
+        if not src.where(ext == ".go").select("path").isEmpty():
+            parts.append(go_syntax.go_findings(scanned.where(F.col("tier") == "go")))
+        if not src.where(ext.isin(".py", ".pyw") | F.col("content").startswith("#!")).select("path").isEmpty():
+            parts.append(py_syntax.py_findings(scanned.where(F.col("tier") == "python")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -113,7 +119,7 @@ def scan(spark: SparkSession, corpus: DataFrame, options: ScanOptions | None = N
         empty_status = spark.createDataFrame([], "path string, status string, reason string")
         return ScanResult(empty_findings(spark), empty_status)
 
-    raw = tier_findings(spark, files, want, search)
+    raw = tier_findings(spark, files, want, search, corpus.select("path", "content"))
     kept = suppress(raw, files.where(F.col("status") == "scanned"))
     findings = post_process(kept, disabled=cfg.disable, min_confidence=min_conf,
                             severity_overrides=cfg.severity, sort=opts.sort)
