@@ -441,8 +441,13 @@ def syntax_findings_sql(hits: str, files: str, name: str) -> str:
 
 
 def go_oracles() -> dict[str, str]:
+    from .queries import GO_RULE_QUERIES
     base = f"WITH {go_ctes()}"
+    findings = f"{base}, {go_hits_sql()}, {syntax_findings_sql('go_hits', 'gofiles', 'gf')} SELECT {FINDING_COLS} FROM gf"
+    per_rule = {k: f"SELECT * FROM ({findings}) WHERE rule_id IN ({', '.join(sql_str(r) for r in v)})"
+                for k, v in GO_RULE_QUERIES.items()}
     return {
+        **per_rule,
         "go_tokens": f"{base} SELECT path, tok, line, col, dbefore AS depth FROM sig",
         "go_imports": f"{base} SELECT path, local, import_path FROM go_imports",
         "go_calls": f"{base} SELECT path, pkg, fn, line, col FROM go_calls",

@@ -11,7 +11,7 @@ from ..operators import go_syntax, py_syntax
 from ..operators.lines import explode_lines
 from ..operators.scheme_scan import resolve_tokens_df
 from ..operators.tokens import partition_by_path
-from ..session import ensure_parallelism
+from ..session import cut_lineage, ensure_parallelism
 from ..sources.catalog import catalog_schemes
 from ..sources.code_corpus import code_corpus
 from ..sources.corpus import text_table_corpus
@@ -214,6 +214,40 @@ def py_from_imports(spark, sf_dir):
     return py_syntax.py_from_imports(py_syntax.py_sig_tokens(partition_by_path(files.select("path", "content"))))
 
 
+GO_RULE_QUERIES = {
+    "go_weak_func": ("weak-hash-md5", "weak-hash-sha1", "weak-hash-md4", "weak-cipher-des", "weak-cipher-3des",
+                     "weak-cipher-rc4", "weak-cipher-blowfish"),
+    "go_rsa_small": ("weak-key-rsa",),
+    "go_weak_rand": ("insecure-random",),
+    "go_hardcoded_key": ("hardcoded-key",),
+    "go_static_iv": ("static-iv",),
+    "go_weak_tls": ("deprecated-tls",),
+}
+
+
+def _go_rule_query(rules):
+    def q(spark, sf_dir):
+        return go_findings(spark, sf_dir).where(F.col("rule_id").isin(*rules))
+    return q
+
+
+def report_json(spark, sf_dir):
+    """K2: the JSON report of the default code-corpus scan as ordered
+    fragments (part, key, text); concatenated they form the document."""
+    from .report import json_report_fragments
+    res = scan(spark, code_corpus(spark, sf_dir), ScanOptions(sort=False))
+    c = res.counts()
+    # render from the materialised findings table (K1), not from the scan plan
+    return json_report_fragments(cut_lineage(res.findings), c["scanned"], c["skipped"])
+
+
+def report_sarif(spark, sf_dir):
+    """K3: the SARIF 2.1.0 report of the default code-corpus scan as ordered fragments."""
+    from .report import sarif_fragments
+    findings = scan(spark, code_corpus(spark, sf_dir), ScanOptions(sort=False)).findings
+    return sarif_fragments(cut_lineage(findings))
+
+
 QUERIES = {
     "scan_documents_weak": scan_documents_weak,
     "scan_pages_weak": scan_pages_weak,
@@ -243,4 +277,7 @@ QUERIES = {
     "py_attributes": py_attributes,
     "py_from_imports": py_from_imports,
     "py_findings": py_findings,
+    **{k: _go_rule_query(v) for k, v in GO_RULE_QUERIES.items()},
+    "report_json": report_json,
+    "report_sarif": report_sarif,
 }

@@ -90,12 +90,10 @@ def finding_json(findings: DataFrame) -> Column:
 
 def _with_first_flag(findings: DataFrame) -> DataFrame:
     """Mark the first finding in report order so fragments can carry their
-    separators; the key is one small aggregate row read on the driver."""
-    first = findings.agg(F.min(F.struct(*ORDER)).alias("first")).first()["first"]
-    if first is None:
-        return findings.withColumn("is_first", F.lit(True))
-    key = F.struct(*[F.lit(v).alias(c) for c, v in zip(ORDER, first)])
-    return findings.withColumn("is_first", F.struct(*ORDER) == key)
+    separators.  The first key is a scalar subquery of the same plan (no
+    driver round trip; shared exchanges are reused)."""
+    first = findings.agg(F.min(F.struct(*ORDER)).alias("first")).scalar()
+    return findings.withColumn("is_first", F.coalesce(F.struct(*ORDER) == first, F.lit(False)))
 
 
 def json_report_fragments(findings: DataFrame, files_scanned: int, files_skipped: int,
