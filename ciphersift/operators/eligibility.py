@@ -67,7 +67,7 @@ def pruned(rel: Column, globs: list[tuple[str, bool]]) -> Column:
     parts = F.split(rel, "/")
     dirs = F.slice(parts, 1, F.size(parts) - 1)
     cond = F.arrays_overlap(dirs, F.array(*[F.lit(d) for d in SKIP_DIRS]))
-    base = F.element_at(parts, -1)
+    base = F.try_element_at(parts, F.lit(-1))
     dir_rels = F.transform(dirs, lambda x, i: F.array_join(F.slice(parts, 1, i + 1), "/"))
     def matcher(rx):
         return lambda d: d.rlike(rx)
@@ -98,8 +98,8 @@ def shebang_language(content: Column) -> Column:
     first = F.regexp_replace(F.substring_index(content, "\n", 1), "\r\\z", "")
     fields = F.split(go_trim(first), GO_SPACE_CLASS + "+")
     by_name = lit_map(dict(LANG_BY_SHEBANG))
-    last = F.element_at(by_name, go_base(F.element_at(fields, -1)))
-    head = F.element_at(by_name, go_base(F.regexp_replace(F.element_at(fields, 1), "^#!", "")))
+    last = F.element_at(by_name, go_base(F.try_element_at(fields, F.lit(-1))))
+    head = F.element_at(by_name, go_base(F.regexp_replace(F.try_element_at(fields, F.lit(1)), "^#!", "")))
     ok = content.startswith("#!") & (F.octet_length(F.substring_index(content, "\n", 1)) < SHEBANG_MAX_LINE)
     return F.when(ok, F.coalesce(last, head))
 

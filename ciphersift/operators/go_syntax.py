@@ -121,7 +121,7 @@ def with_snippets(hits: DataFrame, docs: DataFrame) -> DataFrame:
                                         .alias("hs"))
     j = per_file.join(docs.select(F.col("path").alias("file"), "content"), "file")
     j = j.select("file", F.split("content", "\n", -1).alias("ls"), F.explode("hs").alias("h"))
-    return j.select("h.*", "file", go_trim(F.coalesce(F.element_at("ls", F.col("h.line")), F.lit("")))
+    return j.select("h.*", "file", go_trim(F.coalesce(F.try_element_at("ls", F.col("h.line")), F.lit("")))
                     .alias("snippet")).select(*FINDING_COLUMNS)
 
 

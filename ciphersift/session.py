@@ -20,18 +20,21 @@ def get_spark(master: str | None = None, app: str = "ciphersift", shuffle_partit
     b = SparkSession.builder.appName(app)
     if master:
         b = b.master(master)
-    cpus = os.cpu_count() or 8
     conf = {
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
-        "spark.sql.shuffle.partitions": str(shuffle_partitions or cpus),
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
-        "spark.driver.memory": "8g",
     }
+    if master and master.startswith("local"):
+        # single JVM: shuffle width = cores, the driver is the executor
+        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions or os.cpu_count() or 8)
+        conf["spark.driver.memory"] = "8g"
+    elif shuffle_partitions:
+        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
     for k, v in conf.items():
         b = b.config(k, v)

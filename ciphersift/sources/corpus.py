@@ -56,14 +56,12 @@ def file_tree_corpus(spark: SparkSession, root: str, max_file_bytes: int = DEFAU
     Spark's file index hides names starting with ``.`` or ``_``; feed a
     manifest through :func:`from_rows` when those must be scanned too.
     """
-    def reader():
-        r = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-        if path_glob:
-            r = r.option("pathGlobFilter", path_glob)
-        return r.load(root)
-
-    small = reader().where(F.col("length") <= max_file_bytes) \
+    r = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    if path_glob:
+        r = r.option("pathGlobFilter", path_glob)
+    raw = r.load(root)  # one relation, one listing; both branches below share it
+    small = raw.where(F.col("length") <= max_file_bytes) \
         .select("path", F.col("content").cast("string").alias("content"), "length")
-    large = reader().where(F.col("length") > max_file_bytes) \
+    large = raw.where(F.col("length") > max_file_bytes) \
         .select("path", F.lit(None).cast("string").alias("content"), "length")
     return small.unionByName(large)
