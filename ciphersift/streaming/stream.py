@@ -41,7 +41,9 @@ def text_table_stream(spark: SparkSession, sf_dir: str, table: str) -> DataFrame
 
 def file_tree_stream(spark: SparkSession, root: str) -> DataFrame:
     """T1 source: files arriving below ``root`` (binaryFile stream)."""
-    raw = (spark.readStream.format("binaryFile").option("recursiveFileLookup", "true").load(root))
+    schema = "path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY"
+    raw = (spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true")
+           .load(root))
     return raw.select("path", F.col("content").cast("string").alias("content"), "length")
 
 
