@@ -65,3 +65,39 @@ def file_tree_corpus(spark: SparkSession, root: str, max_file_bytes: int = DEFAU
     large = raw.where(F.col("length") > max_file_bytes) \
         .select("path", F.lit(None).cast("string").alias("content"), "length")
     return small.unionByName(large)
+
+
+def manifest_corpus(paths: DataFrame, max_file_bytes: int = DEFAULT_MAX_FILE_BYTES, path_col: str = "path"
+                    ) -> DataFrame:
+    """S1 with exact path parity: a DataFrame of file paths (e.g. a listing
+    table) read on the executors, so names starting with ``.`` or ``_``,
+    which Spark's file index hides, are scanned too.
+
+    Each task stats and reads its own files (Arrow batches, no driver
+    round trip); files over the cap are reported with their length but not
+    read.  Unreadable paths come back with a NULL length (an error)."""
+    import os
+
+    def read(batches):
+        import pandas as pd
+        for pdf in batches:
+            lengths, contents = [], []
+            for p in pdf[path_col]:
+                local = p[5:] if p.startswith("file:") else p
+                try:
+                    size = os.stat(local).st_size
+                    data = None
+                    if size <= max_file_bytes:
+                        with open(local, "rb") as fh:
+                            data = fh.read()
+                    lengths.append(size)
+                    contents.append(data)
+                except OSError:
+                    lengths.append(None)
+                    contents.append(None)
+            yield pd.DataFrame({"path": pdf[path_col], "length": pd.array(lengths, dtype="Int64"),
+                                "content": contents})
+
+    raw = paths.select(F.col(path_col).cast("string").alias(path_col)) \
+        .mapInPandas(read, "path string, length long, content binary")
+    return raw.select("path", F.col("content").cast("string").alias("content"), "length")

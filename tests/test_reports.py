@@ -117,3 +117,19 @@ def test_file_tree_stream_is_incremental(spark):
     run()
     rows = spark.read.parquet(out).select("batch_id", "rule_id").collect()
     assert sorted((r.batch_id, r.rule_id) for r in rows) == [(0, "scheme:md5"), (1, "scheme:rc4")]
+
+
+def test_manifest_source_reads_hidden_files(spark):
+    """S1 parity: hidden names are scanned, skip dirs still prune."""
+    from ciphersift.sources.corpus import manifest_corpus
+    root = tempfile.mkdtemp(prefix="cs-manifest-")
+    files = {".hidden.go": FILES["a.go"], "_under.txt": "rc4\n", ".git/x.go": FILES["a.go"]}
+    for rel, text in files.items():
+        p = os.path.join(root, rel)
+        os.makedirs(os.path.dirname(p), exist_ok=True)
+        with open(p, "w") as fh:
+            fh.write(text)
+    paths = spark.createDataFrame([(os.path.join(root, r),) for r in files], "path string")
+    res = scan(spark, manifest_corpus(paths), ScanOptions(root=root, include_unknown=True))
+    got = sorted((r.file.rsplit("/", 1)[-1], r.rule_id) for r in res.findings.collect())
+    assert got == [(".hidden.go", "weak-hash-md5"), ("_under.txt", "scheme:rc4")]
