@@ -175,3 +175,32 @@ def write_findings(findings: DataFrame, path: str, partition_by_severity: bool =
     if partition_by_severity:
         w = w.partitionBy("severity")
     w.parquet(path)
+
+
+FORMATS = ("text", "json", "sarif")
+
+
+class UnknownFormat(ValueError):
+    pass
+
+
+def render(result, fmt: str, path: str) -> None:
+    """Write a scan result as a text, JSON or SARIF document under ``path``
+    (part files in document order; see :func:`write_document`)."""
+    if fmt not in FORMATS:
+        raise UnknownFormat(f"unknown format {fmt!r} (want text, json, or sarif)")
+    if fmt == "json":
+        c = result.counts()
+        frags = json_report_fragments(result.findings, c["scanned"], c["skipped"])
+    elif fmt == "sarif":
+        frags = sarif_fragments(result.findings)
+    else:
+        lines = text_report_lines(result.findings).select(F.lit(1).alias("part"), *ORDER, "k", "text")
+        tail = result.findings.sparkSession.createDataFrame(
+            [(2, "\n" + summary_line(result.findings, result.file_status))], "part int, text string") \
+            .select("part", *[F.lit(None).cast(t).alias(c) for c, t in
+                              (("file", "string"), ("line", "int"), ("column", "int"), ("rule_id", "string"))],
+                    F.lit(0).alias("k"), "text")
+        lines.unionByName(tail).orderBy("part", *ORDER, "k").select("text").write.mode("overwrite").text(path)
+        return
+    write_document(frags, path)

@@ -133,3 +133,23 @@ def test_manifest_source_reads_hidden_files(spark):
     res = scan(spark, manifest_corpus(paths), ScanOptions(root=root, include_unknown=True))
     got = sorted((r.file.rsplit("/", 1)[-1], r.rule_id) for r in res.findings.collect())
     assert got == [(".hidden.go", "weak-hash-md5"), ("_under.txt", "scheme:rc4")]
+
+
+def test_render_formats(spark, corpus):
+    import glob
+
+    import pytest
+
+    from ciphersift import render
+    from ciphersift.plans.report import UnknownFormat
+    res = _result(spark, corpus)
+    base = tempfile.mkdtemp(prefix="cs-render-")
+
+    def read(d):
+        return "\n".join(open(f).read().rstrip("\n") for f in sorted(glob.glob(os.path.join(d, "part-*"))))
+    render(res, "json", os.path.join(base, "j"))
+    assert json.loads(read(os.path.join(base, "j")).replace("\n", ""))["files_scanned"] == 2
+    render(res, "text", os.path.join(base, "t"))
+    assert read(os.path.join(base, "t")).splitlines()[-1] == "Scanned 2 files (1 skipped); 2 finding(s): high=2"
+    with pytest.raises(UnknownFormat):
+        render(res, "xml", os.path.join(base, "x"))
