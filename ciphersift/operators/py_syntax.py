@@ -45,10 +45,11 @@ def _is_string(c: Column) -> Column:
 
 
 def py_sig_tokens(docs: DataFrame) -> DataFrame:
-    sig = token_rows(docs, PY_TOKEN_RE, PY_INSIGNIFICANT)
+    sig = token_rows(docs, PY_TOKEN_RE, PY_INSIGNIFICANT, continuation="\\\n")
     sig = with_neighbours(sig, lags=2, leads=3)
-    # statements: a new logical line at depth 0, or after ';'
-    start = (F.col("dbefore") == 0) & (F.col("line_m1").isNull() | (F.col("line_m1") != F.col("line"))
+    # statements: a new logical line at depth 0 (not joined by a backslash), or after ';'
+    start = (F.col("dbefore") == 0) & (F.col("line_m1").isNull()
+                                       | ((F.col("line_m1") != F.col("line")) & ~F.col("joined"))
                                        | (F.col("tok_m1") == ";"))
     w = Window.partitionBy("path").orderBy("i")
     sig = sig.withColumn("stmt", F.sum(start.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))

@@ -48,7 +48,7 @@ def partition_by_path(docs: DataFrame) -> DataFrame:
     return docs.repartition(n, "path")
 
 
-def token_rows(docs: DataFrame, token_re: str, insignificant_re: str) -> DataFrame:
+def token_rows(docs: DataFrame, token_re: str, insignificant_re: str, continuation: str | None = None) -> DataFrame:
     """(path, content) -> significant tokens with positions and nesting.
 
     Columns: path, i (token ordinal), tok, line, col (1-based byte column),
@@ -67,7 +67,14 @@ def token_rows(docs: DataFrame, token_re: str, insignificant_re: str) -> DataFra
                                     + 1).cast("int"))
     toks = toks.withColumn("lstart", F.coalesce(F.max(nl_end).over(before), F.lit(0)))
     toks = toks.withColumn("col", (F.col("off0") - F.col("lstart") + 1).cast("int"))
-    sig = toks.where(~F.col("tok").rlike(insignificant_re)).select("path", "i", "tok", "line", "col")
+    keep = ["path", "i", "tok", "line", "col"]
+    if continuation is not None:
+        # the last raw token before this one, ignoring blanks, is a line continuation
+        nonblank = F.when(~F.col("tok").rlike("^[ \t\x0B\f]+$"), F.col("tok"))
+        toks = toks.withColumn("joined", F.coalesce(F.last(nonblank, ignorenulls=True).over(before) == continuation,
+                                                    F.lit(False)))
+        keep.append("joined")
+    sig = toks.where(~F.col("tok").rlike(insignificant_re)).select(*keep)
     delta = F.when(F.col("tok").isin(*OPENS), 1).when(F.col("tok").isin(*CLOSES), -1).otherwise(0)
     sig = sig.withColumn("dafter", F.sum(delta).over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
     sig = sig.withColumn("dbefore", (F.col("dafter") - delta).cast("int"))

@@ -290,9 +290,14 @@ def _ident(x: str) -> str:
     return f"regexp_matches({x}, {IDENT})"
 
 
-def token_ctes(files: str, token_re2: str, insignificant_re2: str, prefix: str = "") -> str:
+def token_ctes(files: str, token_re2: str, insignificant_re2: str, prefix: str = "", continuation: bool = False) -> str:
     """t0..sig: significant tokens with line, byte column and depth."""
     w_before = "(PARTITION BY path ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    joined = joined_col = ""
+    if continuation:
+        joined = (",\n         coalesce(last_value(CASE WHEN NOT regexp_matches(tok, '^[ \\t\\x0B\\f]+$') THEN tok END "
+                  f"IGNORE NULLS) OVER {w_before} = '\\' || chr(10), false) AS joined")
+        joined_col = ", joined"
     return f"""{prefix}t0 AS (
   SELECT path, unnest(ts) AS tok, generate_subscripts(ts, 1) - 1 AS i
   FROM (SELECT path, regexp_extract_all(content, {sql_str(token_re2)}) AS ts FROM {files})
@@ -305,11 +310,11 @@ def token_ctes(files: str, token_re2: str, insignificant_re2: str, prefix: str =
 {prefix}t2 AS (
   SELECT *, off0 - coalesce(max(CASE WHEN contains(tok, chr(10))
                                 THEN off0 + strlen(regexp_extract(tok, '(?s)^(.*\\n)', 1)) END) OVER {w_before}, 0)
-            + 1 AS col
+            + 1 AS col{joined}
   FROM {prefix}t1
 ),
 {prefix}sig0 AS (
-  SELECT path, i, tok, line::INTEGER AS line, col::INTEGER AS col,
+  SELECT path, i, tok, line::INTEGER AS line, col::INTEGER AS col{joined_col},
          CASE WHEN tok IN ('(', '[', '{{') THEN 1 WHEN tok IN (')', ']', '}}') THEN -1 ELSE 0 END AS delta
   FROM {prefix}t2 WHERE NOT regexp_matches(tok, {sql_str(insignificant_re2)})
 ),
@@ -481,13 +486,13 @@ def py_ctes(files_cte: str) -> str:
     cont = (f"coalesce(tok = '.' OR (ltok_m1 = '.' AND {_ident('tok')}) OR (tok IN ('(', '[') AND "
             f"({_pyname('ltok_m1')} OR ltok_m1 IN (')', ']') OR {_pystr('ltok_m1')})) OR tok IN (')', ']', '}}'), false)")
     return f"""{files_cte},
-{token_ctes('pyfiles', PY_TOKEN_RE2, r'(?s)^(?:[\t\n\x0B\f\r ]+|#.*|\\\n)$', prefix='p')},
+{token_ctes('pyfiles', PY_TOKEN_RE2, r'(?s)^(?:[\t\n\x0B\f\r ]+|#.*|\\\n)$', prefix='p', continuation=True)},
 pnb AS (
   SELECT *, lag(tok, 1) OVER w AS tok_m1, lead(tok, 1) OVER w AS tok_p1, lag(line, 1) OVER w AS line_m1
   FROM psig WINDOW w AS (PARTITION BY path ORDER BY i)
 ),
 pst AS (
-  SELECT *, sum((dbefore = 0 AND (line_m1 IS NULL OR line_m1 <> line OR tok_m1 = ';'))::INTEGER)
+  SELECT *, sum((dbefore = 0 AND (line_m1 IS NULL OR (line_m1 <> line AND NOT joined) OR tok_m1 = ';'))::INTEGER)
               OVER (PARTITION BY path ORDER BY i ROWS UNBOUNDED PRECEDING) AS stmt
   FROM pnb
 ),
