@@ -10,11 +10,37 @@ from ..sources.catalog import CLASS_SEVERITY, CONFIDENCE_RANK, SEVERITY_RANK
 from .regex import GO_SPACE_CLASS
 
 
+def sql_lit(v) -> str:
+    """A Spark SQL literal for a Python str / int / bool / None."""
+    if v is None:
+        return "NULL"
+    if isinstance(v, bool):
+        return "true" if v else "false"
+    if isinstance(v, int):
+        return str(v)
+    return "'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def struct_sql(d: dict) -> str:
+    return "named_struct(" + ", ".join(f"{sql_lit(k)}, {sql_lit(v)}" for k, v in d.items()) + ")"
+
+
 def lit_map(d: dict) -> Column:
-    """A literal MAP column: a dimension lookup without a join."""
+    """A literal MAP column: a dimension lookup without a join.  Built from
+    one SQL expression (one driver round trip, constant-folded)."""
     if not d:
         return F.create_map().cast("map<string,string>")
-    return F.create_map(*[F.lit(x) for kv in d.items() for x in kv])
+    return F.expr("map(" + ", ".join(f"{sql_lit(k)}, {sql_lit(v)}" for k, v in d.items()) + ")")
+
+
+def lit_struct_map(d: dict) -> Column:
+    """MAP<STRING, STRUCT> literal from {key: {field: value}}."""
+    return F.expr("map(" + ", ".join(f"{sql_lit(k)}, {struct_sql(v)}" for k, v in d.items()) + ")")
+
+
+def lit_struct_array(rows: list[dict]) -> Column:
+    """ARRAY<STRUCT> literal from a list of {field: value}."""
+    return F.expr("array(" + ", ".join(struct_sql(r) for r in rows) + ")")
 
 
 def lookup(d: dict, key: Column, default=None) -> Column:

@@ -29,7 +29,7 @@ def with_rel(df: DataFrame, root: str | None) -> DataFrame:
         rel = F.when(p.startswith(prefix + "/"), F.expr(f"substring(path, {len(prefix) + 2})")).otherwise(p)
     else:
         rel = p
-    return df.withColumn("rel", rel).withColumn("base", F.substring_index(F.col("rel"), "/", -1))
+    return df.withColumns({"rel": rel, "base": F.substring_index(rel, "/", -1)})
 
 
 def compile_globs(patterns: list[str]) -> list[tuple[str, bool]]:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import go_trim, lit_map
+from ..functions.columns import go_trim, lit_map, lit_struct_map
 from ..sources.catalog import (GO_IV_CONSTRUCTORS, GO_KEY_ARGS, GO_RSA_FUNCS, GO_WEAK_FUNCS, GO_WEAK_RAND_PATHS,
                                GO_WEAK_TLS_NAMES, RSA_MIN_BITS, RULES)
 from .scheme_scan import FINDING_COLUMNS
@@ -32,13 +32,14 @@ def go_sig_tokens(docs: DataFrame) -> DataFrame:
     w = Window.partitionBy("path").orderBy("i")
     # is this token inside the most recent top-level "import (" group?
     top_open = F.col("tok").isin("(", "[", "{") & (F.col("dbefore") == 0)
-    sig = sig.withColumn("in_import", F.coalesce(
-        F.last(F.when(top_open, F.coalesce(F.col("tok_m1") == "import", F.lit(False))), ignorenulls=True).over(w),
-        F.lit(False)))
     is_call = ((F.col("tok") == "(") & is_ident(F.col("tok_m1")) & (F.col("tok_m2") == ".")
                & is_ident(F.col("tok_m3")) & (F.coalesce(F.col("tok_m4"), F.lit("")) != ".")
                & (F.col("line_m1") == F.col("line")))
-    sig = sig.withColumn("is_call", F.coalesce(is_call, F.lit(False)))
+    sig = sig.withColumns({
+        "in_import": F.coalesce(F.last(F.when(top_open, F.coalesce(F.col("tok_m1") == "import", F.lit(False))),
+                                       ignorenulls=True).over(w), F.lit(False)),
+        "is_call": F.coalesce(is_call, F.lit(False)),
+    })
     info = F.struct(F.col("is_call").alias("is_call"), F.col("tok_m3").alias("pkg"), F.col("tok_m1").alias("fn"),
                     F.col("line_m3").alias("pline"), F.col("col_m3").alias("pcol"))
     return with_groups(sig, info)
@@ -100,9 +101,8 @@ def go_call_args(sig: DataFrame) -> DataFrame:
 
 
 def _rule_meta() -> Column:
-    return F.create_map(*[x for rid, title, desc, sev, rem in RULES for x in (
-        F.lit(rid), F.struct(F.lit(title).alias("title"), F.lit(desc).alias("description"),
-                             F.lit(sev).alias("severity"), F.lit(rem).alias("remediation")))])
+    return lit_struct_map({rid: {"title": title, "description": desc, "severity": sev, "remediation": rem}
+                           for rid, title, desc, sev, rem in RULES})
 
 
 def attach_rule_meta(hits: DataFrame, confidence: str = "high") -> DataFrame:
@@ -145,7 +145,7 @@ def go_hits(sig: DataFrame) -> DataFrame:
     # argument anchors
     w = Window.partitionBy("path").orderBy("i")
     sig = sig.withColumn("oend", F.when(F.col("tok").isin("(", "[", "{"), F.col("close_next").isin(*ARG_END)))
-    sig = sig.withColumn("e2", F.lead("oend", 2).over(w)).withColumn("e4", F.lead("oend", 4).over(w))
+    sig = sig.withColumns({"e2": F.lead("oend", 2).over(w), "e4": F.lead("oend", 4).over(w)})
     g = F.col("grp_open")
     anchor = (F.col("is_call") | ((F.col("comma_k") == 1) & F.coalesce(g.is_call, F.lit(False)))) & \
         ~F.col("tok_p1").isin(")", ",")

@@ -53,14 +53,14 @@ def py_sig_tokens(docs: DataFrame) -> DataFrame:
                                        | (F.col("tok_m1") == ";"))
     w = Window.partitionBy("path").orderBy("i")
     sig = sig.withColumn("stmt", F.sum(start.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    sig = sig.withColumn("stmt_p1", F.lead("stmt", 1).over(w)).withColumn("stmt_p3", F.lead("stmt", 3).over(w))
     ws = Window.partitionBy("path", "stmt").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    sig = sig.withColumn("kw", F.first("tok").over(ws))
+    sig = sig.withColumns({"stmt_p1": F.lead("stmt", 1).over(w), "stmt_p3": F.lead("stmt", 3).over(w),
+                           "kw": F.first("tok").over(ws)})
     # from-import statements: module text between "from" and the first "import"
     wall = Window.partitionBy("path", "stmt").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     is_from = F.col("kw") == "from"
-    sig = sig.withColumn("imp_i", F.min(F.when(is_from & (F.col("tok") == "import"), F.col("i"))).over(wall)) \
-        .withColumn("from_i", F.min(F.when(is_from, F.col("i"))).over(wall))
+    sig = sig.withColumns({"imp_i": F.min(F.when(is_from & (F.col("tok") == "import"), F.col("i"))).over(wall),
+                           "from_i": F.min(F.when(is_from, F.col("i"))).over(wall)})
     mod_tok = F.when(is_from & (F.col("i") > F.col("from_i")) & (F.col("i") < F.col("imp_i")),
                      F.struct("i", "tok"))
     sig = sig.withColumn("module", F.array_join(F.transform(F.array_sort(F.collect_list(mod_tok).over(wall)),
@@ -79,8 +79,8 @@ def with_bindings(sig: DataFrame) -> DataFrame:
     plain = ended(F.col("tok_p1"), F.col("stmt_p1"))
     aliased = (F.col("tok_p1") == "as") & _name(F.col("tok_p2")) & ended(F.col("tok_p3"), F.col("stmt_p3"))
     bound = F.when(base & plain, t).when(base & aliased, F.col("tok_p2"))
-    return sig.withColumn("bound", bound) \
-        .withColumn("canonical", F.when(F.col("bound").isNotNull(), F.concat(F.col("module"), F.lit("."), t)))
+    canonical = F.when(base & (plain | aliased), F.concat(F.col("module"), F.lit("."), t))
+    return sig.withColumns({"bound": bound, "canonical": canonical})
 
 
 def with_attributes(sig: DataFrame) -> DataFrame:
@@ -96,9 +96,10 @@ def with_attributes(sig: DataFrame) -> DataFrame:
             | t.isin(")", "]", "}"))
     cont = F.coalesce(cont, F.lit(False))
     w = Window.partitionBy("path", "clvl").orderBy("i")
-    sig = sig.withColumn("cstart", F.last(F.when(~cont, F.struct("line", "col")), ignorenulls=True)
-                         .over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    sig = sig.withColumn("ltok_m4", F.lag("tok", 4).over(w))
+    sig = sig.withColumns({
+        "cstart": F.last(F.when(~cont, F.struct("line", "col")), ignorenulls=True)
+        .over(w.rowsBetween(Window.unboundedPreceding, 0)),
+        "ltok_m4": F.lag("tok", 4).over(w)})
     # component before the '.', seen at this level: NAME . attr  or  NAME ( ... ) . attr
     comp = F.when((lt[2] == ")") & (lt[3] == "(") & _name(F.col("ltok_m4")), F.col("ltok_m4")) \
         .when(is_ident(lt[2]), lt[2])
@@ -128,21 +129,22 @@ def py_hits(sig: DataFrame) -> DataFrame:
     sig = with_bindings(with_attributes(sig))
     # calls: at the chain level the open paren follows its function expression
     w = Window.partitionBy("path", "clvl").orderBy("i")
-    sig = sig.withColumn("fsuffix", F.lag("suffix2", 1).over(w)).withColumn("fstart", F.lag("cstart", 1).over(w))
     t = F.col("tok")
     lt1, lt2 = F.col("ltok_m1"), F.col("ltok_m2")
     call_open = F.coalesce((t == "(") & (_name(lt1) | lt1.isin(")", "]") | _is_string(lt1)), F.lit(False))
     bare = F.coalesce((t == "(") & _name(lt1) & (F.coalesce(lt2, F.lit("")) != "."), F.lit(False))
-    info = F.struct(call_open.alias("is_call"), F.when(bare, lt1).alias("bare"))
-    g = with_groups(sig.withColumn("call_open", call_open), info)
+    sig = sig.withColumns({"fsuffix": F.lag("suffix2", 1).over(w), "fstart": F.lag("cstart", 1).over(w),
+                           "call_open": call_open})
+    info = F.struct(F.col("call_open").alias("is_call"), F.when(bare, lt1).alias("bare"))
+    g = with_groups(sig, info)
     # first positional integer / string argument per call group (whole-group frame)
     direct = F.col("tok_m1").isin(*ARG_START) & F.col("tok_p1").isin(*ARG_END) & \
         (F.col("dbefore") == F.col("glvl")) & F.coalesce(F.col("grp_open.is_call"), F.lit(False))
     int_val = F.when(direct & t.rlike("^[0-9]+$"), F.expr("try_cast(tok as bigint)"))
     str_val = F.when(direct & _is_string(t), t)
     wg = Window.partitionBy("path", "glvl", "grp")
-    g = g.withColumn("first_int", F.min_by(int_val, F.when(int_val.isNotNull(), F.col("i"))).over(wg)) \
-        .withColumn("first_str", F.min_by(str_val, F.when(str_val.isNotNull(), F.col("i"))).over(wg))
+    g = g.withColumns({"first_int": F.min_by(int_val, F.when(int_val.isNotNull(), F.col("i"))).over(wg),
+                       "first_str": F.min_by(str_val, F.when(str_val.isNotNull(), F.col("i"))).over(wg)})
 
     weak_names = lit_map(dict(PY_WEAK_HASH_NAMES))
     name_arg = F.lower(F.regexp_replace(F.col("first_str"), "^['\"]+|['\"]+\\z", ""))

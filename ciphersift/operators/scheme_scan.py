@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import go_trim
+from ..functions.columns import go_trim, lit_struct_array
 from ..functions.regex import java_regex, prefilter, translate
 from ..sources.catalog import CLASS_SELECTORS, Scheme, catalog_schemes
 from .lines import explode_lines
@@ -97,12 +97,8 @@ def scheme_hits(lines: DataFrame, schemes: list[Scheme], text: str = "text") ->
 
 
 def _scheme_meta(schemes: list[Scheme]) -> Column:
-    return F.array(*[F.struct(
-        F.lit("scheme:" + s.name).alias("rule_id"),
-        F.lit(f"{s.title} ({s.cls})").alias("title"),
-        F.lit(s.note).alias("description"),
-        F.lit(s.severity).alias("severity"),
-        F.lit(s.remediation).alias("remediation")) for s in schemes])
+    return lit_struct_array([{"rule_id": "scheme:" + s.name, "title": f"{s.title} ({s.cls})", "description": s.note,
+                              "severity": s.severity, "remediation": s.remediation} for s in schemes])
 
 
 def scheme_findings(docs: DataFrame, schemes: list[Scheme], *, path: str = "path",

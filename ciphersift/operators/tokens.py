@@ -62,11 +62,11 @@ def token_rows(docs: DataFrame, token_re: str, insignificant_re: str, continuati
     # bytes up to and including the last newline inside the token
     head = F.regexp_extract(F.col("tok"), "(?s)^(.*\n)", 1)
     nl_end = F.when(head != "", F.col("off0") + F.octet_length(head))
-    toks = toks.withColumn("off0", F.coalesce(F.sum(nbytes).over(before), F.lit(0)))
-    toks = toks.withColumn("line", (F.coalesce(F.sum(F.size(F.split("tok", "\n", -1)) - 1).over(before), F.lit(0))
-                                    + 1).cast("int"))
-    toks = toks.withColumn("lstart", F.coalesce(F.max(nl_end).over(before), F.lit(0)))
-    toks = toks.withColumn("col", (F.col("off0") - F.col("lstart") + 1).cast("int"))
+    toks = toks.withColumns({
+        "off0": F.coalesce(F.sum(nbytes).over(before), F.lit(0)),
+        "line": (F.coalesce(F.sum(F.size(F.split("tok", "\n", -1)) - 1).over(before), F.lit(0)) + 1).cast("int"),
+    })
+    toks = toks.withColumn("col", (F.col("off0") - F.coalesce(F.max(nl_end).over(before), F.lit(0)) + 1).cast("int"))
     keep = ["path", "i", "tok", "line", "col"]
     if continuation is not None:
         # the last raw token before this one, ignoring blanks, is a line continuation
@@ -76,9 +76,8 @@ def token_rows(docs: DataFrame, token_re: str, insignificant_re: str, continuati
         keep.append("joined")
     sig = toks.where(~F.col("tok").rlike(insignificant_re)).select(*keep)
     delta = F.when(F.col("tok").isin(*OPENS), 1).when(F.col("tok").isin(*CLOSES), -1).otherwise(0)
-    sig = sig.withColumn("dafter", F.sum(delta).over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
-    sig = sig.withColumn("dbefore", (F.col("dafter") - delta).cast("int"))
-    return sig
+    depth = F.sum(delta).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return sig.withColumns({"dafter": depth.cast("int"), "dbefore": (depth - delta).cast("int")})
 
 
 def with_neighbours(sig: DataFrame, lags: int, leads: int, extra: dict[str, Column] | None = None) -> DataFrame:
@@ -112,12 +111,12 @@ def with_groups(sig: DataFrame, open_info: Column) -> DataFrame:
     sig = sig.withColumn("grp", F.sum(is_open.cast("int")).over(wl.rowsBetween(Window.unboundedPreceding, 0)))
     wg = Window.partitionBy("path", "glvl", "grp")
     wgo = wg.orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    sig = sig.withColumn("grp_open", F.first(F.when(is_open, open_info), ignorenulls=True).over(wgo))
-    sig = sig.withColumn("comma_k", F.when(F.col("tok") == ",",
-                                           F.sum((F.col("tok") == ",").cast("int")).over(wgo)))
-    sig = sig.withColumn("close_next", F.max(F.when(F.col("tok").isin(*CLOSES), F.coalesce(F.col("tok_p1"), F.lit(""))))
-                         .over(wg.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    return sig
+    return sig.withColumns({
+        "grp_open": F.first(F.when(is_open, open_info), ignorenulls=True).over(wgo),
+        "comma_k": F.when(F.col("tok") == ",", F.sum((F.col("tok") == ",").cast("int")).over(wgo)),
+        "close_next": F.max(F.when(F.col("tok").isin(*CLOSES), F.coalesce(F.col("tok_p1"), F.lit(""))))
+        .over(wg.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
+    })
 
 
 def with_chain_levels(sig: DataFrame) -> DataFrame:

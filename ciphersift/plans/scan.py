@@ -96,10 +96,11 @@ def tier_findings(spark: SparkSession, files: DataFrame, want: list[Scheme], sea
             parts.append(go_syntax.go_findings(scanned.where(F.col("tier") == "go")))
         if not src.where(ext.isin(".py", ".pyw") | F.col("content").startswith("#!")).select("path").isEmpty():
             parts.append(py_syntax.py_findings(scanned.where(F.col("tier") == "python")))
+    parts = [p.select(*FINDING_COLUMNS) for p in parts]
     out = parts[0]
     for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select(*FINDING_COLUMNS)
+        out = out.union(p)  # positional: every part has the finding columns in order
+    return out
 
 
 def scan(spark: SparkSession, corpus: DataFrame, options: ScanOptions | None = None) -> ScanResult:
