@@ -232,3 +232,19 @@ def test_config_validation():
         parse_config({"rules": {"severity": {"x": "bogus"}}})
     with pytest.raises(ConfigError):
         parse_config({"custom_schemes": [{"id": "x"}]})
+
+
+def test_search_mode_option_rules(spark, corpus):
+    c = corpus({"n.txt": "md5 and xor_encrypt\n", "m.go": 'package m\nimport "crypto/md5"\nvar _ = md5.New()\n'})
+    cfg = {"custom_schemes": [{"id": "internal-xor", "pattern": r"\bxor_encrypt\b"}], "include_unknown": True}
+    # search mode replaces the rule set and ignores custom schemes; Go files go to the regex tier
+    f = scan(spark, c, ScanOptions(schemes=["md5"], config=cfg)).findings
+    assert rows(f, "file", "line", "rule_id", "confidence") == [
+        ("m.go", 2, "scheme:md5", "low"), ("m.go", 3, "scheme:md5", "low"), ("n.txt", 1, "scheme:md5", "low")]
+    # blank tokens resolve to nothing: the default scan runs (custom scheme applies to the unknown file only)
+    f = scan(spark, c, ScanOptions(schemes=["  "], config=cfg)).findings
+    assert rows(f, "file", "rule_id") == [("m.go", "weak-hash-md5"), ("n.txt", "scheme:internal-xor"),
+                                          ("n.txt", "scheme:md5")]
+    # an explicit option beats the config
+    f = scan(spark, c, ScanOptions(config=cfg, include_unknown=False)).findings
+    assert rows(f, "file") == [("m.go",)]
