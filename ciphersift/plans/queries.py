@@ -12,12 +12,10 @@ from ..operators.lines import explode_lines
 from ..operators.scheme_scan import resolve_tokens_df
 from ..operators.tokens import partition_by_path
 from ..session import cut_lineage, ensure_parallelism
-from ..sources.catalog import catalog_schemes
 from ..sources.code_corpus import code_corpus
 from ..sources.corpus import text_table_corpus
 from .report import catalog_lines, rules_fired, severity_summary, text_report_lines
 from .scan import ScanOptions, classified_corpus, scan
-from ..sources.config import ScanConfig
 
 # FIXED VALUES used by the registered queries (inputs, not results).
 CUSTOM_CONFIG = {
