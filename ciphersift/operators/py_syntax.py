@@ -99,10 +99,14 @@ def with_attributes(sig: DataFrame) -> DataFrame:
     sig = sig.withColumns({
         "cstart": F.last(F.when(~cont, F.struct("line", "col")), ignorenulls=True)
         .over(w.rowsBetween(Window.unboundedPreceding, 0)),
-        "ltok_m4": F.lag("tok", 4).over(w)})
-    # component before the '.', seen at this level: NAME . attr  or  NAME ( ... ) . attr
-    comp = F.when((lt[2] == ")") & (lt[3] == "(") & _name(F.col("ltok_m4")), F.col("ltok_m4")) \
-        .when(is_ident(lt[2]), lt[2])
+        # last token at this level before this one that is not a parenthesis
+        "lnp": F.last(F.when(~t.isin("(", ")"), t), ignorenulls=True)
+        .over(w.rowsBetween(Window.unboundedPreceding, -1))})
+    sig = sig.withColumn("lnp_m1", F.lag("lnp", 1).over(w))
+    # component before the '.', seen at this level: NAME . attr, or NAME ( ... ) ( ... ) . attr
+    # (a call contributes its function name, through any number of calls)
+    comp = F.when((lt[2] == ")") & _name(F.col("lnp_m1")), F.col("lnp_m1")) \
+        .when((lt[2] != ")") & is_ident(lt[2]), lt[2])
     attr = (prev == ".") & is_ident(t) & (F.col("tok_m1") == ".") & (F.col("kw") != "import") & \
         ~((F.col("kw") == "from") & (F.col("dbefore") == 0))
     return sig.withColumn("suffix2", F.when(F.coalesce(attr, F.lit(False)), F.concat(comp, F.lit("."), t)))

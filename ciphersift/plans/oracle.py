@@ -502,6 +502,12 @@ pkw AS (
   FROM pst
 ),
 pl AS (SELECT *, {lt} FROM pkw WINDOW wl AS (PARTITION BY path, clvl ORDER BY i)),
+pl2 AS (
+  SELECT *, lag(lnp, 1) OVER (PARTITION BY path, clvl ORDER BY i) AS lnp_m1 FROM (
+    SELECT *, last_value(CASE WHEN tok NOT IN ('(', ')') THEN tok END IGNORE NULLS)
+                OVER (PARTITION BY path, clvl ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS lnp
+    FROM pl)
+),
 pc AS (
   SELECT *,
     last_value(CASE WHEN NOT {cont} THEN line END IGNORE NULLS)
@@ -510,9 +516,9 @@ pc AS (
       OVER (PARTITION BY path, clvl ORDER BY i ROWS UNBOUNDED PRECEDING) AS cs_col,
     CASE WHEN coalesce(ltok_m1 = '.' AND {_ident('tok')} AND tok_m1 = '.' AND kw <> 'import'
                        AND NOT (kw = 'from' AND dbefore = 0), false)
-         THEN (CASE WHEN ltok_m2 = ')' AND ltok_m3 = '(' AND {_pyname('ltok_m4')} THEN ltok_m4
-                    WHEN {_ident('ltok_m2')} THEN ltok_m2 END) || '.' || tok END AS suffix2
-  FROM pl
+         THEN (CASE WHEN ltok_m2 = ')' AND {_pyname('lnp_m1')} THEN lnp_m1
+                    WHEN ltok_m2 <> ')' AND {_ident('ltok_m2')} THEN ltok_m2 END) || '.' || tok END AS suffix2
+  FROM pl2
 ),
 pf AS (
   SELECT *, lag(suffix2, 1) OVER wl AS fsuffix, lag(cs_line, 1) OVER wl AS f_line, lag(cs_col, 1) OVER wl AS f_col,

@@ -58,7 +58,7 @@ TEMPLATES: list[tuple[str, str]] = [
      "v = random(1).random\nw = x[0].DES.new(k)\nz = DES[0].new(k)\nh = hashlib.new('SHA')\n"
      "r = RSA.generate(0x400, 1024)\nq = random.choice(a)  # cephalote:ignore\nrandom.randint(1, {k})\n"
      "s = stream(key)\nd = hashes.MD5()\ns2 = 'hashlib.md5(x)'\n"
-     "from hashlib \\\n    import sha1 as s1\nh1 = s1(b'{k}')\n"),
+     "from hashlib \\\n    import sha1 as s1\nh1 = s1(b'{k}')\nr2 = x.random()(1).random\n"),
     ("src/svc{k}/edge.go",
      'package e\n\nimport (\n\t"crypto/rsa"\n\t"math/rand/v2"\n\tmr "math/rand"\n\t"crypto/sha1"\n)\n\n'
      'func f(r io.Reader) {\n\trsa.GenerateKey(r, 0x400)\n\trand.IntN(3)\n'
