@@ -6,12 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ciphersift.llm import chat_format
+from ciphersift.llm.chat_format import op4_chat_formatting
+from ciphersift.llm.html_extract import op3_html_extraction
 from ciphersift.llm.simhash import op6_simhash
 from ciphersift.llm.token_counts import op9_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_html_extraction": op3_html_extraction,
+    "op4_chat_formatting": op4_chat_formatting,
     "op6_simhash": op6_simhash,
     "op9_token_counts": op9_token_counts,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_chat_formatting": chat_format.ORACLE_SQL,
+}

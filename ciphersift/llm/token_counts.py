@@ -107,8 +107,6 @@ class Lengths:
 
     def of_misses(self, keys: list[str]) -> None:
         """Encode what neither tier has, and keep it."""
-        if len(self.cache) + len(keys) > CACHE_SIZE:
-            self.cache.clear()
         for key in keys:
             if m := PLAIN.fullmatch(key):
                 self.cache[key] = self.word(" " + m[1]) + (self.word(m[2]) if m[2] else 0)
@@ -130,8 +128,10 @@ class Lengths:
             if None in found:
                 left = [k for k, v in zip(keys, found) if v is None]
                 missing = [k for k in dict.fromkeys(left) if k not in self.cache]
-                if missing:
-                    self.of_misses(missing)
+                if len(self.cache) + len(missing) > CACHE_SIZE:
+                    self.cache.clear()  # what this text needs is encoded anew
+                    missing = list(dict.fromkeys(left))
+                self.of_misses(missing)
                 n += sum(v for v in found if v is not None) + sum(map(self.cache.__getitem__, left))
             else:
                 n += sum(found)
