@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ciphersift.llm import chat_format
 from ciphersift.llm.chat_format import op4_chat_formatting
+from ciphersift.llm.cotrain import op5_quality
 from ciphersift.llm.html_extract import op3_html_extraction
 from ciphersift.llm.simhash import op6_simhash
 from ciphersift.llm.token_counts import op9_token_counts
@@ -15,6 +16,7 @@ from ciphersift.llm.token_counts import op9_token_counts
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_html_extraction": op3_html_extraction,
     "op4_chat_formatting": op4_chat_formatting,
+    "op5_quality": op5_quality,
     "op6_simhash": op6_simhash,
     "op9_token_counts": op9_token_counts,
 }
