@@ -235,8 +235,10 @@ def fit_weights(pages: DataFrame, html_col: str = "html", id_col: str = "page_id
              pa.array([counts[k] for k in keys], pa.int64())], ["name", "inside", "n"])
 
     html = F.col(html_col).cast("string")
-    chosen = (pages.filter(F.lower(html).rlike("<(article|main)[ >]"))
-              .select(html.alias("h"), F.xxhash64(id_col).alias("o")).orderBy("o", "h").limit(bound).select("h"))
+    marked = (pages.filter(F.lower(html).rlike("<(article|main)[ >]"))
+              .select(html.alias("h"), F.xxhash64(F.col(id_col), html).alias("o")))
+    last = marked.select("o").orderBy("o").limit(bound).agg(F.max("o")).first()[0]  # hashes alone, no pages
+    chosen = marked.filter(F.col("o") <= F.lit(last)).select("h")
     counts = chosen.mapInArrow(run, "name string, inside boolean, n bigint").groupBy("name", "inside").sum("n").collect()
     return weights_of({(r[0], r[1]): r[2] for r in counts})
 
