@@ -12,12 +12,14 @@ from ciphersift.llm.cotrain import op5_quality
 from ciphersift.llm.html_extract import op3_html_extraction
 from ciphersift.llm.simhash import op6_simhash
 from ciphersift.llm.token_counts import op9_token_counts
+from ciphersift.llm.toxicity import op7_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_html_extraction": op3_html_extraction,
     "op4_chat_formatting": op4_chat_formatting,
     "op5_quality": op5_quality,
     "op6_simhash": op6_simhash,
+    "op7_toxicity": op7_toxicity,
     "op9_token_counts": op9_token_counts,
 }
 
