@@ -11,11 +11,13 @@ from ciphersift.llm.chat_format import op4_chat_formatting
 from ciphersift.llm.cotrain import op5_quality
 from ciphersift.llm.decontam import op2_decontamination
 from ciphersift.llm.html_extract import op3_html_extraction
+from ciphersift.llm.segmentation import op1_segmentation
 from ciphersift.llm.simhash import op6_simhash
 from ciphersift.llm.token_counts import op9_token_counts
 from ciphersift.llm.toxicity import op7_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_segmentation": op1_segmentation,
     "op2_decontamination": op2_decontamination,
     "op3_html_extraction": op3_html_extraction,
     "op4_chat_formatting": op4_chat_formatting,
