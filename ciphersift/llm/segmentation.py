@@ -45,7 +45,7 @@ from ciphersift.llm.common import read_bytes, slices, table, texts, tokenizer_fi
 
 SAMPLES = 2
 ZIPF_OFFSET = 10.0      # log p(piece of rank r) = -log(r + ZIPF_OFFSET) + constant
-CACHED_EDGES = 3_000_000
+CACHED_EDGES = 5_000_000
 AT_ONCE = 3_000         # new words whose lattices are built together
 MARK = "▁"
 UNITS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
@@ -178,6 +178,7 @@ class Lattices:
         node = np.arange(len(chars)) + word                          # every word has an end node of its own
         self.first.update(zip(units, (self.n_nodes + start + np.arange(len(units))).tolist()))
         # a row per node, a column per piece length, the longest first
+        widest = top
         log_p = np.full((len(chars), top), -np.inf)
         piece = np.full((len(chars), top), -1, np.int32)
         alive, h = np.arange(len(chars)), np.zeros(len(chars), np.uint64)
@@ -186,6 +187,7 @@ class Lattices:
                 fits = to_end[alive] >= n
                 alive, h = alive[fits], h[fits]
                 if not len(alive):
+                    widest = n - 1
                     break
                 h = h * BASE + chars[alive + n - 1] + np.uint64(1)
                 at = np.minimum(np.searchsorted(p.hashes, h), len(p.hashes) - 1)
@@ -199,6 +201,8 @@ class Lattices:
         code = chars[lacks].astype(np.int64)
         piece[lacks, top - 1] = p.size + code
         log_p[lacks, top - 1] = p.byte_log_p * (1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF))
+        log_p, piece = log_p[:, top - widest:], piece[:, top - widest:]  # no piece of these words is longer
+        top = widest
         beta = np.zeros(len(chars) + len(units) + top)
         order = np.argsort(to_end, kind="stable")
         ahead = np.arange(top, 0, -1)
