@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ciphersift.llm import chat_format
+from ciphersift.llm.attention_lm import op10_lm_scoring
 from ciphersift.llm.chat_format import op4_chat_formatting
 from ciphersift.llm.cotrain import op5_quality
 from ciphersift.llm.decontam import op2_decontamination
@@ -25,6 +26,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_simhash": op6_simhash,
     "op7_toxicity": op7_toxicity,
     "op9_token_counts": op9_token_counts,
+    "op10_lm_scoring": op10_lm_scoring,
 }
 
 ORACLE_SQL: dict[str, str] = {
