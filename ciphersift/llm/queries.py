@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ciphersift.llm import chat_format
+from ciphersift.llm import chat_format, topk
 from ciphersift.llm.attention_lm import op10_lm_scoring
 from ciphersift.llm.chat_format import op4_chat_formatting
 from ciphersift.llm.cotrain import op5_quality
@@ -15,6 +15,7 @@ from ciphersift.llm.html_extract import op3_html_extraction
 from ciphersift.llm.segmentation import op1_segmentation
 from ciphersift.llm.simhash import op6_simhash
 from ciphersift.llm.token_counts import op9_token_counts
+from ciphersift.llm.topk import op8_top_k
 from ciphersift.llm.toxicity import op7_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -25,10 +26,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality": op5_quality,
     "op6_simhash": op6_simhash,
     "op7_toxicity": op7_toxicity,
+    "op8_top_k": op8_top_k,
     "op9_token_counts": op9_token_counts,
     "op10_lm_scoring": op10_lm_scoring,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op4_chat_formatting": chat_format.ORACLE_SQL,
+    "op8_top_k": topk.ORACLE_SQL,
 }
