@@ -50,6 +50,7 @@ AT_ONCE = 3_000         # new words whose lattices are built together
 MARK = "▁"
 UNITS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 BASE = np.uint64(0x9E3779B97F4A7C15)
+ALL_BITS = (1 << 64) - 1
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -60,17 +61,31 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def mix_one(x: int) -> int:
+    """:func:`mix` of one number."""
+    x = (x + 0x9E3779B97F4A7C15) & ALL_BITS
+    x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & ALL_BITS
+    x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & ALL_BITS
+    return x ^ (x >> 31)
+
+
 def mixed(*parts) -> np.ndarray:
     """One hash per row of the broadcast integer parts."""
-    x = np.uint64(0)
+    x = 0
     with np.errstate(over="ignore"):
         for p in parts:
-            x = mix(np.asarray(p, np.uint64) ^ (x * np.uint64(3)))
+            if isinstance(x, int) and isinstance(p, int):
+                x = mix_one((p ^ (x * 3)) & ALL_BITS)
+            else:
+                last = np.uint64((x * 3) & ALL_BITS) if isinstance(x, int) else x * np.uint64(3)
+                x = mix(np.asarray(p, np.uint64) ^ last)
     return x
 
 
 def unit_interval(x: np.ndarray) -> np.ndarray:
     """Numbers strictly between 0 and 1, in steps of 2^-52."""
+    if isinstance(x, int):
+        return ((x >> 12) + 0.5) / float(1 << 52)
     return ((x >> np.uint64(12)).astype(np.float64) + 0.5) / float(1 << 52)
 
 
@@ -108,6 +123,9 @@ class Pieces:
                 self.byte_id[int(names[i][3:5], 16)] = i
         self.bytes_of = [bytes([int(x[3:5], 16)]) if byte[i] else b"" if self.library.is_control(i)
                          else x.replace(MARK, " ").encode() for i, x in enumerate(names)]
+        self.n_bytes = np.array(list(map(len, self.bytes_of)), np.int64)
+        self.byte_at = np.cumsum(self.n_bytes) - self.n_bytes
+        self.all_bytes = np.frombuffer(b"".join(self.bytes_of), np.uint8)
         crossing = any(MARK in x.lstrip(MARK) for x in (names[i] for i in normal))
         self.units = (lambda s: [s] if s else []) if crossing else self._units
         self.prefixed = self.library.normalize("a").startswith(MARK)
@@ -131,8 +149,17 @@ class Pieces:
 
     def decode(self, ids: list[int]) -> str:
         """The text that piece ids spell, without the mark that stands before every text."""
-        text = b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
-        return text[1:] if self.prefixed and text.startswith(" ") else text
+        return self.decode_all(np.asarray(ids, np.int64), np.array([len(ids)]))[0]
+
+    def decode_all(self, ids: np.ndarray, size: np.ndarray) -> list[str]:
+        """Texts of runs of ``size`` ids each."""
+        length = self.n_bytes[ids]
+        ends = np.cumsum(length)
+        place = np.arange(int(length.sum())) - np.repeat(ends - length, length) + np.repeat(self.byte_at[ids], length)
+        line = self.all_bytes[place].tobytes()
+        cut = np.r_[0, ends][np.r_[0, np.cumsum(size)]].tolist()
+        texts_ = [line[a:b].decode("utf-8", "replace") for a, b in zip(cut, cut[1:])]
+        return [t[1:] if self.prefixed and t.startswith(" ") else t for t in texts_]
 
 
 class Lattices:
@@ -147,7 +174,8 @@ class Lattices:
     def clear(self) -> None:
         self.first: dict[str, int] = {}
         self.n_nodes = self.n_edges = 0
-        self.at = np.zeros(1 << 16, np.int64)  # a node's first edge
+        self.at = np.zeros(1 << 16, np.int64)    # a node's first edge
+        self.left = np.zeros(1 << 16, np.int32)  # nodes from a node to its word's end
         for name, kind in self.KINDS.items():
             setattr(self, name, np.zeros(1 << 16, kind))
 
@@ -155,15 +183,15 @@ class Lattices:
         """Make sure that the lattices of these words are there."""
         if self.n_edges > CACHED_EDGES:
             self.clear()
-        new = [u for u in dict.fromkeys(units) if u not in self.first]
+        new = list(set(units).difference(self.first))
         for i in range(0, len(new), AT_ONCE):
             self.build(new[i:i + AT_ONCE])
 
     def put(self, name: str, at: int, values: np.ndarray) -> None:
-        """Write values into an array that doubles when it is full."""
+        """Write values into an array that grows by a quarter when it is full."""
         array = getattr(self, name)
         if at + len(values) > len(array):
-            array = np.concatenate([array[:at], np.zeros(at + 2 * len(values), array.dtype)])
+            array = np.concatenate([array[:at], np.zeros(at // 4 + 2 * len(values), array.dtype)])
             setattr(self, name, array)
         array[at:at + len(values)] = values
 
@@ -199,7 +227,7 @@ class Lattices:
                 log_p[alive[whole], top - n] = p.log_p[found[whole]]
         lacks = np.flatnonzero(piece[:, top - 1] < 0)  # characters without a piece: one edge that spells their bytes
         code = chars[lacks].astype(np.int64)
-        piece[lacks, top - 1] = p.size + code
+        piece[lacks, top - 1] = np.where(code < 0x80, p.byte_id[np.minimum(code, 0xFF)], p.size + code)
         log_p[lacks, top - 1] = p.byte_log_p * (1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF))
         log_p, piece = log_p[:, top - widest:], piece[:, top - widest:]  # no piece of these words is longer
         top = widest
@@ -223,6 +251,8 @@ class Lattices:
         ends = np.zeros(len(chars) + len(units), np.int64)
         ends[node] = self.n_edges + head
         self.put("at", self.n_nodes, ends)
+        ends[node] = to_end
+        self.put("left", self.n_nodes, ends)
         for name, values in (("key", self.n_nodes + node[src] + share), ("step", top - column),
                              ("piece", piece[src, column]), ("log_q", log_q), ("log_rest", log_rest)):
             self.put(name, self.n_edges, values)
@@ -323,14 +353,14 @@ class Search:
         q = np.exp(lattices.log_q[a:b].astype(np.float64))
         q[np.array(taken) - a] = 0.0
         running = np.cumsum(q)
-        u = float(uniform(self.seed, sample, 1 << 41, t))
+        u = uniform(self.seed, sample, 1 << 41, t)
         edge = a + int(np.searchsorted(running, u * running[-1], "right"))
         edge = min(edge, a + int(np.flatnonzero(q)[-1]))
         taken.append(edge)
         q[edge - a] = 0.0
         if (q > 0).any():
             where = np.array([path.before[t] + np.log(q.sum())])
-            bound = cut_off(where, score, uniform(self.seed, sample, 1 << 42, np.array([t])))
+            bound = cut_off(where, score, uniform(self.seed, sample, 1 << 42, t))
             self.rest.append((float(bound[0]), k, t))
         return score, k, t, edge
 
@@ -348,14 +378,14 @@ class Sampler:
         lat.need(words)
         size = np.fromiter(map(len, units), np.int64, len(units))
         first = np.fromiter(map(lat.first.__getitem__, words), np.int64, len(words))
-        end = first + np.fromiter(map(len, words), np.int64, len(words))
+        end = first + lat.left[first]
         offset = np.r_[0, np.cumsum(size)]
         place = np.arange(len(first)) - np.repeat(offset[:-1], size)
         edges, owner = lat.descend(first, end, np.repeat(seeds, size), 0, place)
         cut = np.searchsorted(owner, offset)
         root = -np.log(-np.log(uniform(seeds, 0, 1 << 43)))
         searches = []
-        for i, seed in enumerate(seeds):
+        for i, seed in enumerate(seeds.tolist()):
             own = slice(cut[i], cut[i + 1])
             searches.append(Search(Path(lat, edges[own], place[owner[own]], float(root[i]), seed, 0, 0, k), seed))
         for sample in range(1, k):
@@ -383,7 +413,7 @@ class Sampler:
                 own = slice(cut[j], cut[j + 1])
                 searches[i].paths.append(Path(
                     lat, np.r_[old.edges[:t], edge, edges[own]],
-                    np.r_[old.unit[:t + 1], unit[j][owner[own] - count[j]]], score, seeds[i], sample, t + 1, k))
+                    np.r_[old.unit[:t + 1], unit[j][owner[own] - count[j]]], score, searches[i].seed, sample, t + 1, k))
         return [self.result(s) for s in searches]
 
     def result(self, search: Search) -> list[tuple[np.ndarray, float, float, float]]:
@@ -440,16 +470,16 @@ def sample_segmentations(docs: DataFrame, model_path: str, k: int = SAMPLES, id_
         for batch in slices(batches, "__llm_text", 500_000):
             rows = texts(batch.column(1))
             seeds = np.array([row_seed(x) for x in batch.column(0).to_pylist()], np.uint64)
-            row, sample, ids, numbers, same = [], [], [], [], []
+            row, sample, ids, numbers = [], [], [], []
             for i, drawn in enumerate(sampler.sample(rows, seeds, k)):
                 for j, (own, *rest) in enumerate(drawn):
                     row.append(i)
                     sample.append(j + 1)
                     ids.append(own)
                     numbers.append(rest)
-                    same.append(sampler.pieces.decode(own.tolist()) == rows[i])
-            size = np.cumsum([0, *map(len, ids)])
-            lists = pa.ListArray.from_arrays(pa.array(size, pa.int32()), pa.array(np.concatenate(ids), pa.int32()))
+            size, flat = np.cumsum([0, *map(len, ids)]), np.concatenate(ids)
+            same = [t == rows[i] for i, t in zip(row, sampler.pieces.decode_all(flat, np.diff(size)))]
+            lists = pa.ListArray.from_arrays(pa.array(size, pa.int32()), pa.array(flat, pa.int32()))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(row)), pa.array(sample, pa.int32()), lists,
                  pa.array(np.diff(size), pa.int64()), *(pa.array(x, pa.float64()) for x in zip(*numbers)),
