@@ -14,12 +14,9 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import go_base, go_trim, lit_map
 from ..functions.regex import GO_SPACE_CLASS, glob_to_regex
-from ..sources.catalog import (BINARY_SNIFF_BYTES, DEFAULT_MAX_FILE_BYTES, LANG_BY_EXT, LANG_BY_SHEBANG,
-                               SKIP_DIRS)
+from ..sources.catalog import LANG_BY_EXT, LANG_BY_SHEBANG, SKIP_DIRS
 from .lines import has_overlong_line
 
-SHEBANG_MAX_LINE = 64 * 1024  # a first line this long defeats the line reader
-
 
 def with_rel(df: DataFrame, root: str | None) -> DataFrame:
     """Slash path relative to the scan root (findings keep ``path``)."""
@@ -81,10 +78,8 @@ def pruned(rel: Column, globs: list[tuple[str, bool]]) -> Column:
 
 
 def is_binary(content: Column) -> Column:
-    """a NUL byte within the first 8000 bytes."""
-    nul = "\u0000"
-    return F.coalesce(content.contains(F.lit(nul)) &
-                      (F.octet_length(F.substring_index(content, nul, 1)) < BINARY_SNIFF_BYTES), F.lit(False))
+    """F5, an option: a NUL byte anywhere in the content."""
+    return F.coalesce(content.contains(F.lit("\u0000")), F.lit(False))
 
 
 def extension(base: Column) -> Column:
@@ -100,14 +95,17 @@ def shebang_language(content: Column) -> Column:
     by_name = lit_map(dict(LANG_BY_SHEBANG))
     last = F.element_at(by_name, go_base(F.try_element_at(fields, F.lit(-1))))
     head = F.element_at(by_name, go_base(F.regexp_replace(F.try_element_at(fields, F.lit(1)), "^#!", "")))
-    ok = content.startswith("#!") & (F.octet_length(F.substring_index(content, "\n", 1)) < SHEBANG_MAX_LINE)
-    return F.when(ok, F.coalesce(last, head))
+    return F.when(content.startswith("#!"), F.coalesce(last, head))
 
 
 def classify(df: DataFrame, *, search: bool, include_unknown: bool, python_syntax: bool,
-             max_file_bytes: int = DEFAULT_MAX_FILE_BYTES) -> DataFrame:
+             max_file_bytes: int | None = None, max_line_bytes: int | None = None,
+             skip_binary: bool = True) -> DataFrame:
     """Adds ``lang``, ``tier`` (go | python | regex | NULL) and the file's
-    ``status`` (scanned | skipped | error) with its ``reason``."""
+    ``status`` (scanned | skipped | error) with its ``reason``.
+
+    Sizes and line lengths drop nothing unless the caller sets a limit.
+    Content that could not be read (NULL) is an error, never "scanned"."""
     ext = extension(F.col("base"))
     ext_lang = F.element_at(lit_map({e: l for e, l, _ in LANG_BY_EXT}), ext)
     lang = F.coalesce(ext_lang, shebang_language(F.col("content")), F.lit("unknown"))
@@ -121,12 +119,19 @@ def classify(df: DataFrame, *, search: bool, include_unknown: bool, python_synta
                 .when(lang_c != "unknown", "regex")
                 .when(F.lit(include_unknown), "regex"))
     df = df.withColumn("tier", tier)
-    too_large = F.col("length") > max_file_bytes
-    binary = is_binary(F.col("content"))
-    unknown = F.col("tier").isNull()
-    overlong = (F.col("tier") == "regex") & has_overlong_line(F.col("content"))
-    reason = (F.when(too_large, "too large").when(binary, "binary").when(unknown, "unknown language")
-              .when(overlong, "line too long"))
+    content = F.col("content")
+    reasons = []
+    if max_file_bytes is not None:
+        reasons.append((F.col("length") > max_file_bytes, "too large"))
+    reasons.append((content.isNull(), "unreadable"))
+    if skip_binary:
+        reasons.append((is_binary(content), "binary"))
+    reasons.append((F.col("tier").isNull(), "unknown language"))
+    if max_line_bytes is not None:
+        reasons.append(((F.col("tier") == "regex") & has_overlong_line(content, max_line_bytes), "line too long"))
+    reason = F.lit(None).cast("string")
+    for cond, name in reversed(reasons):
+        reason = F.when(cond, name).otherwise(reason)
     return df.withColumn("reason", reason) \
         .withColumn("status", F.when(F.col("reason").isNull(), "scanned")
-                    .when(F.col("reason") == "line too long", "error").otherwise("skipped"))
+                    .when(F.col("reason").isin("line too long", "unreadable"), "error").otherwise("skipped"))

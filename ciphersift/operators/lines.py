@@ -9,8 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.catalog import MAX_LINE_BYTES
-
 
 def line_array(content: Column) -> Column:
     """Lines as a line scanner sees them: split on ``\\n``, no empty line after
@@ -45,8 +43,8 @@ def explode_lines(docs: DataFrame, keep: tuple[str, ...] = ("path",), content: s
     return exploded.select(*keep, (F.col("pos") + 1).cast("int").alias("line"), text.alias("text"))
 
 
-def has_overlong_line(content: Column) -> Column:
-    """a line of 1 MiB or more makes the line scanner fail.  The cheap
+def has_overlong_line(content: Column, max_line_bytes: int) -> Column:
+    """F10, an option: a line of that many bytes or more.  The cheap
     whole-text length test guards the split."""
-    return (F.octet_length(content) >= MAX_LINE_BYTES) & F.exists(
-        F.split(content, "\n", -1), lambda l: F.octet_length(l) >= MAX_LINE_BYTES)
+    return (F.octet_length(content) >= max_line_bytes) & F.exists(
+        F.split(content, "\n", -1), lambda l: F.octet_length(l) >= max_line_bytes)

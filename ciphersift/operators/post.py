@@ -5,6 +5,8 @@ confidence -> override -> sort."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,19 +15,19 @@ from ..functions.regex import translate
 from ..sources.catalog import CONFIDENCE_RANK, SUPPRESS_MARKER
 from .lines import explode_lines
 
-# FIXED VALUE: the directive grammar (RE2): marker, boundary, blanks, id list.
-DIRECTIVE_RE2 = r"cephalote:ignore\b[ \t]*([\w:.,\-]*)"
+# the directive grammar (RE2) behind the marker: boundary, blanks, id list
+DIRECTIVE_RE2 = r"\b[ \t]*([\w:.,\-]*)"
 
 
-def directives(docs: DataFrame) -> DataFrame:
+def directives(docs: DataFrame, marker: str = SUPPRESS_MARKER) -> DataFrame:
     """Directive table (path, target_line, all_rules, ids) from raw lines.
 
     Only texts holding the marker are split; each directive line silences
     itself and the line below, so it is emitted for both target lines.
     """
-    cand = docs.select("path", "content").where(F.col("content").contains(SUPPRESS_MARKER))
-    lines = explode_lines(cand, strip=False).where(F.col("text").contains(SUPPRESS_MARKER))
-    rx = "(?d)" + translate(DIRECTIVE_RE2)
+    cand = docs.select("path", "content").where(F.col("content").contains(marker))
+    lines = explode_lines(cand, strip=False).where(F.col("text").contains(marker))
+    rx = "(?d)" + translate(re.escape(marker) + DIRECTIVE_RE2)
     d = lines.where(F.col("text").rlike(rx)) \
         .select("path", "line", F.regexp_extract("text", rx, 1).alias("ids"))
     d = d.select("path", "line",
@@ -35,11 +37,11 @@ def directives(docs: DataFrame) -> DataFrame:
                     "all_rules", "ids")
 
 
-def suppress(findings: DataFrame, docs: DataFrame) -> DataFrame:
+def suppress(findings: DataFrame, docs: DataFrame, marker: str = SUPPRESS_MARKER) -> DataFrame:
     """Left anti join on (file, line) with the rule condition.  An
     equi-join on two keys, never a range join; AQE picks broadcast when the
     directive table turns out small."""
-    d = directives(docs)
+    d = directives(docs, marker)
     cond = [findings.file == d.path, findings.line == d.target_line,
             d.all_rules | F.array_contains(d.ids, findings.rule_id)]
     return findings.join(d, cond, "left_anti")

@@ -54,7 +54,7 @@ def py_sig_tokens(docs: DataFrame) -> DataFrame:
     w = Window.partitionBy("path").orderBy("i")
     sig = sig.withColumn("stmt", F.sum(start.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     ws = Window.partitionBy("path", "stmt").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    sig = sig.withColumns({"stmt_p1": F.lead("stmt", 1).over(w), "stmt_p3": F.lead("stmt", 3).over(w),
+    sig = sig.withColumns({"stmt_m1": F.lag("stmt", 1).over(w), "stmt_p1": F.lead("stmt", 1).over(w), "stmt_p3": F.lead("stmt", 3).over(w),
                            "kw": F.first("tok").over(ws)})
     # from-import statements: module text between "from" and the first "import"
     wall = Window.partitionBy("path", "stmt").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -135,8 +135,9 @@ def py_hits(sig: DataFrame) -> DataFrame:
     w = Window.partitionBy("path", "clvl").orderBy("i")
     t = F.col("tok")
     lt1, lt2 = F.col("ltok_m1"), F.col("ltok_m2")
-    call_open = F.coalesce((t == "(") & (_name(lt1) | lt1.isin(")", "]") | _is_string(lt1)), F.lit(False))
-    bare = F.coalesce((t == "(") & _name(lt1) & (F.coalesce(lt2, F.lit("")) != "."), F.lit(False))
+    same = F.col("stmt_m1") == F.col("stmt")  # a parenthesis that begins a statement calls nothing
+    call_open = F.coalesce((t == "(") & same & (_name(lt1) | lt1.isin(")", "]") | _is_string(lt1)), F.lit(False))
+    bare = F.coalesce((t == "(") & same & _name(lt1) & ~F.coalesce(lt2, F.lit("")).isin(".", "def", "class"), F.lit(False))
     sig = sig.withColumns({"fsuffix": F.lag("suffix2", 1).over(w), "fstart": F.lag("cstart", 1).over(w),
                            "call_open": call_open})
     info = F.struct(F.col("call_open").alias("is_call"), F.when(bare, lt1).alias("bare"))

@@ -70,8 +70,8 @@ def directives_cte() -> str:
     return r"""directives AS (
   SELECT path, t AS target_line, ids IN ('', 'all') AS all_rules,
          list_filter(string_split(ids, ','), lambda x: x <> '') AS idl
-  FROM (SELECT path, line, regexp_extract(raw, 'cephalote:ignore\b[ \t]*([\w:.,\-]*)', 1) AS ids
-        FROM lines WHERE regexp_matches(raw, 'cephalote:ignore\b[ \t]*([\w:.,\-]*)')),
+  FROM (SELECT path, line, regexp_extract(raw, 'ciphersift:ignore\b[ \t]*([\w:.,\-]*)', 1) AS ids
+        FROM lines WHERE regexp_matches(raw, 'ciphersift:ignore\b[ \t]*([\w:.,\-]*)')),
        unnest([line, line + 1]) AS u(t)
 )"""
 
@@ -98,12 +98,10 @@ def text_table_docs(table: str) -> str:
                  "conversations": ("'conversations/' || conv_id || '/' || turn", "text"),
                  "benchmark": ("'benchmark/' || item_id", "text")}[table]
     # text rows have no extension and no shebang here; unknown language is
-    # scanned (include_unknown); size, NUL and line-length rules still apply
+    # scanned (include_unknown); a text with a NUL is binary, a NULL text an error
     return f"""docs AS (
   SELECT path, content FROM (SELECT {path} AS path, {col} AS content FROM {table})
-  WHERE strlen(content) <= 5242880
-    AND NOT (position(chr(0) IN content) > 0 AND strlen(split_part(content, chr(0), 1)) < 8000)
-    AND NOT list_bool_or(list_transform(string_split(content, chr(10)), lambda x: strlen(x) >= 1048576))
+  WHERE position(chr(0) IN content) = 0
 )"""
 
 
@@ -169,7 +167,7 @@ f2 AS (SELECT * FROM f1 WHERE NOT ({prune})),
 sb(name, lang) AS (VALUES {sb_vals}),
 f3 AS (
   SELECT f2.*, coalesce(e.lang,
-         CASE WHEN content LIKE '#!%' AND strlen(split_part(content, chr(10), 1)) < 65536 THEN
+         CASE WHEN content LIKE '#!%' THEN
            coalesce((SELECT lang FROM sb WHERE sb.name = {base(f'{fields}[-1]')}),
                     (SELECT lang FROM sb WHERE sb.name = {base(f"regexp_replace({fields}[1], '^#!', '')")}))
          END, 'unknown') AS lang
@@ -179,16 +177,13 @@ f3 AS (
 f4 AS (SELECT *, {tier} AS tier FROM f3),
 files AS (
   SELECT path, content, lang, tier,
-         CASE WHEN length > 5242880 THEN 'too large'
-              WHEN position(chr(0) IN content) > 0 AND strlen(split_part(content, chr(0), 1)) < 8000 THEN 'binary'
-              WHEN tier IS NULL THEN 'unknown language'
-              WHEN tier = 'regex' AND list_bool_or(list_transform(string_split(content, chr(10)),
-                                                                  lambda x: strlen(x) >= 1048576))
-                THEN 'line too long' END AS reason
+         CASE WHEN content IS NULL THEN 'unreadable'
+              WHEN position(chr(0) IN content) > 0 THEN 'binary'
+              WHEN tier IS NULL THEN 'unknown language' END AS reason
   FROM f4
 ),
 classified AS (
-  SELECT *, CASE WHEN reason IS NULL THEN 'scanned' WHEN reason = 'line too long' THEN 'error'
+  SELECT *, CASE WHEN reason IS NULL THEN 'scanned' WHEN reason = 'unreadable' THEN 'error'
                  ELSE 'skipped' END AS status FROM files
 )"""
 
@@ -498,6 +493,7 @@ pst AS (
 ),
 pkw AS (
   SELECT *, first_value(tok) OVER (PARTITION BY path, stmt ORDER BY i) AS kw,
+         lag(stmt, 1) OVER (PARTITION BY path ORDER BY i) AS stmt_m1,
          CASE WHEN tok IN (')', ']', '}}') THEN dafter ELSE dbefore END AS clvl
   FROM pst
 ),
@@ -522,9 +518,10 @@ pc AS (
 ),
 pf AS (
   SELECT *, lag(suffix2, 1) OVER wl AS fsuffix, lag(cs_line, 1) OVER wl AS f_line, lag(cs_col, 1) OVER wl AS f_col,
-         coalesce(tok = '(' AND ({_pyname('ltok_m1')} OR ltok_m1 IN (')', ']') OR {_pystr('ltok_m1')}), false)
+         coalesce(tok = '(' AND stmt_m1 = stmt AND ({_pyname('ltok_m1')} OR ltok_m1 IN (')', ']') OR {_pystr('ltok_m1')}), false)
            AS call_open,
-         coalesce(tok = '(' AND {_pyname('ltok_m1')} AND coalesce(ltok_m2, '') <> '.', false) AS bare,
+         coalesce(tok = '(' AND stmt_m1 = stmt AND {_pyname('ltok_m1')}
+                  AND coalesce(ltok_m2, '') NOT IN ('.', 'def', 'class'), false) AS bare,
          tok IN ('(', '[', '{{') AS is_open,
          CASE WHEN tok IN ('(', '[', '{{') THEN dafter ELSE dbefore END AS glvl
   FROM pc WINDOW wl AS (PARTITION BY path, clvl ORDER BY i)

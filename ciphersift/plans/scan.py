@@ -18,7 +18,7 @@ from ..operators.eligibility import classify, compile_globs, extension, pruned,
 from ..operators.post import post_process, suppress
 from ..operators.scheme_scan import FINDING_COLUMNS, empty_findings, resolve, scheme_findings, weak_schemes
 from ..session import ensure_parallelism
-from ..sources.catalog import DEFAULT_MAX_FILE_BYTES, Scheme
+from ..sources.catalog import SUPPRESS_MARKER, Scheme
 from ..sources.config import ScanConfig, load_config, parse_config
 
 
@@ -31,7 +31,10 @@ class ScanOptions:
     min_confidence: str | None = None
     schemes: list[str] = field(default_factory=list)   # search mode tokens
     config: ScanConfig | dict | str | None = None
-    max_file_bytes: int = DEFAULT_MAX_FILE_BYTES
+    max_file_bytes: int | None = None   # skip larger files; by default every file is scanned
+    max_line_bytes: int | None = None   # give up on files with a longer line; by default none
+    skip_binary: bool = True            # skip files with a NUL byte anywhere
+    marker: str = SUPPRESS_MARKER       # what an inline suppression comment starts with
     python_syntax: bool = True   # parser-backed Python tier on (else Python uses the regex tier)
     root: str | None = None      # prefix stripped to get the relative path
     root_name: str | None = None  # name of the scanned directory itself
@@ -75,7 +78,8 @@ def classified_corpus(corpus: DataFrame, opts: ScanOptions, cfg: ScanConfig, sea
     df = with_rel(df, opts.root)
     df = df.where(~pruned(F.col("rel"), globs))
     return classify(df, search=search, include_unknown=include_unknown, python_syntax=opts.python_syntax,
-                    max_file_bytes=opts.max_file_bytes)
+                    max_file_bytes=opts.max_file_bytes, max_line_bytes=opts.max_line_bytes,
+                    skip_binary=opts.skip_binary)
 
 
 def tier_findings(spark: SparkSession, files: DataFrame, want: list[Scheme], search: bool = False,
@@ -121,7 +125,7 @@ def scan(spark: SparkSession, corpus: DataFrame, options: ScanOptions | None = N
         return ScanResult(empty_findings(spark), empty_status)
 
     raw = tier_findings(spark, files, want, search, corpus.select("path", "content"))
-    kept = suppress(raw, files.where(F.col("status") == "scanned"))
+    kept = suppress(raw, files.where(F.col("status") == "scanned"), opts.marker)
     findings = post_process(kept, disabled=cfg.disable, min_confidence=min_conf,
                             severity_overrides=cfg.severity, sort=opts.sort)
     return ScanResult(findings, files.select("path", "status", "reason"))

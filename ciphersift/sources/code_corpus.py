@@ -22,7 +22,7 @@ TEMPLATES: list[tuple[str, str]] = [
     ("vendor/lib{k}/skip.go", 'package v\nimport "crypto/md5"\nvar _ = md5.New()\n'),
     ("docs/notes{k}.txt", "uses md5 somewhere\nand sha-256 elsewhere for item {k}\n"),
     ("src/svc{k}/sup.go", 'package a\nimport ("crypto/md5"; "crypto/sha1")\nvar _ = md5.New()\n'
-                          'var _ = sha1.New() // cephalote:ignore weak-hash-sha1\n'),
+                          'var _ = sha1.New() // ciphersift:ignore weak-hash-sha1\n'),
     ("skip/x{k}.go", 'package s\nimport "crypto/md5"\nvar _ = md5.New()\n'),
     ("src/svc{k}/xor.txt", "call xor_encrypt(data{k}) here\nXOR_ENCRYPT is case sensitive\n"),
     ("src/svc{k}/main.go",
@@ -56,14 +56,14 @@ TEMPLATES: list[tuple[str, str]] = [
      "import random\nimport hashlib\nfrom Crypto.Cipher import DES, ARC4 as stream\n"
      "from cryptography.hazmat.primitives import hashes\n"
      "v = random(1).random\nw = x[0].DES.new(k)\nz = DES[0].new(k)\nh = hashlib.new('SHA')\n"
-     "r = RSA.generate(0x400, 1024)\nq = random.choice(a)  # cephalote:ignore\nrandom.randint(1, {k})\n"
+     "r = RSA.generate(0x400, 1024)\nq = random.choice(a)  # ciphersift:ignore\nrandom.randint(1, {k})\n"
      "s = stream(key)\nd = hashes.MD5()\ns2 = 'hashlib.md5(x)'\n"
      "from hashlib \\\n    import sha1 as s1\nh1 = s1(b'{k}')\nr2 = x.random()(1).random\n"),
     ("src/svc{k}/edge.go",
      'package e\n\nimport (\n\t"crypto/rsa"\n\t"math/rand/v2"\n\tmr "math/rand"\n\t"crypto/sha1"\n)\n\n'
      'func f(r io.Reader) {\n\trsa.GenerateKey(r, 0x400)\n\trand.IntN(3)\n'
-     '\ts := "md5.New() in a string {k}"\n\t// cephalote:ignore\n\tmr.Intn(5)\n'
-     '\tsha1.Sum(nil) // cephalote:ignore because legacy\n\t/* des.NewCipher(k) in a comment */\n'
+     '\ts := "md5.New() in a string {k}"\n\t// ciphersift:ignore\n\tmr.Intn(5)\n'
+     '\tsha1.Sum(nil) // ciphersift:ignore because legacy\n\t/* des.NewCipher(k) in a comment */\n'
      '\tx.aes.NewCipher(k)\n\tsha1.\n\t\tSum(nil)\n}\n'),
     (".git/hooks{k}.py", "import hashlib\nhashlib.md5()\n"),
     ("src/svc{k}/Makefile", "#!/usr/bin/make -f\nhash:\n\tmd5sum file{k}\n"),

@@ -7,8 +7,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .catalog import DEFAULT_MAX_FILE_BYTES
-
 CORPUS_COLUMNS = ("path", "content", "length")
 
 # text tables of the test data set and how their rows map to virtual files
@@ -46,13 +44,14 @@ def from_rows(df: DataFrame, path: Column, content: Column) -> DataFrame:
         .withColumn("length", F.octet_length("content").cast("long"))
 
 
-def file_tree_corpus(spark: SparkSession, root: str, max_file_bytes: int = DEFAULT_MAX_FILE_BYTES,
+def file_tree_corpus(spark: SparkSession, root: str, max_file_bytes: int | None = None,
                      path_glob: str | None = None) -> DataFrame:
     """A directory tree read by the ``binaryFile`` source.
 
-    Two scans of the same listing: one carries only ``path``/``length`` for
-    files over the size cap (their bytes are never read, the ``length``
-    filter is pushed into the source), the other the content of the rest.
+    Every file is read unless ``max_file_bytes`` is given (give the scan the
+    same value, see ``ScanOptions.max_file_bytes``).  Then one scan carries
+    only ``path``/``length`` of the larger files (their bytes are never read,
+    the ``length`` filter is pushed into the source), the other the content of the rest.
     Spark's file index hides names starting with ``.`` or ``_``; feed a
     manifest through :func:`from_rows` when those must be scanned too.
     """
@@ -60,6 +59,8 @@ def file_tree_corpus(spark: SparkSession, root: str, max_file_bytes: int = DEFAU
     if path_glob:
         r = r.option("pathGlobFilter", path_glob)
     raw = r.load(root)  # one relation, one listing; both branches below share it
+    if max_file_bytes is None:
+        return raw.select("path", F.col("content").cast("string").alias("content"), "length")
     small = raw.where(F.col("length") <= max_file_bytes) \
         .select("path", F.col("content").cast("string").alias("content"), "length")
     large = raw.where(F.col("length") > max_file_bytes) \
@@ -67,15 +68,16 @@ def file_tree_corpus(spark: SparkSession, root: str, max_file_bytes: int = DEFAU
     return small.unionByName(large)
 
 
-def manifest_corpus(paths: DataFrame, max_file_bytes: int = DEFAULT_MAX_FILE_BYTES, path_col: str = "path"
+def manifest_corpus(paths: DataFrame, max_file_bytes: int | None = None, path_col: str = "path"
                     ) -> DataFrame:
     """S1 with exact path parity: a DataFrame of file paths (e.g. a listing
     table) read on the executors, so names starting with ``.`` or ``_``,
     which Spark's file index hides, are scanned too.
 
     Each task stats and reads its own files (Arrow batches, no driver
-    round trip); files over the cap are reported with their length but not
-    read.  Unreadable paths come back with a NULL length (an error)."""
+    round trip); with ``max_file_bytes``, larger files are reported with their
+    length but not read.  Unreadable paths come back without content, which
+    the scan reports as an error."""
     import os
 
     def read(batches):
@@ -87,7 +89,7 @@ def manifest_corpus(paths: DataFrame, max_file_bytes: int = DEFAULT_MAX_FILE_BYT
                 try:
                     size = os.stat(local).st_size
                     data = None
-                    if size <= max_file_bytes:
+                    if max_file_bytes is None or size <= max_file_bytes:
                         with open(local, "rb") as fh:
                             data = fh.read()
                     lengths.append(size)

@@ -33,7 +33,7 @@ def test_routing_and_filtering(spark, corpus):
 def test_suppression_exclude_override(spark, corpus):
     c = corpus({
         "a.go": 'package a\nimport ("crypto/md5"; "crypto/sha1")\nvar _ = md5.New()\n'
-                'var _ = sha1.New() // cephalote:ignore weak-hash-sha1\n',
+                'var _ = sha1.New() // ciphersift:ignore weak-hash-sha1\n',
         "skip/x.go": 'package s\nimport "crypto/md5"\nvar _ = md5.New()\n',
     })
     cfg = {"exclude": ["skip/**"], "rules": {"severity": {"weak-hash-md5": "low"}}}
@@ -176,8 +176,8 @@ def test_regex_dialect_edges(spark, corpus):
 
 
 def test_directive_variants(spark, corpus):
-    src = ("a md5\nb md5 // cephalote:ignore\nc md5\nd md5 // cephalote:ignore because legacy\n"
-           "e md5 # cephalote:ignore scheme:sha1,scheme:md5\nf md5 // cephalote:ignore all\n")
+    src = ("a md5\nb md5 // ciphersift:ignore\nc md5\nd md5 // ciphersift:ignore because legacy\n"
+           "e md5 # ciphersift:ignore scheme:sha1,scheme:md5\nf md5 // ciphersift:ignore all\n")
     f = scan(spark, corpus({"s.txt": src}), ScanOptions(include_unknown=True)).findings
     assert [r.line for r in f.collect()] == [1, 4]
 
@@ -192,13 +192,34 @@ def test_file_status(spark, corpus):
     assert st["bin.dat"] == ("skipped", "binary")
     assert st["n.txt"] == ("skipped", "unknown language")
     assert st["big.txt"][0] == "skipped"
-    r2 = scan(spark, c)
+    r2 = scan(spark, c, ScanOptions(max_line_bytes=1 << 20))
     st2 = {row.path: (row.status, row.reason) for row in r2.file_status.collect()}
     assert st2["long.c"] == ("error", "line too long")
     assert st2["empty.c"] == ("scanned", None)
     assert r2.findings.where("file = 'long.c'").count() == 0
 
 
+def test_nothing_is_capped_by_default(spark, corpus):
+    """Large files, long lines and long first lines are scanned; what could not be read is an error."""
+    pad = "z" * (6 << 20)
+    c = corpus({"huge.c": pad + "\nmd5\n", "one_line.js": pad + " md5", "late.c": "md5\n" + "z" * 9000 + "\u0000",
+                "long_shebang": "#!/usr/bin/env " + "-x " * 40_000 + "python3\nmd5\n", "lost.c": None})
+    r = scan(spark, c)
+    st = {row.path: (row.status, row.reason) for row in r.file_status.collect()}
+    assert st["huge.c"] == st["one_line.js"] == st["long_shebang"] == ("scanned", None)
+    assert st["late.c"] == ("skipped", "binary") and st["lost.c"] == ("error", "unreadable")
+    assert {f.file for f in r.findings.collect()} == {"huge.c", "one_line.js"}
+    r = scan(spark, c, ScanOptions(skip_binary=False))
+    assert {f.file for f in r.findings.collect()} == {"huge.c", "one_line.js", "late.c"}
+    assert r.counts()["error"] == 1
+
+
+def test_suppression_marker_is_an_option(spark, corpus):
+    c = corpus({"s.txt": "a md5 // quiet\nb\nc md5 // ciphersift:ignore\n"})
+    lines = lambda **o: [f.line for f in scan(spark, c, ScanOptions(include_unknown=True, **o)).findings.collect()]
+    assert lines() == [1] and lines(marker="quiet") == [3]
+
+
 def test_language_detection(spark, corpus):
     from ciphersift.plans.scan import _config, classified_corpus
     c = corpus({"a/b/main.go": "", "x.py": "", "x.js": "", "x.unknownext": "", "Makefile": "",
@@ -248,3 +269,11 @@ def test_search_mode_option_rules(spark, corpus):
     # an explicit option beats the config
     f = scan(spark, c, ScanOptions(config=cfg, include_unknown=False)).findings
     assert rows(f, "file") == [("m.go",)]
+
+
+def test_python_definitions_are_not_calls(spark, corpus):
+    """A definition, a method or a statement that begins with a parenthesis calls nothing."""
+    src = ("from hashlib import md5\ndef md5(x):\n    pass\nclass md5(object):\n    def md5(self):\n        pass\n"
+           "x = md5\n(y)\nz = md5(b)\n")
+    f = scan(spark, corpus({"a.py": src})).findings
+    assert [(r.rule_id, r.line) for r in f.collect()] == [("weak-hash-md5", 9)]
