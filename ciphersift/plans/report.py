@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import sarif_level, severity_rank
@@ -55,14 +55,20 @@ def has_findings(findings: DataFrame) -> bool:
 def rules_fired(findings: DataFrame) -> DataFrame:
     """A5: each rule once, with its first finding in report order."""
     first = F.min(F.struct("file", "line", "column"))
-    return findings.groupBy("rule_id").agg(first.alias("f"), F.min("title").alias("title")) \
+    return findings.groupBy("rule_id").agg(first.alias("f"), F.min_by("title", F.struct(*ORDER)).alias("title")) \
         .select("rule_id", "title", F.col("f.file").alias("first_file"), F.col("f.line").alias("first_line"),
                 F.col("f.column").alias("first_column"))
 
 
+def _numbered(findings: DataFrame) -> DataFrame:
+    """``nth``: 1, 2, ... among findings with one report key (a custom scheme may repeat a built-in one)."""
+    rest = ("title", "description", "severity", "confidence", "remediation", "snippet")
+    return findings.withColumn("nth", F.row_number().over(Window.partitionBy(*ORDER).orderBy(*rest)))
+
+
 def text_report_lines(findings: DataFrame) -> DataFrame:
     """K4: report lines keyed by the finding order (k = 0 header, 1 snippet,
-    2 fix)."""
+    2 fix; 3 more for each further finding of the same key)."""
     header = F.format_string("%s:%d:%d %s [%s] %s (%s)", "file", "line", "column", "severity", "rule_id", "title",
                              "confidence")
     parts = F.array(
@@ -71,8 +77,8 @@ def text_report_lines(findings: DataFrame) -> DataFrame:
         F.when(F.col("remediation") != "",
                F.struct(F.lit(2).alias("k"), F.concat(F.lit("    fix: "), "remediation").alias("text"))),
     )
-    return findings.select(*ORDER, F.explode(F.filter(parts, lambda p: p.isNotNull())).alias("p")) \
-        .select(*ORDER, "p.k", "p.text")
+    return _numbered(findings).select(*ORDER, "nth", F.explode(F.filter(parts, lambda p: p.isNotNull())).alias("p")) \
+        .select(*ORDER, (F.col("p.k") + (F.col("nth") - 1) * 3).alias("k"), "p.text")
 
 
 def _omit_empty(c: Column, empty) -> Column:
@@ -93,7 +99,8 @@ def _with_first_flag(findings: DataFrame) -> DataFrame:
     separators.  The first key is a scalar subquery of the same plan (no
     driver round trip; shared exchanges are reused)."""
     first = findings.agg(F.min(F.struct(*ORDER)).alias("first")).scalar()
-    return findings.withColumn("is_first", F.coalesce(F.struct(*ORDER) == first, F.lit(False)))
+    return _numbered(findings).withColumn(
+        "is_first", F.coalesce((F.struct(*ORDER) == first) & (F.col("nth") == 1), F.lit(False)))
 
 
 def json_report_fragments(findings: DataFrame, files_scanned: int, files_skipped: int,
@@ -139,9 +146,8 @@ def sarif_fragments(findings: DataFrame) -> DataFrame:
     mid = ']}},"results":['
     tail = "]}]}"
     rules = sarif_rule_fragments(findings)
-    rules = _with_first_flag(rules.withColumn("file", F.col("first.file")).withColumn("line", F.col("first.line"))
-                             .withColumn("column", F.col("first.column"))
-                             .withColumn("rule_id", F.col("first.rule_id")))
+    rules = rules.select("first", "rule", "first.*")
+    rules = rules.withColumn("is_first", F.struct(*ORDER) == rules.agg(F.min(F.struct(*ORDER))).scalar())
     rules = rules.select(
         F.lit(1).alias("part"), F.col("first.file").alias("file"), F.col("first.line").alias("line"),
         F.col("first.column").alias("column"), F.col("first.rule_id").alias("rule_id"),
@@ -166,7 +172,12 @@ def sarif_fragments(findings: DataFrame) -> DataFrame:
 def write_document(fragments: DataFrame, path: str) -> None:
     """Write fragments in document order as text part files; their
     concatenation in file-name order is the document."""
-    fragments.orderBy("part", *ORDER).select("text").write.mode("overwrite").text(path)
+    in_order(fragments).select("text").write.mode("overwrite").text(path)
+
+
+def in_order(fragments: DataFrame) -> DataFrame:
+    """Document order; of fragments with one key, the one without a separator comes first."""
+    return fragments.orderBy("part", *ORDER, F.col("text").startswith(","), "text")
 
 
 def write_findings(findings: DataFrame, path: str, partition_by_severity: bool = False) -> None:

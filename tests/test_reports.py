@@ -19,7 +19,7 @@ def _result(spark, corpus):
 
 
 def _document(fragments):
-    rows = fragments.orderBy("part", *R.ORDER).select("text").collect()
+    rows = R.in_order(fragments).select("text").collect()
     return "".join(r.text for r in rows)
 
 
@@ -153,3 +153,18 @@ def test_render_formats(spark, corpus):
     assert read(os.path.join(base, "t")).splitlines()[-1] == "Scanned 2 files (1 skipped); 2 finding(s): high=2"
     with pytest.raises(UnknownFormat):
         render(res, "xml", os.path.join(base, "x"))
+
+
+def test_repeated_keys_make_valid_documents(spark, corpus):
+    """A custom scheme named like a built-in one gives two findings with one report key."""
+    cfg = {"custom_schemes": [{"id": "md5", "pattern": "md5", "title": "own"}]}
+    res = scan(spark, corpus({"b.txt": "md5 here\nmd5\n"}), ScanOptions(include_unknown=True, config=cfg))
+    assert res.findings.count() == 4
+    doc = json.loads(_document(R.json_report_fragments(res.findings, 1, 0)))
+    assert len(doc["findings"]) == 4
+    sarif = json.loads(_document(R.sarif_fragments(res.findings)))
+    assert len(sarif["runs"][0]["results"]) == 4
+    lines = [r.text for r in R.text_report_lines(res.findings).orderBy(*R.ORDER, "k").collect()]
+    assert [x.startswith("b.txt") for x in lines].count(True) == 4 and lines[0].startswith("b.txt")
+    for a, b in zip(lines, lines[1:]):
+        assert not (a.startswith("    fix:") and b.startswith("    fix:"))
