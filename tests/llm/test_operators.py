@@ -164,6 +164,22 @@ def test_decontamination_recall_of_edited_copies():
     assert np.mean([any(f[0] == i for f in x) for i, x in enumerate(found)]) >= 0.9
 
 
+@pytest.mark.parametrize("n", [100, 101, 400, 800])
+def test_decontamination_recall_of_long_items(n):
+    rnd = random.Random(n)
+    names = [f"w{i}" for i in range(2000)]
+    index = decontam.Index([(i, " ".join(rnd.choices(names, k=n))) for i in range(60)]).open()
+    rng, back = np.random.default_rng(2), {k: w.decode() for w, k in index.vocabulary.items()}
+    texts = []
+    for x in index.items:
+        y = decontam.edited(x, decontam.most_edits(n), rng)
+        texts.append(" ".join([*rnd.choices(names, k=50), *(back.get(int(s), "zzq") for s in y), *rnd.choices(names, k=50)]))
+    found = index.leaks(texts)
+    assert np.mean([any(f[0] == i and f[3] <= 0.2 * n for f in x) for i, x in enumerate(found)]) >= 0.9
+    half = [" ".join(back[int(s)] for s in x[:n // 2]) for x in index.items]  # a found piece alone is no leak
+    assert not any(index.leaks(half))
+
+
 # --- 3 ---------------------------------------------------------------------------------------------------------
 
 PAGE = ("<!DOCTYPE html><html><head><title>No</title><style>p{}</style><script>var t='</p>';</script></head><body>"
