@@ -6,7 +6,8 @@ linear scan finds the contiguous region with the largest sum.  The weights come
 from labelled pages: pages that mark their own content with an ``article`` or
 ``main`` element.  What a region's element encloses is taken as a whole, and
 elements that are never part of an article (menus, forms, adverts, comments,
-scripts, ...) are left out of it.
+scripts, ...) are left out of it: by their element, class, role or hiding
+attributes, and outside a content element by their id.
 
 Defined results: null or empty html, and pages without content, give the empty
 text with 0 characters; page ids and urls may be null or repeat, rows are
@@ -46,36 +47,53 @@ AGAINST = frozenset("""ad ads advert adverts advertisement advertising adsense b
     popup modal overlay newsletter subscribe subscription signup login comment comments commentlist disqus reply replies
     respond discussion share sharing social related recommended recommendations pagination pager toolbar search form
     hidden copyright legal""".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 FOR = frozenset("article articlebody main content post entry story maincontent postcontent".split())
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
                  r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?",
-                       re.I)
+#: A whole attribute, with its value, or a stray quoted string: what a value holds is no attribute.
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s>]+)))?"
+                       r"|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z)")
 NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 WEIGHT = 2.0  # the largest weight of one element around a word
 
 
-def names_of(tag: str, attributes: str) -> tuple[tuple[str, ...], bool]:
-    """The names an element goes by in the weights, and whether its text is left out of an article."""
+def attributes_of(raw: str) -> dict[str, str]:
+    """Names in lower case and values; the first of a repeated name counts, as in browsers."""
+    out: dict[str, str] = {}
+    for m in ATTRIBUTE.finditer(raw):
+        if m[1]:
+            out.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    return out
+
+
+def name_words(value: str) -> list[str]:
+    parts = (p.lower() for name in value.split() for p in NAME_PART.findall(name))
+    return [f".{p}" for p in parts if not p.isdigit()]
+
+
+def names_of(tag: str, attributes: str, inside: bool = False) -> tuple[tuple[str, ...], bool]:
+    """The names an element goes by in the weights, and whether its text is left out of an article.
+
+    Ids of headings, and of all elements inside a content element, are mostly made from their words: they enter
+    the weights, but leave nothing out.
+    """
     names, dropped = [], tag in DROPPED
     if tag not in ("div", "span", "section", "p", "body", "html", "td", "tr", "table"):
         names.append(tag)
-    if attributes and ("=" in attributes or "hidden" in attributes):
-        for m in ATTRIBUTE.finditer(attributes):
-            key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-            if key == "style":
-                dropped |= "display:none" in value.replace(" ", "").lower()
-            elif key == "hidden":
-                dropped = True
-            elif key == "aria-hidden":
-                dropped |= value.lower() == "true"
-            else:
-                for name in value.split():
-                    parts = [p.lower() for p in NAME_PART.findall(name)]
-                    names += [f".{p}" for p in parts if not p.isdigit()]
+    telling: list[str] = []
+    if attributes and not attributes.isspace():
+        given = attributes_of(attributes)
+        dropped |= "display:none" in "".join(given.get("style", "").lower().split())
+        dropped |= "hidden" in given or given.get("aria-hidden", "").strip().lower() == "true"
+        for key, value in given.items():
+            if key in ("class", "id", "role"):
+                names += (words := name_words(value))
+                if key != "id" or not (inside or tag in HEADINGS):
+                    telling += words
     if tag not in CONTENT and tag not in ("html", "body"):
-        dropped |= any(n[1:] in AGAINST for n in names if n[0] == ".") and not any(n[1:] in FOR for n in names)
+        dropped |= any(n[1:] in AGAINST for n in telling) and not any(n[1:] in FOR for n in names if n[0] == ".")
     return tuple(names), dropped
 
 
@@ -121,7 +139,7 @@ def pieces(page: str) -> list[Piece]:
                 names, dropped, content = stack[-1][1:] if stack else ((), False, 0)
             out.append(Piece("", tag, names, dropped, block, content))
             continue
-        own, drop = names_of(tag, m[3])
+        own, drop = names_of(tag, m[3], content > 0)
         out.append(Piece("", tag, names + own, dropped or drop, block, content))
         if tag in VOID or m[3].endswith("/") and tag not in BLOCK:
             continue

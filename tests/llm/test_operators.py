@@ -202,6 +202,26 @@ def test_html_main_text(spark):
     assert html_extract.extract_pages(df.limit(0)).count() == 0
 
 
+def test_html_attributes_and_ids_inside_an_article():
+    kept = ['<a href="/hidden-gems">%s</a>', '<p title="the hidden truth">%s</p>', '<section data-state="not-hidden">%s</section>',
+            '<a href="?id=comments">%s</a>', "<p data-x='class=ad id=nav hidden'>%s</p>", '<h2 id="related-work">%s</h2>',
+            '<h2 id="search-methods">%s</h2>', '<section id="legal-history"><p>%s</p></section>', '<p class="a" class="ad">%s</p>',
+            '<a href=/hidden/id=nav>%s</a>', '<p data-hidden aria-hidden=false>%s</p>']
+    left = ['<p hidden>%s</p>', '<p HIDDEN>%s</p>', '<p title="a" hidden="">%s</p>', "<p aria-hidden='true'>%s</p>",
+            '<p style="color: red; display : none">%s</p>', '<div class="related">%s</div>', '<div role=navigation>%s</div>',
+            '<nav>%s</nav>', '<DIV CLASS="ad">%s</DIV>']
+    weights = html_extract.weights_of({})
+    for frame in ("<body><p>%s</p><article>%s</article></body>", "<body><p>%s</p><main>%s</main></body>"):
+        for form in kept:
+            got = html_extract.main_text(frame % ("", f"<p>{prose(1, 40)}</p>" + form % "inner words"), weights)
+            assert "inner words" in got, form
+        for form in left:
+            got = html_extract.main_text(frame % ("", f"<p>{prose(1, 40)}</p>" + form % "inner words"), weights)
+            assert got == prose(1, 40), form
+    page = f'<body><div id="sidebar">side words</div><div id="content"><p>{prose(2, 40)}</p><h2 id="related-work">Head</h2><p>{prose(1, 40)}</p></div></body>'
+    assert html_extract.main_text(page, weights) == f"{prose(2, 40)}\n\nHead\n\n{prose(1, 40)}"
+
+
 def test_html_region_is_maximal():
     """The linear scan equals the best of all contiguous sums."""
     rnd = random.Random(5)
