@@ -10,9 +10,11 @@ distance is within that bound is provably done and leaves; the others go on.
 
 Tables hold distinct codes, with the ``k`` least ids of each, so a vector that
 many rows share is one entry.  Entries and probes of one table value meet in one
-task; a task hands on at most ``k`` codes per query, and the first of equal
-distances are those with the least ids.  Probes are dealt out as rows, never as
-pairs of all queries and all codes.
+task, unless it has more than ``HEAVY`` entries: these are dealt to several salts,
+and its probes are copied to each.  A task compares at most ``PAIRS`` pairs (or one
+probe's entries) at a time and hands on at most ``k`` codes per query and chunk; the
+first of equal distances are those with the least ids.  Probes are dealt out as
+rows, never as pairs of all queries and all codes.
 
 Defined results: rows without a code (null or empty vectors, vectors with a
 null) are neither found nor searched for, null ids neither; codes are compared
@@ -39,6 +41,9 @@ K = 10
 QUERY_EVERY = 50    # rows whose id is divisible by this are queries
 SALTS = 64          # parts that the rows of one code are dealt to before its least ids are known
 CHUNK = 100_000     # rows of entries and probes that are joined at a time
+HEAVY = 16_384      # entries of one table value, above which they are dealt to several salts
+PAIRS = 1_000_000   # pairs of a probe and an entry that are compared at a time
+MANY = 256          # entries of a probe, above which those past its kth distance are cut before the sort
 
 
 def sign_codes(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -125,42 +130,67 @@ def probes_of(bounds: list[int], radius: int):
     return run
 
 
+def groups_of(batch: pa.RecordBatch) -> np.ndarray:
+    """Numbers of the (key, salt) groups of sorted rows."""
+    key, salt = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+    return np.cumsum(np.r_[False, (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])])
+
+
 def meet(k: int):
-    """Of rows sorted by key and kind: per query, the ``k`` best codes that its probes met in this chunk."""
+    """Of rows sorted by key, salt and kind: per query, the ``k`` best codes that its probes met in this chunk."""
     def joined(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        key, kind = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        group, kind = groups_of(batch), batch.column(2).to_numpy()
         entry, probe = np.flatnonzero(kind == 0), np.flatnonzero(kind == 1)
-        if not len(entry) or not len(probe):
-            return None
-        a = np.searchsorted(key[entry], key[probe], "left")
-        n = np.searchsorted(key[entry], key[probe], "right") - a
-        if not n.sum():
-            return None
-        q = np.repeat(probe, n)
-        c = entry[np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum())]
-        words = as_bytes(batch.column(2)).view(np.uint64)
-        distance = np.zeros(len(q), np.int64)
-        for w in range(words.shape[1]):
-            distance += np.bitwise_count(words[q, w] ^ words[c, w])
-        worst = batch.column(3).to_numpy()
-        near = distance <= worst[q]
-        q, c, distance = q[near], c[near], distance[near]
-        if not len(q):
+        a = np.searchsorted(group[entry], group[probe], "left")
+        n = np.searchsorted(group[entry], group[probe], "right") - a
+        probe, a, n = probe[n > 0], a[n > 0], n[n > 0]
+        if not len(probe):
             return None
+        code, worst = batch.column(3), batch.column(4).to_numpy()
+        words = as_bytes(code).view(np.uint64)
         # queries by their codes: a query's probes are several rows
         name = np.unique(words, axis=0, return_inverse=True)[1].ravel()
-        order = np.lexsort((name[c], worst[c], distance, name[q]))
-        q, c, distance = q[order], c[order], distance[order]
-        first = np.r_[True, (name[q][1:] != name[q][:-1]) | (name[c][1:] != name[c][:-1])]
-        q, c, distance = q[first], c[first], distance[first]
-        head = np.flatnonzero(np.r_[True, name[q][1:] != name[q][:-1]])
-        rank = np.arange(len(q)) - np.repeat(head, np.diff(np.r_[head, len(q)]))
-        kept = rank < k
-        code = batch.column(2)
+
+        def best(q: np.ndarray, c: np.ndarray, distance: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            order = np.lexsort((name[c], worst[c], distance, name[q]))
+            q, c, distance = q[order], c[order], distance[order]
+            first = np.r_[True, (name[q][1:] != name[q][:-1]) | (name[c][1:] != name[c][:-1])][:len(q)]
+            q, c, distance = q[first], c[first], distance[first]
+            head = np.flatnonzero(np.r_[True, name[q][1:] != name[q][:-1]][:len(q)])
+            rank = np.arange(len(q)) - np.repeat(head, np.diff(np.r_[head, len(q)]))
+            return q[rank < k], c[rank < k], distance[rank < k]
+
+        def compared(probe: np.ndarray, a: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            own = np.repeat(np.arange(len(probe)), n)
+            q = probe[own]
+            c = entry[np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum())]
+            distance = np.zeros(len(q), np.int64)
+            for w in range(words.shape[1]):
+                distance += np.bitwise_count(words[q, w] ^ words[c, w])
+            near = distance <= worst[q]
+            many = np.flatnonzero(n > max(MANY, k))
+            if len(many):  # a probe's entries are distinct codes, so those past its kth distance are not among its best
+                bits = 64 * words.shape[1] + 1
+                place = np.full(len(probe), -1)
+                place[many] = np.arange(len(many))
+                at = place[own]
+                held = at >= 0
+                counts = np.bincount(at[held] * bits + distance[held], minlength=len(many) * bits).reshape(len(many), bits)
+                kth = np.full(len(probe), bits)
+                kth[many] = (np.cumsum(counts, 1) >= k).argmax(1)
+                near &= distance <= kth[own]
+            return best(q[near], c[near], distance[near])
+
+        # a block ends before the probe that would bring it over PAIRS
+        block = np.cumsum(n) // PAIRS
+        cuts = [*np.flatnonzero(np.r_[True, block[1:] != block[:-1]]).tolist(), len(probe)]
+        found = [compared(probe[i:j], a[i:j], n[i:j]) for i, j in zip(cuts, cuts[1:])]
+        q, c, distance = found[0] if len(found) == 1 else best(*map(np.concatenate, zip(*found)))
+        if not len(q):
+            return None
         return pa.RecordBatch.from_arrays(
-            [code.take(pa.array(q[kept])), code.take(pa.array(c[kept])), pa.array(distance[kept]),
-             batch.column(3).take(pa.array(c[kept])), batch.column(4).take(pa.array(c[kept]))],
-            ["query", "code", "distance", "least", "n"])
+            [code.take(pa.array(q)), code.take(pa.array(c)), pa.array(distance), batch.column(4).take(pa.array(c)),
+             batch.column(5).take(pa.array(c))], ["query", "code", "distance", "least", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -174,14 +204,20 @@ def meet(k: int):
                 continue
             held.append(batch)
             rows += batch.num_rows
-            if rows >= CHUNK:  # all but the last entry, which may go on
+            if rows >= CHUNK:  # all but the last group, which may go on; of a group alone its entries stay for later probes
                 chunk = whole()
-                key = chunk.column(0).to_numpy()
-                cut = int(np.searchsorted(key, key[-1], "left"))
+                group = groups_of(chunk)
+                cut = int(np.searchsorted(group, group[-1], "left"))
+                n_entries = int((chunk.column(2).to_numpy() == 0).sum())
                 if cut:
-                    if (out := joined(chunk.slice(0, cut))) is not None:
-                        yield out
-                    held, rows = [chunk.slice(cut)], chunk.num_rows - cut
+                    done, kept = chunk.slice(0, cut), chunk.slice(cut)
+                elif n_entries < chunk.num_rows:
+                    done, kept = chunk, chunk.slice(0, n_entries)
+                else:
+                    continue
+                if (out := joined(done)) is not None:
+                    yield out
+                held, rows = [kept] if kept.num_rows else [], kept.num_rows
         if held and (out := joined(whole())) is not None:
             yield out
     return run
@@ -191,6 +227,14 @@ MET = "query binary, code binary, distance bigint, least bigint, n bigint"
 ROW = "key bigint, kind int, code binary, least bigint, n bigint"
 
 
+def salted(rows: DataFrame, heavy: DataFrame, copied: bool) -> DataFrame:
+    """Rows with their salt: an entry of a heavy key has one of its salts, a probe is copied to all of them."""
+    salts = F.coalesce("salts", F.lit(1).cast("bigint"))
+    salt = F.explode(F.sequence(F.lit(0).cast("bigint"), salts - 1)) if copied else F.pmod(F.xxhash64("code"), salts)
+    # a key is heavy by its many entries, so heavy keys are few against the entries
+    return rows.join(F.broadcast(heavy), "key", "left").select("key", salt.alias("salt"), "kind", "code", "least", "n")
+
+
 def search_length(index: DataFrame, queries: DataFrame, bits: int, n: int, k: int) -> DataFrame:
     """(query, code, distance) with the ``k`` nearest ids of each query code among codes of one length."""
     spark = index.sparkSession
@@ -198,13 +242,15 @@ def search_length(index: DataFrame, queries: DataFrame, bits: int, n: int, k: in
     m, widest = len(bounds) - 1, max(b - a for a, b in zip(bounds, bounds[1:]))
     entries = written(index.select("code", F.element_at("ids", 1).alias("least"), F.size("ids").cast("bigint").alias("n"))
                       .mapInArrow(entries_of(bounds), ROW), "topk-entries")
+    heavy = written(entries.groupBy("key").count().filter(F.col("count") > HEAVY)
+                    .select("key", F.ceil(F.col("count") / HEAVY).cast("bigint").alias("salts")), "topk-heavy")
     active = queries.select("code", F.lit(bits).cast("bigint").alias("worst"))
     state = spark.createDataFrame([], MET)
     done, path = [], None
     for radius in range(widest + 1):
         probes = active.mapInArrow(probes_of(bounds, radius), ROW)
-        met = (entries.union(probes).repartition("key").sortWithinPartitions("key", "kind")
-               .mapInArrow(meet(k), MET))
+        met = (salted(entries, heavy, False).union(salted(probes, heavy, True)).repartition("key", "salt")
+               .sortWithinPartitions("key", "salt", "kind").mapInArrow(meet(k), MET))
         by_query = Window.partitionBy("query").orderBy("distance", "least", "code")
         # at most k codes of a query come from the state and from each task
         best = (state.union(met).distinct().withColumn("rank", F.row_number().over(by_query)).filter(F.col("rank") <= k)

@@ -3,10 +3,12 @@
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -485,6 +487,43 @@ def test_top_k_brute_force(spark, bits, n, k):
     assert sorted(map(tuple, got)) == sorted(want)
 
 
+def test_top_k_common_segment(spark, monkeypatch):
+    """Half of the codes share a segment value: salted, in blocks and in chunks, the result is the same."""
+    for name, value in (("HEAVY", 20), ("CHUNK", 50), ("PAIRS", 100), ("MANY", 12)):
+        monkeypatch.setattr(topk, name, value, raising=False)
+    rng = np.random.default_rng(4)
+    n, k = 300, 5
+    codes = rng.integers(0, 256, (n, 8), dtype=np.uint8)
+    codes[: n // 2, :4] = 7
+    codes[10:16] = codes[10]
+    df = spark.createDataFrame([(i, codes[i].tobytes()) for i in range(n)], "id bigint, code binary")
+    got = topk.exact_top_k(df, df.filter("id % 3 = 0"), k).collect()
+    want = []
+    for q in range(0, n, 3):
+        best = sorted((int(np.bitwise_count(codes[q] ^ codes[i]).sum()), i) for i in range(n))[:k]
+        want += [(q, i, d, r + 1) for r, (d, i) in enumerate(best)]
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_top_k_memory_of_a_common_segment():
+    """A task's arrays do not grow with all pairs of a group's probes and entries."""
+    rng = np.random.default_rng(5)
+    n_entries, n_probes = 10_000, 1_000
+    n = n_entries + n_probes
+    kind = np.r_[np.zeros(n_entries, np.int32), np.ones(n_probes, np.int32)]
+    columns = {"key": np.zeros(n, np.int64), "salt": np.zeros(n, np.int64), "kind": kind,
+               "code": [x.tobytes() for x in rng.integers(0, 256, (n, 8), dtype=np.uint8)],
+               "least": np.where(kind == 0, np.arange(n), 64), "n": np.ones(n, np.int64)}
+    names = ["key", "salt", "kind", "code", "least", "n"] if hasattr(topk, "HEAVY") else ["key", "kind", "code", "least", "n"]
+    batch = pa.RecordBatch.from_arrays([pa.array(columns[c]) for c in names], names)
+    tracemalloc.start()
+    out = list(topk.meet(10)(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(x.num_rows for x in out) == 10 * n_probes
+    assert peak < 200e6
+
+
 def test_top_k_empty(spark):
     codes = topk.sign_codes(spark.createDataFrame([], "vec_id bigint, embedding array<float>"), "vec_id", "embedding")
     assert topk.exact_top_k(codes, codes).count() == 0
