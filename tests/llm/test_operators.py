@@ -574,6 +574,18 @@ def test_lm_base_and_model(spark, odd):
     assert attention_lm.score_texts(empty, tokenizer_file("piece_bpe_32k.model")).count() == 0
 
 
+@pytest.mark.parametrize("name,value", [("FREQUENT", 5), ("FOLLOWERS", 3)])
+def test_lm_score_has_no_caps(spark, monkeypatch, name, value):
+    """Words beyond the table of frequent words have their unigram, and no pair of ids is left out."""
+    rnd = random.Random(12)
+    new = lambda: " ".join("".join(rnd.choices("bcdfgkqvxz", k=9)) for _ in range(30))  # noqa: E731  held-out rows have words without counts
+    docs = spark.createDataFrame([(i, f"{prose(i, 40)} {new()}") for i in range(40)], "doc_id bigint, text string").coalesce(1)
+    scores = lambda: {r.doc_id: r.score for r in attention_lm.score_texts(docs, tokenizer_file("piece_bpe_32k.model")).collect()}
+    want = scores()
+    monkeypatch.setattr(attention_lm, name, value, raising=False)
+    assert scores() == pytest.approx(want, rel=1e-4)
+
+
 def lm(seed=0):
     words = attention_lm.Words(open(tokenizer_file("piece_bpe_32k.model"), "rb").read())
     counts = np.bincount(np.random.default_rng(seed).integers(0, 400, 5000) + 300, minlength=words.size)
