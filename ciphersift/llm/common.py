@@ -6,6 +6,7 @@ the tokenizer libraries, but not this package on their path.
 
 from __future__ import annotations
 
+import hashlib
 import sys
 import types
 import uuid
@@ -49,6 +50,11 @@ def worker_state(name: str) -> dict:
     return mod.__dict__.setdefault(name, {})
 
 
+def content_name(what: object) -> str:
+    """A name for a worker's cache: equal only for equal contents, whatever ran before in the session."""
+    return hashlib.blake2b(cloudpickle.dumps(what), digest_size=16).hexdigest()
+
+
 def texts(column: pa.ChunkedArray | pa.Array) -> list[str]:
     """Python strings of a column; null counts as the empty text."""
     return ["" if t is None else t for t in column.to_pylist()]

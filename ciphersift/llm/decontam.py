@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ciphersift.llm.common import slices, table, texts, worker_state
+from ciphersift.llm.common import content_name, slices, table, texts, worker_state
 
 EDITS = 0.2          # most edits, as a share of an item's words
 RECALL = 0.95        # target for copies at the largest distance
@@ -308,9 +308,9 @@ def item_blocks(benchmark: DataFrame, block: int = BLOCK) -> Iterator[Index]:
         yield Index([(r.i, r.t) for r in own])
 
 
-def _opened(index: Index) -> Index:
+def _opened(index: Index, token: str) -> Index:
+    """The index made ready for use, once in a worker for each content."""
     state = worker_state("decontam")
-    token = (tuple(index.ids), tuple(len(x) for x in index.items), len(index.vocabulary))
     if state.get("of") != token:
         state.update(of=token, index=index.open())
     return state["index"]
@@ -323,8 +323,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     source = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("__llm_text"))
     out = docs.sparkSession.createDataFrame([], schema)
     for index in item_blocks(benchmark):
-        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            opened = _opened(index)
+        def run(batches: Iterator[pa.RecordBatch], index=index, token=content_name(index)) -> Iterator[pa.RecordBatch]:
+            opened = _opened(index, token)
             for batch in slices(batches, "__llm_text", 1_000_000):
                 found = opened.leaks(texts(batch.column(1)))
                 flat = [(k, *x) for k, rows in enumerate(found) for x in rows]
@@ -345,8 +345,8 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") ->
     columns = docs.columns
     out = docs
     for index in item_blocks(benchmark):
-        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            opened = _opened(index)
+        def run(batches: Iterator[pa.RecordBatch], index=index, token=content_name(index)) -> Iterator[pa.RecordBatch]:
+            opened = _opened(index, token)
             for batch in slices(batches, "__llm_text", 1_000_000):
                 found = opened.leaks(texts(batch.column(len(columns))))
                 clean = pa.array([not x for x in found], pa.bool_())

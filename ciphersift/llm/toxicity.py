@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ciphersift.llm.common import crc_split, slices, table, texts, worker_state, written
+from ciphersift.llm.common import content_name, crc_split, slices, table, texts, worker_state, written
 
 SAMPLE = 3_000         # labelled texts of each class at most
 WINDOW, STRIDE = 32, 16
@@ -342,7 +342,7 @@ def calibration(z: np.ndarray, y: np.ndarray, n_pos: int, n_neg: int, known: Dat
 def logits(docs: DataFrame, net: Network, *keep: str, text_col: str = "text", name: str = "logit") -> DataFrame:
     """(*keep, logit) of every row of ``docs``."""
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    token = str(id(net))
+    token = content_name(net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = worker_state("toxicity")

@@ -644,3 +644,25 @@ def test_lm_gradient():
                 ends.append(loss())
             flat[i] = old
             assert g[name].reshape(-1)[i] == pytest.approx((ends[0] - ends[1]) / 2e-3, rel=0.05, abs=1e-4)
+
+
+# --- worker caches ---------------------------------------------------------------------------------------------
+
+def test_caches_do_not_outlive_their_content(spark):
+    """Two benchmarks of one shape, and several networks in a row, in workers that are used again."""
+    schema = "item_id bigint, text string"
+    items = [" ".join(f"{a}{k}" for k in range(12)) for a in "pq"]
+    docs = spark.createDataFrame([(k, f"before it {x} after it") for k, x in enumerate(items)], SCHEMA.replace(
+        ", lang string, source string, n_chars bigint", "")).coalesce(1)
+    for _ in range(2):
+        for k, item in enumerate(items):
+            found = decontam.find_leaks(docs, spark.createDataFrame([(1, item)], schema)).select("doc_id").collect()
+            assert [r.doc_id for r in found] == [k]
+            assert [r.doc_id for r in decontam.keep_clean(docs, spark.createDataFrame([(1, item)], schema)).collect()] == [1 - k]
+
+    text = spark.createDataFrame([(1, prose(1, 30))], "doc_id bigint, text string").coalesce(1)
+    for seed in range(6):
+        rng = np.random.default_rng(seed)
+        net = toxicity.Network(rng.normal(size=toxicity.WORD_ROWS), rng.normal(size=toxicity.GRAM_ROWS))
+        want = toxicity.Scorer(net).text_logits([prose(1, 30)])[0]
+        assert toxicity.logits(text, net, "doc_id").first().logit == pytest.approx(float(want), rel=1e-6)
