@@ -4,8 +4,14 @@ Tokens of A (byte-level BPE) and of B (SentencePiece) cover the same bytes.  A
 text is divided at a byte offset where a token of A and a token of B both end:
 the common end is looked for near the middle of A's tokens, each try a bisection
 of B's ends, and both halves are divided again.  An interval without such a cut
-is a leaf: a group of tokens that belong together.  All texts of a slice are
-divided together, level by level.
+is a leaf: a group of tokens that belong together.  All intervals of a
+slice are divided together, level by level.
+
+Neither tokenizer puts a single space that has other characters on both sides
+anywhere but at the start of a token, so such a place is a common end of every
+text, and what stands between two of them is encoded and divided once as long as
+a worker remembers it.  A SentencePiece model for which that does not hold (a
+piece with a space inside) has its texts divided whole.
 
 Two tokens are linked when their byte ranges overlap.  How many texts of the
 corpus hold a pair of ids linked is counted in three steps:
@@ -27,6 +33,7 @@ long texts are divided like any other; a task holds one slice of its batch.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import chain
 
@@ -40,7 +47,11 @@ from ciphersift.llm.token_counts import byte_symbols
 
 FREQUENT = 1 << 19         # entries of the table that every task gets
 SUMMED_AT_ONCE = 2_000_000  # distinct pairs that a task holds before it hands them on
-SLICE_BYTES = 1_000_000
+SLICE_BYTES = 4_000_000
+CACHED_CHARS = 6_000_000    # of the parts that a worker remembers
+PARTS_IN_A_LINE = 500
+#: A space between characters that are no white space.
+BETWEEN = re.compile(r" (?<=\S )(?=\S)")
 
 
 class Tokenizers:
@@ -63,20 +74,35 @@ class Tokenizers:
             self.bytes_a[i] = bytes(byte_of[c] for c in entry) if all(c in byte_of for c in entry) else entry.encode()
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode()
                         for i, p in enumerate(map(self.b.id_to_piece, range(self.size_b)))]
+        self.parted = not any("▁" in p.lstrip("▁") for p in map(self.b.id_to_piece, range(self.size_b)))
         self.length_a = np.array([len(x) for x in self.bytes_a], np.int64)
         self.length_b = np.array([len(x) for x in self.bytes_b], np.int64)
 
-    def encoded(self, lines: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids by A and by B of every text; none where the text is empty or not given back by both."""
+    def encoded(self, lines: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(ids of all lines, ids per line) by A and by B; none where a line is empty or not given back by both."""
         batch = getattr(self.a, "encode_batch_fast", self.a.encode_batch)  # the same ids, without offsets
-        ids_a = [x.ids for x in batch([" " + t for t in lines], add_special_tokens=False)]
-        ids_b = self.b.encode(lines, num_threads=1)
-        for k, t in enumerate(lines):
-            line = b" " + t.encode()
-            if (not t or b"".join(map(self.bytes_a.__getitem__, ids_a[k])) != line
-                    or b"".join(map(self.bytes_b.__getitem__, ids_b[k])) != line):
-                ids_a[k], ids_b[k] = [], []
-        return ids_a, ids_b
+        lists_a = [x.ids for x in batch([" " + t for t in lines], add_special_tokens=False)]
+        lists_b = self.b.encode(lines, num_threads=1)
+        spelled = [b" " + t.encode() for t in lines]
+        good = np.fromiter(map(bool, lines), bool, len(lines))
+        for lists, names in ((lists_a, self.bytes_a), (lists_b, self.bytes_b)):
+            good &= np.array([b"".join(map(names.__getitem__, x)) == y for x, y in zip(lists, spelled)], bool)
+        sizes = [np.fromiter(map(len, x), np.int64, len(lines)) for x in (lists_a, lists_b)]
+        ids = [np.fromiter(chain.from_iterable(x), np.int64, n.sum()) for x, n in zip((lists_a, lists_b), sizes)]
+        return [(i[np.repeat(good, n)], n * good) for i, n in zip(ids, sizes)]
+
+    def encoded_parts(self, parts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The same of parts without white space at their ends, encoded as lines of many parts each."""
+        lines = [" ".join(parts[k:k + PARTS_IN_A_LINE]) for k in range(0, len(parts), PARTS_IN_A_LINE)]
+        both = self.encoded(lines)
+        if any((n == 0).any() for _, n in both):
+            return self.encoded(parts)  # some part is not given back: let it not touch the others
+        ends = np.cumsum(np.fromiter((len(p.encode()) for p in parts), np.int64, len(parts)) + 1)
+        out = []
+        for (ids, _), lengths in zip(both, (self.length_a, self.length_b)):
+            stop = np.searchsorted(np.cumsum(lengths[ids]), ends) + 1
+            out.append((ids, np.diff(np.r_[0, stop])))
+        return out
 
 
 def divide(ends_a: np.ndarray, ends_b: np.ndarray, docs: np.ndarray) -> np.ndarray:
@@ -113,37 +139,95 @@ def divide(ends_a: np.ndarray, ends_b: np.ndarray, docs: np.ndarray) -> np.ndarr
 
 
 class Aligner:
-    """Groups and linked id pairs of many texts at a time."""
+    """Groups and linked id pairs of many texts at a time; parts of texts are divided once while they are remembered."""
 
     def __init__(self, model_a: bytes, model_b: bytes):
         self.tok = Tokenizers(model_a, model_b)
         self.names = [f"{i}{mark}" for mark in ",|;" for i in range(max(self.tok.size_a, self.tok.size_b))]
-
-    def aligned(self, lines: list[str]):
-        """Per text: (n_a, n_b, n_groups, n_links, rendered groups); and (text, pair, times) of its distinct id pairs."""
-        tok = self.tok
-        lists_a, lists_b = tok.encoded(lines)
-        n_a = np.array([len(x) for x in lists_a], np.int64)
-        n_b = np.array([len(x) for x in lists_b], np.int64)
-        ids_a = np.fromiter(chain.from_iterable(lists_a), np.int64, n_a.sum())
-        ids_b = np.fromiter(chain.from_iterable(lists_b), np.int64, n_b.sum())
+        self.forget()
+
+    def forget(self) -> None:
+        self.index: dict[str, int] = {}
+        self.groups: list[str] = []                  # rendered, of each part
+        self.numbers = np.zeros((3, 0), np.int64)    # n_a, n_b, n_groups of each part
+        self.starts = np.zeros(1, np.int64)          # where the links of each part begin
+        self.links = np.zeros(0, np.int64)           # id pairs
+        self.uses = np.zeros(0, np.int64)
+        self.chars = 0
+
+    def forget_rare(self) -> None:
+        """Keep the parts that were used more often than half of them."""
+        keep = self.uses > np.median(self.uses)
+        names, groups, uses = list(self.index), self.groups, self.uses
+        numbers, n = self.numbers[:, keep], np.diff(self.starts)
+        links = self.links[np.repeat(keep, n)]
+        self.forget()
+        kept = np.flatnonzero(keep).tolist()
+        self.index = {names[k]: i for i, k in enumerate(kept)}
+        self.groups, self.uses = [groups[k] for k in kept], uses[keep] // 2
+        self.numbers, self.starts, self.links = numbers, np.cumsum(np.r_[0, n[keep]]), links
+        self.chars = sum(map(len, self.index))
+
+    def learn(self, parts: list[str]) -> None:
+        """Encode and divide the parts that are not remembered."""
+        plain = [p for p in parts if p and not (p[0].isspace() or p[-1].isspace())] if self.tok.parted else []
+        odd = list(set(parts).difference(plain))
+        for own, encoded in ((plain, self.tok.encoded_parts), (odd, self.tok.encoded)):
+            if not own:
+                continue
+            numbers, groups, starts, links = self.divided(*encoded(own))
+            self.index.update(zip(own, range(len(self.groups), len(self.groups) + len(own))))
+            self.groups += groups
+            self.numbers = np.concatenate([self.numbers, numbers], axis=1)
+            self.starts = np.concatenate([self.starts, self.starts[-1] + starts[1:]])
+            self.links = np.concatenate([self.links, links])
+            self.uses = np.concatenate([self.uses, np.zeros(len(own), np.int64)])
+            self.chars += sum(map(len, own))
+
+    def divided(self, by_a: tuple[np.ndarray, np.ndarray], by_b: tuple[np.ndarray, np.ndarray]):
+        """Of each line: n_a, n_b and n_groups, its rendered groups, where its links begin; and the id pairs of the links."""
+        tok, (ids_a, n_a), (ids_b, n_b) = self.tok, by_a, by_b
         ends_a, ends_b = np.cumsum(tok.length_a[ids_a]), np.cumsum(tok.length_b[ids_b])
         stop_a, stop_b = np.cumsum(n_a), np.cumsum(n_b)
         spans = np.stack([stop_a - n_a, stop_a, stop_b - n_b, stop_b], axis=1)
-        groups = divide(ends_a, ends_b, spans[n_a > 0])
-        n_groups = np.bincount(np.searchsorted(stop_a, groups[:, 0], side="right"), minlength=len(lines))
-        rendered = self.rendered(ids_a, ids_b, groups, n_a + n_b)
+        found = divide(ends_a, ends_b, spans[n_a > 0])
+        n_groups = np.bincount(np.searchsorted(stop_a, found[:, 0], side="right"), minlength=len(n_a))
         # every piece of bytes between neighbouring ends is one link: of the A token and the B token that hold it
         ends = np.union1d(ends_a, ends_b)
         of_a, of_b = np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends)
-        text = np.searchsorted(stop_a, of_a, side="right")
-        n_links = np.bincount(text, minlength=len(lines))
-        pairs = tok.size_a * tok.size_b
-        distinct, times = np.unique(text * pairs + ids_a[of_a] * tok.size_b + ids_b[of_b], return_counts=True)
-        return (n_a, n_b, n_groups, n_links, rendered), (distinct // pairs, distinct % pairs, times)
+        starts = np.searchsorted(np.searchsorted(stop_a, of_a, side="right"), np.arange(len(n_a) + 1))
+        return (np.stack([n_a, n_b, n_groups]), self.rendered(ids_a, ids_b, found, n_a + n_b), starts,
+                ids_a[of_a] * tok.size_b + ids_b[of_b])
+
+    def aligned(self, lines: list[str]):
+        """Per text: (n_a, n_b, n_groups, n_links, rendered groups); and (text, pair, times) of its distinct id pairs."""
+        if self.chars > CACHED_CHARS:
+            self.forget_rare()
+        parts = [BETWEEN.split(t) if self.tok.parted else [t] for t in lines]
+        if new := list(set(chain.from_iterable(parts)).difference(self.index)):
+            self.learn(new)
+        sizes = np.array([len(x) for x in parts], np.int64)
+        text = np.repeat(np.arange(len(lines)), sizes)
+        codes = list(map(self.index.__getitem__, chain.from_iterable(parts)))
+        part = np.array(codes, np.int64)
+        self.uses += np.bincount(part, minlength=len(self.uses))
+        whole = np.bincount(text[self.numbers[0, part] == 0], minlength=len(lines)) == 0  # no part without tokens
+        n_links = np.diff(self.starts)
+        sums = [np.bincount(text, weights=x[part], minlength=len(lines)).astype(np.int64) * whole
+                for x in (*self.numbers, n_links)]
+        groups, ends = list(map(self.groups.__getitem__, codes)), np.cumsum(sizes).tolist()
+        rendered = [";".join(groups[a:b]) if ok else "" for a, b, ok in zip([0, *ends], ends, whole.tolist())]
+        text, part = text[whole[text]], part[whole[text]]
+        n = n_links[part]
+        place = np.repeat(self.starts[part] - np.cumsum(np.r_[0, n])[:-1], n) + np.arange(n.sum())
+        pairs = self.tok.size_a * self.tok.size_b
+        key = np.sort(np.repeat(text * pairs, n) + self.links[place])
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+        times = np.diff(np.r_[first, len(key)])
+        return (*sums, rendered), (key[first] // pairs, key[first] % pairs, times)
 
     def rendered(self, ids_a, ids_b, groups, sizes) -> list[str]:
-        """``a1,a2|b1;a3|b2,b3`` of every text."""
+        """``a1,a2|b1;a3|b2,b3`` of every line."""
         first_a, stop_a, first_b, stop_b = groups.T
         size = len(self.names) // 3
         line = np.empty(len(ids_a) + len(ids_b), np.int64)
