@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import go_trim, lit_map, lit_struct_map
 from ..sources.catalog import (GO_IV_CONSTRUCTORS, GO_KEY_ARGS, GO_RSA_FUNCS, GO_WEAK_FUNCS, GO_WEAK_RAND_PATHS,
                                GO_WEAK_TLS_NAMES, RSA_MIN_BITS, RULES)
+from .post import suppressed
 from .scheme_scan import FINDING_COLUMNS
 from .tokens import (GO_TOKEN_RE, is_ident, partition_by_path, token_rows, with_groups, with_neighbours)
 
@@ -114,14 +115,18 @@ def attach_rule_meta(hits: DataFrame, confidence: str = "high") -> DataFrame:
                        F.col("line").cast("int").alias("line"), F.col("col").cast("int").alias("column"))
 
 
-def with_snippets(hits: DataFrame, docs: DataFrame) -> DataFrame:
+def with_snippets(hits: DataFrame, docs: DataFrame, marker: str | None = None) -> DataFrame:
     """Snippet = trimmed source line.  Hits are grouped per file (bounded by
-    the file) and joined 1:1 with the file, whose text is split once."""
+    the file) and joined 1:1 with the file, whose text is split once.  With
+    ``marker``, findings that a directive silences go (J7): the lines are here."""
     per_file = hits.groupBy("file").agg(F.collect_list(F.struct(*[c for c in hits.columns if c != "file"]))
                                         .alias("hs"))
     j = per_file.join(docs.select(F.col("path").alias("file"), "content"), "file")
     j = j.select("file", F.split("content", "\n", -1).alias("ls"), F.explode("hs").alias("h"))
-    return j.select("h.*", "file", go_trim(F.coalesce(F.try_element_at("ls", F.col("h.line")), F.lit("")))
+    if marker is not None:
+        own, above = F.get("ls", F.col("h.line") - 1), F.get("ls", F.col("h.line") - 2)
+        j = j.where(~suppressed(F.col("h.rule_id"), marker, own, above))
+    return j.select("h.*", "file", go_trim(F.coalesce(F.get("ls", F.col("h.line") - 1), F.lit("")))
                     .alias("snippet")).select(*FINDING_COLUMNS)
 
 
@@ -211,9 +216,9 @@ def go_hits(sig: DataFrame) -> DataFrame:
                 F.col("r.pos.col").alias("col"))
 
 
-def go_findings(docs: DataFrame) -> DataFrame:
-    """Go files (path, content) -> findings with confidence high."""
+def go_findings(docs: DataFrame, marker: str | None = None) -> DataFrame:
+    """Go files (path, content) -> findings with confidence high; with ``marker``, without the silenced ones."""
     docs = partition_by_path(docs.select("path", "content"))
     sig = go_sig_tokens(docs)
     hits = attach_rule_meta(go_hits(sig))
-    return with_snippets(hits, docs)
+    return with_snippets(hits, docs, marker)

@@ -7,44 +7,33 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import confidence_rank, lit_map
 from ..functions.regex import translate
-from ..sources.catalog import CONFIDENCE_RANK, SUPPRESS_MARKER
-from .lines import explode_lines
+from ..sources.catalog import CONFIDENCE_RANK
 
 # the directive grammar (RE2) behind the marker: boundary, blanks, id list
 DIRECTIVE_RE2 = r"\b[ \t]*([\w:.,\-]*)"
 
 
-def directives(docs: DataFrame, marker: str = SUPPRESS_MARKER) -> DataFrame:
-    """Directive table (path, target_line, all_rules, ids) from raw lines.
+def _silences(line: Column, rule: Column, marker: str) -> Column:
+    """The line holds a directive for the rule: a bare one, ``all``, or the rule's id in its list."""
+    rx = "(?d)" + translate(re.escape(marker) + DIRECTIVE_RE2)
+    ids = F.regexp_extract(line, rx, 1)
+    named = (ids == "") | (ids == "all") | F.array_contains(F.split(ids, "[, ]"), rule)
+    return F.coalesce(line.contains(marker) & line.rlike(rx) & named, F.lit(False))
+
 
-    Only texts holding the marker are split; each directive line silences
-    itself and the line below, so it is emitted for both target lines.
+def suppressed(rule: Column, marker: str, line: Column, previous: Column) -> Column:
+    """A directive on the finding's line or on the one before silences it.
+
+    Both lines are at hand where findings are made (the line generator and the
+    snippets split the text anyway), so this is a test of the row: no directive
+    table, no second read of the corpus, no join.
     """
-    cand = docs.select("path", "content").where(F.col("content").contains(marker))
-    lines = explode_lines(cand, strip=False).where(F.col("text").contains(marker))
-    rx = "(?d)" + translate(re.escape(marker) + DIRECTIVE_RE2)
-    d = lines.where(F.col("text").rlike(rx)) \
-        .select("path", "line", F.regexp_extract("text", rx, 1).alias("ids"))
-    d = d.select("path", "line",
-                 ((F.col("ids") == "") | (F.col("ids") == "all")).alias("all_rules"),
-                 F.filter(F.split("ids", "[, ]"), lambda x: x != "").alias("ids"))
-    return d.select("path", F.explode(F.array(F.col("line"), F.col("line") + 1)).alias("target_line"),
-                    "all_rules", "ids")
-
-
-def suppress(findings: DataFrame, docs: DataFrame, marker: str = SUPPRESS_MARKER) -> DataFrame:
-    """Left anti join on (file, line) with the rule condition.  An
-    equi-join on two keys, never a range join; AQE picks broadcast when the
-    directive table turns out small."""
-    d = directives(docs, marker)
-    cond = [findings.file == d.path, findings.line == d.target_line,
-            d.all_rules | F.array_contains(d.ids, findings.rule_id)]
-    return findings.join(d, cond, "left_anti")
+    return _silences(line, rule, marker) | _silences(previous, rule, marker)
 
 
 def post_process(findings: DataFrame, *, disabled: list[str] | None = None, min_confidence: str | None = None,

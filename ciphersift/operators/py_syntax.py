@@ -182,8 +182,8 @@ def py_hits(sig: DataFrame) -> DataFrame:
     return hits.dropDuplicates(["path", "line", "col", "rule_id"])
 
 
-def py_findings(docs: DataFrame) -> DataFrame:
+def py_findings(docs: DataFrame, marker: str | None = None) -> DataFrame:
     docs = partition_by_path(docs.select("path", "content"))
     sig = py_sig_tokens(docs)
     hits = attach_rule_meta(py_hits(sig))
-    return with_snippets(hits, docs)
+    return with_snippets(hits, docs, marker)

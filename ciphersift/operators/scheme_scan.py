@@ -17,8 +17,9 @@ from pyspark.sql import types as T
 
 from ..functions.columns import go_trim, lit_struct_array
 from ..functions.regex import java_regex, prefilter, translate
-from ..sources.catalog import CLASS_SELECTORS, Scheme, catalog_schemes
+from ..sources.catalog import CLASS_SELECTORS, SUPPRESS_MARKER, Scheme, catalog_schemes
 from .lines import explode_lines
+from .post import suppressed
 
 FINDING_SCHEMA = T.StructType([
     T.StructField("rule_id", T.StringType()),
@@ -39,11 +40,6 @@ def empty_findings(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], FINDING_SCHEMA)
 
 
-def _has_anchor(re2: str) -> bool:
-    body = re2.replace("\\\\", "")
-    return any(a in body for a in ("^", "$", "\\A", "\\z"))
-
-
 def _match_column(re2: str, text: Column) -> Column:
     """1-based byte column of the leftmost match (RE2 reports byte offsets;
     ``regexp_instr`` would count UTF-16 units)."""
@@ -101,20 +97,16 @@ def _scheme_meta(schemes: list[Scheme]) -> Column:
                               "severity": s.severity, "remediation": s.remediation} for s in schemes])
 
 
-def scheme_findings(docs: DataFrame, schemes: list[Scheme], *, path: str = "path",
-                    content: str = "content", doc_prefilter: bool = False) -> DataFrame:
-    """J1 + P4-P10: docs(path, content) -> findings (confidence low)."""
+def scheme_findings(docs: DataFrame, schemes: list[Scheme], *, path: str = "path", content: str = "content",
+                    marker: str = SUPPRESS_MARKER) -> DataFrame:
+    """J1 + P4-P10 + J7: docs(path, content) -> findings (confidence low) that no directive silences."""
     if not schemes:
         return empty_findings(docs.sparkSession)
-    pre = prefilter([s.re2 for s in schemes])
     docs = docs.select(F.col(path).alias("path"), F.col(content).alias("content"))
-    if doc_prefilter and pre and not any(_has_anchor(s.re2) for s in schemes):
-        # superset test on the whole text (off by default: on long texts the
-        # alternation costs more than the split it saves)
-        docs = docs.where(F.col("content").rlike(pre))
-    lines = explode_lines(docs, fold=folded)
+    lines = explode_lines(docs, fold=folded, marker=marker)
     hits = scheme_hits(lines, schemes)
     m = F.element_at(_scheme_meta(schemes), F.col("k") + 1)
+    hits = hits.where(~suppressed(m.rule_id, marker, F.col("text"), F.col("previous")))
     return hits.select(
         m.rule_id.alias("rule_id"), m.title.alias("title"), m.description.alias("description"),
         m.severity.alias("severity"), F.lit("low").alias("confidence"), m.remediation.alias("remediation"),

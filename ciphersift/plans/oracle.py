@@ -236,6 +236,30 @@ SELECT c.ord, printf('%-14s %-8s %s', c.name, c.class, c.title) AS listing, coal
 FROM c LEFT JOIN hits h ON h.rule_id = c.rule_id"""
 
 
+def user_catalog_sql() -> str:
+    """Every line against every scheme; the exact regex runs behind a plain search for the phrase or word."""
+    return rf"""WITH {text_table_docs('documents')},
+{lines_cte()},
+w AS (SELECT regexp_extract_all(text, '[A-Za-z]+') AS w FROM benchmark WHERE position(chr(0) IN text) = 0),
+p AS (SELECT z[1] AS a, z[2] AS b FROM (SELECT unnest(list_zip(w, w[2:])) AS z FROM w)),
+schemes AS (
+  SELECT DISTINCT lower(a) || ' ' || lower(b) AS name, '(?i)\b' || lower(a) || ' ' || lower(b) || '\b' AS pattern,
+         'legacy' AS class FROM p WHERE b IS NOT NULL
+  UNION ALL SELECT DISTINCT a, '\b' || a || '[a-z]*', 'contextual' FROM p WHERE length(a) >= 6),
+met AS (
+  SELECT l.path, l.line, l.text, l.raw, s.name, s.pattern, s.class
+  FROM (SELECT *, lower(text) AS lt FROM lines) l JOIN (SELECT *, lower(name) AS ln FROM schemes) s ON contains(l.lt, s.ln)),
+raw_findings AS (
+  SELECT 'scheme:' || name AS rule_id, name || ' (' || class || ')' AS title, '' AS description,
+         CASE class WHEN 'legacy' THEN 'low' ELSE 'info' END AS severity, 'low' AS confidence,
+         CASE class WHEN 'legacy' THEN 'Prefer a modern, well-supported algorithm.' ELSE '' END AS remediation,
+         path AS file, line, (strlen(regexp_extract(text, '^(.*?)(?:' || pattern || ')', 1)) + 1)::INTEGER AS "column",
+         {trim_ws('text')} AS snippet
+  FROM met WHERE regexp_matches(text, pattern)),
+{directives_cte()}
+{kept()}"""
+
+
 def oracle_sql() -> dict[str, str]:
     custom = parse_config(CUSTOM_CONFIG).custom_schemes
     strong = [s for s in catalog_schemes() if s.name in ("sha256", "sha3")]
@@ -247,6 +271,7 @@ def oracle_sql() -> dict[str, str]:
         "scan_conversations_custom": text_scan_sql("conversations", weak + custom),
         "search_all_inventory": text_scan_sql("documents", catalog_schemes()),
         "search_strong_sha256": code_search_sql(strong),
+        "search_user_catalog": user_catalog_sql(),
         "resolve_tokens": resolve_sql(),
         "catalog_inventory": catalog_inventory_sql(),
         "line_split": f"WITH {text_table_docs('documents')}, {lines_cte()} "

@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from ..operators import go_syntax, py_syntax
 from ..operators.lines import explode_lines
+from ..operators.needle_index import catalog_findings, checked_catalog
 from ..operators.scheme_scan import resolve_tokens_df
 from ..operators.tokens import partition_by_path
 from ..session import cut_lineage, ensure_parallelism
 from ..sources.code_corpus import code_corpus
+from ..sources.config import parse_config
 from ..sources.corpus import text_table_corpus
 from .report import catalog_lines, rules_fired, severity_summary, text_report_lines
 from .scan import ScanOptions, classified_corpus, scan
@@ -65,6 +67,26 @@ def search_all_inventory(spark, sf_dir):
     return _text_scan(spark, sf_dir, "documents", schemes=["all"])
 
 
+def user_catalog(spark, sf_dir):
+    """A catalog of user schemes in the shape the scan takes: a phrase pattern for every two neighbouring words of
+    ``benchmark`` and a word pattern for every longer word of it."""
+    words = F.regexp_extract_all(F.col("content"), F.lit("[A-Za-z]+"), 0)
+    w = _docs(spark, sf_dir, "benchmark").select(words.alias("w")).where(F.size("w") > 0)
+    pairs = w.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("w")), lambda i: F.struct(
+        F.get("w", i - 1).alias("a"), F.get("w", i).alias("b")))).alias("p")).select("p.*")
+    phrase = pairs.where("b IS NOT NULL").select(F.concat_ws(" ", F.lower("a"), F.lower("b")).alias("id")).distinct().select(
+        "id", F.concat(F.lit("(?i)\\b"), "id", F.lit("\\b")).alias("pattern"), F.lit("legacy").alias("class"))
+    word = pairs.where(F.length("a") >= 6).select(F.col("a").alias("id")).distinct().select(
+        "id", F.concat(F.lit("\\b"), "id", F.lit("[a-z]*")).alias("pattern"), F.lit("contextual").alias("class"))
+    return phrase.union(word).withColumn("ord", F.xxhash64("id", "pattern"))
+
+
+def search_user_catalog(spark, sf_dir):
+    """J1 / 2.14 with a catalog of thousands of user schemes kept as a table: a needle index, no literal patterns."""
+    docs = classified_corpus(_docs(spark, sf_dir), ScanOptions(), parse_config({}), False, True)
+    return catalog_findings(docs.where("status = 'scanned'"), checked_catalog(user_catalog(spark, sf_dir)))
+
+
 def search_strong_sha256(spark, sf_dir):
     """E2 on the code corpus: an alias token resolving to one strong scheme."""
     opts = ScanOptions(schemes=["SHA-256", "keccak"], sort=False)
@@ -253,6 +275,7 @@ QUERIES = {
     "scan_conversations_custom": scan_conversations_custom,
     "search_all_inventory": search_all_inventory,
     "search_strong_sha256": search_strong_sha256,
+    "search_user_catalog": search_user_catalog,
     "resolve_tokens": resolve_tokens,
     "catalog_inventory": catalog_inventory,
     "line_split": line_split,

@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.eligibility import classify, compile_globs, extension, pruned, root_is_pruned, with_rel
-from ..operators.post import post_process, suppress
+from ..operators.needle_index import catalog_findings, checked_catalog
+from ..operators.post import post_process
 from ..operators.scheme_scan import FINDING_COLUMNS, empty_findings, resolve, scheme_findings, weak_schemes
 from ..session import ensure_parallelism
 from ..sources.catalog import SUPPRESS_MARKER, Scheme
@@ -30,6 +31,7 @@ class ScanOptions:
     include_unknown: bool | None = None
     min_confidence: str | None = None
     schemes: list[str] = field(default_factory=list)   # search mode tokens
+    catalog: DataFrame | None = None    # user schemes (ord, id, pattern[, title, class, note, remediation]) as a table
     config: ScanConfig | dict | str | None = None
     max_file_bytes: int | None = None   # skip larger files; by default every file is scanned
     max_line_bytes: int | None = None   # give up on files with a longer line; by default none
@@ -83,13 +85,17 @@ def classified_corpus(corpus: DataFrame, opts: ScanOptions, cfg: ScanConfig, sea
 
 
 def tier_findings(spark: SparkSession, files: DataFrame, want: list[Scheme], search: bool = False,
-                  probe: DataFrame | None = None) -> DataFrame:
-    """Union of the tier branches.  A syntax branch is planned only when a
+                  probe: DataFrame | None = None, marker: str = SUPPRESS_MARKER,
+                  catalog: DataFrame | None = None) -> DataFrame:
+    """Union of the tier branches, without silenced findings.  A syntax branch is planned only when a
     ``limit(1)`` probe finds a file for it.  The probe reads the source as it
     is (no repartition), stops at the first hit and, when the tier is empty,
     costs less than the branch would."""
     scanned = files.where(F.col("status") == "scanned")
-    parts = [scheme_findings(scanned.where(F.col("tier") == "regex"), want)]
+    regex = scanned.where(F.col("tier") == "regex")
+    parts = [scheme_findings(regex, want, marker=marker)]
+    if catalog is not None and not search:
+        parts.append(catalog_findings(regex, catalog, marker))
     from ..operators import go_syntax, py_syntax
     if not search:
         # superset probes on the raw source: only an extension routes to Go;
@@ -97,9 +103,9 @@ def tier_findings(spark: SparkSession, files: DataFrame, want: list[Scheme], sea
         src = probe if probe is not None else files
         ext = extension(F.substring_index(F.col("path"), "/", -1))
         if not src.where(ext == ".go").select("path").isEmpty():
-            parts.append(go_syntax.go_findings(scanned.where(F.col("tier") == "go")))
+            parts.append(go_syntax.go_findings(scanned.where(F.col("tier") == "go"), marker))
         if not src.where(ext.isin(".py", ".pyw") | F.col("content").startswith("#!")).select("path").isEmpty():
-            parts.append(py_syntax.py_findings(scanned.where(F.col("tier") == "python")))
+            parts.append(py_syntax.py_findings(scanned.where(F.col("tier") == "python"), marker))
     parts = [p.select(*FINDING_COLUMNS) for p in parts]
     out = parts[0]
     for p in parts[1:]:
@@ -124,8 +130,8 @@ def scan(spark: SparkSession, corpus: DataFrame, options: ScanOptions | None = N
         empty_status = spark.createDataFrame([], "path string, status string, reason string")
         return ScanResult(empty_findings(spark), empty_status)
 
-    raw = tier_findings(spark, files, want, search, corpus.select("path", "content"))
-    kept = suppress(raw, files.where(F.col("status") == "scanned"), opts.marker)
+    catalog = checked_catalog(opts.catalog) if opts.catalog is not None and not search else None
+    kept = tier_findings(spark, files, want, search, corpus.select("path", "content"), opts.marker, catalog)
     findings = post_process(kept, disabled=cfg.disable, min_confidence=min_conf,
                             severity_overrides=cfg.severity, sort=opts.sort)
     return ScanResult(findings, files.select("path", "status", "reason"))
