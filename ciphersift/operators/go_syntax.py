@@ -15,7 +15,7 @@ from ..functions.columns import go_trim, lit_map, lit_struct_map
 from ..sources.catalog import (GO_IV_CONSTRUCTORS, GO_KEY_ARGS, GO_RSA_FUNCS, GO_WEAK_FUNCS, GO_WEAK_RAND_PATHS,
                                GO_WEAK_TLS_NAMES, RSA_MIN_BITS, RULES)
 from .post import suppressed
-from .scheme_scan import FINDING_COLUMNS
+from .scheme_scan import FINDING_COLUMNS, needle_gate
 from .tokens import (GO_TOKEN_RE, is_ident, partition_by_path, token_rows, with_groups, with_neighbours)
 
 GO_INSIGNIFICANT = r"(?s)^(?:[\t\n\x0B\f\r ]+|//.*|/\*.*)$"
@@ -28,8 +28,11 @@ def _is_string(t: Column) -> Column:
 
 def go_sig_tokens(docs: DataFrame) -> DataFrame:
     """Significant Go tokens with neighbours, call marks and groups."""
-    sig = token_rows(docs, GO_TOKEN_RE, GO_INSIGNIFICANT)
-    sig = with_neighbours(sig, lags=4, leads=7)
+    tokens = F.transform(F.regexp_extract_all(F.col("content"), F.lit(GO_TOKEN_RE), 0),
+                         lambda t: F.struct(t.alias("tok"), F.lit(True).alias("code")))
+    sig = token_rows(docs, tokens, GO_INSIGNIFICANT)
+    # without a package clause a file is no Go source: it has no facts
+    sig = with_neighbours(sig, lags=4, leads=8, extra={"head": F.first("tok")}).where("head = 'package'").drop("head")
     w = Window.partitionBy("path").orderBy("i")
     # is this token inside the most recent top-level "import (" group?
     top_open = F.col("tok").isin("(", "[", "{") & (F.col("dbefore") == 0)
@@ -46,18 +49,23 @@ def go_sig_tokens(docs: DataFrame) -> DataFrame:
     return with_groups(sig, info)
 
 
-def go_imports(sig: DataFrame) -> DataFrame:
-    """(path, local, import_path); the last spec wins on a repeated name;
-    blank and dot imports bind nothing."""
+def _import_spec() -> tuple[Column, Column, Column]:
+    """(the token is an import path that binds a name, the name, the path)."""
     t = F.col("tok")
     named = (is_ident(F.col("tok_m1")) & (F.col("tok_m1") != "import")) | F.col("tok_m1").isin("_", ".")
     single = (F.col("tok_m1") == "import") | ((F.col("tok_m2") == "import") & named)
     grouped = F.col("in_import") & (F.col("dbefore") == 1)
-    spec = sig.where(_is_string(t) & (single | grouped)) \
-        .select("path", "i", F.regexp_extract(t, r"(?s)^[\"`](.*)[\"`]$", 1).alias("import_path"),
-                F.when(named, F.col("tok_m1")).alias("alias"))
-    spec = spec.where(F.coalesce(~F.col("alias").isin("_", "."), F.lit(True)))
-    spec = spec.withColumn("local", F.coalesce(F.col("alias"), F.substring_index("import_path", "/", -1)))
+    path = F.regexp_extract(t, r"(?s)^[\"`](.*)[\"`]$", 1)
+    alias = F.when(named, F.col("tok_m1"))
+    is_spec = _is_string(t) & (single | grouped) & F.coalesce(~alias.isin("_", "."), F.lit(True))
+    return is_spec, F.coalesce(alias, F.substring_index(path, "/", -1)), path
+
+
+def go_imports(sig: DataFrame) -> DataFrame:
+    """(path, local, import_path); the last spec wins on a repeated name;
+    blank and dot imports bind nothing."""
+    is_spec, local, path = _import_spec()
+    spec = sig.where(is_spec).select("path", "i", local.alias("local"), path.alias("import_path"))
     w = Window.partitionBy("path", "local").orderBy(F.desc("i"))
     return spec.withColumn("rn", F.row_number().over(w)).where("rn = 1").select("path", "local", "import_path")
 
@@ -68,37 +76,44 @@ def go_calls(sig: DataFrame) -> DataFrame:
                                        F.col("line_m3").alias("line"), F.col("col_m3").alias("col"))
 
 
+def _is_selector() -> Column:
+    return F.coalesce(is_ident(F.col("tok")) & (F.col("tok_m1") == ".") & is_ident(F.col("tok_m2"))
+                      & (F.coalesce(F.col("tok_m3"), F.lit("")) != "."), F.lit(False))
+
+
 def go_selectors(sig: DataFrame) -> DataFrame:
     """``pkg.Name`` selectors, called or not."""
-    cond = (is_ident(F.col("tok")) & (F.col("tok_m1") == ".") & is_ident(F.col("tok_m2"))
-            & (F.coalesce(F.col("tok_m3"), F.lit("")) != "."))
-    return sig.where(cond).select("path", F.col("tok_m2").alias("pkg"), F.col("tok").alias("name"),
-                                  F.col("line_m2").alias("line"), F.col("col_m2").alias("col"))
+    return sig.where(_is_selector()).select("path", F.col("tok_m2").alias("pkg"), F.col("tok").alias("name"),
+                                            F.col("line_m2").alias("line"), F.col("col_m2").alias("col"))
 
 
-def go_call_args(sig: DataFrame) -> DataFrame:
-    """First two arguments of each package call with their leading
-    tokens and the literal / inline-make predicates (F11-F13)."""
+def with_arg_facts(sig: DataFrame) -> DataFrame:
+    """X5 on the token before each of the first two arguments of a package call: ``anchor``, and the predicates on
+    the argument (F11-F13).  A comma after the last argument, or inside a literal, starts no argument."""
     w = Window.partitionBy("path").orderBy("i")
-    oend = F.when(F.col("tok").isin("(", "[", "{"), F.col("close_next").isin(*ARG_END))
-    sig = sig.withColumn("oend", oend)
-    sig = sig.withColumn("e2", F.lead("oend", 2).over(w)).withColumn("e4", F.lead("oend", 4).over(w))
-    g = F.col("grp_open")
-    anchor = (F.col("is_call") | ((F.col("comma_k") == 1) & F.coalesce(g.is_call, F.lit(False))))
-    a = sig.where(anchor & ~F.col("tok_p1").isin(")", ","))
-    t = [None] + [F.col(f"tok_p{k}") for k in range(1, 8)]
-    byte_slice = (F.coalesce(_is_string(t[1]) & t[2].isin(*ARG_END), F.lit(False))
-                  | F.coalesce((t[1] == "[") & (t[2] == "]") & (t[3] == "byte") & (t[4] == "(") & _is_string(t[5])
-                               & (t[6] == ")") & t[7].isin(*ARG_END), F.lit(False))
-                  | F.coalesce((t[1] == "[") & (t[2] == "]") & (t[3] == "byte") & (t[4] == "{") & F.col("e4"),
-                               F.lit(False)))
+    sig = sig.withColumn("oend", F.when(F.col("tok").isin("(", "[", "{"), F.col("close_next").isin(*ARG_END)))
+    sig = sig.withColumns({"e2": F.lead("oend", 2).over(w), "e4": F.lead("oend", 4).over(w)})
+    anchor = (F.col("is_call") | ((F.col("comma_k") == 1) & F.coalesce(F.col("grp_open.is_call"), F.lit(False)))) & \
+        ~F.col("tok_p1").isin(")", ",")
+    t = [None] + [F.col(f"tok_p{k}") for k in range(1, 9)]
+    bytes_of = (t[1] == "[") & (t[2] == "]") & (t[3] == "byte")
+    converted = bytes_of & (t[4] == "(") & _is_string(t[5]) & (
+        ((t[6] == ")") & t[7].isin(*ARG_END)) | ((t[6] == ",") & (t[7] == ")") & t[8].isin(*ARG_END)))
+    byte_slice = (F.coalesce(_is_string(t[1]) & t[2].isin(*ARG_END), F.lit(False)) | F.coalesce(converted, F.lit(False))
+                  | F.coalesce(bytes_of & (t[4] == "{") & F.col("e4"), F.lit(False)))
     inline_make = F.coalesce((t[1] == "make") & (t[2] == "(") & (t[3] == "[") & (t[4] == "]") & (t[5] == "byte")
                              & t[6].isin(*ARG_END) & F.col("e2"), F.lit(False))
-    int_lit = F.when(t[1].rlike("^[0-9]+$") & t[2].isin(*ARG_END), F.expr("try_cast(tok_p1 as bigint)"))
-    return a.select("path", g.pkg.alias("pkg"), g.fn.alias("fn"), g.pline.alias("pline"), g.pcol.alias("pcol"),
-                    F.when(F.col("is_call"), 0).otherwise(1).alias("arg_k"),
-                    F.col("line_p1").alias("line"), F.col("col_p1").alias("col"),
-                    byte_slice.alias("byte_slice"), inline_make.alias("inline_make"), int_lit.alias("int_lit"))
+    return sig.withColumns({
+        "anchor": F.coalesce(anchor, F.lit(False)), "byte_slice": byte_slice, "inline_make": inline_make,
+        "int_lit": F.when(t[1].rlike("^[0-9]+$") & t[2].isin(*ARG_END), F.expr("try_cast(tok_p1 as bigint)"))})
+
+
+def go_call_args(sig: DataFrame) -> DataFrame:
+    """The first two arguments of each package call with the literal / inline-make predicates."""
+    g = F.col("grp_open")
+    return with_arg_facts(sig).where("anchor").select(
+        "path", g.pkg.alias("pkg"), g.fn.alias("fn"), F.when(F.col("is_call"), 0).otherwise(1).alias("arg_k"),
+        F.col("line_p1").alias("line"), F.col("col_p1").alias("col"), "byte_slice", "inline_make", "int_lit")
 
 
 def _rule_meta() -> Column:
@@ -139,32 +154,9 @@ def go_hits(sig: DataFrame) -> DataFrame:
     (last spec wins) instead of a join, so the token windows run once and
     nothing is shuffled after the single repartition by path."""
     t = F.col("tok")
-    # import specs
-    named = (is_ident(F.col("tok_m1")) & (F.col("tok_m1") != "import")) | F.col("tok_m1").isin("_", ".")
-    single = (F.col("tok_m1") == "import") | ((F.col("tok_m2") == "import") & named)
-    grouped = F.col("in_import") & (F.col("dbefore") == 1)
-    ipath = F.regexp_extract(t, r"(?s)^[\"`](.*)[\"`]$", 1)
-    alias = F.when(named, F.col("tok_m1"))
-    is_spec = _is_string(t) & (single | grouped) & F.coalesce(~alias.isin("_", "."), F.lit(True))
-    local = F.coalesce(alias, F.substring_index(ipath, "/", -1))
-    # argument anchors
-    w = Window.partitionBy("path").orderBy("i")
-    sig = sig.withColumn("oend", F.when(F.col("tok").isin("(", "[", "{"), F.col("close_next").isin(*ARG_END)))
-    sig = sig.withColumns({"e2": F.lead("oend", 2).over(w), "e4": F.lead("oend", 4).over(w)})
+    is_spec, local, ipath = _import_spec()
+    sig = with_arg_facts(sig)
     g = F.col("grp_open")
-    anchor = (F.col("is_call") | ((F.col("comma_k") == 1) & F.coalesce(g.is_call, F.lit(False)))) & \
-        ~F.col("tok_p1").isin(")", ",")
-    tp = [None] + [F.col(f"tok_p{k}") for k in range(1, 8)]
-    byte_slice = (F.coalesce(_is_string(tp[1]) & tp[2].isin(*ARG_END), F.lit(False))
-                  | F.coalesce((tp[1] == "[") & (tp[2] == "]") & (tp[3] == "byte") & (tp[4] == "(")
-                               & _is_string(tp[5]) & (tp[6] == ")") & tp[7].isin(*ARG_END), F.lit(False))
-                  | F.coalesce((tp[1] == "[") & (tp[2] == "]") & (tp[3] == "byte") & (tp[4] == "{") & F.col("e4"),
-                               F.lit(False)))
-    inline_make = F.coalesce((tp[1] == "make") & (tp[2] == "(") & (tp[3] == "[") & (tp[4] == "]")
-                             & (tp[5] == "byte") & tp[6].isin(*ARG_END) & F.col("e2"), F.lit(False))
-    int_lit = F.when(tp[1].rlike("^[0-9]+$") & tp[2].isin(*ARG_END), F.expr("try_cast(tok_p1 as bigint)"))
-    is_sel = (is_ident(t) & (F.col("tok_m1") == ".") & is_ident(F.col("tok_m2"))
-              & (F.coalesce(F.col("tok_m3"), F.lit("")) != "."))
 
     def cand(kind, name, fn, line, col, arg_k=None, ip=None):
         return F.struct(F.lit(kind).alias("kind"), name.alias("name"), fn.alias("fn"),
@@ -176,14 +168,13 @@ def go_hits(sig: DataFrame) -> DataFrame:
     cands = F.array(
         F.when(is_spec, cand("imp", local, null_s, F.col("line"), F.col("col"), ip=ipath)),
         F.when(F.col("is_call"), cand("call", F.col("tok_m3"), F.col("tok_m1"), F.col("line_m3"), F.col("col_m3"))),
-        F.when(F.coalesce(anchor, F.lit(False)),
+        F.when(F.col("anchor"),
                cand("arg", g.pkg, g.fn, F.col("line_p1"), F.col("col_p1"),
                     arg_k=F.when(F.col("is_call"), 0).otherwise(1))),
-        F.when(F.coalesce(is_sel, F.lit(False)), cand("sel", F.col("tok_m2"), t, F.col("line_m2"), F.col("col_m2"))),
+        F.when(_is_selector(), cand("sel", F.col("tok_m2"), t, F.col("line_m2"), F.col("col_m2"))),
     )
     c = sig.select("path", "i", F.explode(F.filter(cands, lambda x: x.isNotNull())).alias("c"),
-                   byte_slice.alias("byte_slice"), inline_make.alias("inline_make"), int_lit.alias("int_lit"),
-                   g.pline.alias("gpline"), g.pcol.alias("gpcol"))
+                   "byte_slice", "inline_make", "int_lit", g.pline.alias("gpline"), g.pcol.alias("gpcol"))
     c = c.select("path", "i", "c.*", "byte_slice", "inline_make", "int_lit", "gpline", "gpcol")
     # J2-J6/J8 resolution: the last import spec binding this name in the file
     wn = Window.partitionBy("path", "name").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -217,7 +208,11 @@ def go_hits(sig: DataFrame) -> DataFrame:
 
 
 def go_findings(docs: DataFrame, marker: str | None = None) -> DataFrame:
-    """Go files (path, content) -> findings with confidence high; with ``marker``, without the silenced ones."""
+    """Go files (path, content) -> findings with confidence high; with ``marker``, without the silenced ones.
+
+    Only files that hold the import path of some detector are tokenised: every rule needs one in the text."""
+    paths = {p for p, _, _ in GO_WEAK_FUNCS + GO_KEY_ARGS} | {*GO_WEAK_RAND_PATHS, "crypto/rsa", "crypto/cipher", "crypto/tls"}
+    docs = docs.where(needle_gate(F.col("content"), sorted(paths)))
     docs = partition_by_path(docs.select("path", "content"))
     sig = go_sig_tokens(docs)
     hits = attach_rule_meta(go_hits(sig))

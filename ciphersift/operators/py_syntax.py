@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 
 from ..sources.catalog import PY_TARGETS, PY_WEAK_HASH_NAMES, RSA_MIN_BITS
 from .go_syntax import attach_rule_meta, with_snippets
-from .tokens import (PY_TOKEN_RE, is_ident, partition_by_path, token_rows, with_chain_levels, with_groups,
+from .scheme_scan import needle_gate
+from .tokens import (is_ident, partition_by_path, python_tokens, token_rows, with_chain_levels, with_groups,
                      with_neighbours)
 from ..functions.columns import lit_map
 
@@ -45,12 +46,12 @@ def _is_string(c: Column) -> Column:
 
 
 def py_sig_tokens(docs: DataFrame) -> DataFrame:
-    sig = token_rows(docs, PY_TOKEN_RE, PY_INSIGNIFICANT, continuation="\\\n")
-    sig = with_neighbours(sig, lags=2, leads=3)
-    # statements: a new logical line at depth 0 (not joined by a backslash), or after ';'
-    start = (F.col("dbefore") == 0) & (F.col("line_m1").isNull()
-                                       | ((F.col("line_m1") != F.col("line")) & ~F.col("joined"))
-                                       | (F.col("tok_m1") == ";"))
+    sig = token_rows(docs, python_tokens(F.col("content")), PY_INSIGNIFICANT, breaks=True)
+    sig = with_neighbours(sig, lags=2, leads=3, extra={"brk_m1": F.lag("brk", 1)})
+    # statements at depth 0: after a line break between tokens (one inside a string, or after a
+    # backslash, is none), after ';', and after the ':' of a compound statement's head
+    start = (F.col("dbefore") == 0) & (F.col("brk_m1").isNull() | (F.col("brk_m1") != F.col("brk"))
+                                       | F.col("tok_m1").isin(";", ":"))
     w = Window.partitionBy("path").orderBy("i")
     sig = sig.withColumn("stmt", F.sum(start.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     ws = Window.partitionBy("path", "stmt").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
@@ -73,7 +74,7 @@ def with_bindings(sig: DataFrame) -> DataFrame:
     """X6 on every row: ``bound`` / ``canonical`` when the token starts an
     item ``name [as alias]`` of ``from M import ...`` (parentheses allowed)."""
     t = F.col("tok")
-    ended = lambda tk, st: tk.isNull() | tk.isin(",", ")") | (st != F.col("stmt"))
+    ended = lambda tk, st: tk.isNull() | tk.isin(",", ")", ";") | (st != F.col("stmt"))
     item_start = (F.col("tok_m1").isin("import", ",") | ((F.col("tok_m1") == "(") & (F.col("tok_m2") == "import")))
     base = (F.col("kw") == "from") & (F.col("i") > F.col("imp_i")) & (F.col("module") != "") & _name(t) & item_start
     plain = ended(F.col("tok_p1"), F.col("stmt_p1"))
@@ -125,12 +126,10 @@ def py_from_imports(sig: DataFrame) -> DataFrame:
     return b.withColumn("rn", F.row_number().over(w)).where("rn = 1").select("path", "bound", "canonical")
 
 
-def py_hits(sig: DataFrame) -> DataFrame:
-    """Attribute, call and binding facts in one lineage -> distinct
-    (path, rule_id, line, col).  Bare calls are resolved against the file's
-    from-import bindings with a window over ``(path, name)``."""
-    targets = lit_map(dict(PY_TARGETS))
-    sig = with_bindings(with_attributes(sig))
+def with_calls(sig: DataFrame) -> DataFrame:
+    """X8 on every row of :func:`with_attributes`: on the parenthesis that opens a call, ``call_open``, ``bare`` (the
+    called name), ``fsuffix`` (last two components of a called attribute), ``fstart`` (where the called expression
+    starts), ``first_int`` and ``first_str`` (the first positional arguments of these kinds)."""
     # calls: at the chain level the open paren follows its function expression
     w = Window.partitionBy("path", "clvl").orderBy("i")
     t = F.col("tok")
@@ -140,17 +139,31 @@ def py_hits(sig: DataFrame) -> DataFrame:
     bare = F.coalesce((t == "(") & same & _name(lt1) & ~F.coalesce(lt2, F.lit("")).isin(".", "def", "class"), F.lit(False))
     sig = sig.withColumns({"fsuffix": F.lag("suffix2", 1).over(w), "fstart": F.lag("cstart", 1).over(w),
                            "call_open": call_open})
-    info = F.struct(F.col("call_open").alias("is_call"), F.when(bare, lt1).alias("bare"))
-    g = with_groups(sig, info)
+    g = with_groups(sig, F.struct(F.col("call_open").alias("is_call"), F.when(bare, lt1).alias("bare")))
     # first positional integer / string argument per call group (whole-group frame)
     direct = F.col("tok_m1").isin(*ARG_START) & F.col("tok_p1").isin(*ARG_END) & \
         (F.col("dbefore") == F.col("glvl")) & F.coalesce(F.col("grp_open.is_call"), F.lit(False))
     int_val = F.when(direct & t.rlike("^[0-9]+$"), F.expr("try_cast(tok as bigint)"))
     str_val = F.when(direct & _is_string(t), t)
     wg = Window.partitionBy("path", "glvl", "grp")
-    g = g.withColumns({"first_int": F.min_by(int_val, F.when(int_val.isNotNull(), F.col("i"))).over(wg),
-                       "first_str": F.min_by(str_val, F.when(str_val.isNotNull(), F.col("i"))).over(wg)})
+    return g.withColumns({"first_int": F.min_by(int_val, F.when(int_val.isNotNull(), F.col("i"))).over(wg),
+                          "first_str": F.min_by(str_val, F.when(str_val.isNotNull(), F.col("i"))).over(wg)})
+
+
+def py_calls(sig: DataFrame) -> DataFrame:
+    """X8 facts: (path, callee, line, col, first_int, first_str) of calls by a name or an attribute."""
+    callee = F.coalesce(F.col("grp_open.bare"), F.col("fsuffix"))
+    return with_calls(with_attributes(sig)).where(F.col("call_open") & callee.isNotNull()).select(
+        "path", callee.alias("callee"), F.col("fstart.line").cast("int").alias("line"),
+        F.col("fstart.col").cast("int").alias("col"), "first_int", "first_str")
 
+
+def py_hits(sig: DataFrame) -> DataFrame:
+    """Attribute, call and binding facts in one lineage -> distinct
+    (path, rule_id, line, col).  Bare calls are resolved against the file's
+    from-import bindings with a window over ``(path, name)``."""
+    targets = lit_map(dict(PY_TARGETS))
+    g = with_calls(with_bindings(with_attributes(sig)))
     weak_names = lit_map(dict(PY_WEAK_HASH_NAMES))
     name_arg = F.lower(F.regexp_replace(F.col("first_str"), "^['\"]+|['\"]+\\z", ""))
     fs = F.col("fsuffix")
@@ -183,6 +196,10 @@ def py_hits(sig: DataFrame) -> DataFrame:
 
 
 def py_findings(docs: DataFrame, marker: str | None = None) -> DataFrame:
+    """Python files (path, content) -> findings with confidence high; with ``marker``, without the silenced ones.
+
+    Only files that hold the first component of some target are tokenised: every rule needs one in the text."""
+    docs = docs.where(needle_gate(F.col("content"), sorted({t.split(".")[0] for t, _ in PY_TARGETS} | {"RSA"})))
     docs = partition_by_path(docs.select("path", "content"))
     sig = py_sig_tokens(docs)
     hits = attach_rule_meta(py_hits(sig))

@@ -25,12 +25,39 @@ GO_TOKEN_RE = (
     r"(?s)//[^\n]*+|/\*.*?\*/|`[^`]*+`|\"(?:[^\"\\\n]++|\\.)*+\"|'(?:[^'\\\n]++|\\.)*+'"
     r"|[\p{L}_][\p{L}\p{Nd}_]*+|[0-9][0-9A-Za-z_.]*+|[\t\n\x0B\f\r ]++|."
 )
+PY_STRING_RE = (
+    r"[rRbBuUfF]{0,2}(?:'''(?:[^'\\]++|\\.|'(?!''))*+'''|\"\"\"(?:[^\"\\]++|\\.|\"(?!\"\"))*+\"\"\""
+    r"|'(?:[^'\\\n]++|\\.)*+'|\"(?:[^\"\\\n]++|\\.)*+\")"
+)
+
+
+def _bracketed(opening: str, closing: str, depth: int) -> str:
+    """Text between brackets that nest up to ``depth`` times; brackets in strings do not count."""
+    inner = f"|{_bracketed(r'[(\[{]', r'[)\]}]', depth - 1)}" if depth else ""
+    return rf"{opening}(?:[^()\[\]{{}}'\"]++|{PY_STRING_RE}{inner})*+{closing}"
+
+
+NESTED = 3  # brackets within an interpolation; f-strings within f-strings
+#: One interpolation ``{...}`` of an f-string, and the expression that it begins with.
+PY_ISLAND_RE = _bracketed(r"\{", r"\}", NESTED)
+PY_ISLAND_EXPR_RE = rf"(?s)^(?:[^()\[\]{{}}'\":!]++|{PY_STRING_RE}|{_bracketed(r'[(\[{]', r'[)\]}]', NESTED - 1)}|!=)*+"
+#: Literal text, an escape or an interpolation of an f-string.
+PY_PIECE_RE = rf"(?s)\\N\{{[^}}]*+\}}|\{{\{{|\}}\}}|{PY_ISLAND_RE}|(?:[^{{}}\\]++|\\[^{{])++|."
+
+
+def _f_string(quote: str, plain: str) -> str:
+    return rf"{quote}(?:[^{plain}\\{{}}]++|\\N\{{[^}}]*+\}}|\\[^{{]|\{{\{{|\}}\}}|{PY_ISLAND_RE}|[{{}}\\]"
+
+
+PY_F_PREFIX = "(?:[fF][rR]?|[rR][fF])"
 PY_TOKEN_RE = (
     r"(?s)#[^\n]*+"
-    r"|[rRbBuUfF]{0,2}(?:'''(?:[^'\\]++|\\.|'(?!''))*+'''|\"\"\"(?:[^\"\\]++|\\.|\"(?!\"\"))*+\"\"\""
-    r"|'(?:[^'\\\n]++|\\.)*+'|\"(?:[^\"\\\n]++|\\.)*+\")"
+    rf"|{PY_F_PREFIX}(?:{_f_string("'''", "'")}|'(?!''))*+'''|{_f_string('\"\"\"', '\"')}|\"(?!\"\"))*+\"\"\""
+    rf"|{_f_string("'", "'" + chr(92) + "n")})*+'|{_f_string('\"', '\"' + chr(92) + 'n')})*+\")"
+    rf"|{PY_STRING_RE}"
     r"|[\p{L}_][\p{L}\p{Nd}_]*+|[0-9][0-9A-Za-z_.]*+|\\\n|[\t\n\x0B\f\r ]++|."
 )
+PY_F_STRING_RE = rf"(?s)^{PY_F_PREFIX}['\"].*\{{"
 
 OPENS = ("(", "[", "{")
 CLOSES = (")", "]", "}")
@@ -53,14 +80,55 @@ def partition_by_path(docs: DataFrame) -> DataFrame:
     return docs.repartition(n, "path")
 
 
-def token_rows(docs: DataFrame, token_re: str, insignificant_re: str, continuation: str | None = None) -> DataFrame:
+def _as_tokens(texts: Column, code: bool) -> Column:
+    return F.transform(texts, lambda t: F.struct(t.alias("tok"), F.lit(code).alias("code")))
+
+
+def python_tokens(code: Column, nested: int = NESTED) -> Column:
+    """ARRAY<STRUCT<tok, code>> of a Python text; what the tokens hold, put together, is the text.
+
+    An f-string is an island of code in a string: its interpolations are cut
+    out by brace depth and tokenised in place, nested ones too, so each token
+    keeps its offset.  The string's own text, conversions and format
+    specifications are tokens that are no code.
+    """
+    raw = F.regexp_extract_all(code, F.lit(PY_TOKEN_RE), 0)
+    if not nested:
+        return _as_tokens(raw, True)
+
+    def one(t):
+        alone = F.array(F.struct(t.alias("tok"), F.lit(True).alias("code")))
+        return F.when(t.rlike(PY_F_STRING_RE), _pieces(t, nested)).otherwise(alone)
+
+    return F.when(code.rlike(PY_F_PREFIX + "['\"]"), F.flatten(F.transform(raw, one))).otherwise(_as_tokens(raw, True))
+
+
+def _pieces(text: Column, nested: int) -> Column:
+    """The pieces of an f-string or of a format specification."""
+    brace = lambda b: F.array(F.struct(F.lit(b).alias("tok"), F.lit(True).alias("code")))
+
+    def one(p):
+        inner = F.substr(p, F.lit(2), F.length(p) - 2)
+        head = F.regexp_extract(inner, PY_ISLAND_EXPR_RE, 0)
+        rest = F.substr(inner, F.length(head) + 1)
+        spec = _as_tokens(F.array(rest), False)
+        if nested > 1:
+            spec = F.when(rest.contains("{"), _pieces(rest, nested - 1)).otherwise(spec)
+        island = F.concat(brace("{"), python_tokens(head, nested - 1), spec, brace("}"))
+        return F.when(p.startswith("{") & (F.length(p) > 1) & (p != "{{"), island).otherwise(_as_tokens(F.array(p), False))
+
+    return F.flatten(F.transform(F.regexp_extract_all(text, F.lit(PY_PIECE_RE), 0), one))
+
+
+def token_rows(docs: DataFrame, tokens: Column, insignificant_re: str, breaks: bool = False) -> DataFrame:
     """(path, content) -> significant tokens with positions and nesting.
 
-    Columns: path, i (token ordinal), tok, line, col (1-based byte column),
-    dbefore/dafter (bracket depth before/after the token).
+    ``tokens``: ARRAY<STRUCT<tok, code>> of ``content``.  Columns: path, i
+    (token ordinal), tok, line, col (1-based byte column), dbefore/dafter
+    (bracket depth before/after the token) and, with ``breaks``, brk (line
+    breaks so far that stand between tokens, not inside one).
     """
-    toks = docs.select("path", F.posexplode(F.regexp_extract_all(F.col("content"), F.lit(token_re), 0))
-                       .alias("i", "tok"))
+    toks = docs.select("path", F.posexplode(tokens).alias("i", "t")).select("path", "i", "t.*")
     w = Window.partitionBy("path").orderBy("i")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     nbytes = F.octet_length("tok")
@@ -73,13 +141,11 @@ def token_rows(docs: DataFrame, token_re: str, insignificant_re: str, continuati
     })
     toks = toks.withColumn("col", (F.col("off0") - F.coalesce(F.max(nl_end).over(before), F.lit(0)) + 1).cast("int"))
     keep = ["path", "i", "tok", "line", "col"]
-    if continuation is not None:
-        # the last raw token before this one, ignoring blanks, is a line continuation
-        nonblank = F.when(~F.col("tok").rlike("^[ \t\x0B\f]+$"), F.col("tok"))
-        toks = toks.withColumn("joined", F.coalesce(F.last(nonblank, ignorenulls=True).over(before) == continuation,
-                                                    F.lit(False)))
-        keep.append("joined")
-    sig = toks.where(~F.col("tok").rlike(insignificant_re)).select(*keep)
+    if breaks:
+        blank = F.when(F.col("code") & F.col("tok").rlike("^[\\t\\n\\x0B\\f\\r ]+$"), F.size(F.split("tok", "\n", -1)) - 1)
+        toks = toks.withColumn("brk", F.coalesce(F.sum(blank).over(before), F.lit(0)))
+        keep.append("brk")
+    sig = toks.where(F.col("code") & ~F.col("tok").rlike(insignificant_re)).select(*keep)
     delta = F.when(F.col("tok").isin(*OPENS), 1).when(F.col("tok").isin(*CLOSES), -1).otherwise(0)
     depth = F.sum(delta).over(w.rowsBetween(Window.unboundedPreceding, 0))
     return sig.withColumns({"dafter": depth.cast("int"), "dbefore": (depth - delta).cast("int")})

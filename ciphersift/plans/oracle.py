@@ -15,6 +15,7 @@ import re
 from ..sources.catalog import (CLASS_SELECTORS, LANG_BY_EXT, LANG_BY_SHEBANG, SKIP_DIRS, catalog_schemes)
 from ..sources.code_corpus import corpus_sql, sql_str
 from ..sources.config import parse_config
+from ..sources.prose_code import facts_sql
 from .queries import CUSTOM_CONFIG, DISABLED, EXCLUDES, OVERRIDES
 
 WS = r"[\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
@@ -291,6 +292,13 @@ k AS ({kept()})
 SELECT severity, CASE severity WHEN 'critical' THEN 5 WHEN 'high' THEN 4 WHEN 'medium' THEN 3 WHEN 'low' THEN 2
        ELSE 1 END AS rank, count(*) AS findings FROM k GROUP BY severity""",
     }
+    q.update({
+        "py_calls": facts_sql("calls", ["callee", "first_int", "first_str"]),
+        "py_bindings": facts_sql("bindings", ["bound", "canonical"]),
+        "go_selectors": facts_sql("selectors", ["pkg", "name"]),
+        "go_call_args": facts_sql("args", ["pkg", "fn", "arg_k", "byte_slice", "inline_make", "int_lit"]),
+        "prose_code_findings": facts_sql("findings", ["rule_id"]),
+    })
     q.update(go_oracles())
     q.update(py_oracles())
     q.update(full_scan_oracles())

@@ -16,6 +16,7 @@ from ..session import cut_lineage, ensure_parallelism
 from ..sources.code_corpus import code_corpus
 from ..sources.config import parse_config
 from ..sources.corpus import text_table_corpus
+from ..sources.prose_code import prose_code
 from .report import catalog_lines, rules_fired, severity_summary, text_report_lines
 from .scan import ScanOptions, classified_corpus, scan
 
@@ -234,6 +235,40 @@ def py_from_imports(spark, sf_dir):
     return py_syntax.py_from_imports(py_syntax.py_sig_tokens(partition_by_path(files.select("path", "content"))))
 
 
+def _prose_sig(spark, sf_dir, ext):
+    files = ensure_parallelism(prose_code(spark, sf_dir).where(F.col("path").endswith(ext)).select("path", "content"))
+    sig = py_syntax.py_sig_tokens if ext == ".py" else go_syntax.go_sig_tokens
+    return sig(partition_by_path(files))
+
+
+def py_calls(spark, sf_dir):
+    """Python calls with their first positional integer and string, f-string interpolations included."""
+    return py_syntax.py_calls(_prose_sig(spark, sf_dir, ".py"))
+
+
+def py_bindings(spark, sf_dir):
+    """From-import bindings, also in one-line compound statements and after semicolons."""
+    return py_syntax.py_from_imports(_prose_sig(spark, sf_dir, ".py"))
+
+
+def go_selectors(spark, sf_dir):
+    """Package selectors, called or not."""
+    return go_syntax.go_selectors(_prose_sig(spark, sf_dir, ".go"))
+
+
+def go_call_args(spark, sf_dir):
+    """The first two arguments of package calls."""
+    return go_syntax.go_call_args(_prose_sig(spark, sf_dir, ".go"))
+
+
+def prose_code_findings(spark, sf_dir):
+    """All thirteen syntax-tier rules on programs below real text."""
+    files = ensure_parallelism(prose_code(spark, sf_dir).select("path", "content"))
+    found = go_syntax.go_findings(files.where(F.col("path").endswith(".go"))).union(
+        py_syntax.py_findings(files.where(F.col("path").endswith(".py"))))
+    return found.select("file", "line", "column", "rule_id")
+
+
 GO_RULE_QUERIES = {
     "go_weak_func": ("weak-hash-md5", "weak-hash-sha1", "weak-hash-md4", "weak-cipher-des", "weak-cipher-3des",
                      "weak-cipher-rc4", "weak-cipher-blowfish"),
@@ -298,6 +333,11 @@ QUERIES = {
     "py_attributes": py_attributes,
     "py_from_imports": py_from_imports,
     "py_findings": py_findings,
+    "py_calls": py_calls,
+    "py_bindings": py_bindings,
+    "go_selectors": go_selectors,
+    "go_call_args": go_call_args,
+    "prose_code_findings": prose_code_findings,
     **{k: _go_rule_query(v) for k, v in GO_RULE_QUERIES.items()},
     "report_json": report_json,
     "report_sarif": report_sarif,
