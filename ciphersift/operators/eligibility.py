@@ -18,6 +18,8 @@ from ..sources.catalog import LANG_BY_EXT, LANG_BY_SHEBANG, SKIP_DIRS
 from .lines import has_overlong_line
 
 
+SNIFFED_BYTES = 8_000  # FIXED VALUE: what the binary sniff looks at
+
 def with_rel(df: DataFrame, root: str | None) -> DataFrame:
     """Slash path relative to the scan root (findings keep ``path``)."""
     p = F.col("path")
@@ -78,8 +80,9 @@ def pruned(rel: Column, globs: list[tuple[str, bool]]) -> Column:
 
 
 def is_binary(content: Column) -> Column:
-    """F5, an option: a NUL byte anywhere in the content."""
-    return F.coalesce(content.contains(F.lit("\u0000")), F.lit(False))
+    """F5, an option: a NUL byte among the first ``SNIFFED_BYTES`` of the content."""
+    head = F.substring(content.cast("binary"), 1, SNIFFED_BYTES)
+    return F.coalesce(F.contains(head, F.lit(b"\x00")), F.lit(False))
 
 
 def extension(base: Column) -> Column:
@@ -100,16 +103,17 @@ def shebang_language(content: Column) -> Column:
 
 def classify(df: DataFrame, *, search: bool, include_unknown: bool, python_syntax: bool,
              max_file_bytes: int | None = None, max_line_bytes: int | None = None,
-             skip_binary: bool = True) -> DataFrame:
+             skip_binary: bool = False) -> DataFrame:
     """Adds ``lang``, ``tier`` (go | python | regex | NULL) and the file's
     ``status`` (scanned | skipped | error) with its ``reason``.
 
-    Sizes and line lengths drop nothing unless the caller sets a limit.
+    Sizes, line lengths and NUL bytes drop nothing unless the caller asks for it.
     Content that could not be read (NULL) is an error, never "scanned"."""
     ext = extension(F.col("base"))
     ext_lang = F.element_at(lit_map({e: l for e, l, _ in LANG_BY_EXT}), ext)
     lang = F.coalesce(ext_lang, shebang_language(F.col("content")), F.lit("unknown"))
-    df = df.withColumn("lang", lang)
+    # out of a generator: what follows reads a column, and filters on tier and status do not repeat the expression
+    df = df.select("*", F.inline(F.array(F.struct(lang.alias("lang")))))
     lang_c = F.col("lang")
     if search:
         tier = F.lit("regex")

@@ -99,10 +99,10 @@ def text_table_docs(table: str) -> str:
                  "conversations": ("'conversations/' || conv_id || '/' || turn", "text"),
                  "benchmark": ("'benchmark/' || item_id", "text")}[table]
     # text rows have no extension and no shebang here; unknown language is
-    # scanned (include_unknown); a text with a NUL is binary, a NULL text an error
+    # scanned (include_unknown); a NULL text is an error
     return f"""docs AS (
   SELECT path, content FROM (SELECT {path} AS path, {col} AS content FROM {table})
-  WHERE position(chr(0) IN content) = 0
+  WHERE content IS NOT NULL
 )"""
 
 
@@ -179,7 +179,6 @@ f4 AS (SELECT *, {tier} AS tier FROM f3),
 files AS (
   SELECT path, content, lang, tier,
          CASE WHEN content IS NULL THEN 'unreadable'
-              WHEN position(chr(0) IN content) > 0 THEN 'binary'
               WHEN tier IS NULL THEN 'unknown language' END AS reason
   FROM f4
 ),
@@ -241,7 +240,7 @@ def user_catalog_sql() -> str:
     """Every line against every scheme; the exact regex runs behind a plain search for the phrase or word."""
     return rf"""WITH {text_table_docs('documents')},
 {lines_cte()},
-w AS (SELECT regexp_extract_all(text, '[A-Za-z]+') AS w FROM benchmark WHERE position(chr(0) IN text) = 0),
+w AS (SELECT regexp_extract_all(text, '[A-Za-z]+') AS w FROM benchmark),
 p AS (SELECT z[1] AS a, z[2] AS b FROM (SELECT unnest(list_zip(w, w[2:])) AS z FROM w)),
 schemes AS (
   SELECT DISTINCT lower(a) || ' ' || lower(b) AS name, '(?i)\b' || lower(a) || ' ' || lower(b) || '\b' AS pattern,
@@ -273,6 +272,12 @@ def oracle_sql() -> dict[str, str]:
         "search_all_inventory": text_scan_sql("documents", catalog_schemes()),
         "search_strong_sha256": code_search_sql(strong),
         "search_user_catalog": user_catalog_sql(),
+        "binary_sniff": """WITH d AS (
+  SELECT doc_id % 3 AS form, CASE doc_id % 3 WHEN 0 THEN text WHEN 1 THEN chr(0) || text
+         ELSE text || repeat(' ', 8000) || chr(0) END AS content FROM documents)
+SELECT form::BIGINT AS form, o.sniff, CASE WHEN content IS NULL THEN 'error'
+         WHEN o.sniff AND position(chr(0) IN content) = 1 THEN 'skipped' ELSE 'scanned' END AS status,
+       count(*) AS files FROM d, (VALUES (true), (false)) AS o(sniff) GROUP BY ALL""",
         "resolve_tokens": resolve_sql(),
         "catalog_inventory": catalog_inventory_sql(),
         "line_split": f"WITH {text_table_docs('documents')}, {lines_cte()} "

@@ -15,7 +15,7 @@ from ..operators.tokens import partition_by_path
 from ..session import cut_lineage, ensure_parallelism
 from ..sources.code_corpus import code_corpus
 from ..sources.config import parse_config
-from ..sources.corpus import text_table_corpus
+from ..sources.corpus import from_rows, read_table, text_table_corpus
 from ..sources.prose_code import prose_code
 from .report import catalog_lines, rules_fired, severity_summary, text_report_lines
 from .scan import ScanOptions, classified_corpus, scan
@@ -145,6 +145,19 @@ def file_status_counts(spark, sf_dir):
         .agg(F.count(F.lit(1)).alias("files"))
 
 
+def binary_sniff(spark, sf_dir):
+    """F5 in both forms: files without a NUL, with a first one, with one behind the sniffed bytes; by option and status."""
+    docs = read_table(spark, sf_dir, "documents")
+    form = F.pmod("doc_id", F.lit(3))
+    content = F.when(form == 0, F.col("text")).when(form == 1, F.concat(F.lit("\0"), "text")).otherwise(
+        F.concat("text", F.repeat(F.lit(" "), 8000), F.lit("\0")))
+    files = from_rows(docs, F.concat_ws("/", form.cast("string"), F.col("doc_id").cast("string")), content)
+    parts = [classified_corpus(files, ScanOptions(skip_binary=sniff), parse_config({}), False, True).select(
+        F.substring_index("path", "/", 1).cast("bigint").alias("form"), F.lit(sniff).alias("sniff"), "status")
+        for sniff in (True, False)]
+    return parts[0].union(parts[1]).groupBy("form", "sniff", "status").agg(F.count("*").alias("files"))
+
+
 def _code_search(spark, sf_dir, **kw):
     opts = ScanOptions(schemes=["weak"], sort=False, **kw)
     return scan(spark, code_corpus(spark, sf_dir), opts).findings
@@ -318,6 +331,7 @@ QUERIES = {
     "skip_dirs": skip_dirs,
     "exclude_globs": exclude_globs,
     "file_status_counts": file_status_counts,
+    "binary_sniff": binary_sniff,
     "suppression_antijoin": suppression_antijoin,
     "disabled_antijoin": disabled_antijoin,
     "severity_override": severity_override,

@@ -35,7 +35,7 @@ class ScanOptions:
     config: ScanConfig | dict | str | None = None
     max_file_bytes: int | None = None   # skip larger files; by default every file is scanned
     max_line_bytes: int | None = None   # give up on files with a longer line; by default none
-    skip_binary: bool = True            # skip files with a NUL byte anywhere
+    skip_binary: bool = False           # skip files with a NUL byte among their first 8,000 (for file trees)
     marker: str = SUPPRESS_MARKER       # what an inline suppression comment starts with
     python_syntax: bool = True   # parser-backed Python tier on (else Python uses the regex tier)
     root: str | None = None      # prefix stripped to get the relative path

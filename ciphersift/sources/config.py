@@ -6,7 +6,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from ..functions.regex import RegexError, validate_re2
-from .catalog import CONFIDENCE_RANK, SEVERITIES, Scheme, catalog_schemes
+from .catalog import CONFIDENCE_RANK, SEVERITIES, Scheme, catalog_schemes, default_remediation
 
 
 class ConfigError(ValueError):
@@ -32,7 +32,7 @@ def custom_scheme(id: str, pattern: str, title: str = "", cls: str = "", note: s
     except (RegexError, ValueError) as e:
         raise ConfigError(f"scheme {id!r}: invalid pattern: {e}") from e
     return Scheme(ord=ord, name=id, title=title or id, cls=cls or "weak", note=note or "",
-                  pattern=pattern, remediation=remediation or "", custom=True)
+                  pattern=pattern, remediation=remediation or default_remediation(id, cls or "weak"), custom=True)
 
 
 def parse_config(doc: dict | None, source: str = "config") -> ScanConfig:
