@@ -21,9 +21,11 @@ from .lines import has_overlong_line
 SNIFFED_BYTES = 8_000  # FIXED VALUE: what the binary sniff looks at
 
 def with_rel(df: DataFrame, root: str | None) -> DataFrame:
-    """Slash path relative to the scan root (findings keep ``path``)."""
+    """Slash path relative to the scan root (findings keep ``path``); a source may bring it as ``rel``."""
     p = F.col("path")
-    if root:
+    if "rel" in df.columns:
+        rel = F.col("rel")
+    elif root:
         prefix = root.rstrip("/")
         rel = F.when(p.startswith(prefix + "/"), F.expr(f"substring(path, {len(prefix) + 2})")).otherwise(p)
     else:
@@ -127,6 +129,8 @@ def classify(df: DataFrame, *, search: bool, include_unknown: bool, python_synta
     reasons = []
     if max_file_bytes is not None:
         reasons.append((F.col("length") > max_file_bytes, "too large"))
+    if "error" in df.columns:
+        reasons.insert(0, (F.col("error").isNotNull(), F.col("error")))
     reasons.append((content.isNull(), "unreadable"))
     if skip_binary:
         reasons.append((is_binary(content), "binary"))
@@ -136,6 +140,8 @@ def classify(df: DataFrame, *, search: bool, include_unknown: bool, python_synta
     reason = F.lit(None).cast("string")
     for cond, name in reversed(reasons):
         reason = F.when(cond, name).otherwise(reason)
+    failed = F.col("reason").isin("line too long", "unreadable")
+    if "error" in df.columns:
+        failed = failed | F.col("error").isNotNull()
     return df.withColumn("reason", reason) \
-        .withColumn("status", F.when(F.col("reason").isNull(), "scanned")
-                    .when(F.col("reason").isin("line too long", "unreadable"), "error").otherwise("skipped"))
+        .withColumn("status", F.when(F.col("reason").isNull(), "scanned").when(failed, "error").otherwise("skipped"))

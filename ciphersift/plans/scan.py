@@ -74,7 +74,7 @@ def classified_corpus(corpus: DataFrame, opts: ScanOptions, cfg: ScanConfig, sea
     globs = compile_globs(cfg.exclude)
     if root_is_pruned(opts.root_name, globs):
         return None
-    df = corpus.select("path", "content", "length")
+    df = corpus.select("path", "content", "length", *[c for c in ("rel", "error") if c in corpus.columns])
     if spread:
         df = ensure_parallelism(df)
     df = with_rel(df, opts.root)
