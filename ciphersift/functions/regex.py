@@ -1,267 +1,24 @@
-"""Driver-side string helpers: RE2 -> Java regex translation and glob -> regex.
+"""Driver-side string helpers: RE2 -> Java regexes and glob -> regex.
 
 Spark evaluates regexes with ``java.util.regex``; the rules are written for RE2
 (the dialect the scanner semantics are defined in, and the one DuckDB uses, so
-the oracle agrees with it).  The differences that change results, and how each
-is bridged:
-
-* ``\\b`` is ASCII in RE2 and Unicode-aware in Java 17 -> an explicit two-sided
-  ASCII boundary made of look-arounds.
-* ``(?i)`` in RE2 folds ``s``/``S`` with U+017F and ``k``/``K`` with U+212A and
-  nothing else for ASCII letters; Java's ``(?iu)`` folds more (e.g. U+0130) ->
-  ASCII ``(?i)`` plus the two extra fold partners spelled out.
-* ``\\s`` is ``[\\t\\n\\f\\r ]`` in RE2 (no ``\\v``), ``.`` only excludes ``\\n``
-  -> explicit class and ``(?d)``.
-* ``(?P<n>`` named groups and ``[[:alpha:]]`` classes are rewritten; RE2-invalid
-  constructs (look-around, back-references, possessive) are rejected.
+the oracle agrees with it).  :mod:`.re2` parses a pattern and prints it for Java.
 """
 
 from __future__ import annotations
 
 import re
 
-WORD = "0-9A-Za-z_"
-# exact RE2 \b and \B on ASCII word characters
-BOUNDARY = f"(?:(?<![{WORD}])(?=[{WORD}])|(?<=[{WORD}])(?![{WORD}]))"
-NON_BOUNDARY = f"(?:(?<![{WORD}])(?![{WORD}])|(?<=[{WORD}])(?=[{WORD}]))"
-
-# RE2 case-fold partners of ASCII letters outside ASCII (simple folding orbits)
-_FOLD_EXTRA = {"s": "ſ", "k": "K"}
+from py4j.protocol import Py4JJavaError
+from pyspark import SparkContext
+from pyspark.errors import PySparkException
 
-_POSIX = {
-    "alnum": "0-9A-Za-z", "alpha": "A-Za-z", "ascii": "\\x00-\\x7F", "blank": "\\t ",
-    "cntrl": "\\x00-\\x1F\\x7F", "digit": "0-9", "graph": "!-~", "lower": "a-z",
-    "print": " -~", "punct": "!-/:-@\\[-`{-~", "space": "\\t\\n\\v\\f\\r ",
-    "upper": "A-Z", "word": "0-9A-Za-z_", "xdigit": "0-9A-Fa-f",
-}
-_PERL = {"d": "0-9", "s": "\\t\\n\\f\\r ", "w": "0-9A-Za-z_"}
+from .re2 import RegexError, translate
 
 # Unicode White_Space as Go's unicode.IsSpace (strings.TrimSpace) sees it.
 GO_SPACE_CLASS = "[\\t\\n\\x0B\\f\\r \\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]"
 
 
-class RegexError(ValueError):
-    pass
-
-
-def _fold_class_extra(members: str, fold: bool) -> str:
-    """Members a class needs under RE2 case folding: the other case of every
-    ASCII letter / letter range, plus U+017F and U+212A for s and k."""
-    if not fold:
-        return ""
-    extra = []
-    j = 0
-    plain = re.sub(r"\\.", "", members)
-    while j < len(plain):
-        if j + 2 < len(plain) and plain[j + 1] == "-":
-            lo, hi = plain[j], plain[j + 2]
-            for a, b in (("a", "z"), ("A", "Z")):
-                s_lo, s_hi = max(lo, a), min(hi, b)
-                if s_lo <= s_hi:
-                    extra.append(f"{s_lo.swapcase()}-{s_hi.swapcase()}")
-            j += 3
-            continue
-        ch = plain[j]
-        if ch.isascii() and ch.isalpha():
-            extra.append(ch.swapcase())
-        j += 1
-    covered = members + "".join(extra)
-    for ch, partner in _FOLD_EXTRA.items():
-        if ch in covered or _range_covers(covered, ch):
-            extra.append(partner)
-    return "".join(extra)
-
-
-def _range_covers(members: str, ch: str) -> bool:
-    for m in re.finditer(r"(.)-(.)", members):
-        if m.group(1) <= ch <= m.group(2):
-            return True
-    return False
-
-
-def translate(pattern: str, *, fold: bool = False, drop_boundaries: bool = False) -> str:
-    """Translate an RE2 pattern body into an equivalent Java regex body.
-
-    ``fold`` says whether case-insensitivity is active at the start (the
-    catalog's implicit ``(?i)``); inline ``(?i)`` groups in the pattern are
-    tracked as well.  ``drop_boundaries`` removes ``\\b`` (used for the
-    superset prefilter only).
-    """
-    out: list[str] = []
-    i, n = 0, len(pattern)
-    fold_stack: list[bool] = []
-    while i < n:
-        c = pattern[i]
-        if c == "\\":
-            if i + 1 >= n:
-                raise RegexError("trailing backslash")
-            e = pattern[i + 1]
-            i += 2
-            if e == "b":
-                out.append("" if drop_boundaries else BOUNDARY)
-            elif e == "B":
-                out.append(NON_BOUNDARY)
-            elif e in "dsw":
-                extra = _fold_class_extra(_PERL[e], fold and e == "w")
-                out.append(f"[{_PERL[e]}{extra}]")
-            elif e in "DSW":
-                extra = _fold_class_extra(_PERL[e.lower()], fold and e == "W")
-                out.append(f"[^{_PERL[e.lower()]}{extra}]")
-            elif e.isdigit() and e != "0":
-                raise RegexError("back-references are not supported by RE2")
-            elif e == "z":
-                out.append("\\z")
-            elif e in "AQEpPx" or not e.isalnum():
-                # \A, quoting, unicode classes, hex escapes, escaped punctuation
-                if e == "Q":
-                    end = pattern.find("\\E", i)
-                    lit = pattern[i:] if end < 0 else pattern[i:end]
-                    i = n if end < 0 else end + 2
-                    out.append(_literal(lit, fold))
-                    continue
-                out.append("\\" + e)
-                if e in "pP" and i < n and pattern[i] == "{":
-                    j = pattern.index("}", i)
-                    out.append(pattern[i:j + 1])
-                    i = j + 1
-                elif e == "x" and i < n and pattern[i] == "{":
-                    j = pattern.index("}", i)
-                    out.append(pattern[i:j + 1])
-                    i = j + 1
-            elif e in "tnfrv":
-                out.append({"v": "\\x0B"}.get(e, "\\" + e))
-            else:
-                raise RegexError(f"unsupported escape \\{e}")
-        elif c == "[":
-            j, body = _read_class(pattern, i)
-            neg = body.startswith("^")
-            members = body[1:] if neg else body
-            members = _expand_posix(members)
-            extra = _fold_class_extra(members, fold)
-            out.append("[" + ("^" if neg else "") + members + extra + "]")
-            i = j
-        elif c == "(":
-            if pattern.startswith("(?P<", i):
-                out.append("(?<")
-                fold_stack.append(fold)
-                i += 4
-            elif pattern.startswith("(?<", i) and not pattern.startswith("(?<=", i) \
-                    and not pattern.startswith("(?<!", i):
-                out.append("(?<")
-                fold_stack.append(fold)
-                i += 3
-            elif pattern.startswith("(?", i):
-                m = re.match(r"\(\?([a-zA-Z]*)(?:-([a-zA-Z]*))?([:)])", pattern[i:])
-                if not m:
-                    raise RegexError("look-around and other (? groups are not supported by RE2")
-                on, off, kind = m.group(1), m.group(2) or "", m.group(3)
-                for f in on + off:
-                    if f not in "imsU":
-                        raise RegexError(f"unknown flag {f}")
-                if "U" in on + off:
-                    raise RegexError("ungreedy flag U is not supported")
-                new_fold = (fold or "i" in on) and "i" not in off
-                jon = on.replace("i", "")
-                joff = off.replace("i", "")
-                flags = jon + ("-" + joff if joff else "")
-                if kind == ")":
-                    fold = new_fold
-                    if flags:
-                        out.append(f"(?{flags})")
-                else:
-                    fold_stack.append(fold)
-                    fold = new_fold
-                    out.append(f"(?{flags}:" if flags else "(?:")
-                i += m.end()
-            else:
-                out.append("(")
-                fold_stack.append(fold)
-                i += 1
-        elif c == ")":
-            out.append(")")
-            if fold_stack:
-                fold = fold_stack.pop()
-            i += 1
-        elif c in "*+?}":
-            out.append(c)
-            i += 1
-            if i < n and pattern[i] == "+" and c != "}":
-                raise RegexError("possessive quantifiers are not supported by RE2")
-        elif c == "{":
-            m = re.match(r"\{(\d+)(,(\d*))?\}", pattern[i:])
-            if m:
-                out.append(m.group(0))
-                i += m.end()
-            else:  # RE2 treats a bare { as a literal
-                out.append("\\{")
-                i += 1
-        elif c == "$":
-            out.append("\\z")
-            i += 1
-        elif c in "|.^":
-            out.append(c)
-            i += 1
-        else:
-            out.append(_literal(c, fold))
-            i += 1
-    return "".join(out)
-
-
-def _literal(text: str, fold: bool) -> str:
-    parts = []
-    for ch in text:
-        low = ch.lower()
-        if fold and low in _FOLD_EXTRA:
-            parts.append(f"[{low}{low.upper()}{_FOLD_EXTRA[low]}]")
-        elif fold and ch.isalpha() and ch.isascii():
-            parts.append(f"[{low}{low.upper()}]")
-        elif fold and ch.isalpha():
-            alts = {ch, *(v for v in (ch.lower(), ch.upper()) if len(v) == 1)}
-            parts.append("[" + "".join(sorted(alts)) + "]")
-        elif ch.isalnum() or ch in " _-/,:;'\"=<>!@%&~`#":
-            parts.append(ch)
-        else:
-            parts.append("\\" + ch if ch in "\\.^$|?*+()[]{}" else ch)
-    return "".join(parts)
-
-
-def _read_class(p: str, i: int) -> tuple[int, str]:
-    j = i + 1
-    if j < len(p) and p[j] == "^":
-        j += 1
-    if j < len(p) and p[j] == "]":
-        j += 1
-    while j < len(p):
-        if p[j] == "\\":
-            j += 2
-            continue
-        if p.startswith("[:", j):
-            k = p.find(":]", j)
-            if k > 0:
-                j = k + 2
-                continue
-        if p[j] == "]":
-            return j + 1, p[i + 1:j]
-        if p[j] == "[":
-            raise RegexError("nested classes are not supported")
-        j += 1
-    raise RegexError("missing closing ]")
-
-
-def _expand_posix(members: str) -> str:
-    def rep(m: re.Match) -> str:
-        neg, name = m.group(1), m.group(2)
-        if name not in _POSIX:
-            raise RegexError(f"unknown POSIX class {name}")
-        if neg:
-            raise RegexError("negated POSIX class inside a class is not supported")
-        return _POSIX[name]
-    members = re.sub(r"\[:(\^?)([a-z]+):\]", rep, members)
-    members = re.sub(r"\\([dsw])", lambda m: _PERL[m.group(1)], members)
-    members = members.replace("\\v", "\\x0B")
-    return members
-
-
 def java_regex(re2: str, *, drop_boundaries: bool = False) -> str:
     """Full Java pattern (with flags) equivalent to an RE2 pattern."""
     return "(?d)" + translate(re2, fold=False, drop_boundaries=drop_boundaries)
@@ -279,8 +36,14 @@ def prefilter(re2_patterns: list[str]) -> str | None:
 
 
 def validate_re2(pattern: str) -> None:
-    """Raise RegexError if the pattern is outside what we translate."""
-    translate(pattern)
+    """Raise RegexError if RE2 refuses the pattern or, where a JVM is at hand, if its Java form does not compile."""
+    java = java_regex(pattern)
+    sc = SparkContext._active_spark_context
+    if sc is not None and sc._jvm is not None:
+        try:
+            sc._jvm.java.util.regex.Pattern.compile(java)
+        except (Py4JJavaError, PySparkException) as e:
+            raise RegexError(f"{pattern!r} is outside the supported classes: {str(e).splitlines()[0]}") from e
 
 
 def glob_to_regex(glob: str) -> str:

@@ -16,7 +16,7 @@ from ..sources.catalog import (CLASS_SELECTORS, LANG_BY_EXT, LANG_BY_SHEBANG, SK
 from ..sources.code_corpus import corpus_sql, sql_str
 from ..sources.config import parse_config
 from ..sources.prose_code import facts_sql
-from .queries import CUSTOM_CONFIG, DISABLED, EXCLUDES, OVERRIDES
+from .queries import CUSTOM_CONFIG, DIALECT, DISABLED, EXCLUDES, OVERRIDES
 
 WS = r"[\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 FINDING_COLS = 'rule_id, title, description, severity, confidence, remediation, file, line, "column", snippet'
@@ -272,6 +272,11 @@ def oracle_sql() -> dict[str, str]:
         "search_all_inventory": text_scan_sql("documents", catalog_schemes()),
         "search_strong_sha256": code_search_sql(strong),
         "search_user_catalog": user_catalog_sql(),
+        "regex_dialect": f"""WITH {text_table_docs('conversations')},
+{lines_cte()},
+p(rule_id, pattern) AS (VALUES {", ".join(f"('scheme:p{k}', {sql_str(p)})" for k, p in enumerate(DIALECT))})
+SELECT rule_id, count(*) AS lines, sum(strlen(regexp_extract(text, '^((?s:.)*?)(?:' || pattern || ')', 1)) + 1)::BIGINT AS columns
+FROM lines JOIN p ON regexp_matches(text, pattern) GROUP BY rule_id""",
         "binary_sniff": """WITH d AS (
   SELECT doc_id % 3 AS form, CASE doc_id % 3 WHEN 0 THEN text WHEN 1 THEN chr(0) || text
          ELSE text || repeat(' ', 8000) || chr(0) END AS content FROM documents)

@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from ..operators import go_syntax, py_syntax
 from ..operators.lines import explode_lines
 from ..operators.needle_index import catalog_findings, checked_catalog
-from ..operators.scheme_scan import resolve_tokens_df
+from ..operators.scheme_scan import resolve_tokens_df, scheme_findings
 from ..operators.tokens import partition_by_path
 from ..session import cut_lineage, ensure_parallelism
 from ..sources.code_corpus import code_corpus
-from ..sources.config import parse_config
+from ..sources.config import custom_scheme, parse_config
 from ..sources.corpus import from_rows, read_table, text_table_corpus
 from ..sources.prose_code import prose_code
 from .report import catalog_lines, rules_fired, severity_summary, text_report_lines
@@ -31,6 +31,12 @@ CUSTOM_CONFIG = {
         {"id": "md5", "pattern": r"(?i)\bdes\b"},
     ]
 }
+DIALECT = [
+    r"(?i)\bTh[a-e]+\b", r"\p{Lu}\p{Ll}{3,5}?", r"\p{Greek}+|\p{Cyrillic}", r"[a&&b]\w", r"(?:\b)+an", r"\B[^\W\d_]{4}\B",
+    r"(?U)t.*e", r"(?s)e.{2,}?a", r"[[:upper:]][[:^alpha:]]", r"[^\x00-\x7F]+", r"(?i)[k-s]{3}", r"(?i:IN)g", r"\Qa.\E?b", r"^\S+",
+    r"\w+\.$", r"(?m)^[A-Z].{4}", r"(?P<first>o)(?:u|(?-i)U)", r"a{2}|e{2,}|o{0,2}n", r"[\]x-]|[]y]", r"\pN+\x2E?\d", r"\x{e9}|\351",
+    r"(?i)straße|ſ", r"(a|ab)(c|bcd)?", r"(x*)*y", r"[\d\-.]+[,;]", r"t(?:h(?:e(?:r)?)?)?\b", r"\ae?|\PL{3}", r"{", r"(?i)[^a-y\W]",
+]
 EXCLUDES = ["skip/**", "*.min.js", "**/notes*.txt", "bin/"]
 DISABLED = ["scheme:md5", "weak-hash-sha1", "scheme:cbc"]
 OVERRIDES = {"scheme:des": "critical", "scheme:sha1": "low", "weak-hash-md5": "info"}
@@ -63,6 +69,13 @@ def scan_conversations_custom(spark, sf_dir):
     return _text_scan(spark, sf_dir, "conversations", config=CUSTOM_CONFIG)
 
 
+def regex_dialect(spark, sf_dir):
+    """2.11: patterns over the whole RE2 grammar on every line of ``conversations``: lines matched, and their columns."""
+    schemes = [custom_scheme(f"p{k}", p, ord=k) for k, p in enumerate(DIALECT)]
+    hits = scheme_findings(_docs(spark, sf_dir, "conversations"), schemes)
+    return hits.groupBy("rule_id").agg(F.count("*").alias("lines"), F.sum("column").alias("columns"))
+
+
 def search_all_inventory(spark, sf_dir):
     """Search mode with the ``all`` selector (49 schemes) on documents."""
     return _text_scan(spark, sf_dir, "documents", schemes=["all"])
@@ -321,6 +334,7 @@ QUERIES = {
     "scan_pages_weak": scan_pages_weak,
     "scan_benchmark_weak": scan_benchmark_weak,
     "scan_conversations_custom": scan_conversations_custom,
+    "regex_dialect": regex_dialect,
     "search_all_inventory": search_all_inventory,
     "search_strong_sha256": search_strong_sha256,
     "search_user_catalog": search_user_catalog,
