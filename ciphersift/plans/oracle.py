@@ -671,9 +671,65 @@ raw_findings AS (SELECT * FROM rx UNION ALL SELECT * FROM gf UNION ALL SELECT *
 {kept(min_rank=min_rank)}"""
 
 
+def report_oracles(full: str) -> dict[str, str]:
+    """The reports from the findings in SQL: documents as (position, text) and the summary line."""
+    from ..sources.catalog import RULES, SARIF_SCHEMA, TOOL_NAME, TOOL_URI, TOOL_VERSION
+
+    def obj(*pairs, optional=()):
+        parts = [f"""CASE WHEN {v} {empty} THEN '' ELSE ',"{k}":' || {j} END""" if (empty := dict(optional).get(k))
+                 else f"""',"{k}":' || {j}""" for k, v, j in pairs]
+        return "'{' || substr(" + " || ".join(parts) + ", 2) || '}'"
+
+    def q(c):
+        return c, f"to_json({c})::VARCHAR"
+
+    def n(c):
+        return c, f"{c}::VARCHAR"
+
+    by = 'file, line, "column", rule_id'
+    errors = """(SELECT 'lost/' || item_id || '.c: unreadable' AS m, row_number() OVER (ORDER BY 'lost/' || item_id || '.c') AS e FROM benchmark)"""
+    finding = obj(*[(c, *q(c)) for c in ("rule_id", "title", "description", "severity", "confidence", "remediation", "file")],
+                  ("line", *n("line")), ("column", *n('"column"')), ("snippet", *q("snippet")),
+                  optional=(("remediation", "= ''"), ("column", "= 0"), ("snippet", "= ''")))
+    status = f"(SELECT status, count(*) AS n FROM (WITH {classified_cte()} SELECT status FROM classified) GROUP BY status)"
+    scanned, skipped = (f"coalesce((SELECT n FROM {status} WHERE status = '{x}'), 0)" for x in ("scanned", "skipped"))
+    helped = " ".join(f"WHEN {sql_str(r)} THEN {sql_str(rem)}" for r, _, _, _, rem in RULES)
+    text = lambda v: (v, f"""'{{"text":' || to_json({v})::VARCHAR || '}}'""")
+    rule = obj(("id", *q("rule_id")), ("name", *q("title")), ("shortDescription", *text("title")),
+               ("fullDescription", *text("description")), ("help", *text(f"CASE rule_id {helped} ELSE '' END")),
+               ("properties", "1", """'{"tags":["cryptography","security"]}'"""))
+    level = "CASE WHEN severity IN ('critical', 'high') THEN 'error' WHEN severity = 'medium' THEN 'warning' ELSE 'note' END"
+    place = """'[{"physicalLocation":{"artifactLocation":{"uri":' || to_json(file)::VARCHAR || '},"region":{"startLine":' || line || """ \
+            """CASE WHEN "column" = 0 THEN '' ELSE ',"startColumn":' || "column" END || '}}}]'"""
+    result = obj(("ruleId", *q("rule_id")), ("level", *q(level)), ("message", *text("description")), ("locations", "1", place),
+                 ("properties", "1", """'{"confidence":' || to_json(confidence)::VARCHAR || '}'"""))
+    head = f'{{"$schema":"{SARIF_SCHEMA}","version":"2.1.0","runs":[{{"tool":{{"driver":{{"name":"{TOOL_NAME}","version":"{TOOL_VERSION}",' \
+           f'"informationUri":"{TOOL_URI}","rules":['
+    severities = " || ".join(f"CASE WHEN count(*) FILTER (severity = '{s}') > 0 THEN ' {s}=' || count(*) FILTER (severity = '{s}') ELSE '' END"
+                             for s in ("critical", "high", "medium", "low", "info"))
+    return {
+        "report_json": f"""WITH f AS (SELECT *, row_number() OVER (ORDER BY {by}) AS p FROM ({full})), e AS (SELECT * FROM {errors})
+SELECT 0::BIGINT AS position, '{{"tool":"{TOOL_NAME}","version":"{TOOL_VERSION}","files_scanned":' || {scanned} ||
+       ',"files_skipped":' || {skipped} || ',"findings":[' AS text
+UNION ALL SELECT p, CASE WHEN p > 1 THEN ',' ELSE '' END || {finding} FROM f
+UNION ALL SELECT (SELECT count(*) FROM f) + 1, '],"errors":['
+UNION ALL SELECT (SELECT count(*) FROM f) + 1 + e, CASE WHEN e > 1 THEN ',' ELSE '' END || to_json(m)::VARCHAR FROM e
+UNION ALL SELECT (SELECT count(*) FROM f) + (SELECT count(*) FROM e) + 2, ']}}'""",
+        "report_sarif": f"""WITH f AS (SELECT *, row_number() OVER (ORDER BY {by}) AS p FROM ({full})),
+r AS (SELECT *, row_number() OVER (ORDER BY p) AS k FROM (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY rule_id ORDER BY p) = 1))
+SELECT 0::BIGINT AS position, {sql_str(head)} AS text
+UNION ALL SELECT k, CASE WHEN k > 1 THEN ',' ELSE '' END || {rule} FROM r
+UNION ALL SELECT (SELECT count(*) FROM r) + 1, ']}}}},"results":['
+UNION ALL SELECT (SELECT count(*) FROM r) + 1 + p, CASE WHEN p > 1 THEN ',' ELSE '' END || {result} FROM f
+UNION ALL SELECT (SELECT count(*) FROM r) + (SELECT count(*) FROM f) + 2, ']}}]}}'""",
+        "report_summary": f"""SELECT 'Scanned ' || {scanned} || ' files (' || {skipped} || ' skipped); ' || count(*) || ' finding(s):' ||
+       {severities} || chr(10) || (SELECT count(*) FROM benchmark) || ' error(s) during scan' AS text, count(*) > 0 AS gate FROM ({full})""",
+    }
+
+
 def full_scan_oracles() -> dict[str, str]:
     full = full_scan_sql()
-    return {
+    return report_oracles(full) | {
         "code_scan_default": full,
         "min_confidence_high": full_scan_sql(min_rank=2, include_unknown=True),
         "rules_fired": f"""SELECT rule_id, min(title) AS title, min_by(file, (file, line, "column")) AS first_file,

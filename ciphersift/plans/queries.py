@@ -12,12 +12,13 @@ from ..operators.lines import explode_lines
 from ..operators.needle_index import catalog_findings, checked_catalog
 from ..operators.scheme_scan import resolve_tokens_df, scheme_findings
 from ..operators.tokens import partition_by_path
-from ..session import cut_lineage, ensure_parallelism
+from ..session import ensure_parallelism
 from ..sources.code_corpus import code_corpus
 from ..sources.config import custom_scheme, parse_config
 from ..sources.corpus import from_rows, read_table, text_table_corpus
 from ..sources.prose_code import prose_code
-from .report import catalog_lines, rules_fired, severity_summary, text_report_lines
+from .report import (catalog_lines, json_report_fragments, rules_fired, sarif_fragments, scan_errors, severity_summary,
+                     summary_frame, text_report_lines)
 from .scan import ScanOptions, classified_corpus, scan
 
 # FIXED VALUES used by the registered queries (inputs, not results).
@@ -312,21 +313,29 @@ def _go_rule_query(rules):
     return q
 
 
+def _code_scan(spark, sf_dir):
+    """The default code-corpus scan, with files that cannot be read beside it."""
+    lost = from_rows(read_table(spark, sf_dir, "benchmark"), F.concat(F.lit("lost/"), F.col("item_id").cast("string"), F.lit(".c")),
+                     F.lit(None).cast("string"))
+    return scan(spark, code_corpus(spark, sf_dir).unionByName(lost), ScanOptions(sort=False))
+
+
 def report_json(spark, sf_dir):
-    """K2: the JSON report of the default code-corpus scan as ordered
-    fragments (part, key, text); concatenated they form the document."""
-    from .report import json_report_fragments
-    res = scan(spark, code_corpus(spark, sf_dir), ScanOptions(sort=False))
+    """The JSON report, errors included, as (position, text); in order the texts form the document."""
+    res = _code_scan(spark, sf_dir)
     c = res.counts()
-    # render from the materialised findings table (K1), not from the scan plan
-    return json_report_fragments(cut_lineage(res.findings), c["scanned"], c["skipped"])
+    return json_report_fragments(res.findings, c["scanned"], c["skipped"], scan_errors(res.file_status))
 
 
 def report_sarif(spark, sf_dir):
-    """K3: the SARIF 2.1.0 report of the default code-corpus scan as ordered fragments."""
-    from .report import sarif_fragments
-    findings = scan(spark, code_corpus(spark, sf_dir), ScanOptions(sort=False)).findings
-    return sarif_fragments(cut_lineage(findings))
+    """The SARIF 2.1.0 report as (position, text)."""
+    return sarif_fragments(_code_scan(spark, sf_dir).findings)
+
+
+def report_summary(spark, sf_dir):
+    """K5, A4, O2: the summary line and the gate."""
+    res = _code_scan(spark, sf_dir)
+    return summary_frame(res.findings, res.file_status)
 
 
 QUERIES = {
@@ -369,4 +378,5 @@ QUERIES = {
     **{k: _go_rule_query(v) for k, v in GO_RULE_QUERIES.items()},
     "report_json": report_json,
     "report_sarif": report_sarif,
+    "report_summary": report_summary,
 }

@@ -1,10 +1,10 @@
 """Sinks and aggregates over the findings table.
 
 Large outputs stay distributed: the JSON and SARIF documents are produced as
-ordered text fragments (one per finding plus the envelope), written with
-``write.text`` in key order, so no single task or the driver ever holds the
-whole document.  Only the small aggregates (counts, rules fired) are
-collected.
+numbered text fragments (one per finding plus the envelope), written with
+``write.text`` in order, so no single task or the driver ever holds the
+whole document.  Only small aggregates (counts by status, by severity and by
+partition) are collected.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import sarif_level, severity_rank
+from ..session import cut_lineage
 from ..sources.catalog import (RULES, SARIF_SCHEMA, TOOL_NAME, TOOL_URI, TOOL_VERSION, catalog_schemes)
 
 ORDER = ["file", "line", "column", "rule_id"]
@@ -47,6 +48,22 @@ def summary_line(findings: DataFrame, file_status: DataFrame) -> str:
     return s
 
 
+def summary_frame(findings: DataFrame, file_status: DataFrame) -> DataFrame:
+    """K5, A4, O2 as one row (text, gate): :func:`summary_line` and whether anything was found, from two small aggregates."""
+    none = F.lit(None).cast("int")
+    rows = file_status.groupBy("status").agg(F.count("*").alias("n")).select(F.col("status").alias("name"), none.alias("rank"), "n")
+    sev = severity_summary(findings).select(F.col("severity").alias("name"), "rank", F.col("findings").alias("n"))
+    of = lambda status: F.coalesce(F.sum(F.when(F.col("rank").isNull() & (F.col("name") == status), F.col("n"))), F.lit(0))
+    each = F.when(F.col("rank").isNotNull(), F.struct((-F.col("rank")).alias("o"), F.format_string(" %s=%d", "name", "n").alias("t")))
+    got = rows.union(sev).agg(of("scanned").alias("scanned"), of("skipped").alias("skipped"), of("error").alias("errors"),
+                              F.coalesce(F.sum(F.when(F.col("rank").isNotNull(), F.col("n"))), F.lit(0)).alias("found"),
+                              F.array_sort(F.collect_list(each)).alias("sev"))
+    text = F.concat(F.format_string("Scanned %d files (%d skipped); %d finding(s)", "scanned", "skipped", "found"),
+                    F.when(F.col("found") > 0, F.concat(F.lit(":"), F.array_join(F.col("sev.t"), ""))).otherwise(""),
+                    F.when(F.col("errors") > 0, F.format_string("\n%d error(s) during scan", "errors")).otherwise(""))
+    return got.select(text.alias("text"), (F.col("found") > 0).alias("gate"))
+
+
 def has_findings(findings: DataFrame) -> bool:
     """A4: the CI gate (exit code 1 when anything was found)."""
     return not findings.isEmpty()
@@ -94,64 +111,84 @@ def finding_json(findings: DataFrame) -> Column:
         _omit_empty(F.col("column"), 0).alias("column"), _omit_empty(F.col("snippet"), "").alias("snippet")))
 
 
-def _with_first_flag(findings: DataFrame) -> DataFrame:
-    """Mark the first finding in report order so fragments can carry their
-    separators.  The first key is a scalar subquery of the same plan (no
-    driver round trip; shared exchanges are reused)."""
-    first = findings.agg(F.min(F.struct(*ORDER)).alias("first")).scalar()
-    return _numbered(findings).withColumn(
-        "is_first", F.coalesce((F.struct(*ORDER) == first) & (F.col("nth") == 1), F.lit(False)))
+def in_positions(rows: DataFrame, order: list[str]) -> tuple[DataFrame, int]:
+    """(rows with ``position`` 0, 1, ... in the given order, their number).
+
+    Rows are range-partitioned by the order, sorted within partitions and
+    written once (reliable checkpoint); a row's position is its place in its
+    partition after the counts of the partitions before.  The driver sees one
+    count per partition.  There is no window, and what made the rows is
+    evaluated once.  Rows that tie are told apart by all their columns.
+    """
+    rest = [c for c in rows.columns if c not in order]
+    placed = cut_lineage(rows.repartitionByRange(*order).sortWithinPartitions(*order, *rest))
+    part = F.spark_partition_id()
+    placed = placed.withColumns({"part": part, "place": F.monotonically_increasing_id() - F.shiftleft(part.cast("bigint"), 33)})
+    counts = dict(map(tuple, placed.groupBy("part").count().collect()))
+    starts, total = {}, 0
+    for k in sorted(counts):
+        starts[k], total = total, total + counts[k]
+    start = F.create_map(*[F.lit(x) for k, n in starts.items() for x in (k, n)])[F.col("part")] if starts else F.lit(0)
+    return placed.withColumn("position", (start + F.col("place")).cast("bigint")).drop("part", "place"), total
+
+
+def _listed(rows: DataFrame, text: Column, first: int) -> DataFrame:
+    """Fragments of a JSON list from ``first`` on: every one but the first begins with its comma."""
+    comma = F.when(F.col("position") > 0, F.lit(",")).otherwise(F.lit(""))
+    return rows.select((F.col("position") + first).alias("position"), F.concat(comma, text).alias("text"))
+
+
+def _ends(spark: SparkSession, texts: list[tuple[int, str]]) -> DataFrame:
+    return spark.createDataFrame(texts, "position bigint, text string")
+
+
+def scan_errors(file_status: DataFrame) -> DataFrame:
+    """(path, message) of every file or directory that could not be scanned."""
+    message = F.when(F.contains(F.col("reason"), F.col("path")), F.col("reason")).otherwise(
+        F.concat("path", F.lit(": "), "reason"))
+    return file_status.where("status = 'error'").select("path", message.alias("message"))
 
 
 def json_report_fragments(findings: DataFrame, files_scanned: int, files_skipped: int,
-                          errors: list[str] | None = None) -> DataFrame:
-    """K2 as ordered fragments: (part, file, line, column, rule_id, text).
-    Concatenated in that order they form the JSON envelope."""
+                          errors: DataFrame | None = None) -> DataFrame:
+    """K2 + A8 as (position, text); concatenated in order the texts are the JSON envelope.  ``errors``: see
+    :func:`scan_errors`; without any, the envelope has no ``errors``."""
     spark = findings.sparkSession
+    placed, n = in_positions(findings, ORDER)
     head = ('{"tool":' + json.dumps(TOOL_NAME) + ',"version":' + json.dumps(TOOL_VERSION)
             + f',"files_scanned":{files_scanned},"files_skipped":{files_skipped},"findings":[')
-    tail = "]" + (',"errors":' + json.dumps(errors) if errors else "") + "}"
-    body = _with_first_flag(findings).select(
-        F.lit(1).alias("part"), *ORDER,
-        F.concat(F.when(F.col("is_first"), F.lit("")).otherwise(F.lit(",")), finding_json(findings)).alias("text"))
-    ends = spark.createDataFrame([(0, head), (2, tail)], "part int, text string") \
-        .select("part", *[F.lit(None).cast(t).alias(c) for c, t in
-                          (("file", "string"), ("line", "int"), ("column", "int"), ("rule_id", "string"))], "text")
-    return ends.unionByName(body)
+    out = _listed(placed, finding_json(placed), 1)
+    failed, k = in_positions(errors, ["path", "message"]) if errors is not None else (None, 0)
+    if not k:
+        return out.union(_ends(spark, [(0, head), (n + 1, "]}")]))
+    quoted = F.expr("substring(to_json(struct(message AS m)), 6, length(to_json(struct(message AS m))) - 6)")
+    return out.union(_listed(failed, quoted, n + 2)).union(
+        _ends(spark, [(0, head), (n + 1, '],"errors":['), (n + k + 2, "]}")]))
 
 
 def sarif_rule_fragments(findings: DataFrame) -> DataFrame:
     """K3 ``rules``: each fired rule once, in first-seen order, with help
     text for syntax-tier rules."""
     help_map = F.create_map(*[x for rid, _t, _d, _s, rem in RULES for x in (F.lit(rid), F.lit(rem))])
-    fired = findings.groupBy("rule_id").agg(F.min(F.struct(*ORDER)).alias("first"),
-                                           F.min_by("title", F.struct(*ORDER)).alias("title"),
-                                           F.min_by("description", F.struct(*ORDER)).alias("description"))
+    first = F.struct(*ORDER, "title", "description")
+    fired = findings.groupBy("rule_id").agg(F.min(first).alias("f")).select("f.*")
     rule = F.to_json(F.struct(
         F.col("rule_id").alias("id"), F.col("title").alias("name"),
         F.struct(F.col("title").alias("text")).alias("shortDescription"),
         F.struct(F.col("description").alias("text")).alias("fullDescription"),
         F.struct(F.coalesce(F.element_at(help_map, F.col("rule_id")), F.lit("")).alias("text")).alias("help"),
         F.struct(F.array(F.lit("cryptography"), F.lit("security")).alias("tags")).alias("properties")))
-    return fired.select(F.col("first"), rule.alias("rule"))
+    return fired.select(*ORDER, rule.alias("rule"))
 
 
 def sarif_fragments(findings: DataFrame) -> DataFrame:
-    """K3 as ordered fragments (part, key..., text): header, rules, middle,
-    results, footer."""
+    """K3 as (position, text): header, rules, middle, results, footer."""
     spark = findings.sparkSession
     driver = {"name": TOOL_NAME, "version": TOOL_VERSION, "informationUri": TOOL_URI}
     head = ('{"$schema":' + json.dumps(SARIF_SCHEMA) + ',"version":"2.1.0","runs":[{"tool":{"driver":'
-            + json.dumps(driver)[:-1] + ',"rules":[')
-    mid = ']}},"results":['
-    tail = "]}]}"
-    rules = sarif_rule_fragments(findings)
-    rules = rules.select("first", "rule", "first.*")
-    rules = rules.withColumn("is_first", F.struct(*ORDER) == rules.agg(F.min(F.struct(*ORDER))).scalar())
-    rules = rules.select(
-        F.lit(1).alias("part"), F.col("first.file").alias("file"), F.col("first.line").alias("line"),
-        F.col("first.column").alias("column"), F.col("first.rule_id").alias("rule_id"),
-        F.concat(F.when(F.col("is_first"), F.lit("")).otherwise(F.lit(",")), "rule").alias("text"))
+            + json.dumps(driver, separators=(",", ":"))[:-1] + ',"rules":[')
+    placed, n = in_positions(findings, ORDER)
+    rules, k = in_positions(sarif_rule_fragments(placed), ORDER)
     result = F.to_json(F.struct(
         F.col("rule_id").alias("ruleId"), sarif_level(F.col("severity")).alias("level"),
         F.struct(F.col("description").alias("text")).alias("message"),
@@ -160,13 +197,8 @@ def sarif_fragments(findings: DataFrame) -> DataFrame:
                                            _omit_empty(F.col("column"), 0).alias("startColumn")).alias("region"))
                          .alias("physicalLocation"))).alias("locations"),
         F.struct(_omit_empty(F.col("confidence"), "").alias("confidence")).alias("properties")))
-    results = _with_first_flag(findings).select(
-        F.lit(3).alias("part"), *ORDER,
-        F.concat(F.when(F.col("is_first"), F.lit("")).otherwise(F.lit(",")), result).alias("text"))
-    ends = spark.createDataFrame([(0, head), (2, mid), (4, tail)], "part int, text string") \
-        .select("part", *[F.lit(None).cast(t).alias(c) for c, t in
-                          (("file", "string"), ("line", "int"), ("column", "int"), ("rule_id", "string"))], "text")
-    return ends.unionByName(rules).unionByName(results)
+    return _listed(rules, F.col("rule"), 1).union(_listed(placed, result, k + 2)).union(
+        _ends(spark, [(0, head), (k + 1, ']}},"results":['), (n + k + 2, "]}]}")]))
 
 
 def write_document(fragments: DataFrame, path: str) -> None:
@@ -176,8 +208,7 @@ def write_document(fragments: DataFrame, path: str) -> None:
 
 
 def in_order(fragments: DataFrame) -> DataFrame:
-    """Document order; of fragments with one key, the one without a separator comes first."""
-    return fragments.orderBy("part", *ORDER, F.col("text").startswith(","), "text")
+    return fragments.orderBy("position")
 
 
 def write_findings(findings: DataFrame, path: str, partition_by_severity: bool = False) -> None:
@@ -202,7 +233,7 @@ def render(result, fmt: str, path: str) -> None:
         raise UnknownFormat(f"unknown format {fmt!r} (want text, json, or sarif)")
     if fmt == "json":
         c = result.counts()
-        frags = json_report_fragments(result.findings, c["scanned"], c["skipped"])
+        frags = json_report_fragments(result.findings, c["scanned"], c["skipped"], scan_errors(result.file_status))
     elif fmt == "sarif":
         frags = sarif_fragments(result.findings)
     else:

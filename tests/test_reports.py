@@ -15,7 +15,7 @@ FILES = {
 
 
 def _result(spark, corpus):
-    return scan(spark, corpus(FILES), ScanOptions(include_unknown=True))
+    return scan(spark, corpus(FILES), ScanOptions(include_unknown=True, skip_binary=True))
 
 
 def _document(fragments):
