@@ -47,8 +47,8 @@ from ciphersift.llm.token_counts import byte_symbols
 
 FREQUENT = 1 << 19         # entries of the table that every task gets
 SUMMED_AT_ONCE = 2_000_000  # distinct pairs that a task holds before it hands them on
-SLICE_BYTES = 4_000_000
-CACHED_CHARS = 6_000_000    # of the parts that a worker remembers
+SLICE_BYTES = 2_000_000
+CACHED_CHARS = 3_000_000    # of the parts that a worker remembers
 PARTS_IN_A_LINE = 500
 #: A space between characters that are no white space.
 BETWEEN = re.compile(r" (?<=\S )(?=\S)")
