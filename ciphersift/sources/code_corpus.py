@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .corpus import from_rows, read_table
 
-# FIXED VALUES: file templates (path, text); "{k}" is replaced by p_partkey.
+# Inputs of the registered queries: file templates (path, text); "{k}" is replaced by p_partkey.
 TEMPLATES: list[tuple[str, str]] = [
     ("src/svc{k}/a.go", 'package a\nimport "crypto/md5"\nvar _ = md5.New()\n'),
     ("src/svc{k}/b.rb", "require 'digest'\nDigest::MD5.hexdigest('x{k}')\n"),
@@ -26,25 +26,27 @@ TEMPLATES: list[tuple[str, str]] = [
     ("skip/x{k}.go", 'package s\nimport "crypto/md5"\nvar _ = md5.New()\n'),
     ("src/svc{k}/xor.txt", "call xor_encrypt(data{k}) here\nXOR_ENCRYPT is case sensitive\n"),
     ("src/svc{k}/main.go",
-     'package main\n\nimport (\n\t"crypto/des"\n\t"crypto/md5"\n\t"crypto/rand"\n\t"crypto/rsa"\n\t"crypto/tls"\n'
-     '\tmrand "math/rand"\n)\n\nfunc main() {\n\t_ = md5.New()\n\t_, _ = des.NewTripleDESCipher(key)\n'
-     '\t_, _ = des.NewCipher(key)\n\t_, _ = rsa.GenerateKey(rand.Reader, 1024)\n'
-     '\t_, _ = rsa.GenerateKey(rand.Reader, 4096)\n\t_ = mrand.Intn({k})\n'
-     '\t_ = &tls.Config{MinVersion: tls.VersionTLS11}\n}\n'),
+     'package billing\n\nimport (\n\t"crypto/des"\n\tsum "crypto/md5"\n\t"crypto/rand"\n\t"crypto/rsa"\n\t"crypto/tls"\n'
+     '\tdice "math/rand"\n)\n\nvar versions = []uint16{tls.VersionTLS13, tls.VersionTLS11}\n\n'
+     'func Sign{k}(secret []byte) (int, error) {\n\tdigest := sum.Sum(secret)\n\tif _, err := des.NewCipher(secret); err != nil {\n'
+     '\t\treturn dice.Intn({k} + 1), err\n\t}\n\tblock, _ := des.NewTripleDESCipher(secret)\n'
+     '\tshort, _ := rsa.GenerateKey(rand.Reader, 512)\n\tfine, _ := rsa.GenerateKey(rand.Reader, 3072)\n'
+     '\treturn use(digest, block, short, fine), nil\n}\n'),
     ("src/svc{k}/keys.go",
-     'package k\n\nimport (\n\t"crypto/aes"\n\t"crypto/hmac"\n\tsecret "crypto/sha256"\n)\n\n'
-     'func f(k []byte) {\n\taes.NewCipher([]byte("0123456789abcdef"))\n\taes.NewCipher([]byte{1, 2, 3, 4})\n'
-     '\taes.NewCipher(k)\n\thmac.New(secret.New, []byte("mac-secret-{k}"))\n'
-     '\taes.NewCipher([]byte("k" + suffix))\n}\n'),
+     'package vault\n\nimport "crypto/aes"\nimport mac "crypto/hmac"\nimport "crypto/sha512"\n\n'
+     'func open(given []byte, n string) {\n\tone, _ := aes.NewCipher([]byte("item-{k}-item-{k}"))\n'
+     '\ttwo, _ := aes.NewCipher([]byte{0x10, 0x20, byte({k} % 7)})\n\tthree, _ := aes.NewCipher(given)\n'
+     '\tfour, _ := aes.NewCipher([]byte(n + "tail"))\n\tuse(one, two, three, four, mac.New(sha512.New, []byte("stamp")))\n}\n'),
     ("src/svc{k}/iv.go",
-     'package k\n\nimport "crypto/cipher"\n\nfunc f(b cipher.Block, v []byte) {\n'
-     '\tcipher.NewCBCEncrypter(b, []byte("1234567890123456"))\n\tcipher.NewCTR(b, make([]byte, 16))\n'
-     '\tcipher.NewCBCEncrypter(b, v)\n\tcipher.NewOFB(b, `static-{k}`)\n}\n'),
+     'package vault\n\nimport modes "crypto/cipher"\n\nfunc seal(b modes.Block, fresh []byte) {\n'
+     '\tuse(modes.NewCFBEncrypter(b, fresh))\n\tuse(modes.NewCTR(b, `counter-{k}`))\n'
+     '\tuse(modes.NewCBCDecrypter(b, make([]byte, 16)))\n\tuse(modes.NewOFB(b, []byte("sixteen bytes ..")))\n}\n'),
     ("src/svc{k}/crypto.py",
-     'import hashlib, ssl\nfrom hashlib import md5 as digest\nfrom Crypto.Cipher import DES\n'
-     'from Crypto.PublicKey import RSA\nimport random\n\na = hashlib.md5(b"x")\nb = digest(b"y{k}")\n'
-     'c = DES.new(key, DES.MODE_ECB)\nweak = RSA.generate(1024)\nstrong = RSA.generate(4096)\n'
-     'p = ssl.PROTOCOL_TLSv1\ntok = random.random()\nn = hashlib.new("md5")\nok = hashlib.sha256(b"z")\n'),
+     'import ssl, random, hashlib\nfrom Crypto.PublicKey import RSA\nfrom Crypto.Cipher import DES3 as Triple\n'
+     'from hashlib import sha1 as fold\n\n\ndef build{k}(data, key):\n    box = Triple.new(key)\n'
+     '    mark = fold(data) + hashlib.md5(data).digest()\n    named = hashlib.new("sha1", data)\n'
+     '    small, fine = RSA.generate(768), RSA.generate(3072)\n    return random.choice([box, mark, named, small, fine])\n\n\n'
+     'context = ssl.SSLContext(ssl.PROTOCOL_TLSv1_1)\nsafe = hashlib.sha384(b"{k}")\n'),
     ("bin/tool{k}", "#!/usr/bin/env python3\nimport hashlib\nh = hashlib.md5(b'{k}')\n"),
     ("web/app{k}.min.js", "var h=md5(x{k});var r=Math.random();\n"),
     ("src/svc{k}/win.c", "#include <openssl/des.h>\r\nDES_ecb_encrypt(in, out, ks, DES_ENCRYPT); /* des */\r\n"
