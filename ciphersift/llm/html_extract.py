@@ -6,8 +6,11 @@ linear scan finds the contiguous region with the largest sum.  The weights come
 from labelled pages: pages that mark their own content with an ``article`` or
 ``main`` element.  What a region's element encloses is taken as a whole, and
 elements that are never part of an article (menus, forms, adverts, comments,
-scripts, ...) are left out of it: by their element, class, role or hiding
-attributes, and outside a content element by their id.
+scripts, ...) are left out of it: by their element, their hiding attributes, or
+a class, role or id whose deciding word names such a part (``post-comments``
+names comments, ``share-price`` a price).  Around a content element the labelled
+pages outvote the word list: a name that mostly encloses content drops nothing.
+Tags and attributes are cut as browsers cut them.
 
 Defined results: null or empty html, and pages without content, give the empty
 text with 0 characters; page ids and urls may be null or repeat, rows are
@@ -49,12 +52,21 @@ AGAINST = frozenset("""ad ads advert adverts advertisement advertising adsense b
     hidden copyright legal""".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 FOR = frozenset("article articlebody main content post entry story maincontent postcontent".split())
-
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-                 r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
-#: A whole attribute, with its value, or a stray quoted string: what a value holds is no attribute.
-ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s>]+)))?"
-                       r"|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z)")
+#: Last words of names that say nothing themselves: the word before them decides.
+CARRIERS = frozenset("""list lists container containers wrapper wrap box inner outer item items link links button buttons bar
+    block blocks area section group left right top bottom panel row col column slot unit body text content title author
+    meta thread posts articles stories icon icons holder zone count date""".split())
+#: First words of names that tell a state or a category of an element, not what it is.
+STATES = frozenset("has no not with without category cat tag type status format".split())
+#: Ids that leave an element out even inside a content element, where ids are mostly made from headings.
+CERTAIN = frozenset("""comments comment commentlist disqus disqusthread respond sidebar footer nav navbar breadcrumb
+    breadcrumbs newsletter ads advert""".split())
+
+#: An attribute as browsers cut it: a quote opens a value right after "=" only.
+VALUE = r"\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s>\"'][^\s>]*))?"
+ATTRIBUTE = re.compile(rf"([^\s/>][^\s/>=]*)(?:{VALUE})?")
+TAG = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?:[!?]|/(?![a-zA-Z]))[^>]*(?:>|\Z)"
+                 r"|<(/?)([a-zA-Z][^\s/>]*)((?:[\s/]++|[^\s/>][^\s/>=]*+(?:" + VALUE.replace("([^", "(?:[^") + r")?+)*+)(?:>|\Z)", re.S)
 NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 WEIGHT = 2.0  # the largest weight of one element around a word
 
@@ -73,49 +85,83 @@ def name_words(value: str) -> list[str]:
     return [f".{p}" for p in parts if not p.isdigit()]
 
 
-def names_of(tag: str, attributes: str, inside: bool = False) -> tuple[tuple[str, ...], bool]:
-    """The names an element goes by in the weights, and whether its text is left out of an article.
+def deciding_word(name: str, alone: bool = False) -> str | None:
+    """The word that makes one class, role or id a part that is not article text; None if there is none.
 
-    Ids of headings, and of all elements inside a content element, are mostly made from their words: they enter
-    the weights, but leave nothing out.
+    The last word decides (``share-price`` is a price), :data:`CARRIERS` give way to the word before them, and a
+    header of the article itself (``entry-header``) holds its title.  With ``alone``, only names of a single word count.
+    """
+    words = [w[1:] for w in name_words(name)]
+    if not words or words[0] in STATES and len(words) > 1:
+        return None
+    if (whole := "".join(words)) in AGAINST:
+        return whole
+    while len(words) > 1 and words[-1] in CARRIERS:
+        words.pop()
+    if words[-1] not in AGAINST or alone and len(words) > 1:
+        return None
+    if words[-1] in ("header", "masthead") and len(words) > 1 and words[-2] in FOR:
+        return None
+    return words[-1]
+
+
+def names_of(tag: str, attributes: str, inside: bool = False,
+             outvoted: frozenset[str] = frozenset()) -> tuple[tuple[str, ...], int]:
+    """The names an element goes by in the weights, and whether its text is left out of an article: 0 no, 1 by a
+    name around a content element, 2 for good.
+
+    Ids of headings, and of most elements inside a content element, are made from their words: they enter the
+    weights, but leave nothing out.  Names in ``outvoted`` leave nothing out around content.
     """
-    names, dropped = [], tag in DROPPED
+    names, left_out = [], 2 * (tag in DROPPED)
     if tag not in ("div", "span", "section", "p", "body", "html", "td", "tr", "table"):
         names.append(tag)
-    telling: list[str] = []
-    if attributes and not attributes.isspace():
-        given = attributes_of(attributes)
-        dropped |= "display:none" in "".join(given.get("style", "").lower().split())
-        dropped |= "hidden" in given or given.get("aria-hidden", "").strip().lower() == "true"
-        for key, value in given.items():
-            if key in ("class", "id", "role"):
-                names += (words := name_words(value))
-                if key != "id" or not (inside or tag in HEADINGS):
-                    telling += words
-    if tag not in CONTENT and tag not in ("html", "body"):
-        dropped |= any(n[1:] in AGAINST for n in telling) and not any(n[1:] in FOR for n in names if n[0] == ".")
-    return tuple(names), dropped
+    if not attributes or attributes.isspace():
+        return tuple(names), left_out
+    given = attributes_of(attributes)
+    if ("display:none" in "".join(given.get("style", "").lower().split()) or "hidden" in given
+            or given.get("aria-hidden", "").strip().lower() == "true"):
+        left_out = 2
+    against: set[str] = set()
+    for key in ("class", "id", "role"):
+        value = given.get(key, "")
+        names += name_words(value)
+        if tag in ("html", "body", "main") or key == "id" and (tag in HEADINGS or tag == "article"):
+            continue
+        if key == "id" and inside:
+            against |= {w for w in ["".join(x[1:] for x in name_words(value))] if w in CERTAIN}
+        else:
+            against |= {w for x in value.split() if (w := deciding_word(x, tag == "article"))}
+    if against and inside:
+        left_out = 2
+    elif against - outvoted:
+        left_out = max(left_out, 1)
+    return tuple(names), left_out
 
 
 class Piece:
-    """A text run or a tag of a page."""
+    """A text run or a tag of a page; ``left_out`` as in :func:`names_of`, of all that is open around it."""
+
+    __slots__ = ("text", "tag", "names", "left_out", "block", "content")
 
-    __slots__ = ("text", "tag", "names", "dropped", "block", "content")
+    def __init__(self, text, tag, names, left_out, block, content):
+        self.text, self.tag, self.names, self.left_out, self.block, self.content = text, tag, names, left_out, block, content
 
-    def __init__(self, text, tag, names, dropped, block, content):
-        self.text, self.tag, self.names, self.dropped, self.block, self.content = text, tag, names, dropped, block, content
+    @property
+    def dropped(self) -> bool:
+        return self.left_out > 0
 
 
-def pieces(page: str) -> list[Piece]:
+def pieces(page: str, outvoted: frozenset[str] = frozenset()) -> list[Piece]:
     """Text runs and tags of a whole page in order, each with what is open around it."""
     out: list[Piece] = []
-    stack: list[tuple[str, tuple[str, ...], bool, int]] = []  # tag, names of all open, dropped, content element
+    stack: list[tuple[str, tuple[str, ...], int, int]] = []  # tag, names of all open, left out, content element
     names: tuple[str, ...] = ()
-    dropped, content, block, elements, at = False, 0, 0, 0, 0
+    left_out, content, block, elements, at = 0, 0, 0, 0, 0
 
     def text(raw: str) -> None:
         if raw and not raw.isspace():
-            out.append(Piece(html_lib.unescape(raw), None, names, dropped, block, content))
+            out.append(Piece(html_lib.unescape(raw), None, names, left_out, block, content))
 
     end = len(page)
     while at < end:
@@ -131,16 +177,16 @@ def pieces(page: str) -> list[Piece]:
         if tag in BLOCK:
             block += 1
         elif out and out[-1].text and tag in ("br", "td", "th", "option", "dt"):
-            out.append(Piece(" ", None, names, dropped, block, content))
+            out.append(Piece(" ", None, names, left_out, block, content))
         if closing:
             if any(s[0] == tag for s in stack):
                 while stack and stack.pop()[0] != tag:
                     pass
-                names, dropped, content = stack[-1][1:] if stack else ((), False, 0)
-            out.append(Piece("", tag, names, dropped, block, content))
+                names, left_out, content = stack[-1][1:] if stack else ((), 0, 0)
+            out.append(Piece("", tag, names, left_out, block, content))
             continue
-        own, drop = names_of(tag, m[3], content > 0)
-        out.append(Piece("", tag, names + own, dropped or drop, block, content))
+        own, drop = names_of(tag, m[3], content > 0, outvoted)
+        out.append(Piece("", tag, names + own, max(left_out, drop), block, content))
         if tag in VOID or m[3].endswith("/") and tag not in BLOCK:
             continue
         if tag in RAW:
@@ -149,11 +195,11 @@ def pieces(page: str) -> list[Piece]:
             continue
         if tag in ("p", "li") and stack and stack[-1][0] == tag:  # their end tags may be left out
             stack.pop()
-            names, dropped, content = stack[-1][1:] if stack else ((), False, 0)
+            names, left_out, content = stack[-1][1:] if stack else ((), 0, 0)
         elements += 1
-        names, dropped = names + own, dropped or drop
-        content = elements if tag in CONTENT and not content else content
-        stack.append((tag, names, dropped, content))
+        names, left_out = names + own, max(left_out, drop)
+        content = elements if tag in CONTENT and not content and not drop else content
+        stack.append((tag, names, left_out, content))
     return out
 
 
@@ -169,7 +215,7 @@ def count_labels(pages: list[str]) -> Counter:
         if not is_labelled(page):
             continue
         for p in page:
-            inside = bool(p.content) and not p.dropped
+            inside = bool(p.content) and p.left_out < 2  # names around the content element may be outvoted
             if p.tag:
                 counts[f"<{p.tag}", inside] += 1
             else:
@@ -220,7 +266,7 @@ def best_region(page: list[Piece], weights: dict[str, float]) -> tuple[int, int]
 
 def main_text(page_html: str | None, weights: dict[str, float]) -> str:
     """Blocks of the best region, joined by an empty line."""
-    page = pieces(page_html or "")
+    page = pieces(page_html or "", frozenset(w for w in AGAINST if weights.get("." + w, 0.0) > 0))
     first, last = best_region(page, weights)
     if first == last:
         return ""

@@ -224,6 +224,48 @@ def test_html_attributes_and_ids_inside_an_article():
     assert html_extract.main_text(page, weights) == f"{prose(2, 40)}\n\nHead\n\n{prose(1, 40)}"
 
 
+def test_html_names_are_decided_by_their_last_word():
+    kept = ["share-price", "legal-history", "ad-hoc", "hidden-gems", "entry-header", "has-sidebar", "post-content", "tag-social",
+            "comments-open", "category-legal news", "article-title"]
+    left = ["post-comments", "entry-footer", "content-sidebar", "article-ad", "main-nav", "footer-content", "comment-body",
+            "commentList", "ad-container-3", "related-posts", "nav-bar", "story comments"]
+    weights = html_extract.weights_of({})
+    for frame in ("<body><article>%s</article></body>", "<body><div class=content>%s</div></body>", "<body><main>%s</main></body>"):
+        for name in kept + left:
+            for form in (f'<div class="{name}">inner words</div>', f"<section class='{name}'><p>inner words</section>"):
+                got = html_extract.main_text(frame % (f"<p>{prose(1, 40)}</p>{form}<p>{prose(2, 40)}</p>"), weights)
+                between = "inner words\n\n" if name in kept else ""
+                assert got == f"{prose(1, 40)}\n\n{between}{prose(2, 40)}", (frame, form)
+    comment = '<article class="comment comment-%d"><p>I disagree</p></article>'
+    for page in (f"<article><p>{prose(1, 40)}</p>{comment % 1}{comment % 2}</article>",
+                 f"<main><article class='post type-post category-legal'><p>{prose(1, 40)}</p></article>{comment % 1}</main>",
+                 f"<article><p>{prose(1, 40)}</p></article>" + "".join(comment % i for i in range(9)),
+                 f"<article><p>{prose(1, 40)}</p><div id=comments><p>I disagree</p></div></article>"):
+        assert html_extract.main_text(page, weights) == prose(1, 40), page
+
+
+def test_html_labels_outvote_the_word_list():
+    """A name of the list that encloses the content of the labelled pages drops nothing around content."""
+    page = '<body><div class="%s"><%s><p>' + prose(1, 60) + "</p></%s></div><p>other</p></body>"
+    counts = html_extract.count_labels([page % ("social", "article", "article")] * 5)
+    learnt, bare = html_extract.weights_of(counts), html_extract.weights_of({})
+    assert prose(1, 60) in html_extract.main_text(page % ("social", "div", "div"), learnt)
+    assert prose(1, 60) not in html_extract.main_text(page % ("social", "div", "div"), bare)
+    assert prose(1, 60) not in html_extract.main_text(page % ("promo", "div", "div"), learnt)
+
+
+def test_html_tags_are_cut_as_browsers_cut_them():
+    weights = html_extract.weights_of({})
+    for form in ("<p title=it's>%s", "<p title=a\"b>%s", "<!-->%s", "<!--->%s", "<!-- a --!>%s", "<p data-a = 'x > y' b>%s", "</>%s",
+                 "<p =\"a>%s", "<p a=>%s", "<p/title='>'>%s", "<p '>%s", "<p class>%s", "<!-- > -->%s", "<p a=b/c'd>%s"):
+        page = "<article>" + form % prose(1, 40) + f"<p>{prose(2, 40)}</article><p>'\"--></p>"
+        assert html_extract.main_text(page, weights).split() == (prose(1, 40) + " " + prose(2, 40)).split(), form
+    assert html_extract.attributes_of(" A=1 b='2' c = \"3\" d e=it's a=9 / =f") == {
+        "a": "1", "b": "2", "c": "3", "d": "", "e": "it's", "=f": ""}
+    long = "<p " + "a" * 300_000 + " ' " * 100_000
+    assert html_extract.main_text(long, weights) == ""
+
+
 def test_html_region_is_maximal():
     """The linear scan equals the best of all contiguous sums."""
     rnd = random.Random(5)
