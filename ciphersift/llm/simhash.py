@@ -10,8 +10,12 @@ entry is verified by its complete distance.
 
 Equal fingerprints are one node, so a group of copies costs one node whatever
 its size, and a table entry holds distinct fingerprints that share 31 or more
-bits of a segment.  An entry links its members by a search that visits each
-member once and never emits its pairs.
+bits of a segment.  An entry of at most ``MOST`` members links them by a search
+that visits each member once and never emits its pairs.  A larger one is not
+held: its members are dealt by four parts of their other bits, of which two
+members within three bits share one, and meet again in the entries of those
+parts, as often as it takes.  So no task holds or compares more than ``MOST``
+members at a time, and no link is lost.
 
 Defined results: null and empty texts have fingerprint zero and link like any
 other; null ids are kept and never name a component unless all its ids are
@@ -33,6 +37,7 @@ from ciphersift.llm.components import connected_components
 WORDS = 3      # words of a shingle
 RADIUS = 3     # most differing bits of a link
 SEED = 42
+MOST = 4_096   # members of a table entry that are compared with each other
 AT_ONCE = 65_536  # shingles whose bits are unpacked at a time
 
 
@@ -77,19 +82,40 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def ball_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The table entries of each fingerprint: per segment, itself and with one zero bit set."""
+    """The table entries of each fingerprint: per segment, itself and with one zero bit set; the rest are free bits."""
     import numpy as np
 
     for batch in batches:
         fp = batch.column(0).to_numpy().view(np.uint64)
         for segment in (0, 1):
             part = (fp >> np.uint64(32 * segment)) & np.uint64(0xFFFFFFFF)
+            free = np.uint64(0xFFFFFFFF << (32 * (1 - segment)))
             for bit in (None, *range(32)):
                 mask = np.uint64(0 if bit is None else 1 << bit)
                 at = (part & mask) == 0
                 keys = (part[at] | mask) | np.uint64(segment << 32)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(fp[at].view(np.int64))],
-                                                 ["key", "fp"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(keys.view(np.int64)), pa.array(fp[at].view(np.int64)),
+                     pa.array(np.full(len(keys), free).view(np.int64))], ["key", "fp", "free"])
+
+
+def dealt(key: int, members, free: int, radius: int):
+    """(key, fp, free) of the members of an entry in ``radius + 1`` smaller ones: by each part of the free bits.
+
+    Two members within ``radius`` bits agree on one part at least, whatever else they share.
+    """
+    import numpy as np
+    import xxhash
+
+    bits = [b for b in range(64) if free >> b & 1]
+    out = []
+    for chosen in np.array_split(np.array(bits, dtype=np.int64), radius + 1):
+        mask = sum(1 << int(b) for b in chosen)
+        value = members & np.uint64(mask)
+        kinds, place = np.unique(value, return_inverse=True)
+        names = np.array([xxhash.xxh64_intdigest(b"%d,%d,%d" % (key, mask, v), SEED) for v in kinds.tolist()], np.uint64)
+        out.append((names[place], members, np.full(len(members), free & ~mask, np.uint64)))
+    return [np.concatenate(x) for x in zip(*out)]
 
 
 def groups_within(members, radius: int):
@@ -113,49 +139,88 @@ def groups_within(members, radius: int):
     return label
 
 
-def entry_links(radius: int):
-    """Of rows sorted by key: (src, dst) between each member of an entry and the least member linked to it."""
+def entry_links(radius: int, most: int):
+    """Of rows sorted by key: (src, dst) between each member of an entry and the least member linked to it, or for
+    each member of an entry beyond ``most`` (src, null, key, free) of the smaller entries that it goes to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        def links(keys, fps):
+        names = ["src", "dst", "key", "free"]
+
+        def is_large(n, free):
+            """Members that agree on all but ``radius`` free bits and one of their segment are too few to be dealt."""
+            return n > most and (int(free) & (1 << 64) - 1).bit_count() > radius
+
+        def links(keys, fps, free):
             cut = np.flatnonzero(keys[1:] != keys[:-1]) + 1
             starts, stops = np.r_[0, cut], np.r_[cut, len(keys)]
             several = stops - starts > 1
             src, dst = [], []
             for a, b in zip(starts[several].tolist(), stops[several].tolist()):
+                if is_large(b - a, free[a]):
+                    yield from smaller(keys[a], fps[a:b], free[a])
+                    continue
                 own = np.unique(fps[a:b])
                 label = groups_within(own, radius)
                 linked = label != own
                 src.append(own[linked])
                 dst.append(label[linked])
             if src:
+                none = pa.nulls(sum(map(len, src)), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(src).view(np.int64)),
-                                                  pa.array(np.concatenate(dst).view(np.int64))], ["src", "dst"])
+                                                  pa.array(np.concatenate(dst).view(np.int64)), none, none], names)
 
-        held_keys, held = [], []
+        def smaller(key, fps, free):
+            to, members, left = dealt(int(key), fps, int(free) & (1 << 64) - 1, radius)
+            yield pa.RecordBatch.from_arrays([pa.array(members.view(np.int64)), pa.nulls(len(to), pa.int64()),
+                                              pa.array(to.view(np.int64)), pa.array(left.view(np.int64))], names)
+
+        held = None    # rows of the last key, which may go on in the next batch
+        beyond = None  # a key with more rows than ``most``: its rows pass through
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys, fps = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
-            last = int(np.searchsorted(keys, keys[-1]))  # the last entry may go on in the next batch
-            if last or (held_keys and held_keys[-1][-1] != keys[-1]):
-                yield from links(np.concatenate([*held_keys, keys[:last]]), np.concatenate([*held, fps[:last]]))
-                held_keys, held = [], []
-            held_keys.append(keys[last:])
-            held.append(fps[last:])
-        if held_keys:
-            yield from links(np.concatenate(held_keys), np.concatenate(held))
+            rows = (batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64), batch.column(2).to_numpy())
+            if beyond is not None:
+                n = int(np.searchsorted(rows[0], beyond, side="right"))
+                if n:
+                    yield from smaller(beyond, rows[1][:n], rows[2][0])
+                if n == batch.num_rows:
+                    continue
+                rows, beyond = tuple(c[n:] for c in rows), None
+            if held:
+                rows = tuple(np.concatenate(c) for c in zip(held, rows))
+            last = int(np.searchsorted(rows[0], rows[0][-1]))
+            if last:
+                yield from links(*(c[:last] for c in rows))
+            held = tuple(c[last:] for c in rows)
+            if is_large(len(held[0]), held[2][0]):
+                beyond = held[0][0]
+                yield from smaller(beyond, held[1], held[2][0])
+                held = None
+        if held:
+            yield from links(*held)
 
     return run
 
 
-def near_links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(src, dst) links between distinct fingerprints ``nodes(fp)`` that connect all that are within ``radius``."""
-    entries = nodes.select("fp").mapInArrow(ball_keys, "key bigint, fp bigint")
-    return (entries.repartition("key").sortWithinPartitions("key")
-            .mapInArrow(entry_links(radius), "src bigint, dst bigint").distinct())
+def near_links(nodes: DataFrame, radius: int = RADIUS, most: int = MOST) -> DataFrame:
+    """(src, dst) links between distinct fingerprints ``nodes(fp)`` that connect all that are within ``radius``.
+
+    A round for the table entries, and one more for as long as an entry holds more than ``most`` members: each
+    fixes more bits, and members that agree on all but a few bits are few.
+    """
+    entries = nodes.select("fp").mapInArrow(ball_keys, "key bigint, fp bigint, free bigint")
+    links = None
+    while True:
+        found = written(entries.repartition("key").sortWithinPartitions("key").mapInArrow(
+            entry_links(radius, most), "src bigint, dst bigint, key bigint, free bigint"), "simhash-links")
+        here = found.filter("key IS NULL").select("src", "dst")
+        links = here if links is None else links.union(here)
+        entries = found.filter("key IS NOT NULL").select("key", F.col("src").alias("fp"), "free")
+        if entries.isEmpty():
+            return links.distinct()
 
 
 def fingerprint_groups(prints: DataFrame, radius: int = RADIUS) -> DataFrame:

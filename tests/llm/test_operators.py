@@ -454,6 +454,46 @@ def test_simhash_links_brute_force(spark):
     assert all(len(g) == 1 for g in pairs.values()) and len({min(g) for g in pairs.values()}) == len(pairs)
 
 
+@pytest.mark.parametrize("most", [6, 64])
+def test_simhash_deals_large_entries(spark, most):
+    """Far-apart and near fingerprints that share one segment: entries beyond ``most`` are dealt and lose no link."""
+    rnd = random.Random(most)
+    fps = set()
+    for _ in range(150):  # one segment value, or one bit beside it, for all
+        f = rnd.getrandbits(32) << 32 | 0xABCD1234
+        fps.add(f)
+        for _ in range(rnd.randrange(3)):
+            fps.add(f := f ^ sum(1 << b for b in rnd.sample(range(64), rnd.randint(1, 4))))
+    fps |= {0xFFFF0000ABCD1234 ^ 1 << b for b in range(64)}
+    fps = sorted(fps)
+    parent = {f: f for f in fps}
+
+    def root(f):
+        while parent[f] != f:
+            f = parent[f]
+        return f
+
+    for i, a in enumerate(fps):
+        for b in fps[:i]:
+            if (a ^ b).bit_count() <= simhash.RADIUS:
+                parent[root(a)] = root(b)
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    frame = spark.createDataFrame([(f,) for f in signed], "fp bigint")
+    links = simhash.near_links(frame, most=most)
+    got = {f: f for f in fps}
+
+    def found(f):
+        while got[f] != f:
+            f = got[f]
+        return f
+
+    for r in links.collect():
+        a, b = r.src % (1 << 64), r.dst % (1 << 64)
+        assert 0 < (a ^ b).bit_count() and root(a) == root(b)
+        got[found(a)] = found(b)
+    assert len({(root(f), found(f)) for f in fps}) == len({root(f) for f in fps}) == len({found(f) for f in fps})
+
+
 # --- 7 ---------------------------------------------------------------------------------------------------------
 
 def test_toxicity_held_out(spark):
