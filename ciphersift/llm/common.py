@@ -16,6 +16,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ciphersift.session import ensure_checkpoint_dir
 
@@ -38,6 +39,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def least_rows(rows: DataFrame, order: list[str], most: int) -> DataFrame:
+    """The ``most`` least rows by the hashes in ``order``; rows that agree in all of them count once.
+
+    The driver sees one threshold, so the bound holds for rows, however often an id repeats.
+    """
+    last = rows.select(*order).distinct().orderBy(*order).limit(most).agg(F.max(F.struct(*order))).first()[0]
+    if last is None:
+        return rows.limit(0)
+    return rows.filter(F.struct(*order) <= F.struct(*map(F.lit, last))).dropDuplicates(order)
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a folder that :func:`scratch_path` named, through Hadoop's file system API."""
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -2,13 +2,15 @@
 
 Two views of a document are fitted apart: its text (byte trigrams and shape)
 and its metadata (source, language, length).  Over ``ROUNDS`` rounds each view,
-calibrated on labels it was not fitted on, hands the pool rows that it is
-confident about to the *other* view as pseudo-labels.  Then the two calibrated
-views are combined, and every row of the table is scored.
+calibrated on labels it was not fitted on, scores *all* unlabelled rows and
+hands those that it is most confident about to the *other* view as
+pseudo-labels.  Then the two calibrated views are combined, and every row of
+the table is scored.
 
-Fitting uses a bounded sample: at most ``LABELLED`` labelled rows and ``POOL``
-unlabelled rows, those with the least hashes of their ids.  Scoring covers all
-rows and whole texts.
+Every text is read once for its features, which are written at half precision;
+the rounds read only them.  The labelled sample is bounded: at most
+``LABELLED`` rows, those with the least hashes.  A view hands on at most about
+``HANDED_ON`` rows a round, the best of the whole table; equal rows count once.
 
 Defined results: null text counts as empty, null metadata is a category of its
 own; ids may be null or repeat, every row is scored by itself; an id with
@@ -29,13 +31,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ciphersift.llm.common import slices, table, text_bytes
+from ciphersift.llm.common import least_rows, slices, table, text_bytes, written
 
 LABELLED = 6_000
-POOL = 6_000
 ROUNDS = 4
 CONFIDENT = 0.95   # calibrated probability from which a view hands on a pseudo-label
-HANDED_ON = 0.1    # most pool rows handed on per round, as a share of the pool
+HANDED_ON = 600    # most rows that a view hands on per round, classes in proportion to the labels
 TRIGRAMS = 1_024   # hash buckets of byte trigrams
 SHAPE = 28
 SOURCES, LANGS, LENGTHS = 256, 32, 24
@@ -70,7 +71,7 @@ def text_features(text: bytes) -> np.ndarray:
              sum(map(eq, words, words[1:])) / n,          # words that repeat the word before them
              often[0][1] / n if often else 0.0,           # share of the commonest word
              len(set(zip(words, words[1:]))) / n, np.log1p(len(words)) / 10, *size]
-    return np.concatenate([np.sqrt(counts / max(1, counts.sum())), shape]).astype(np.float32)
+    return np.concatenate([np.sqrt(counts / max(1, counts.sum())), shape]).clip(max=60_000).astype(np.float16).astype(np.float32)
 
 
 def meta_features(source: str | None, lang: str | None, n_chars: int | None) -> list[int]:
@@ -127,45 +128,36 @@ def platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 class Model:
     """Both fitted views and how they are combined."""
 
-    def __init__(self, text: np.ndarray, meta: np.ndarray, label: np.ndarray, rounds: int = ROUNDS):
-        """``label`` is 0, 1 or -1 (pool); rows are in a fixed order, every fourth labelled row calibrates."""
-        known = np.flatnonzero(label >= 0)
-        self.share = float(label[known].mean()) if len(known) else 0.5
-        self.constant = not 0 < self.share < 1 or len(known) < 8
+    def __init__(self, text: np.ndarray, meta: np.ndarray, label: np.ndarray, handed_on=None, rounds: int = ROUNDS):
+        """Rows with their labels 0 or 1, in a fixed order; every fourth calibrates.
+
+        ``handed_on(model)`` gives for either view (text, meta, label) of the rows that it is confident about.
+        """
+        self.share = float(label.mean()) if len(label) else 0.5
+        self.constant = not 0 < self.share < 1 or len(label) < 8
         self.handed: list[tuple[int, ...]] = []  # per round: rows of class 1 and 0 from the text, then from the metadata
         if self.constant:
             return
+        known = np.arange(len(label))
         held = known[3::4]
         if len(set(label[held])) < 2:
             held = known
         base = np.setdiff1d(known, held) if len(held) < len(known) else known
         if len(set(label[base])) < 2:
             base = known
-        pool = np.flatnonzero(label < 0)
         views = (text.astype(np.float32), meta.astype(np.float32))
-        own = [{int(i): float(label[i]) for i in base} for _ in views]  # what each view learns from
-        left = [np.ones(len(label), bool) for _ in views]                # what each view has not handed on yet
+        own = [[(x[base], label[base].astype(float), np.ones(len(base)))] for x in views]  # what each view learns from
         for turn in range(rounds + 1):
             self.views, self.scales = [], []
             for x, learn in zip(views, own):
-                rows = np.fromiter(learn, np.int64)
-                weight = np.where(label[rows] < 0, 0.5, 1.0)
-                self.views.append(Logistic(x[rows], np.array([learn[i] for i in rows.tolist()]), weight))
+                self.views.append(Logistic(*map(np.concatenate, zip(*learn))))
                 self.scales.append(platt(self.views[-1].logits(x[held]), label[held].astype(float)))
-            if turn == rounds:
+            if turn == rounds or handed_on is None:
                 break
-            handed = []
-            for k, x in enumerate(views):
-                rows = pool[left[k][pool]]
-                p = sigmoid(self.calibrated(k, x[rows])) if len(rows) else np.zeros(0)
-                for y, sure in ((1.0, p), (0.0, 1 - p)):  # as many of a class as its share of the labels allows
-                    most = int(HANDED_ON * len(pool) * (self.share if y else 1 - self.share)) + 1
-                    best = np.argsort(-sure, kind="stable")[:most]
-                    best = rows[best[sure[best] >= CONFIDENT]]
-                    left[k][best] = False
-                    own[1 - k].update({int(i): y for i in best})
-                    handed.append(len(best))
-            self.handed.append(tuple(handed))
+            given = handed_on(self)
+            for k, (*rows, y) in enumerate(given):
+                own[1 - k].append((rows[1 - k], y.astype(float), np.full(len(y), 0.5)))
+            self.handed.append(tuple(int((y == c).sum()) for *_, y in given for c in (1, 0)))
 
     def calibrated(self, view: int, x: np.ndarray) -> np.ndarray:
         slope, offset = self.scales[view]
@@ -197,34 +189,83 @@ def _features(batch: pa.RecordBatch, first: int) -> tuple[np.ndarray, np.ndarray
     return text, meta_matrix([meta_features(*r) for r in rows])
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", labelled: int = LABELLED,
-        pool: int = POOL) -> Model:
-    """Fit on at most ``labelled`` labelled rows and ``pool`` others of ``docs``, with (doc_id, label) in ``labels``."""
-    known = (labels.filter(F.col(label_col).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id")
-             .agg(F.min(label_col).cast("int").alias("y")))
-    ids = (docs.select("doc_id").filter("doc_id IS NOT NULL").distinct()
-           .join(known, "doc_id", "left").withColumn("o", F.xxhash64("doc_id")))
-    chosen = (ids.filter("y IS NOT NULL").orderBy("o", "doc_id").limit(labelled)
-              .union(ids.filter("y IS NULL").orderBy("o", "doc_id").limit(pool)))
-    # a bounded number of ids, known beforehand: safe to broadcast
-    rows = docs.select("doc_id", "text", "source", "lang", "n_chars").join(
-        F.broadcast(chosen.select(F.col("doc_id"), F.coalesce("y", F.lit(-1)).alias("y"), "o")), "doc_id")
-
+def written_features(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """(o, h, x, places, y) of every row with an id: hashes of id and content, both views, label (-1: none)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "__llm_text", 2_000_000):
             text, _ = _features(batch, 3)
             places = [meta_features(*r) for r in zip(*(batch.column(k).to_pylist() for k in (4, 5, 6)))]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:3], pa.array([t.tobytes() for t in text], pa.binary()),
-                 pa.array(places, pa.list_(pa.int32()))], ["doc_id", "y", "o", "x", "places"])
-
-    got = _inputs(rows, "doc_id", "y", "o").mapInArrow(
-        run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, y int, o bigint, x binary, places array<int>")
-    sample = sorted(got.collect(), key=lambda r: (r.o, r.x))[: labelled + pool]
-    if not sample:
-        return Model(np.zeros((0, TRIGRAMS + SHAPE)), meta_matrix([]), np.zeros(0, int))
-    return Model(np.stack([np.frombuffer(r.x, np.float32) for r in sample]), meta_matrix([r.places for r in sample]),
-                 np.array([r.y for r in sample]))
+                [*batch.columns[:3], pa.array([t.tobytes() for t in text.astype(np.float16)], pa.binary()),
+                 pa.array(places, pa.list_(pa.int32()))], ["doc_id", "o", "h", "x", "places"])
+
+    hashed = docs.filter("doc_id IS NOT NULL").select(
+        "doc_id", "text", *META, F.xxhash64("doc_id").alias("o"),
+        F.xxhash64(*[F.col(c).cast("string") for c in ("text", *META)]).alias("h"))
+    rows = _inputs(hashed, "doc_id", "o", "h").mapInArrow(
+        run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, o bigint, h bigint, x binary, places array<int>")
+    return written(rows.join(known, "doc_id", "left").select("o", "h", "x", "places", F.coalesce("y", F.lit(-1)).alias("y")),
+                   "quality-features")
+
+
+def matrices(x: list[bytes], places: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Both views of rows that were written at half precision."""
+    text = np.frombuffer(b"".join(x), np.float16).reshape(len(x), TRIGRAMS + SHAPE)
+    return text.astype(np.float32), meta_matrix(places)
+
+
+def most_confident(model: Model, most: dict[int, int], taken: list[set[int]]):
+    """Per task and (view, class): (view, y, sure, h) of the ``most`` rows with the surest scores, copies once."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[tuple[int, int], dict[int, float]] = {(k, y): {} for k in (0, 1) for y in most}
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1_000):
+                batch = whole.slice(at, 1_000)
+                h = batch.column(0).to_pylist()
+                for k, x in enumerate(matrices(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+                    p = sigmoid(model.calibrated(k, x))
+                    for y in most:
+                        sure, kept = p if y else 1 - p, best[k, y]
+                        for i in np.flatnonzero(sure >= CONFIDENT).tolist():
+                            if h[i] not in taken[k]:
+                                kept[h[i]] = float(sure[i])
+                        if len(kept) > most[y]:
+                            best[k, y] = dict(sorted(kept.items(), key=lambda r: (-r[1], r[0]))[:most[y]])
+        rows = [(k, y, s, h) for (k, y), kept in best.items() for h, s in kept.items()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(
+            list(zip(*rows)) or [[]] * 4, (pa.int32(), pa.int32(), pa.float64(), pa.int64()))], ["view", "y", "sure", "h"])
+
+    return run
+
+
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", labelled: int = LABELLED,
+        handed_on: int = HANDED_ON) -> Model:
+    """Fit on at most ``labelled`` labelled rows and all others of ``docs``, with (doc_id, label) in ``labels``."""
+    known = (labels.filter(F.col(label_col).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id")
+             .agg(F.min(label_col).cast("int").alias("y")))
+    rows = written_features(docs, known)
+    others = rows.filter("y < 0").select("h", "x", "places")
+    sample = sorted(least_rows(rows.filter("y >= 0"), ["o", "h"], labelled).collect(), key=lambda r: (r.o, r.h))
+    taken: list[set[int]] = [set(), set()]
+
+    def best_of_all(model: Model) -> list[tuple[np.ndarray, ...]]:
+        most = {1: int(handed_on * model.share) + 1, 0: int(handed_on * (1 - model.share)) + 1}
+        found = written(others.mapInArrow(most_confident(model, most, taken), "view int, y int, sure double, h bigint"),
+                        "quality-handed-on")
+        given = {(k, y): [r.h for r in found.filter(f"view = {k} AND y = {y}").groupBy("h").agg(F.max("sure").alias("sure"))
+                          .orderBy(F.desc("sure"), "h").limit(most[y]).collect()] for k in (0, 1) for y in most}
+        wanted = {h for chosen in given.values() for h in chosen}
+        ids = docs.sparkSession.createDataFrame([(h,) for h in sorted(wanted)], "h bigint")
+        got = {r.h: r for r in others.join(F.broadcast(ids), "h").dropDuplicates(["h"]).collect()}  # bounded by ``most``
+        out = []
+        for k in (0, 1):
+            chosen = [(got[h], y) for y in most for h in given[k, y]]
+            taken[k].update(r.h for r, _ in chosen)
+            out.append((*matrices([r.x for r, _ in chosen], [r.places for r, _ in chosen]), np.array([y for _, y in chosen], int)))
+        return out
+
+    text, meta = matrices([r.x for r in sample], [r.places for r in sample])
+    return Model(text, meta, np.array([r.y for r in sample], int), best_of_all)
 
 
 def score_quality(docs: DataFrame, model: Model, *keep: str, prefix: str = "") -> DataFrame:

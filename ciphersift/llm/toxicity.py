@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ciphersift.llm.common import content_name, crc_split, slices, table, texts, worker_state, written
+from ciphersift.llm.common import least_rows, content_name, crc_split, slices, table, texts, worker_state, written
 
 SAMPLE = 3_000         # labelled texts of each class at most
 WINDOW, STRIDE = 32, 16
@@ -288,9 +288,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network | f
              .groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y")).withColumn("o", F.xxhash64("doc_id")))
     chosen = (known.filter("y = 1").orderBy("o", "doc_id").limit(sample)
               .union(known.filter("y = 0").orderBy("o", "doc_id").limit(sample)))
-    # a bounded number of ids: safe to broadcast; the sampled texts are written once and read three times
-    rows = written(docs.select("doc_id", F.col("text").cast("string").alias("t")).join(F.broadcast(chosen), "doc_id")
-                   .select("doc_id", "t", "y", "o"), "toxicity-sample")
+    # a bounded number of ids: safe to broadcast; ids may repeat, so the rows are bounded too, then written and read
+    # three times
+    found = written(docs.select("doc_id", F.col("text").cast("string").alias("t")).join(F.broadcast(chosen), "doc_id")
+                    .select("doc_id", "t", "y", "o", F.xxhash64("t").alias("h")), "toxicity-found")
+    rows = written(least_rows(found.filter("y = 1"), ["o", "h"], sample).union(
+        least_rows(found.filter("y = 0"), ["o", "h"], sample)).select("doc_id", "t", "y", "o"), "toxicity-sample")
     n = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
     n_pos, n_neg = n.get(1, 0), n.get(0, 0)
     if not n_pos or not n_neg:

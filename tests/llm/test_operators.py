@@ -384,6 +384,43 @@ def test_cotraining_held_out(spark):
     assert {r.doc_id for r in cotrain.keep_good(d, y).collect()} == {i for i in got if got[i].predicted}
 
 
+def test_cotraining_hands_on_the_surest_of_all_rows(spark):
+    """Round one against a plain pass over all unlabelled rows; copies count once, repeated ids keep the bound."""
+    docs, labels = labelled_docs(300)
+    docs += [docs[0]] * 5 + [(1_000 + i, *docs[3][1:]) for i in range(40)]
+    d = spark.createDataFrame(docs, SCHEMA).repartition(5)
+    y = spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    seen = []
+
+    class Watched(cotrain.Model):
+        def __init__(self, text, meta, label, handed_on):
+            def watch(model):
+                given = handed_on(model)
+                seen.append((model.views[:], model.scales[:], model.share, given))
+                return given
+            super().__init__(text, meta, label, watch)
+            seen.append(label)
+
+    plain, cotrain.Model = cotrain.Model, Watched
+    try:
+        cotrain.fit(d, y, labelled=150, handed_on=40)
+    finally:
+        cotrain.Model = plain
+    assert len(seen[-1]) == 150 and len(seen) == cotrain.ROUNDS + 1
+    views, scales, share, given = seen[0]
+    marked = {i for i, *_ in labels}
+    others = sorted({t[1:] for t in docs if t[0] not in marked})
+    text = np.stack([cotrain.text_features(t.encode()) for t, *_ in others])
+    meta = cotrain.meta_matrix([cotrain.meta_features(s, lang, n) for _, lang, s, n in others])
+    for k, x in enumerate((text, meta)):
+        p = cotrain.sigmoid(scales[k][0] * views[k].logits(x) + scales[k][1])
+        for c, sure, part in ((1, p, share), (0, 1 - p, 1 - share)):
+            want = sorted(sure[sure >= cotrain.CONFIDENT], reverse=True)[:int(40 * part) + 1]
+            rows = given[k][k][given[k][2] == c]
+            got = cotrain.sigmoid(scales[k][0] * views[k].logits(rows) + scales[k][1])
+            assert np.allclose(sorted(got if c else 1 - got, reverse=True), want, atol=1e-6)
+
+
 def test_cotraining_odd_rows(spark, odd, labels):
     got = cotrain.score_quality(odd, cotrain.fit(odd, labels), "doc_id").collect()
     assert len(got) == len(ODD) and all(0 <= r.score <= 1 for r in got)
