@@ -2,9 +2,9 @@
 
 Two views of a document are fitted apart: its text (byte trigrams and shape)
 and its metadata (source, language, length).  Over ``ROUNDS`` rounds each view,
-calibrated on labels it was not fitted on, scores *all* unlabelled rows and
-hands those that it is most confident about to the *other* view as
-pseudo-labels.  Then the two calibrated views are combined, and every row of
+calibrated on labels it was not fitted on, scores *all* rows outside the
+labelled sample and hands those that it is most confident about to the *other*
+view as pseudo-labels.  Then the two calibrated views are combined, and every row of
 the table is scored.
 
 Every text is read once for its features, which are written at half precision;
@@ -189,8 +189,9 @@ def _features(batch: pa.RecordBatch, first: int) -> tuple[np.ndarray, np.ndarray
     return text, meta_matrix([meta_features(*r) for r in rows])
 
 
-def written_features(docs: DataFrame, known: DataFrame) -> DataFrame:
-    """(o, h, x, places, y) of every row with an id: hashes of id and content, both views, label (-1: none)."""
+def written_features(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(o, h, x, places, y) of every row: hashes of id and content, both views, label (-1 unless its id is in the
+    bounded table ``chosen(doc_id, y)``)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "__llm_text", 2_000_000):
             text, _ = _features(batch, 3)
@@ -199,12 +200,12 @@ def written_features(docs: DataFrame, known: DataFrame) -> DataFrame:
                 [*batch.columns[:3], pa.array([t.tobytes() for t in text.astype(np.float16)], pa.binary()),
                  pa.array(places, pa.list_(pa.int32()))], ["doc_id", "o", "h", "x", "places"])
 
-    hashed = docs.filter("doc_id IS NOT NULL").select(
+    hashed = docs.select(
         "doc_id", "text", *META, F.xxhash64("doc_id").alias("o"),
         F.xxhash64(*[F.col(c).cast("string") for c in ("text", *META)]).alias("h"))
     rows = _inputs(hashed, "doc_id", "o", "h").mapInArrow(
         run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, o bigint, h bigint, x binary, places array<int>")
-    return written(rows.join(known, "doc_id", "left").select("o", "h", "x", "places", F.coalesce("y", F.lit(-1)).alias("y")),
+    return written(rows.join(F.broadcast(chosen), "doc_id", "left").select("o", "h", "x", "places", F.coalesce("y", F.lit(-1)).alias("y")),
                    "quality-features")
 
 
@@ -240,10 +241,15 @@ def most_confident(model: Model, most: dict[int, int], taken: list[set[int]]):
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", labelled: int = LABELLED,
         handed_on: int = HANDED_ON) -> Model:
-    """Fit on at most ``labelled`` labelled rows and all others of ``docs``, with (doc_id, label) in ``labels``."""
+    """Fit on at most ``labelled`` labelled rows and all others of ``docs``, with (doc_id, label) in ``labels``.
+
+    The ids of the sample are chosen by a join of ids alone; only this bounded table meets the features.
+    """
     known = (labels.filter(F.col(label_col).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id")
              .agg(F.min(label_col).cast("int").alias("y")))
-    rows = written_features(docs, known)
+    chosen = (docs.select("doc_id").distinct().join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id")
+              .limit(labelled))
+    rows = written_features(docs, chosen)
     others = rows.filter("y < 0").select("h", "x", "places")
     sample = sorted(least_rows(rows.filter("y >= 0"), ["o", "h"], labelled).collect(), key=lambda r: (r.o, r.h))
     taken: list[set[int]] = [set(), set()]

@@ -387,7 +387,7 @@ def test_cotraining_held_out(spark):
 def test_cotraining_hands_on_the_surest_of_all_rows(spark):
     """Round one against a plain pass over all unlabelled rows; copies count once, repeated ids keep the bound."""
     docs, labels = labelled_docs(300)
-    docs += [docs[0]] * 5 + [(1_000 + i, *docs[3][1:]) for i in range(40)]
+    docs += [docs[0], docs[1]] * 5 + [(1_000 + i, *docs[3][1:]) for i in range(40)]
     d = spark.createDataFrame(docs, SCHEMA).repartition(5)
     y = spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
     seen = []
@@ -403,10 +403,13 @@ def test_cotraining_hands_on_the_surest_of_all_rows(spark):
 
     plain, cotrain.Model = cotrain.Model, Watched
     try:
-        cotrain.fit(d, y, labelled=150, handed_on=40)
+        cotrain.fit(d.union(spark.createDataFrame([(1, f"more {i}", "en", "s", i) for i in range(90)], SCHEMA)), y, labelled=60)
+        assert len(seen[-1]) == 60          # rows, although one id has ninety texts
+        seen.clear()
+        cotrain.fit(d, y, handed_on=40)
     finally:
         cotrain.Model = plain
-    assert len(seen[-1]) == 150 and len(seen) == cotrain.ROUNDS + 1
+    assert len(seen[-1]) == 200 and len(seen) == cotrain.ROUNDS + 1
     views, scales, share, given = seen[0]
     marked = {i for i, *_ in labels}
     others = sorted({t[1:] for t in docs if t[0] not in marked})
