@@ -696,15 +696,15 @@ def test_lm_base_and_model(spark, odd):
     assert attention_lm.score_texts(empty, tokenizer_file("piece_bpe_32k.model")).count() == 0
 
 
-@pytest.mark.parametrize("name,value", [("FREQUENT", 5), ("FOLLOWERS", 3)])
+@pytest.mark.parametrize("name,value", [("FREQUENT", 5), ("PAIRS", 3)])
 def test_lm_score_has_no_caps(spark, monkeypatch, name, value):
-    """Words beyond the table of frequent words have their unigram, and no pair of ids is left out."""
+    """Words beyond the table of frequent words have the same probability, and so have pairs of ids beyond theirs."""
     rnd = random.Random(12)
     new = lambda: " ".join("".join(rnd.choices("bcdfgkqvxz", k=9)) for _ in range(30))  # noqa: E731  held-out rows have words without counts
     docs = spark.createDataFrame([(i, f"{prose(i, 40)} {new()}") for i in range(40)], "doc_id bigint, text string").coalesce(1)
     scores = lambda: {r.doc_id: r.score for r in attention_lm.score_texts(docs, tokenizer_file("piece_bpe_32k.model")).collect()}
     want = scores()
-    monkeypatch.setattr(attention_lm, name, value, raising=False)
+    monkeypatch.setattr(attention_lm, name, value)
     assert scores() == pytest.approx(want, rel=1e-4)
 
 
@@ -713,7 +713,6 @@ def lm(seed=0):
     counts = np.bincount(np.random.default_rng(seed).integers(0, 400, 5000) + 300, minlength=words.size)
     model = attention_lm.Model(words.front, words.end, counts)
     model.follow(counts, np.zeros((model.n_classes, words.size)))
-    model.follow_ids(np.zeros(0, np.int64), np.zeros(0, np.int64))
     return words, model
 
 
@@ -721,10 +720,10 @@ def test_lm_is_a_distribution_and_causal():
     words, model = lm()
     ids, _ = words.stream([w.encode() for w in prose(3, 60).split()])
     size = np.array([len(ids)])
-    whole = model.id_log_p(ids, size)
+    whole = model.class_log_p(ids, size)
     for cut in (5, 33, 50):                                               # later ids change nothing before them
-        assert np.allclose(whole[:cut], model.id_log_p(ids[:cut], np.array([cut])), atol=1e-4)
-    two = model.id_log_p(np.r_[ids, ids], np.r_[size, size])              # nor do other texts
+        assert np.allclose(whole[:cut], model.class_log_p(ids[:cut], np.array([cut])), atol=1e-4)
+    two = model.class_log_p(np.r_[ids, ids], np.r_[size, size])              # nor do other texts
     assert np.allclose(two, np.r_[whole, whole], atol=1e-4)
     at = 40
     each = [model.class_log_p(np.r_[ids[:at], i], np.array([at + 1]))[-1] for i in
@@ -735,6 +734,48 @@ def test_lm_is_a_distribution_and_causal():
         assert np.exp(model.in_class[model.n_classes][own].astype(float)).sum() == pytest.approx(1, abs=1e-3)
 
 
+def test_lm_scores_as_it_is_trained():
+    """The scoring path's class probabilities equal those that gradients are taken of."""
+    words, model = lm()
+    b = attention_lm.BLOCK
+    ids, _ = words.stream([w.encode() for w in prose(3, 200).split()])
+    scored = model.class_log_p(ids, np.array([len(ids)]))
+    for block in range(3):
+        window = np.full(2 * b + 1, -1, np.int64)
+        upto = ids[max(0, block * b - b - 1):block * b + b]
+        window[len(window) - len(upto):] = upto
+        before = window[None, :-1]
+        rows = np.where(before >= 0, model.row_of[before], model.begin)
+        seen = (before >= 0) | (np.arange(2 * b) == np.argmax(window >= 0) - 1)
+        x = model.p["emb"][rows]
+        q, k, v = np.split(x @ model.p["qkv"], 3, axis=2)
+        z = model.attend(x[:, b:], q[:, b:], k, v, seen)[0]
+        want = (z - np.log(np.exp(z).sum(1, keepdims=True)))[np.arange(b), model.class_of[upto[-b:]]]
+        assert np.allclose(scored[block * b:block * b + b], want, atol=1e-4)
+
+
+def test_lm_inside_words():
+    """The ids that may follow an id, given their class, are a distribution, with pairs from the table or joined later."""
+    words, model = lm()
+    inner = np.flatnonzero(~model.front)
+    own = inner[model.class_of[inner] == model.class_of[inner[5]]]
+    before, n_ids = int(np.flatnonzero(model.front)[7]), words.size
+    totals = np.zeros(n_ids * model.n_classes)
+    totals[before * model.n_classes + model.class_of[own[0]]] = 12
+    keys, n = before * n_ids + own[:2], np.array([5, 7]) if len(own) > 1 else np.array([12])
+    inside = attention_lm.Inside(model, keys[:len(n)], n, totals)
+    pair = np.stack([np.full(len(own), before), own], 1).ravel()
+    sums, (word, key, smooth) = inside.of(pair, np.full(len(own), 2))
+    alone = model.in_class[model.n_classes, before]
+    assert np.exp(sums - alone).sum() == pytest.approx(1, abs=1e-3)
+    assert len(word) == len(own) - len(n)                                  # pairs that the table lacks
+    none = attention_lm.Inside(model, np.zeros(0, np.int64), np.zeros(0), totals)
+    later, (word, key, smooth) = none.of(pair, np.full(len(own), 2))
+    joined = dict(zip(keys.tolist(), n.tolist()))
+    assert np.allclose(later + [math.log1p(joined.get(k, 0) / s) for k, s in zip(key.tolist(), smooth)], sums)
+    assert [float(x) for x in inside.of(np.zeros(0, np.int32), np.array([0, 0]))[0]] == [0, 0]  # words without ids
+
+
 def test_lm_gradient():
     words, model = lm()
     model.p = {k: v.astype(np.float64) for k, v in model.p.items()}
@@ -751,7 +792,7 @@ def test_lm_gradient():
         x = model.p["emb"][rows]
         q, k, v = np.split(x @ model.p["qkv"], 3, axis=2)
         b = attention_lm.BLOCK
-        z = model.attend(x[:, b:], q[:, b:], k, v, seen)
+        z = model.attend(x[:, b:], q[:, b:], k, v, seen)[0]
         z = z - np.log(np.exp(z).sum(1, keepdims=True))
         at = np.flatnonzero(target.ravel() >= 0)
         return -z[at, model.class_of[target.ravel()[at]]].mean()
