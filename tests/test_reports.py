@@ -4,6 +4,8 @@ import json
 import os
 import tempfile
 
+import pytest
+
 from ciphersift import ScanOptions, scan
 from ciphersift.plans import report as R
 
@@ -80,6 +82,25 @@ def test_stream_equals_batch(spark):
     assert a == b and len(a) > 0
 
 
+@pytest.mark.parametrize("files", [None, 3])
+def test_stream_reads_one_file_or_a_folder_of_files(spark, files):
+    """A table is one Parquet file or a folder of part files; a neighbour with a like name is not read."""
+    from ciphersift.plans.queries import scan_documents_weak
+    from ciphersift.streaming.stream import stream_scan_available_now
+    sf = tempfile.mkdtemp(prefix="cs-stream-")
+    rows = [(i, f"line one\nuses md5 and rc4 {i}" if i % 2 else "nothing") for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    docs.write.parquet(f"{sf}/old-documents.parquet")
+    if files:
+        docs.repartition(files).write.parquet(f"{sf}/documents.parquet")
+    else:
+        docs.coalesce(1).write.parquet(f"{sf}/made")
+        part, = (f for f in os.listdir(f"{sf}/made") if f.startswith("part-"))
+        os.link(f"{sf}/made/{part}", f"{sf}/documents.parquet")
+    got = sorted(tuple(r) for r in stream_scan_available_now(spark, sf).collect())
+    assert got == sorted(tuple(r) for r in scan_documents_weak(spark, sf).collect()) and len(got) == 12
+
+
 def test_file_tree_source(spark):
     from ciphersift.sources.corpus import file_tree_corpus
     root = tempfile.mkdtemp(prefix="cs-tree-")
