@@ -120,3 +120,15 @@ def test_sniff_is_an_option(spark, corpus):
     count = lambda **kw: sorted(r.file for r in scan(spark, corpus(files), ScanOptions(include_unknown=True, **kw)).findings.collect())
     assert count() == ["a.txt", "b.txt", "c.txt"]
     assert count(skip_binary=True) == ["b.txt", "c.txt"]
+
+
+def test_exact_regex_runs_behind_the_needle_only(spark, corpus):
+    """A line meets every scheme that shares one gram with it: of those pairs, the join checks the needle and no regex."""
+    docs = corpus({"a": "the cat sat, thé cat\nno cater\n\U0001F600é The Cat, the cat", "b": "other catalogue"}).select("path", "content")
+    catalog = spark.createDataFrame([(1, "p", r"(?i)\bthe cat\b"), (2, "w", r"\bcater[a-z]*"), (3, "s", r"(?i)\ba b\b")],
+                                    "ord bigint, id string, pattern string")
+    found = needle_index.catalog_findings(docs, needle_index.checked_catalog(catalog))
+    joins = [x for x in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join " in x and "gram#" in x]
+    assert joins and not any("java#" in x for x in joins)
+    assert sorted((r.file, r.line, r.column, r.rule_id) for r in found.collect()) == [
+        ("a", 1, 1, "scheme:p"), ("a", 2, 4, "scheme:w"), ("a", 3, 8, "scheme:p")]
