@@ -829,3 +829,16 @@ def test_caches_do_not_outlive_their_content(spark):
         net = toxicity.Network(rng.normal(size=toxicity.WORD_ROWS), rng.normal(size=toxicity.GRAM_ROWS))
         want = toxicity.Scorer(net).text_logits([prose(1, 30)])[0]
         assert toxicity.logits(text, net, "doc_id").first().logit == pytest.approx(float(want), rel=1e-6)
+
+
+def test_every_id_of_every_training_text_is_learnt_from_once():
+    words = attention_lm.Words(open(tokenizer_file("piece_bpe_32k.model"), "rb").read())
+    rows = [b"", b"one", b"a few words only", b" ".join(b"word%d" % (i * i) for i in range(700))]
+    b, size = attention_lm.BLOCK, lambda text: len(words.stream([*attention_lm.tokens_of(text), attention_lm.END])[0])
+    for text in rows:
+        ids = words.stream([*attention_lm.tokens_of(text), attention_lm.END])[0].tolist()
+        learnt = [w for turn in range(attention_lm.ROUNDS) for w in attention_lm.training_windows([text], words, turn)]
+        assert sorted(x for w in learnt for x in w[-b:].tolist()) == sorted(ids)
+        assert all(len(w) <= 2 * b + 1 and w.tolist() in [ids[max(0, e - len(w)):e] for e in range(1, len(ids) + 1)] for w in learnt)
+    together = [attention_lm.training_windows(rows, words, turn) for turn in range(attention_lm.ROUNDS)]
+    assert sum(len(w[-b:]) for t in together for w in t) == sum(map(size, rows))
