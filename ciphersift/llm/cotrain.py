@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ciphersift.llm.common import least_rows, slices, table, text_bytes, written
+from ciphersift.llm.common import least_rows, slices, table, text_bytes, with_inputs, written
 
 LABELLED = 6_000
 ROUNDS = 4
@@ -176,26 +176,22 @@ class Model:
 META = ("source", "lang", "n_chars")
 
 
-def _inputs(docs: DataFrame, *more: str) -> DataFrame:
-    return docs.select(*[F.col(f"`{c}`") for c in more], F.col("text").cast("string").alias("__llm_text"),
-                       F.col("source").cast("string").alias("__llm_source"),
-                       F.col("lang").cast("string").alias("__llm_lang"),
-                       F.col("n_chars").cast("bigint").alias("__llm_n"))
+def _inputs(docs: DataFrame, *more: str) -> tuple[DataFrame, list[str]]:
+    return with_inputs(docs, list(more), text="string", source="string", lang="string", n_chars="bigint")
 
 
-def _features(batch: pa.RecordBatch, first: int) -> tuple[np.ndarray, np.ndarray]:
-    text = np.stack([text_features(t) for t in text_bytes(batch.column(first))])
-    rows = zip(*(batch.column(first + k).to_pylist() for k in (1, 2, 3)))
-    return text, meta_matrix([meta_features(*r) for r in rows])
+def _features(batch: pa.RecordBatch, names: list[str]) -> tuple[np.ndarray, list[list[int]]]:
+    """The text view and the places of the ones in the metadata view; ``names`` of the four inputs."""
+    text = np.stack([text_features(t) for t in text_bytes(batch.column(names[0]))])
+    return text, [meta_features(*r) for r in zip(*(batch.column(c).to_pylist() for c in names[1:]))]
 
 
 def written_features(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     """(o, h, x, places, y) of every row: hashes of id and content, both views, label (-1 unless its id is in the
     bounded table ``chosen(doc_id, y)``)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "__llm_text", 2_000_000):
-            text, _ = _features(batch, 3)
-            places = [meta_features(*r) for r in zip(*(batch.column(k).to_pylist() for k in (4, 5, 6)))]
+        for batch in slices(batches, names[0], 2_000_000):
+            text, places = _features(batch, names)
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:3], pa.array([t.tobytes() for t in text.astype(np.float16)], pa.binary()),
                  pa.array(places, pa.list_(pa.int32()))], ["doc_id", "o", "h", "x", "places"])
@@ -203,7 +199,8 @@ def written_features(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     hashed = docs.select(
         "doc_id", "text", *META, F.xxhash64("doc_id").alias("o"),
         F.xxhash64(*[F.col(c).cast("string") for c in ("text", *META)]).alias("h"))
-    rows = _inputs(hashed, "doc_id", "o", "h").mapInArrow(
+    source, names = _inputs(hashed, "doc_id", "o", "h")
+    rows = source.mapInArrow(
         run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, o bigint, h bigint, x binary, places array<int>")
     return written(rows.join(F.broadcast(chosen), "doc_id", "left").select("o", "h", "x", "places", F.coalesce("y", F.lit(-1)).alias("y")),
                    "quality-features")
@@ -278,15 +275,17 @@ def score_quality(docs: DataFrame, model: Model, *keep: str, prefix: str = "") -
     """(*keep, score, text_score, meta_score, predicted) of every row of ``docs``; ``prefix`` goes before new names."""
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     names = [prefix + x for x in ("score", "text_score", "meta_score", "predicted")]
+    source, inputs = _inputs(docs, *keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "__llm_text", 2_000_000):
-            p, t, m = model.score(*_features(batch, len(keep)))
+        for batch in slices(batches, inputs[0], 2_000_000):
+            text, places = _features(batch, inputs)
+            p, t, m = model.score(text, meta_matrix(places))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:len(keep)], *(pa.array(x, pa.float64()) for x in (p, t, m)),
                  pa.array((p >= 0.5).astype(np.int32))], [*keep, *names])
 
-    return _inputs(docs, *keep).mapInArrow(
+    return source.mapInArrow(
         run, kinds + "".join(f", `{n}` {k}" for n, k in zip(names, ("double", "double", "double", "int"))))
 
 

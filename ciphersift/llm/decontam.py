@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ciphersift.llm.common import content_name, slices, table, texts, worker_state
+from ciphersift.llm.common import content_name, slices, table, texts, with_inputs, worker_state
 
 EDITS = 0.2          # most edits, as a share of an item's words
 RECALL = 0.95        # target for copies at the largest distance
@@ -345,16 +345,17 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") ->
     columns = docs.columns
     out = docs
     for index in item_blocks(benchmark):
+        source, (text,) = with_inputs(out, columns, **{text_col: "string"})
+
         def run(batches: Iterator[pa.RecordBatch], index=index, token=content_name(index)) -> Iterator[pa.RecordBatch]:
             opened = _opened(index, token)
-            for batch in slices(batches, "__llm_text", 1_000_000):
-                found = opened.leaks(texts(batch.column(len(columns))))
+            for batch in slices(batches, text, 1_000_000):
+                found = opened.leaks(texts(batch.column(text)))
                 clean = pa.array([not x for x in found], pa.bool_())
                 yield pa.RecordBatch.from_arrays(batch.columns[:len(columns)], names=columns).filter(clean)
 
         kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-        out = out.select(*[F.col(f"`{c}`") for c in columns], F.col(text_col).cast("string").alias("__llm_text"))
-        out = out.mapInArrow(run, kinds)
+        out = source.mapInArrow(run, kinds)
     return out
 
 

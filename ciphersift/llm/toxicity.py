@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ciphersift.llm.common import least_rows, content_name, crc_split, slices, table, texts, worker_state, written
+from ciphersift.llm.common import least_rows, content_name, crc_split, slices, table, texts, with_inputs, worker_state, written
 
 SAMPLE = 3_000         # labelled texts of each class at most
 WINDOW, STRIDE = 32, 16
@@ -346,17 +346,17 @@ def logits(docs: DataFrame, net: Network, *keep: str, text_col: str = "text", na
     """(*keep, logit) of every row of ``docs``."""
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     token = content_name(net)
+    source, (text,) = with_inputs(docs, list(keep), **{text_col: "string"})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = worker_state("toxicity")
         if state.get("of") != token:
             state.update(of=token, scorer=Scorer(net))
-        for batch in slices(batches, "__llm_text", 1_000_000):
-            z = state["scorer"].text_logits(texts(batch.column(len(keep))))
+        for batch in slices(batches, text, 1_000_000):
+            z = state["scorer"].text_logits(texts(batch.column(text)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:len(keep)], pa.array(z.astype(np.float64))], [*keep, name])
 
-    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text_col).cast("string").alias("__llm_text")).mapInArrow(
-        run, f"{kinds}, `{name}` double")
+    return source.mapInArrow(run, f"{kinds}, `{name}` double")
 
 
 def score_toxicity(docs: DataFrame, net: Network | float, *keep: str, name: str = "score") -> DataFrame:

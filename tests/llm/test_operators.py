@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ciphersift.llm import (attention_lm, chat_format, cotrain, decontam, html_extract, segmentation, simhash, token_counts,
                             topk, toxicity)
-from ciphersift.llm.common import tokenizer_file
+from ciphersift.llm.common import tokenizer_file, with_inputs
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 WORDS = "the of and river stone light under morning paper green wooden quiet window market".split()
@@ -90,6 +90,23 @@ def test_segmentation_distribution():
         assert abs(np.mean([sum(math.exp(x[1] - x[3]) for x in d) for d in drawn]) - 1) < 0.02
 
 
+def test_rows_that_are_kept_send_their_text_once(spark):
+    """The pipeline's filters pass whole rows through tasks; the text among them is the operator's input too."""
+    docs = spark.createDataFrame([(i, f"some text of row {i}", "web", "en", 10 + i) for i in range(4)],
+                                 "doc_id bigint, text string, source string, lang string, n_chars bigint")
+    labels = spark.createDataFrame([(0, 1, 0)], "doc_id bigint, quality int, toxic int")
+    bench = spark.createDataFrame([(1, "some other text that is nowhere in the rows of this small table at all")],
+                                  "item_id bigint, text string")
+    quality = cotrain.score_quality(docs, cotrain.Model(np.zeros((0, 1)), np.zeros((0, 1)), np.zeros(0)), *docs.columns)
+    assert quality.count() == 4
+    for frame, name in ((quality, "quality"), (with_inputs(docs, docs.columns, text="string")[0], "toxicity"),
+                        (decontam.keep_clean(docs, bench), "decontam")):
+        plan = frame._jdf.queryExecution().analyzed().toString()
+        assert "__llm_text" not in plan, name
+    cast, names = with_inputs(docs, ["doc_id"], text="string", n_chars="string")
+    assert names == ["__llm_text", "__llm_n_chars"] and cast.columns == ["doc_id", *names]
+
+
 def test_segmentation_odd_rows(odd):
     path = tokenizer_file("piece_bpe_32k.model")
     rows = segmentation.sample_segmentations(odd, path).collect()
