@@ -33,7 +33,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +45,8 @@ from ciphersift.llm.common import read_bytes, slices, table, texts, tokenizer_fi
 
 SAMPLES = 2
 ZIPF_OFFSET = 10.0      # log p(piece of rank r) = -log(r + ZIPF_OFFSET) + constant
-CACHED_EDGES = 5_000_000
+CACHED_EDGES = 3_000_000
+FRONT = 64              # steps that bound how far a path is searched for open nodes
 AT_ONCE = 3_000         # new words whose lattices are built together
 MARK = "▁"
 UNITS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
@@ -139,13 +140,40 @@ class Pieces:
             found[h] = i
         self.hashes = np.array(sorted(found), np.uint64)
         self.piece_at = np.array([found[int(h)] for h in self.hashes], np.int64)
+        # a prefix stands in the first free slot from its own on
+        self.slot_bits = (8 * len(found)).bit_length()
+        self.slots = np.full(1 << self.slot_bits, -1, np.int32)
+        left = np.arange(len(found), dtype=np.int32)
+        slot = self.slot_of(self.hashes)
+        while len(left):
+            free = np.flatnonzero(self.slots[slot] < 0)
+            self.slots[slot[free]] = left[free]
+            out = self.slots[slot] != left
+            left, slot = left[out], (slot[out] + 1) & (len(self.slots) - 1)
+
+    def slot_of(self, h: np.ndarray) -> np.ndarray:
+        return ((h * BASE) >> np.uint64(64 - self.slot_bits)).astype(np.int64)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Places in ``hashes``, -1 for what is no prefix of a piece."""
+        slot = self.slot_of(h)
+        at = self.slots[slot]
+        other = np.flatnonzero((at >= 0) & (self.hashes[at] != h))
+        while len(other):
+            slot[other] = (slot[other] + 1) & (len(self.slots) - 1)
+            at[other] = found = self.slots[slot[other]]
+            other = other[(found >= 0) & (self.hashes[found] != h[other])]
+        return at
 
     @staticmethod
     def _units(text: str) -> list[str]:
         if MARK + MARK in text:
             return UNITS.findall(text)
-        first, *rest = text.split(MARK)
-        return [first, *(MARK + x for x in rest)] if first else [MARK + x for x in rest]
+        if " " in text:
+            first, *rest = text.split(MARK)
+            return [first, *(MARK + x for x in rest)] if first else [MARK + x for x in rest]
+        units = text.replace(MARK, " " + MARK).split(" ")
+        return units if units[0] else units[1:]
 
     def decode(self, ids: list[int]) -> str:
         """The text that piece ids spell, without the mark that stands before every text."""
@@ -155,9 +183,9 @@ class Pieces:
         """Texts of runs of ``size`` ids each."""
         length = self.n_bytes[ids]
         ends = np.cumsum(length)
-        place = np.arange(int(length.sum())) - np.repeat(ends - length, length) + np.repeat(self.byte_at[ids], length)
+        place = np.arange(int(length.sum())) + np.repeat(self.byte_at[ids] - ends + length, length)
         line = self.all_bytes[place].tobytes()
-        cut = np.r_[0, ends][np.r_[0, np.cumsum(size)]].tolist()
+        cut = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(size)])].tolist()
         texts_ = [line[a:b].decode("utf-8", "replace") for a, b in zip(cut, cut[1:])]
         return [t[1:] if self.prefixed and t.startswith(" ") else t for t in texts_]
 
@@ -165,27 +193,32 @@ class Pieces:
 class Lattices:
     """Word lattices in flat arrays: an edge's key is its node plus the running sum of its node's probabilities."""
 
-    KINDS = {"key": np.float64, "step": np.int32, "piece": np.int32, "log_q": np.float32, "log_rest": np.float32}
+    KINDS = {"key": np.float64, "step": np.int16, "piece": np.int32, "log_q": np.float32, "log_rest": np.float32}
 
     def __init__(self, pieces: Pieces):
         self.pieces = pieces
         self.clear()
-
-    def clear(self) -> None:
-        self.first: dict[str, int] = {}
-        self.n_nodes = self.n_edges = 0
         self.at = np.zeros(1 << 16, np.int64)    # a node's first edge
         self.left = np.zeros(1 << 16, np.int32)  # nodes from a node to its word's end
         for name, kind in self.KINDS.items():
             setattr(self, name, np.zeros(1 << 16, kind))
 
-    def need(self, units: list[str]) -> None:
-        """Make sure that the lattices of these words are there."""
+    def clear(self) -> None:
+        """Forget all words; the arrays are filled anew."""
+        self.first: dict[str, int] = {}
+        self.n_nodes = self.n_edges = 0
+
+    def need(self, units: list[str]) -> np.ndarray:
+        """First nodes of these words, whose lattices are built where they are not there."""
         if self.n_edges > CACHED_EDGES:
             self.clear()
-        new = list(set(units).difference(self.first))
+        at = np.fromiter(map(self.first.get, units, repeat(-1)), np.int64, len(units))
+        lacking = np.flatnonzero(at < 0).tolist()
+        new = list(dict.fromkeys(units[i] for i in lacking))
         for i in range(0, len(new), AT_ONCE):
             self.build(new[i:i + AT_ONCE])
+        at[lacking] = [self.first[units[i]] for i in lacking]
+        return at
 
     def put(self, name: str, at: int, values: np.ndarray) -> None:
         """Write values into an array that grows by a quarter when it is full."""
@@ -205,47 +238,62 @@ class Lattices:
         to_end = size[word] - (np.arange(len(chars)) - start[word])  # characters from a node to its word's end
         node = np.arange(len(chars)) + word                          # every word has an end node of its own
         self.first.update(zip(units, (self.n_nodes + start + np.arange(len(units))).tolist()))
-        # a row per node, a column per piece length, the longest first
-        widest = top
-        log_p = np.full((len(chars), top), -np.inf)
-        piece = np.full((len(chars), top), -1, np.int32)
+        # edges by piece length
+        found: list[tuple[np.ndarray, int, np.ndarray, np.ndarray]] = []
         alive, h = np.arange(len(chars)), np.zeros(len(chars), np.uint64)
+        lacks = np.ones(len(chars), bool)
         with np.errstate(over="ignore"):
             for n in range(1, top + 1):
                 fits = to_end[alive] >= n
                 alive, h = alive[fits], h[fits]
                 if not len(alive):
-                    widest = n - 1
                     break
                 h = h * BASE + chars[alive + n - 1] + np.uint64(1)
-                at = np.minimum(np.searchsorted(p.hashes, h), len(p.hashes) - 1)
-                known = p.hashes[at] == h
+                at = p.find(h)
+                known = at >= 0
                 alive, h, at = alive[known], h[known], at[known]
-                found = p.piece_at[at]
-                whole = found >= 0
-                piece[alive[whole], top - n] = found[whole]
-                log_p[alive[whole], top - n] = p.log_p[found[whole]]
-        lacks = np.flatnonzero(piece[:, top - 1] < 0)  # characters without a piece: one edge that spells their bytes
+                piece = p.piece_at[at]
+                whole = np.flatnonzero(piece >= 0)
+                found.append((alive[whole], n, piece[whole], p.log_p[piece[whole]]))
+                if n == 1:
+                    lacks[alive[whole]] = False
+        lacks = np.flatnonzero(lacks)  # characters without a piece: one edge that spells their bytes
         code = chars[lacks].astype(np.int64)
-        piece[lacks, top - 1] = np.where(code < 0x80, p.byte_id[np.minimum(code, 0xFF)], p.size + code)
-        log_p[lacks, top - 1] = p.byte_log_p * (1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF))
-        log_p, piece = log_p[:, top - widest:], piece[:, top - widest:]  # no piece of these words is longer
-        top = widest
-        beta = np.zeros(len(chars) + len(units) + top)
-        order = np.argsort(to_end, kind="stable")
-        ahead = np.arange(top, 0, -1)
-        for rows in np.split(order, np.flatnonzero(np.diff(to_end[order])) + 1):  # from the words' ends to their fronts
-            value = log_p[rows] + beta[node[rows][:, None] + ahead]
-            most = value.max(1)
-            beta[node[rows]] = most + np.log(np.exp(value - most[:, None]).sum(1))
-            log_p[rows] = value - beta[node[rows]][:, None]
-        src, column = np.nonzero(piece >= 0)
-        log_q = np.minimum(log_p[src, column], 0.0)
-        head = np.flatnonzero(np.r_[True, src[1:] != src[:-1]])
+        found.insert(0, (lacks, 1, np.where(code < 0x80, p.byte_id[np.minimum(code, 0xFF)], p.size + code),
+                         p.byte_log_p * (1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF))))
+        # laid out by node, the longest piece first
+        degree = np.zeros(len(chars), np.int64)
+        for rows, *_ in found:
+            degree[rows] += 1
+        free = np.cumsum(degree) - degree
+        head, total = free.copy(), int(degree.sum())
+        step, piece, log_p = np.zeros(total, np.int32), np.zeros(total, np.int32), np.zeros(total)
+        for rows, n, *values in reversed(found):
+            at = free[rows]
+            step[at], piece[at], log_p[at] = n, *values
+            free[rows] += 1
+        src = np.repeat(np.arange(len(chars)), degree)
+        target = node[src] + step
+        beta = np.zeros(len(chars) + len(units))
+        order = np.argsort(to_end.astype(np.uint16) if size.max() < 1 << 16 else to_end, kind="stable")
+        own = degree[order]
+        ends = np.cumsum(own)
+        by_end = np.arange(total) + np.repeat(head[order] - ends + own, own)  # edges in that order of their nodes
+        value, target, log_q = log_p[by_end], target[by_end], np.zeros(total)
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(to_end[order])) + 1, [len(order)]]).tolist()
+        for a, b in zip(cuts, cuts[1:]):  # from the words' ends to their fronts
+            at, n = slice(int(ends[a] - own[a]), int(ends[b - 1])), own[a:b]
+            first = ends[a:b] - n - at.start
+            summed = value[at] + beta[target[at]]
+            most = np.maximum.reduceat(summed, first)
+            whole = most + np.log(np.add.reduceat(np.exp(summed - np.repeat(most, n)), first))
+            beta[node[order[a:b]]] = whole
+            log_q[by_end[at]] = summed - np.repeat(whole, n)
+        log_q = np.minimum(log_q, 0.0)
         running = np.cumsum(np.exp(log_q))
-        share = np.minimum(running - np.r_[0.0, running][head][src], 1.0)
-        share[np.r_[head[1:] - 1, len(src) - 1]] = 1.0
-        only = (np.diff(np.r_[head, len(src)]) == 1)[src]
+        share = np.minimum(running - np.concatenate([[0.0], running])[head][src], 1.0)
+        share[head + degree - 1] = 1.0
+        only = (degree == 1)[src]
         log_q[only] = 0.0
         log_rest = np.where(only, -np.inf, np.log(-np.expm1(np.minimum(log_q, -1e-15))))
         ends = np.zeros(len(chars) + len(units), np.int64)
@@ -253,8 +301,8 @@ class Lattices:
         self.put("at", self.n_nodes, ends)
         ends[node] = to_end
         self.put("left", self.n_nodes, ends)
-        for name, values in (("key", self.n_nodes + node[src] + share), ("step", top - column),
-                             ("piece", piece[src, column]), ("log_q", log_q), ("log_rest", log_rest)):
+        for name, values in (("key", self.n_nodes + node[src] + share), ("step", step),
+                             ("piece", piece), ("log_q", log_q), ("log_rest", log_rest)):
             self.put(name, self.n_edges, values)
         self.n_edges += len(src)
         self.n_nodes += len(chars) + len(units)
@@ -301,8 +349,15 @@ class Path:
     def __init__(self, lattices: Lattices, edges, unit, score: float, seed: int, sample: int, fresh: int, k: int):
         """``fresh``: steps before it are shared with an older path, which keeps the open nodes there."""
         self.edges, self.unit, self.score = edges, unit, score
-        self.before = np.cumsum(np.r_[0.0, lattices.log_q[edges]])
-        where = self.before[fresh:-1] + lattices.log_rest[edges[fresh:]]
+        self.before = np.zeros(len(edges) + 1, np.float32)
+        np.cumsum(lattices.log_q[edges], out=self.before[1:])
+        near = len(edges)
+        if near - fresh > FRONT + k:
+            # a node's place is no higher than what stands before it: those behind ``near`` are too low for the check below
+            where = self.before[fresh:fresh + FRONT + k] + lattices.log_rest[edges[fresh:fresh + FRONT + k]]
+            where_k = np.partition(where, FRONT - 2)[FRONT - 2]
+            near = int(np.searchsorted(-self.before[:-1], 42.0 - where_k, "right"))
+        where = self.before[fresh:near] + lattices.log_rest[edges[fresh:near]]
         if len(where) > k + 1:
             # uniforms of 53 bits give Gumbel variables between -3.7 and 36.8, so these nodes hold the k + 2 best
             where_k = np.partition(where, len(where) - k - 2)[len(where) - k - 2]
@@ -375,9 +430,8 @@ class Sampler:
         lat = self.lattices
         units = [self.pieces.units(x) for x in self.pieces.library.normalize(rows)] if rows else []
         words = list(chain.from_iterable(units))
-        lat.need(words)
+        first = lat.need(words)
         size = np.fromiter(map(len, units), np.int64, len(units))
-        first = np.fromiter(map(lat.first.__getitem__, words), np.int64, len(words))
         end = first + lat.left[first]
         offset = np.r_[0, np.cumsum(size)]
         place = np.arange(len(first)) - np.repeat(offset[:-1], size)
@@ -399,7 +453,7 @@ class Sampler:
                 u = int(s.paths[path].unit[t])
                 a, b = offset[i] + u, offset[i + 1]
                 jobs.append((i, got))
-                node.append(np.r_[at, first[a + 1:b]])
+                node.append(np.concatenate([[at], first[a + 1:b]]))
                 last.append(end[a:b])
                 seed.append(np.full(b - a, seeds[i], np.uint64))
                 unit.append(np.arange(u, size[i]))
@@ -412,8 +466,8 @@ class Sampler:
                 old = searches[i].paths[path]
                 own = slice(cut[j], cut[j + 1])
                 searches[i].paths.append(Path(
-                    lat, np.r_[old.edges[:t], edge, edges[own]],
-                    np.r_[old.unit[:t + 1], unit[j][owner[own] - count[j]]], score, searches[i].seed, sample, t + 1, k))
+                    lat, np.concatenate([old.edges[:t], [edge], edges[own]]),
+                    np.concatenate([old.unit[:t + 1], unit[j][owner[own] - count[j]]]), score, searches[i].seed, sample, t + 1, k))
         return [self.result(s) for s in searches]
 
     def result(self, search: Search) -> list[tuple[np.ndarray, float, float, float]]:

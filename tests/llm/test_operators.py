@@ -107,6 +107,24 @@ def test_rows_that_are_kept_send_their_text_once(spark):
     assert names == ["__llm_text", "__llm_n_chars"] and cast.columns == ["doc_id", *names]
 
 
+def test_segmentation_cache_is_filled_in_place():
+    """An emptied cache keeps its arrays, and its words have the same lattices again, with prefixes found without a search."""
+    pieces = segmentation.Pieces(open(tokenizer_file("piece_bpe_32k.model"), "rb").read())
+    assert (pieces.find(pieces.hashes) == np.arange(len(pieces.hashes))).all()
+    assert (pieces.find(pieces.hashes + np.uint64(1 << 40)) < 0).sum() > 0.9 * len(pieces.hashes)
+    lattices = segmentation.Lattices(pieces)
+    rng = np.random.default_rng(1)
+    words = ["▁" + "".join(w) for w in rng.choice(list("abcdefghijklmnopqrstuvwxyz"), (2_000, 30))]
+    lattices.need(words)
+    kept = {name: getattr(lattices, name) for name in lattices.KINDS}
+    before = {name: x[:lattices.n_edges].copy() for name, x in kept.items()}
+    lattices.clear()
+    assert (lattices.need(words + words)[:2_000] == lattices.need(words)).all()
+    for name, x in kept.items():
+        assert getattr(lattices, name) is x
+        assert np.array_equal(x[:lattices.n_edges], before[name])
+
+
 def test_segmentation_odd_rows(odd):
     path = tokenizer_file("piece_bpe_32k.model")
     rows = segmentation.sample_segmentations(odd, path).collect()
