@@ -48,6 +48,7 @@ ZIPF_OFFSET = 10.0      # log p(piece of rank r) = -log(r + ZIPF_OFFSET) + const
 CACHED_EDGES = 3_000_000
 FRONT = 64              # steps that bound how far a path is searched for open nodes
 AT_ONCE = 3_000         # new words whose lattices are built together
+NO_CHAR = np.uint64(1 << 32)
 MARK = "▁"
 UNITS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -190,6 +191,18 @@ class Pieces:
         return [t[1:] if self.prefixed and t.startswith(" ") else t for t in texts_]
 
 
+class Numbers(dict):
+    """Numbers keys in the order in which they are first asked for; ``new`` lists those since it was last emptied."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, key: str) -> int:
+        self.new.append(key)
+        n = self[key] = len(self)
+        return n
+
+
 class Lattices:
     """Word lattices in flat arrays: an edge's key is its node plus the running sum of its node's probabilities."""
 
@@ -198,27 +211,26 @@ class Lattices:
     def __init__(self, pieces: Pieces):
         self.pieces = pieces
         self.clear()
-        self.at = np.zeros(1 << 16, np.int64)    # a node's first edge
-        self.left = np.zeros(1 << 16, np.int32)  # nodes from a node to its word's end
+        self.first = np.zeros(1 << 16, np.int64)  # a word's first node
+        self.at = np.zeros(1 << 16, np.int64)     # a node's first edge
+        self.left = np.zeros(1 << 16, np.int32)   # nodes from a node to its word's end
         for name, kind in self.KINDS.items():
             setattr(self, name, np.zeros(1 << 16, kind))
 
     def clear(self) -> None:
         """Forget all words; the arrays are filled anew."""
-        self.first: dict[str, int] = {}
-        self.n_nodes = self.n_edges = 0
+        self.words = Numbers()
+        self.n_words = self.n_nodes = self.n_edges = 0
 
     def need(self, units: list[str]) -> np.ndarray:
         """First nodes of these words, whose lattices are built where they are not there."""
-        if self.n_edges > CACHED_EDGES:
+        if self.n_edges > CACHED_EDGES or self.n_words < len(self.words):  # too many, or some were not built
             self.clear()
-        at = np.fromiter(map(self.first.get, units, repeat(-1)), np.int64, len(units))
-        lacking = np.flatnonzero(at < 0).tolist()
-        new = list(dict.fromkeys(units[i] for i in lacking))
+        at = np.fromiter(map(self.words.__getitem__, units), np.int64, len(units))
+        new, self.words.new = self.words.new, []
         for i in range(0, len(new), AT_ONCE):
             self.build(new[i:i + AT_ONCE])
-        at[lacking] = [self.first[units[i]] for i in lacking]
-        return at
+        return self.first.take(at)
 
     def put(self, name: str, at: int, values: np.ndarray) -> None:
         """Write values into an array that grows by a quarter when it is full."""
@@ -232,80 +244,86 @@ class Lattices:
         """Edges of new words with the probability of each given its node, by a backward pass."""
         p, top = self.pieces, self.pieces.longest
         size = np.fromiter(map(len, units), np.int64, len(units))
-        chars = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-        start = np.cumsum(size) - size
-        word = np.repeat(np.arange(len(units)), size)
-        to_end = size[word] - (np.arange(len(chars)) - start[word])  # characters from a node to its word's end
-        node = np.arange(len(chars)) + word                          # every word has an end node of its own
-        self.first.update(zip(units, (self.n_nodes + start + np.arange(len(units))).tolist()))
+        # every word has an end node of its own, whose character is in no piece
+        stop = np.cumsum(size + 1) - 1
+        chars = np.frombuffer("\0".join([*units, ""]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        chars[stop] = NO_CHAR
+        nodes = len(chars)
+        to_end = np.repeat(stop, size + 1) - np.arange(nodes)  # characters from a node to its word's end
         # edges by piece length
         found: list[tuple[np.ndarray, int, np.ndarray, np.ndarray]] = []
-        alive, h = np.arange(len(chars)), np.zeros(len(chars), np.uint64)
-        lacks = np.ones(len(chars), bool)
+        inner = alive = np.flatnonzero(to_end)
+        h = np.zeros(len(alive), np.uint64)
+        lacks = to_end > 0
         with np.errstate(over="ignore"):
             for n in range(1, top + 1):
-                fits = to_end[alive] >= n
-                alive, h = alive[fits], h[fits]
-                if not len(alive):
-                    break
-                h = h * BASE + chars[alive + n - 1] + np.uint64(1)
+                h *= BASE
+                h += chars.take(alive + (n - 1))
+                h += np.uint64(1)
                 at = p.find(h)
-                known = at >= 0
-                alive, h, at = alive[known], h[known], at[known]
-                piece = p.piece_at[at]
+                known = np.flatnonzero(at >= 0)
+                if not len(known):
+                    break
+                alive, h = alive.take(known), h.take(known)
+                piece = p.piece_at.take(at.take(known))
                 whole = np.flatnonzero(piece >= 0)
-                found.append((alive[whole], n, piece[whole], p.log_p[piece[whole]]))
+                ids = piece.take(whole)
+                found.append((alive.take(whole), n, ids, p.log_p.take(ids)))
                 if n == 1:
-                    lacks[alive[whole]] = False
+                    lacks[found[-1][0]] = False
         lacks = np.flatnonzero(lacks)  # characters without a piece: one edge that spells their bytes
         code = chars[lacks].astype(np.int64)
         found.insert(0, (lacks, 1, np.where(code < 0x80, p.byte_id[np.minimum(code, 0xFF)], p.size + code),
                          p.byte_log_p * (1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF))))
-        # laid out by node, the longest piece first
-        degree = np.zeros(len(chars), np.int64)
-        for rows, *_ in found:
-            degree[rows] += 1
-        free = np.cumsum(degree) - degree
-        head, total = free.copy(), int(degree.sum())
-        step, piece, log_p = np.zeros(total, np.int32), np.zeros(total, np.int32), np.zeros(total)
+        # laid out by node, the nodes from the words' ends to their fronts, a node's longest piece first
+        degree = np.bincount(np.concatenate([rows for rows, *_ in found]), minlength=nodes)
+        far = to_end.take(inner)
+        order = inner.take(np.argsort(far.astype(np.uint16) if size.max() < 1 << 16 else far, kind="stable"))
+        own = degree.take(order)
+        ends = np.cumsum(own)
+        begin, total = ends - own, int(own.sum())
+        free = np.zeros(nodes, np.int64)
+        free[order] = begin
+        head = free.copy()
+        step, piece, log_p = np.zeros(total, np.int64), np.zeros(total, np.int32), np.zeros(total)
         for rows, n, *values in reversed(found):
-            at = free[rows]
+            at = free.take(rows)
             step[at], piece[at], log_p[at] = n, *values
-            free[rows] += 1
-        src = np.repeat(np.arange(len(chars)), degree)
-        target = node[src] + step
-        beta = np.zeros(len(chars) + len(units))
-        order = np.argsort(to_end.astype(np.uint16) if size.max() < 1 << 16 else to_end, kind="stable")
-        own = degree[order]
-        ends = np.cumsum(own)
-        by_end = np.arange(total) + np.repeat(head[order] - ends + own, own)  # edges in that order of their nodes
-        value, target, log_q = log_p[by_end], target[by_end], np.zeros(total)
-        cuts = np.concatenate([[0], np.flatnonzero(np.diff(to_end[order])) + 1, [len(order)]]).tolist()
-        for a, b in zip(cuts, cuts[1:]):  # from the words' ends to their fronts
-            at, n = slice(int(ends[a] - own[a]), int(ends[b - 1])), own[a:b]
-            first = ends[a:b] - n - at.start
-            summed = value[at] + beta[target[at]]
-            most = np.maximum.reduceat(summed, first)
-            whole = most + np.log(np.add.reduceat(np.exp(summed - np.repeat(most, n)), first))
-            beta[node[order[a:b]]] = whole
-            log_q[by_end[at]] = summed - np.repeat(whole, n)
-        log_q = np.minimum(log_q, 0.0)
-        running = np.cumsum(np.exp(log_q))
-        share = np.minimum(running - np.concatenate([[0.0], running])[head][src], 1.0)
-        share[head + degree - 1] = 1.0
-        only = (degree == 1)[src]
+            free[rows] = at + 1
+        rank = np.repeat(np.arange(len(order)), own)
+        src = order.take(rank)
+        target = src + step
+        beta, most, whole, log_q = np.zeros(nodes), np.zeros(len(order)), np.zeros(len(order)), np.zeros(total)
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(to_end.take(order))) + 1, [len(order)]]).tolist()
+        for a, b in zip(cuts, cuts[1:]):
+            at = slice(int(begin[a]), int(ends[b - 1]))
+            first, owner = begin[a:b] - at.start, rank[at]
+            summed = beta.take(target[at])
+            summed += log_p[at]
+            np.maximum.reduceat(summed, first, out=most[a:b])
+            shifted = summed - most.take(owner)
+            np.add(most[a:b], np.log(np.add.reduceat(np.exp(shifted, out=shifted), first)), out=whole[a:b])
+            beta[order[a:b]] = whole[a:b]
+            np.subtract(summed, whole.take(owner), out=log_q[at])
+        np.minimum(log_q, 0.0, out=log_q)
+        running = np.concatenate([[0.0], np.cumsum(np.exp(log_q))])
+        share = np.minimum(running[1:] - running.take(begin).take(rank), 1.0)
+        share[ends - 1] = 1.0
+        only = begin.compress(own == 1)
         log_q[only] = 0.0
-        log_rest = np.where(only, -np.inf, np.log(-np.expm1(np.minimum(log_q, -1e-15))))
-        ends = np.zeros(len(chars) + len(units), np.int64)
-        ends[node] = self.n_edges + head
-        self.put("at", self.n_nodes, ends)
-        ends[node] = to_end
-        self.put("left", self.n_nodes, ends)
-        for name, values in (("key", self.n_nodes + node[src] + share), ("step", step),
+        log_rest = np.minimum(log_q, -1e-15)
+        np.expm1(log_rest, out=log_rest)
+        np.log(np.negative(log_rest, out=log_rest), out=log_rest)
+        log_rest[only] = -np.inf
+        self.put("first", self.n_words, self.n_nodes + stop - size)
+        self.put("at", self.n_nodes, self.n_edges + head)
+        self.put("left", self.n_nodes, to_end)
+        for name, values in (("key", (self.n_nodes + src) + share), ("step", step),
                              ("piece", piece), ("log_q", log_q), ("log_rest", log_rest)):
             self.put(name, self.n_edges, values)
-        self.n_edges += len(src)
-        self.n_nodes += len(chars) + len(units)
+        self.n_words += len(units)
+        self.n_edges += total
+        self.n_nodes += nodes
 
     def node_of(self, edge: int) -> int:
         return int(np.ceil(self.key[edge])) - 1
@@ -344,9 +362,9 @@ class Lattices:
 class Path:
     """A drawn segmentation and the open nodes beside it that can still be among the next ``k``."""
 
-    __slots__ = ("edges", "unit", "before", "steps", "bound", "score")
+    __slots__ = ("edges", "unit", "before", "steps", "where", "bound", "score")
 
-    def __init__(self, lattices: Lattices, edges, unit, score: float, seed: int, sample: int, fresh: int, k: int):
+    def __init__(self, lattices: Lattices, edges, unit, score: float, fresh: int, k: int):
         """``fresh``: steps before it are shared with an older path, which keeps the open nodes there."""
         self.edges, self.unit, self.score = edges, unit, score
         self.before = np.zeros(len(edges) + 1, np.float32)
@@ -364,12 +382,21 @@ class Path:
             self.steps = np.flatnonzero((where > -np.inf) & (where >= where_k - 41.0))
         else:
             self.steps = np.flatnonzero(where > -np.inf)
-        where = where[self.steps]
+        self.where = where[self.steps]
         self.steps += fresh
-        self.bound = cut_off(where, score, uniform(seed, sample, 1 << 40, self.steps))
+
+    @staticmethod
+    def draw_bounds(paths: list[Path], seeds: np.ndarray, sample: int) -> None:
+        """Draw the bounds of all these new paths' open nodes together."""
+        size = np.fromiter((len(x.steps) for x in paths), np.int64, len(paths))
+        score = np.repeat(np.array([x.score for x in paths]), size)
+        u = uniform(np.repeat(seeds, size), sample, 1 << 40, np.concatenate([x.steps for x in paths]))
+        bound = cut_off(np.concatenate([x.where for x in paths]), score, u)
+        for path, a, b in zip(paths, (np.cumsum(size) - size).tolist(), np.cumsum(size).tolist()):
+            path.bound, path.where = bound[a:b], None
 
 
-def cut_off(where: np.ndarray, score: float, u: np.ndarray) -> np.ndarray:
+def cut_off(where: np.ndarray, score: float | np.ndarray, u: np.ndarray) -> np.ndarray:
     """Gumbel variables at ``where``, cut off at ``score``."""
     return -np.logaddexp(-score, np.log(-np.log(u)) - where)
 
@@ -441,7 +468,9 @@ class Sampler:
         searches = []
         for i, seed in enumerate(seeds.tolist()):
             own = slice(cut[i], cut[i + 1])
-            searches.append(Search(Path(lat, edges[own], place[owner[own]], float(root[i]), seed, 0, 0, k), seed))
+            searches.append(Search(Path(lat, edges[own], place[owner[own]], float(root[i]), 0, k), seed))
+        if searches:
+            Path.draw_bounds([s.paths[0] for s in searches], seeds, 0)
         for sample in range(1, k):
             jobs, node, last, seed, unit = [], [], [], [], []
             for i, s in enumerate(searches):
@@ -467,7 +496,9 @@ class Sampler:
                 own = slice(cut[j], cut[j + 1])
                 searches[i].paths.append(Path(
                     lat, np.concatenate([old.edges[:t], [edge], edges[own]]),
-                    np.concatenate([old.unit[:t + 1], unit[j][owner[own] - count[j]]]), score, searches[i].seed, sample, t + 1, k))
+                    np.concatenate([old.unit[:t + 1], unit[j][owner[own] - count[j]]]), score, t + 1, k))
+            drawn = [i for i, _ in jobs]
+            Path.draw_bounds([searches[i].paths[-1] for i in drawn], seeds[drawn], sample)
         return [self.result(s) for s in searches]
 
     def result(self, search: Search) -> list[tuple[np.ndarray, float, float, float]]:

@@ -125,6 +125,33 @@ def test_segmentation_cache_is_filled_in_place():
         assert np.array_equal(x[:lattices.n_edges], before[name])
 
 
+def test_segmentation_draws_bounds_of_a_batch_together(monkeypatch):
+    """The open nodes of all texts of a batch get their bounds in one call, the same as alone."""
+    sampler = segmentation.Sampler(open(tokenizer_file("piece_bpe_32k.model"), "rb").read())
+    rows, seeds = [f"some words of text {i}, Ünlike \x01 others" for i in range(40)], segmentation.mix(np.arange(40).astype(np.uint64))
+    alone = [sampler.sample([x], seeds[i:i + 1], 3)[0] for i, x in enumerate(rows)]
+    sizes, cut_off = [], segmentation.cut_off
+    monkeypatch.setattr(segmentation, "cut_off", lambda where, *rest: sizes.append(len(where)) or cut_off(where, *rest))
+    sampler.sample(rows, seeds, 1)
+    assert len(sizes) == 1 and sizes[0] > 40
+    for one, many in zip(alone, sampler.sample(rows, seeds, 3)):
+        assert [(x[0].tolist(), *x[1:]) for x in one] == [(x[0].tolist(), *x[1:]) for x in many]
+
+
+def test_segmentation_forgets_words_whose_building_failed(monkeypatch):
+    pieces = segmentation.Pieces(open(tokenizer_file("piece_bpe_32k.model"), "rb").read())
+    words = ["▁some", "▁new", "▁words", "▁ü\0"]
+    want, broken = segmentation.Lattices(pieces), segmentation.Lattices(pieces)
+    with monkeypatch.context() as m:
+        m.setattr(broken, "put", lambda *_: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            broken.need(words)
+    assert (broken.need(words) == want.need(words)).all()
+    for name in broken.KINDS:
+        assert np.array_equal(getattr(broken, name)[:broken.n_edges], getattr(want, name)[:want.n_edges])
+    assert broken.n_edges == want.n_edges > 0
+
+
 def test_segmentation_odd_rows(odd):
     path = tokenizer_file("piece_bpe_32k.model")
     rows = segmentation.sample_segmentations(odd, path).collect()
