@@ -3,6 +3,7 @@
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -132,3 +133,40 @@ def test_exact_regex_runs_behind_the_needle_only(spark, corpus):
     assert joins and not any("java#" in x for x in joins)
     assert sorted((r.file, r.line, r.column, r.rule_id) for r in found.collect()) == [
         ("a", 1, 1, "scheme:p"), ("a", 2, 4, "scheme:w"), ("a", 3, 8, "scheme:p")]
+
+
+def test_small_catalogs_meet_only_needles_that_lines_hold(spark, corpus, monkeypatch):
+    """Tasks look for whole needles, their edges and case; what is found equals the way of larger catalogs, by grams."""
+    rnd = random.Random(7)
+    bits = ["the", "cat", "Cat", "CAT", " ", " ", "s", "ſ", "k", "K", "é", "É", "İ", "\U0001F600", ".", "_", "a b", "cater", "concatenation", "\r", "\r\n", "\n"]
+    files = {f"f{i}": "".join(rnd.choice(bits) for _ in range(rnd.randint(0, 60))) for i in range(150)}
+    files["held"] = "thé cat\nconcatenation of the cats"
+    patterns = [r"(?i)\bthe cat\b", r"\bcat", r"\bCat[a-z]*", r"(?i)cats\b", r"(?i)\bka\b|x", r"(?i)k cat", r"\bs\b", r"(?i)^the", r"(?i)\Bcat", r"a b",
+                r"\bconcatenation\b", r"(?i)\bthe[a-z]+enation", r"(?i)\.the", r"é\bcat", r"(?i)\Acater", r"the +cat", r"cat\b\.", r"(?i)s\b cat"]
+    table = spark.createDataFrame([(k, f"p{k}", p) for k, p in enumerate(patterns)], "ord long, id string, pattern string")
+    compiled = needle_index.checked_catalog(table)
+    docs = corpus(files).select("path", "content")
+    got = needle_index.catalog_findings(docs, compiled)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "array_distinct" not in plan
+    monkeypatch.setattr(needle_index, "MAX_BROADCAST_ROWS", 0)
+    want = sorted(map(tuple, needle_index.catalog_findings(docs, compiled).collect()))
+    assert sorted(map(tuple, got.collect())) == want
+    assert len({r[0] for r in want}) == len(patterns)  # each pattern is found somewhere
+
+
+def test_needles_are_found_exactly(monkeypatch):
+    monkeypatch.setattr(needle_index, "STEP", 16)
+    rnd = random.Random(3)
+    word = lambda n: "".join(rnd.choice("abAB _é") for _ in range(n))
+    needles = {n for n in (word(rnd.randint(2, 30)) for _ in range(400)) if n.isascii()} | {"ab" * 9, "ab" * 9 + "a"}
+    known = [f"{rnd.choice([0, 4, 8, 12]):X}{n}" for n in needles]
+    known = sorted({k if int(k[0], 16) & 4 else k.lower() for k in known})
+    lines = [word(rnd.randint(0, 80)) for _ in range(300)] + ["", "AB" * 30] + [n[1:] for n in known]
+    held = needle_index.Needles(known)
+    needle, line, skip = held.held(pa.array(lines), pa.array([x.lower() for x in lines]))
+    exact = lambda k: int(k[0], 16) & 4
+    want = {(k, i): (x if exact(k) else x.lower()).find(k[1:]) for k in known for i, x in enumerate(lines)}
+    got = {(held.needles[n], i): s for n, i, s in zip(needle.tolist(), line.tolist(), skip.tolist())}
+    assert set(got) == {p for p, at in want.items() if at >= 0}
+    assert all(s == (max(want[p] - 1, 0) if int(p[0][0], 16) & 8 else 0) for p, s in got.items())
