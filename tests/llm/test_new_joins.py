@@ -8,6 +8,7 @@ from collections import Counter
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 import tokenizers
@@ -233,6 +234,36 @@ def test_shared_lists_in_pieces():
                            for s, r in zip(shingle.tolist(), row.tolist()) if (shingle == s).sum() > 1]
 
 
+def test_jaccard_pairs_are_packed(monkeypatch):
+    """What meets is sent in 7 bytes a pair, and comes back as keys that are equal for equal shingles."""
+    rnd = np.random.default_rng(4)
+    rows = np.r_[np.arange(65_530, 65_560), np.arange(3) + (5 << 33), 7, 7 + (1 << 33)]
+    sets = [rnd.integers(-2**63, 2**63, k % 9) if k % 3 else np.arange(k % 5) - 2 for k in range(len(rows))]
+    batch = pa.RecordBatch.from_arrays([pa.array(rows), pa.array([s.tolist() for s in sets], pa.list_(pa.int64()))], ["row", "shingles"])
+    packed = list(jaccard_join._packed([batch.slice(0, 0), batch.slice(0, 20), batch.slice(20)]))
+    pairs = sorted((int(x), int(r)) for r, s in zip(rows, sets) for x in s)
+    assert sum(len(v) for b in packed for k in (2, 3) for v in b.column(k).to_pylist()) == 7 * len(pairs)
+    for at_once in (1, jaccard_join.UNPACKED):
+        monkeypatch.setattr(jaccard_join, "UNPACKED", at_once)
+        got = [t for b in jaccard_join._unpacked(iter([b.slice(k, 3) for b in packed for k in range(0, len(b), 3)]))
+               for t in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+        key_of = lambda x: (x * 0x9E3779B97F4A7C15 % 2**64) >> 12
+        assert sorted(got) == sorted((key_of(x), r) for x, r in pairs)
+
+
+def test_jaccard_sets_leave_the_disk(spark):
+    """The folder of all sets is deleted once those that are searched have been copied; rows read nothing of it."""
+    from pathlib import Path
+    from ciphersift.session import ensure_checkpoint_dir
+
+    folder = Path(ensure_checkpoint_dir(spark).removeprefix("file:"))
+    before = set(folder.glob("jaccard-sets-*"))
+    rows = [(k, f"a b c d e f g {k // 2} h i j k l m n o p q r s t u v w x y z") for k in range(8)]
+    found = jaccard_join.jaccard_components(frame(spark, rows))
+    assert set(folder.glob("jaccard-sets-*")) == before
+    assert sorted((r.doc_id, r.component_id) for r in found.collect()) == [(k, k // 2 * 2) for k in range(8)]
+
+
 def test_jaccard_odd_rows(odd):
     got = sorted(map(tuple, jaccard_join.jaccard_components(odd).collect()), key=str)
     assert got == components_by_hand(ODD)
